@@ -13,10 +13,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
+from .functions.render import json_value, normalize, number_text, sha256_hex, utf8_bytes
 from .operators import reduce as R
+from .operators.filters import equality_filter
+from .operators.ordering import number_rows
+from .operators.ranges import chunk_of, id_ranges, read_bounds
+from .plans.batch import reduce_all_tenants
 from .plans.report import plan_report, run
-from .sources.registry import testdata_registry
-from .spec import Metric, ReduceSpec, ReportSpec
+from .plans.stats import stats_frame
+from .session import checkpoint_dir
+from .sinks.text import csv_frame, json_array_frame, listing_lines, ndjson_lines, snapshot_bytes
+from .sources.registry import bounded, high_water_id, testdata_registry
+from .sources.snapshot import read_snapshot, write_snapshot
+from .spec import DEFAULT_LISTING_MAX_ROWS, DEFAULT_MAX_GROUPS, Metric, ReduceSpec, ReportSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +118,349 @@ def reduce_multi_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         metrics=(Metric("count", "n"), Metric("sum", "revenue", "l_extendedprice"), Metric("avg", "avg_qty", "l_quantity")),
     )
     return as_double(R.reduce(li, spec), "revenue")
+
+
+def five_ops_doubles(df: DataFrame) -> DataFrame:
+    return as_double(df, "total", "min_value", "max_value")
+
+
+@query(
+    "reduce_global",
+    """
+select count(*) as n,
+       cast(coalesce(sum(cast(value as decimal(18,2))), 0) as double) as total,
+       min(value) as min_value, max(value) as max_value,
+       cast(sum(cast(value as decimal(18,2))) as double) / count(value) as avg_value
+from events
+""",
+)
+def reduce_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ReduceSpec(metrics=FIVE_OPS.metrics)
+    return five_ops_doubles(R.reduce(money(table(spark, sf_dir, "events"), "value"), spec))
+
+
+@query("reduce_global_empty", "select count(*) as n from events where user_id = -1 having count(*) > 0")
+def reduce_global_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ReportSpec(tenant=-1, source="events", reduce=ReduceSpec(metrics=(Metric("count", "n"),)))
+    return plan_report(spark, spec, testdata_registry(sf_dir)).rows
+
+
+NULLED_SQL = "case when event_type = 'view' then null else cast(value as decimal(18,2)) end"
+
+
+@query(
+    "reduce_nulls",
+    f"""
+select event_type, count(*) as n,
+       cast(coalesce(sum({NULLED_SQL}), 0) as double) as sum_v,
+       cast(min({NULLED_SQL}) as double) as min_v, cast(max({NULLED_SQL}) as double) as max_v,
+       cast(sum({NULLED_SQL}) as double) / count({NULLED_SQL}) as avg_v
+from events group by event_type
+""",
+)
+def reduce_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = money(table(spark, sf_dir, "events"), "value")
+    ev = ev.withColumn("v", F.when(F.col("event_type") == "view", F.lit(None)).otherwise(F.col("value")))
+    spec = ReduceSpec(
+        group_by=("event_type",),
+        metrics=(Metric("count", "n"), Metric("sum", "sum_v", "v"), Metric("min", "min_v", "v"),
+                 Metric("max", "max_v", "v"), Metric("avg", "avg_v", "v")),
+    )
+    return as_double(R.reduce(ev, spec), "sum_v", "min_v", "max_v")
+
+
+@query(
+    "reduce_minmax_types",
+    """
+select event_type, min(props) as min_props, max(props) as max_props, min(ts) as first_ts, max(ts) as last_ts
+from events group by event_type
+""",
+)
+def reduce_minmax_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ReduceSpec(
+        group_by=("event_type",),
+        metrics=(Metric("min", "min_props", "props"), Metric("max", "max_props", "props"),
+                 Metric("min", "first_ts", "ts"), Metric("max", "last_ts", "ts")),
+    )
+    return R.reduce(table(spark, sf_dir, "events"), spec)
+
+
+@query(
+    "reduce_float_key",
+    """
+select case when isnan(k) or isinf(k) then null else k end as k, count(*) as n,
+       cast(sum(cast(value as decimal(18,2))) as double) as total
+from (select *, case when event_type = 'view' then 'NaN'::double when event_type = 'click' then null
+                     else floor(value / 100)::double end as k from events)
+group by 1
+""",
+)
+def reduce_float_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = money(table(spark, sf_dir, "events"), "value")
+    ev = ev.withColumn(
+        "k",
+        F.when(F.col("event_type") == "view", F.lit(float("nan")))
+        .when(F.col("event_type") == "click", F.lit(None).cast("double"))
+        .otherwise(F.floor(F.col("value").cast("double") / 100).cast("double")),
+    )
+    spec = ReduceSpec(group_by=("k",), metrics=(Metric("count", "n"), Metric("sum", "total", "value")))
+    return as_double(R.reduce(ev, spec), "total")
+
+
+@query(
+    "reduce_ordered",
+    """
+select event_type, count(*) as n, row_number() over (order by to_json({'event_type': event_type})) as rn
+from events group by event_type
+""",
+)
+def reduce_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ReduceSpec(group_by=("event_type",), metrics=(Metric("count", "n"),))
+    out = R.reduce(table(spark, sf_dir, "events"), spec)
+    return number_rows(out, [R.group_order_key(spec)])
+
+
+@query(
+    "reduce_group_cap",
+    """
+select user_id, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total
+from events group by user_id
+""",
+)
+def reduce_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ReduceSpec(group_by=("user_id",), metrics=(Metric("count", "n"), Metric("sum", "total", "value")))
+    reduced = R.enforce_group_cap(R.reduce_frame(money(table(spark, sf_dir, "events"), "value"), spec), DEFAULT_MAX_GROUPS)
+    return as_double(R.report_view(reduced, spec), "total")
+
+
+@query(
+    "reduce_all_tenants",
+    """
+select user_id, event_type, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total
+from events group by user_id, event_type
+""",
+)
+def reduce_all_tenants_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ReduceSpec(group_by=("event_type",), metrics=(Metric("count", "n"), Metric("sum", "total", "value")))
+    return as_double(reduce_all_tenants(money(table(spark, sf_dir, "events"), "value"), "user_id", spec), "total")
+
+
+@query(
+    "run_stats",
+    """
+with b as (select min(event_id) as lo, max(event_id) as hi, count(*) as rows_in,
+                  count(distinct event_type) as rows_out from events where user_id = 8),
+s as (select *, hi - lo + 1 as span, (hi - lo + 1 + 31) // 32 as size from b)
+select rows_in, rows_out, cast((span + size - 1) // size as bigint) as chunks from s
+""",
+)
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ReportSpec(tenant=8, source="events", reduce=FIVE_OPS)
+    return stats_frame(plan_report(spark, spec, testdata_registry(sf_dir)))
+
+
+# ------------------------------------------------------------------ raw path, filters, order
+
+
+@query(
+    "raw_ordered",
+    "select o_orderkey, row_number() over (order by o_orderkey) as rn from orders where o_orderpriority = '1-URGENT'",
+)
+def raw_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = plan_report(spark, ReportSpec(tenant="1-URGENT", source="orders"), testdata_registry(sf_dir))
+    return number_rows(plan.rows.select("o_orderkey"), plan.order)
+
+
+@query(
+    "hwm_scan",
+    "select * from events where user_id = 8 and event_id <= (select max(event_id) from events where user_id = 8)",
+)
+def hwm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = plan_report(spark, ReportSpec(tenant=8, source="events"), testdata_registry(sf_dir))
+    hwm = high_water_id(plan.scoped, plan.source)
+    return bounded(plan.scoped, plan.source, hwm)
+
+
+CHUNKS_SQL = """
+with b as (select min(event_id) as lo, max(event_id) as hi from events),
+s as (select lo, hi, (hi - lo + 1 + {n} - 1) // {n} as size from b)
+"""
+
+
+@query(
+    "id_range_scan",
+    CHUNKS_SQL.format(n=32)
+    + "select event_id, cast(least((event_id - s.lo) // s.size, 31) as integer) as chunk from events, s",
+)
+def id_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    lo, hi = read_bounds(ev, "event_id")
+    ranges = id_ranges(lo, hi, 32)
+    return ev.select("event_id", chunk_of(ranges, "event_id").cast("int").alias("chunk"))
+
+
+@query("filter_type_bracket", "select * from orders where false")
+def filter_type_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ReportSpec(tenant="1-URGENT", source="orders", filters={"o_totalprice": "100"})
+    return run(spark, spec, testdata_registry(sf_dir))
+
+
+@query(
+    "filter_null",
+    """
+select event_id, event_type, v from (
+  select event_id, event_type, case when event_type = 'view' then null else value end as v from events)
+where v is null
+""",
+)
+def filter_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.when(F.col("event_type") == "view", F.lit(None)).otherwise(F.col("value")).alias("v")
+    )
+    return ev.filter(equality_filter(ev, {"v": None}))
+
+
+@query(
+    "filter_struct",
+    """
+select l_orderkey, l_linenumber, l_returnflag, l_linestatus from lineitem
+where {'f': l_returnflag, 's': l_linestatus} = {'f': 'A', 's': 'F'}
+""",
+)
+def filter_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus",
+        F.struct(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s")).alias("fs"),
+    )
+    return li.filter(equality_filter(li, {"fs": {"f": "A", "s": "F"}})).drop("fs")
+
+
+@query(
+    "filter_array",
+    """
+select doc_id, 'member' as matched from documents where list_contains([lang, source], 'fr')
+union all
+select doc_id, 'exact' as matched from documents where [lang, source] = ['fr', 'src4']
+""",
+)
+def filter_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array("lang", "source").alias("tags"))
+    member = docs.filter(equality_filter(docs, {"tags": "fr"})).select("doc_id", F.lit("member").alias("matched"))
+    exact = docs.filter(equality_filter(docs, {"tags": ["fr", "src4"]})).select("doc_id", F.lit("exact").alias("matched"))
+    return member.unionByName(exact)
+
+
+ISO_SQL = "strftime({c}, '%Y-%m-%dT%H:%M:%S.') || lpad(cast(millisecond({c}) % 1000 as varchar), 3, '0') || 'Z'"
+
+
+@query("normalize_iso", f"select event_id, {ISO_SQL.format(c='ts')} as ts from events")
+def normalize_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize(table(spark, sf_dir, "events").select("event_id", "ts"))
+
+
+@query(
+    "normalize_nested",
+    f"""
+select event_id, to_json({{'at': {ISO_SQL.format(c='ts')},
+                          'list': [{ISO_SQL.format(c='ts')}, {ISO_SQL.format(c="(ts + interval 1 hour)")}]}}) as nested
+from events
+""",
+)
+def normalize_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.struct(F.col("ts").alias("at"), F.array(F.col("ts"), F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("list")).alias("nested"),
+    )
+    norm = normalize(ev)
+    return norm.select("event_id", json_value(F.col("nested"), norm.schema["nested"].dataType).alias("nested"))
+
+
+# ------------------------------------------------------------------ rendering
+
+CSV_ESC = (
+    "case when regexp_matches(coalesce({c}, ''), '[,\"' || chr(10) || ']') "
+    "then '\"' || replace(coalesce({c}, ''), '\"', '\"\"') || '\"' else coalesce({c}, '') end"
+)
+
+
+@query(
+    "csv_lines",
+    f"""
+select row_number() over (order by k, doc_id) as rn, value from (
+  select 0 as k, null::bigint as doc_id, 'doc_id,text,lang' as value where exists (select 1 from documents)
+  union all
+  select 1, doc_id, concat_ws(',', cast(doc_id as varchar), {CSV_ESC.format(c='text')}, {CSV_ESC.format(c='lang')})
+  from documents)
+""",
+)
+def csv_lines_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    frame, names = csv_frame(docs, [F.col("doc_id")])
+    return number_rows(frame, [F.col("__k"), *[F.col(n) for n in names]]).select("rn", "value")
+
+
+@query(
+    "json_lines",
+    """
+with d as (select doc_id, to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'n_chars': n_chars}) as j from documents),
+m as (select min(doc_id) as first_id from d)
+select row_number() over (order by k, doc_id) as rn, value from (
+  select 1 as k, doc_id, case when doc_id = (select first_id from m) then '[' || j else ',' || j end as value from d
+  union all
+  select 2, null, case when (select first_id from m) is null then '[]' else ']' end)
+""",
+)
+def json_lines_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    frame, names = json_array_frame(docs, [F.col("doc_id")])
+    return number_rows(frame, [F.col("__k"), *[F.col(n) for n in names]]).select("rn", "value")
+
+
+@query("number_text", r"select event_id, regexp_replace(cast(value as varchar), '\.0$', '') as value_text from events")
+def number_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", number_text(F.col("value"), ev.schema["value"].dataType).alias("value_text"))
+
+
+EVENT_JSON_SQL = (
+    "'{\"event_id\":' || event_id || ',\"ts\":\"' || " + ISO_SQL.format(c="ts") + " || '\",\"user_id\":' || user_id"
+    " || ',\"event_type\":' || to_json(event_type) || ',\"value\":' || regexp_replace(cast(value as varchar), '\\.0$', '')"
+    " || ',\"props\":' || to_json(props) || '}'"
+)
+
+
+@query(
+    "numbered_listing",
+    f"select row_number() over (order by event_id) || '. ' || {EVENT_JSON_SQL} as value from events where user_id = 8",
+)
+def numbered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = plan_report(spark, ReportSpec(tenant=8, source="events", format="pdf"), testdata_registry(sf_dir))
+    return listing_lines(plan.rows, plan.order, DEFAULT_LISTING_MAX_ROWS)
+
+
+@query(
+    "snapshot_bytes",
+    f"select count(*) as rows, cast(sum(octet_length(encode({EVENT_JSON_SQL})) + 1) as bigint) as bytes from events",
+)
+def snapshot_bytes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = ndjson_lines(table(spark, sf_dir, "events"))
+    return lines.agg(F.count(F.lit(1)).alias("rows"), snapshot_bytes(lines).alias("bytes"))
+
+
+@query(
+    "snapshot_roundtrip",
+    f"select event_id, {ISO_SQL.format(c='ts')} as ts, user_id, event_type, value, props from events",
+)
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/snapshots/roundtrip-{uuid.uuid4().hex}"
+    schema, _ = write_snapshot(table(spark, sf_dir, "events"), path)
+    return read_snapshot(spark, path, schema)
+
+
+@query(
+    "content_digest",
+    "select doc_id, sha256(text) as digest, octet_length(encode(text)) as bytes from documents",
+)
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", sha256_hex(F.col("text")).alias("digest"), utf8_bytes(F.col("text")).alias("bytes"))

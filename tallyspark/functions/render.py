@@ -44,7 +44,7 @@ def number_text(c: Column, dtype: T.DataType) -> Column:
     x = c.cast("double")
     absx = F.abs(x)
     plain = F.regexp_replace(
-        F.try_cast(x.cast("string"), T.DecimalType(38, 18)).cast("string"), r"\.?0+$", ""
+        x.cast("string").try_cast(T.DecimalType(38, 18)).cast("string"), r"\.?0+$", ""
     )
     java = x.cast("string")  # e.g. 1.0E-7, 1.5E21
     mantissa = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")

@@ -107,12 +107,19 @@ def output_columns(spec: ReduceSpec) -> list[str]:
     return spec.keys + [m.alias for m in spec.metrics]
 
 
-def reduce_frame(df: DataFrame, spec: ReduceSpec, extra_keys: Sequence[str] = ()) -> DataFrame:
+MIN_ID, MAX_ID = "__min_id", "__max_id"
+
+
+def reduce_frame(df: DataFrame, spec: ReduceSpec, extra_keys: Sequence[str] = (), id_col: str | None = None) -> DataFrame:
     """Direct reduce.  Keeps the hidden ``__input_count`` column (A13) for run statistics;
-    ``report_view`` drops it.  ``extra_keys`` are leading keys (tenant for L2, spec id for L3)."""
+    ``report_view`` drops it.  ``extra_keys`` are leading keys (tenant for L2, spec id for L3).
+    With ``id_col``, hidden per-group id bounds ride along, so the id ranges of the run
+    (R1, M1) come from the same pass instead of a second scan."""
     _check(df, spec)
     keys = list(dict.fromkeys([*extra_keys, *spec.keys]))
     aggs = [metric_column(df, m) for m in spec.metrics] + [F.count(F.lit(1)).alias(INPUT_COUNT)]
+    if id_col is not None:
+        aggs += [F.min(id_col).alias(MIN_ID), F.max(id_col).alias(MAX_ID)]
     if keys:
         return df.groupBy(*[group_key(df, k) for k in keys]).agg(*aggs)
     # A global reduce over no rows gives no row (Spark alone would give one).

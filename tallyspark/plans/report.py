@@ -44,9 +44,9 @@ def plan_report(spark: SparkSession, spec: ReportSpec, registry: SourceRegistry)
     source, df = registry.load(spark, spec.source)
     scoped = scope(df, source, spec)
     if spec.reduce is None:
-        order = [F.col(source.id_col).asc_nulls_first()]
+        order = [F.col(source.id_col)]
         return ReportPlan(spec, source, scoped, scoped, order, "raw")
-    reduced = reduce_frame(scoped, spec.reduce)
+    reduced = reduce_frame(scoped, spec.reduce, id_col=source.id_col)
     rows = report_view(reduced, spec.reduce)
     return ReportPlan(spec, source, scoped, rows, [group_order_key(spec.reduce)], "reduce", reduced)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.render import csv_header, csv_line, json_line, utf8_bytes
@@ -22,9 +22,11 @@ class SnapshotTooLarge(RuntimeError):
     pass
 
 
-def _keyed(df: DataFrame, order: Sequence[Column], value: Column) -> tuple[DataFrame, list[str]]:
+def _keyed(df: DataFrame, order: Sequence[Column], value: Column, obs: Observation | None = None) -> tuple[DataFrame, list[str]]:
     names = [f"__o{i}" for i in range(len(order))]
     keyed = df.select(F.lit(1).alias("__k"), *[c.alias(n) for c, n in zip(order, names)], value.alias("value"))
+    if obs is not None:  # rows out, measured inside the write job (M1)
+        keyed = keyed.observe(obs, F.count(F.lit(1)).alias("rows"))
     return keyed, names
 
 
@@ -42,26 +44,35 @@ def _in_order(frame: DataFrame, names: list[str]) -> DataFrame:
     return frame.sort("__k", *names).select("value")
 
 
-def csv_lines(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> DataFrame:
-    """K1: header plus one escaped record per row, in total order; no rows -> no lines."""
+def csv_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> tuple[DataFrame, list[str]]:
+    """K1 lines with their sort keys (``__k``, ``__o*``), unsorted."""
     cols = columns or df.columns
-    keyed, names = _keyed(df, order, csv_line(df, cols))
+    keyed, names = _keyed(df, order, csv_line(df, cols), obs)
     header = _affix(keyed, 0, F.lit(csv_header(cols)))
-    return _in_order(header.unionByName(keyed), names)
+    return header.unionByName(keyed), names
+
 
+def csv_lines(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> DataFrame:
+    """K1: header plus one escaped record per row, in total order; no rows -> no lines."""
+    return _in_order(*csv_frame(df, order, columns, obs))
 
-def json_array_lines(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> DataFrame:
-    """K2: a JSON array, one element per line: ``[e1`` / ``,e2`` ... / ``]``; no rows -> ``[]``.
 
-    The first element is found by a scalar subquery on the smallest order key."""
+def json_array_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> tuple[DataFrame, list[str]]:
+    """K2 lines with their sort keys, unsorted.  The first element is found by a scalar
+    subquery on the smallest order key."""
     cols = columns or df.columns
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     first = df.select(F.min(key)).scalar()
     line = json_line(df, cols)
     value = F.when(key == first, F.concat(F.lit("["), line)).otherwise(F.concat(F.lit(","), line))
-    keyed, names = _keyed(df, order, value)
+    keyed, names = _keyed(df, order, value, obs)
     footer = _affix(keyed, 2, F.when(first.isNull(), F.lit("[]")).otherwise(F.lit("]")))
-    return _in_order(keyed.unionByName(footer), names)
+    return keyed.unionByName(footer), names
+
+
+def json_array_lines(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> DataFrame:
+    """K2: a JSON array, one element per line: ``[e1`` / ``,e2`` ... / ``]``; no rows -> ``[]``."""
+    return _in_order(*json_array_frame(df, order, columns, obs))
 
 
 def ndjson_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -69,10 +80,14 @@ def ndjson_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(json_line(df, columns).alias("value"))
 
 
-def listing_lines(df: DataFrame, order: Sequence[Column], max_rows: int, columns: list[str] | None = None) -> DataFrame:
+def listing_lines(
+    df: DataFrame, order: Sequence[Column], max_rows: int, columns: list[str] | None = None, obs: Observation | None = None
+) -> DataFrame:
     """K5: ``"{i}. {json}"`` with i from 1 in report order; row ``max_rows + 1`` is an error."""
     cols = columns or df.columns
     with_line = df.select(*[c.alias(f"__o{i}") for i, c in enumerate(order)], json_line(df, cols).alias("__j"))
+    if obs is not None:
+        with_line = with_line.observe(obs, F.count(F.lit(1)).alias("rows"))
     numbered = guard_row_cap(number_rows(with_line, [F.col(f"__o{i}") for i in range(len(order))]), max_rows)
     # number_rows leaves the rows range-partitioned and sorted; the projection keeps that order.
     return numbered.select(F.concat(F.col("rn").cast("string"), F.lit(". "), F.col("__j")).alias("value"))
