@@ -13,20 +13,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import datetime as _dt
 import uuid
 
 from .functions.render import json_value, normalize, number_text, sha256_hex, utf8_bytes
 from .operators import reduce as R
 from .operators.filters import equality_filter
 from .operators.ordering import number_rows
-from .operators.ranges import chunk_of, id_ranges, read_bounds
-from .plans.batch import reduce_all_tenants
+from .operators.ranges import chunk_of, chunk_of_bigint, id_ranges, range_predicate, ranges_frame, read_bounds
+from .plans.batch import reduce_all_tenants, retained, run_specs, specs_frame
+from .plans.export import export
 from .plans.report import plan_report, run
 from .plans.stats import stats_frame
 from .session import checkpoint_dir
 from .sinks.text import csv_frame, json_array_frame, listing_lines, ndjson_lines, snapshot_bytes
 from .sources.registry import bounded, high_water_id, testdata_registry
+from .sinks.readback import entry_rows
+from .sinks.workbook import workbooks
+from .sources.seed import seed_from
 from .sources.snapshot import read_snapshot, write_snapshot
+from .streaming.incremental import reduce_stream_once
 from .spec import DEFAULT_LISTING_MAX_ROWS, DEFAULT_MAX_GROUPS, Metric, ReduceSpec, ReportSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,3 +470,246 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", sha256_hex(F.col("text")).alias("digest"), utf8_bytes(F.col("text")).alias("bytes"))
+
+
+# ------------------------------------------------------------------ ranges and partials
+
+
+@query(
+    "chunk_ranges",
+    CHUNKS_SQL.format(n=32)
+    + """
+select cast(t.i as integer) as chunk, lo + t.i * size as start_id,
+       case when lo + (t.i + 1) * size <= hi then lo + (t.i + 1) * size end as end_id
+from s, range(32) t(i) where lo + t.i * size <= hi
+""",
+)
+def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges_frame(table(spark, sf_dir, "events"), "event_id", 32)
+
+
+HEX_SQL = "lpad(lower(to_hex({c})), 24, '0')"
+
+
+@query(
+    "objectid_ranges",
+    CHUNKS_SQL.format(n=8)
+    + f""",
+r as (select cast(t.i as integer) as chunk, lo + t.i * size as st, lo + (t.i + 1) * size as nx, hi
+      from s, range(8) t(i) where lo + t.i * size <= hi),
+c as (select cast(least((event_id - s.lo) // s.size, 7) as integer) as chunk, count(*) as n_rows from events, s group by 1)
+select r.chunk, {HEX_SQL.format(c='st')} as start_id,
+       case when nx <= hi then {HEX_SQL.format(c='nx')} end as end_id, coalesce(c.n_rows, 0) as n_rows
+from r left join c on r.chunk = c.chunk
+""",
+)
+def objectid_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "events").select(F.lpad(F.lower(F.hex("event_id")), 24, "0").alias("_id"))
+    lo, hi = read_bounds(ids, "_id")
+    ranges = id_ranges(lo, hi, 8, "hex")
+    counts = ids.groupBy(chunk_of(ranges, "_id").alias("chunk")).agg(F.count(F.lit(1)).alias("n_rows"))
+    bounds = spark.createDataFrame([(r.index, r.start, r.end) for r in ranges], "chunk int, start_id string, end_id string")
+    return F.broadcast(bounds).join(counts, "chunk", "left").select(
+        "chunk", "start_id", "end_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows")
+    )
+
+
+def _event_partials(spark: SparkSession, sf_dir: str, chunks: int = 32) -> DataFrame:
+    ev = money(table(spark, sf_dir, "events"), "value")
+    lo, hi = read_bounds(ev, "event_id")
+    ranges = id_ranges(lo, hi, chunks)
+    size = ranges[1].start - ranges[0].start if len(ranges) > 1 else 1
+    return R.partials(ev, FIVE_OPS, chunk=chunk_of_bigint(lo, size, len(ranges), "event_id"))
+
+
+PARTIALS_SQL = (
+    CHUNKS_SQL.format(n=32)
+    + """
+select cast(least((event_id - s.lo) // s.size, 31) as integer) as chunk, event_type, count(*) as n,
+       cast(sum(cast(value as decimal(18,2))) as double) as total, min(value) as min_value, max(value) as max_value,
+       cast(sum(cast(value as decimal(18,2))) as double) as __avg_sum__avg_value,
+       count(value) as __avg_count__avg_value, count(*) as __input_count
+from events, s group by 1, 2
+"""
+)
+
+
+@query("chunk_partials", PARTIALS_SQL)
+def chunk_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_double(_event_partials(spark, sf_dir), "total", "min_value", "max_value", "__avg_sum__avg_value")
+
+
+@query(
+    "chunk_profile",
+    f"select chunk, count(*) as groups, cast(sum(__input_count) as bigint) as rows_in from ({PARTIALS_SQL}) group by chunk",
+)
+def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.chunk_profile(_event_partials(spark, sf_dir))
+
+
+@query("partial_merge", FIVE_OPS_SQL)
+def partial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = R.merge_partials(_event_partials(spark, sf_dir), FIVE_OPS)
+    return five_ops_doubles(R.report_view(merged, FIVE_OPS))
+
+
+@query("partial_incremental", FIVE_OPS_SQL)
+def partial_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two id halves arrive one after the other; the stored partials absorb each."""
+    ev = money(table(spark, sf_dir, "events"), "value")
+    lo, hi = read_bounds(ev, "event_id")
+    halves = id_ranges(lo, hi, 2)
+    stored = None
+    for r in halves:
+        arrived = R.partials(ev.filter(range_predicate(r, "event_id")), FIVE_OPS)
+        stored = R.merge_incremental(stored, arrived, FIVE_OPS)
+    return five_ops_doubles(R.report_view(R.merge_partials(stored, FIVE_OPS), FIVE_OPS))
+
+
+@query("reduce_stream", FIVE_OPS_SQL)
+def reduce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    out = reduce_stream_once(spark, path, schema, FIVE_OPS, prepare=lambda d: money(d, "value"))
+    return five_ops_doubles(out)
+
+
+# ------------------------------------------------------------------ fan-out, workbooks (K4 K6 K7)
+
+
+def _export_counts(spark: SparkSession, result) -> DataFrame:
+    """(entry, n_rows): data rows of every written entry, read back from the files."""
+    frames = []
+    for entry, path in result.paths.items():
+        frames.append(entry_rows(spark, path, entry.rsplit(".", 1)[1]).select(F.lit(entry).alias("entry"), "n_rows"))
+    return R.union_partials(frames)
+
+
+@query(
+    "fanout_snapshot",
+    """
+select 'report.csv' as entry, count(distinct event_type) as n_rows from events where user_id = 8
+union all select 'report.json', count(distinct event_type) from events where user_id = 8
+union all select 'report.pdf', count(distinct event_type) from events where user_id = 8
+""",
+)
+def fanout_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ReportSpec(tenant=8, source="events", format="zip", include_formats=("csv", "json", "pdf"), reduce=FIVE_OPS,
+                      report_id=f"fanout-{uuid.uuid4().hex[:8]}")
+    result = export(spark, spec, testdata_registry(sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/reports")
+    return _export_counts(spark, result)
+
+
+@query(
+    "fanout_multipass",
+    """
+select 'report.csv' as entry, count(*) as n_rows from events where user_id = 8
+union all select 'report.json', count(*) from events where user_id = 8
+union all select 'report.xlsx', count(*) from events where user_id = 8
+""",
+)
+def fanout_multipass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ReportSpec(tenant=8, source="events", format="zip", include_formats=("csv", "json", "xlsx"),
+                      report_id=f"multipass-{uuid.uuid4().hex[:8]}")
+    result = export(spark, spec, testdata_registry(sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/reports", multipass=True)
+    return _export_counts(spark, result)
+
+
+@query(
+    "workbook_per_group",
+    """
+select event_type, 0 as part, count(*) as n_rows, cast(min(event_id) as varchar) as first_key, true as starts_pk
+from events group by event_type
+""",
+)
+def workbook_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = workbooks(table(spark, sf_dir, "events"), ["event_type"], ["event_id"])
+    return books.select("event_type", "part", "n_rows", "first_key",
+                        (F.hex(F.substring("content", 1, 2)) == "504B").alias("starts_pk"))
+
+
+@query(
+    "workbook_parts",
+    """
+select event_type, cast(r // 500 as integer) as part, count(*) as n_rows, cast(min(event_id) as varchar) as first_key,
+       true as starts_pk
+from (select event_type, event_id, row_number() over (partition by event_type order by event_id) - 1 as r from events)
+group by event_type, r // 500
+""",
+)
+def workbook_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks split into parts of 500 rows: every group becomes several files, in id order."""
+    ev = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
+    books = workbooks(ev, ["event_type"], ["event_id"], part_rows=500)
+    return books.select("event_type", "part", "n_rows", "first_key",
+                        (F.hex(F.substring("content", 1, 2)) == "504B").alias("starts_pk"))
+
+
+# ------------------------------------------------------------------ workload, retention, saved specs
+
+
+@query(
+    "seed_rows",
+    """
+select case when event_id % 2 = 0 then 'paid' else 'pending' end as status, count(*) as n,
+       cast(sum(event_id % 1000 + 1) as bigint) as total, min('b' || (event_id % 10)) as min_bucket,
+       max('b' || (event_id % 10)) as max_bucket
+from events group by 1
+""",
+)
+def seed_rows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seed_from(table(spark, sf_dir, "events"), "event_id")
+    spec = ReduceSpec(group_by=("status",), metrics=(Metric("count", "n"), Metric("sum", "total", "amount"),
+                                                     Metric("min", "min_bucket", "bucket"), Metric("max", "max_bucket", "bucket")))
+    return R.reduce(rows, spec)
+
+
+@query("retention", "select * from events where ts + interval 20 day > timestamp '2024-01-31'")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retained(table(spark, sf_dir, "events"), "ts", 20, _dt.datetime(2024, 1, 31))
+
+
+# Saved specs: (spec_id, tenant, status or null = all, enabled, next_run_at).
+SAVED_SPECS = [
+    (1, 8, None, True, _dt.datetime(2024, 1, 1)),
+    (2, 8, "purchase", True, _dt.datetime(2024, 1, 1)),
+    (3, 16, "view", True, _dt.datetime(2024, 1, 20)),
+    (4, 46, None, False, _dt.datetime(2024, 1, 1)),
+    (5, 7, None, True, _dt.datetime(2099, 1, 1)),
+    (6, 143, "error", True, _dt.datetime(2024, 1, 31, 23, 59)),
+]
+SAVED_SPECS_NOW = _dt.datetime(2024, 2, 1)
+
+
+def _values_sql() -> str:
+    def lit(v):
+        if v is None:
+            return "null"
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        if isinstance(v, _dt.datetime):
+            return f"timestamp '{v:%Y-%m-%d %H:%M:%S}'"
+        if isinstance(v, str):
+            return f"'{v}'"
+        return str(v)
+
+    return ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in SAVED_SPECS)
+
+
+@query(
+    "batch_specs",
+    f"""
+with specs(spec_id, tenant, status, enabled, next_run_at) as (values {_values_sql()}),
+due as (select * from specs where enabled and next_run_at <= timestamp '{SAVED_SPECS_NOW:%Y-%m-%d %H:%M:%S}')
+select cast(d.spec_id as integer) as spec_id, e.event_type, count(*) as n,
+       cast(sum(cast(e.value as decimal(18,2))) as double) as total
+from events e join due d on e.user_id = d.tenant and (d.status is null or e.event_type = d.status)
+group by 1, 2
+""",
+)
+def batch_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = specs_frame(spark, SAVED_SPECS)
+    spec = ReduceSpec(group_by=("event_type",), metrics=(Metric("count", "n"), Metric("sum", "total", "value")))
+    out = run_specs(money(table(spark, sf_dir, "events"), "value"), specs, SAVED_SPECS_NOW,
+                    tenant_col="user_id", status_col="event_type", spec=spec)
+    return as_double(out, "total")

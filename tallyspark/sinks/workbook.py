@@ -137,7 +137,8 @@ def workbooks(
     columns: Sequence[str] | None = None,
     part_rows: int = EXCEL_MAX_DATA_ROWS,
 ) -> DataFrame:
-    """K4: ``(*group_cols, part, n_rows, content)`` -- one XLSX per group part."""
+    """K4: ``(*group_cols, part, n_rows, first_key, content)`` -- one XLSX per group part;
+    ``first_key`` is the first row's (first) order key as text, an index of the parts."""
     if not 1 <= part_rows <= EXCEL_MAX_DATA_ROWS:
         raise ValueError(f"part_rows must be in 1..{EXCEL_MAX_DATA_ROWS}")
     cols = list(columns or [c for c in df.columns if c not in group_cols])
@@ -149,7 +150,8 @@ def workbooks(
     group_fields = [df.schema[g] for g in group_cols]
     out_schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in group_fields]
-        + [T.StructField("part", T.IntegerType()), T.StructField("n_rows", T.LongType()), T.StructField("content", T.BinaryType())]
+        + [T.StructField("part", T.IntegerType()), T.StructField("n_rows", T.LongType()),
+           T.StructField("first_key", T.StringType()), T.StructField("content", T.BinaryType())]
     )
     data_cols = [f"__c_{c}" for c in cols]
 
@@ -157,10 +159,12 @@ def workbooks(
         pdf = pdf.sort_values("__rn")
         content = render_workbook(cols, pdf[data_cols].set_axis(cols, axis=1))
         out = {g: [pdf[g].iloc[0]] for g in group_cols}
-        out.update(part=[int(pdf["part"].iloc[0])], n_rows=[len(pdf)], content=[content])
+        first = pdf[order_names[0]].iloc[0] if order_names else None
+        out.update(part=[int(pdf["part"].iloc[0])], n_rows=[len(pdf)],
+                   first_key=[None if first is None or pd.isna(first) else str(first)], content=[content])
         return pd.DataFrame(out)
 
-    return with_part.select(*group_cols, "part", "__rn", *data_cols).groupBy(*group_cols, "part").applyInPandas(render, out_schema)
+    return with_part.select(*group_cols, "part", "__rn", *order_names, *data_cols).groupBy(*group_cols, "part").applyInPandas(render, out_schema)
 
 
 def write_workbook_files(books: DataFrame, path: str, group_cols: Sequence[str], prefix: str = "report") -> DataFrame:
