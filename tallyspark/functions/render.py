@@ -54,7 +54,7 @@ def number_text(c: Column, dtype: T.DataType) -> Column:
     )
     return (
         F.when(x.isNull() | F.isnan(x) | (absx == F.lit(float("inf"))), F.lit(None).cast("string"))
-        .when((x == F.floor(x)) & (absx < F.lit(1e21)), x.cast(T.DecimalType(38, 0)).cast("string"))
+        .when((F.rint(x) == x) & (absx < F.lit(1e21)), x.cast(T.DecimalType(38, 0)).cast("string"))
         .when((absx >= F.lit(1e-6)) & (absx < F.lit(1e21)), plain)
         .otherwise(F.when(F.instr(java, "E") > 0, exp_text).otherwise(java))
     )
