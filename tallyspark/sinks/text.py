@@ -22,14 +22,20 @@ class SnapshotTooLarge(RuntimeError):
     pass
 
 
-def _keyed(df: DataFrame, order: Sequence[Column], value: Column, obs: Observation | None = None) -> tuple[DataFrame, list[str]]:
+def _keyed(df: DataFrame, order: Sequence[Column], value: Column) -> tuple[DataFrame, list[str]]:
     names = [f"__o{i}" for i in range(len(order))]
     keyed = df.select(F.lit(1).alias("__k"), *[c.alias(n) for c, n in zip(order, names)], value.alias("value"))
-    if obs is not None:  # rows out, measured inside the write job (M1)
-        keyed = keyed.observe(obs, F.count(F.lit(1)).alias("rows"))
     return keyed, names
 
 
+def _observed(frame: DataFrame, obs: Observation | None) -> DataFrame:
+    """Rows out, measured inside the write job (M1).  Placed after the sort: the range
+    exchange samples its input in a separate job, which would count rows twice."""
+    if obs is None:
+        return frame
+    return frame.observe(obs, F.coalesce(F.sum(F.when(F.col("__k") == 1, 1)), F.lit(0)).alias("rows"))
+
+
 def _affix(template: DataFrame, key: int, value: Column) -> DataFrame:
     """A single framing line (header, bracket) shaped like the keyed data frame."""
     cols = [F.lit(key).alias("__k")]
@@ -40,24 +46,24 @@ def _affix(template: DataFrame, key: int, value: Column) -> DataFrame:
     return template.limit(1).select(*cols) if key == 0 else template.sparkSession.range(1).select(*cols)
 
 
-def _in_order(frame: DataFrame, names: list[str]) -> DataFrame:
-    return frame.sort("__k", *names).select("value")
+def _in_order(frame: DataFrame, names: list[str], obs: Observation | None = None) -> DataFrame:
+    return _observed(frame.sort("__k", *names), obs).select("value")
 
 
-def csv_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> tuple[DataFrame, list[str]]:
+def csv_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """K1 lines with their sort keys (``__k``, ``__o*``), unsorted."""
     cols = columns or df.columns
-    keyed, names = _keyed(df, order, csv_line(df, cols), obs)
+    keyed, names = _keyed(df, order, csv_line(df, cols))
     header = _affix(keyed, 0, F.lit(csv_header(cols)))
     return header.unionByName(keyed), names
 
 
 def csv_lines(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> DataFrame:
     """K1: header plus one escaped record per row, in total order; no rows -> no lines."""
-    return _in_order(*csv_frame(df, order, columns, obs))
+    return _in_order(*csv_frame(df, order, columns), obs)
 
 
-def json_array_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> tuple[DataFrame, list[str]]:
+def json_array_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """K2 lines with their sort keys, unsorted.  The first element is found by a scalar
     subquery on the smallest order key."""
     cols = columns or df.columns
@@ -65,14 +71,14 @@ def json_array_frame(df: DataFrame, order: Sequence[Column], columns: list[str]
     first = df.select(F.min(key)).scalar()
     line = json_line(df, cols)
     value = F.when(key == first, F.concat(F.lit("["), line)).otherwise(F.concat(F.lit(","), line))
-    keyed, names = _keyed(df, order, value, obs)
+    keyed, names = _keyed(df, order, value)
     footer = _affix(keyed, 2, F.when(first.isNull(), F.lit("[]")).otherwise(F.lit("]")))
     return keyed.unionByName(footer), names
 
 
 def json_array_lines(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> DataFrame:
     """K2: a JSON array, one element per line: ``[e1`` / ``,e2`` ... / ``]``; no rows -> ``[]``."""
-    return _in_order(*json_array_frame(df, order, columns, obs))
+    return _in_order(*json_array_frame(df, order, columns), obs)
 
 
 def ndjson_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -86,9 +92,9 @@ def listing_lines(
     """K5: ``"{i}. {json}"`` with i from 1 in report order; row ``max_rows + 1`` is an error."""
     cols = columns or df.columns
     with_line = df.select(*[c.alias(f"__o{i}") for i, c in enumerate(order)], json_line(df, cols).alias("__j"))
-    if obs is not None:
-        with_line = with_line.observe(obs, F.count(F.lit(1)).alias("rows"))
     numbered = guard_row_cap(number_rows(with_line, [F.col(f"__o{i}") for i in range(len(order))]), max_rows)
+    if obs is not None:
+        numbered = numbered.observe(obs, F.count(F.lit(1)).alias("rows"))
     # number_rows leaves the rows range-partitioned and sorted; the projection keeps that order.
     return numbered.select(F.concat(F.col("rn").cast("string"), F.lit(". "), F.col("__j")).alias("value"))
 
