@@ -401,8 +401,8 @@ select row_number() over (order by k, doc_id) as rn, value from (
 )
 def csv_lines_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    frame, names = csv_frame(docs, [F.col("doc_id")])
-    return number_rows(frame, [F.col("__k"), *[F.col(n) for n in names]]).select("rn", "value")
+    frame, names, value = csv_frame(docs, [F.col("doc_id")])
+    return number_rows(frame.withColumn("value", value), [F.col("__k"), *[F.col(n) for n in names]]).select("rn", "value")
 
 
 @query(
@@ -418,8 +418,8 @@ select row_number() over (order by k, doc_id) as rn, value from (
 )
 def json_lines_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
-    frame, names = json_array_frame(docs, [F.col("doc_id")])
-    return number_rows(frame, [F.col("__k"), *[F.col(n) for n in names]]).select("rn", "value")
+    frame, names, value = json_array_frame(docs, [F.col("doc_id")])
+    return number_rows(frame.withColumn("value", value), [F.col("__k"), *[F.col(n) for n in names]]).select("rn", "value")
 
 
 @query("number_text", r"select event_id, regexp_replace(cast(value as varchar), '\.0$', '') as value_text from events")

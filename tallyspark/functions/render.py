@@ -33,7 +33,14 @@ def iso_text(c: Column, dtype: T.DataType | None = None) -> Column:
 
 def number_text(c: Column, dtype: T.DataType) -> Column:
     """A number as JavaScript prints it; NULL for null, NaN and infinities
-    (``JSON.stringify`` writes those as ``null``)."""
+    (``JSON.stringify`` writes those as ``null``).
+
+    The common case is cheap: the JVM already prints ``1e-3 <= |x| < 1e7`` in plain
+    notation, so only a trailing ``.0`` goes.  Other magnitudes take the slower routes:
+    integral values through DECIMAL(38,0), other values in JavaScript's plain range through
+    a DECIMAL wide enough for 17 significant digits, and outside it the exponent is
+    rewritten (``1.0E-7`` -> ``1e-7``, ``1.0E21`` -> ``1e+21``).  Doubles cast to DECIMAL
+    through their shortest decimal text, so no binary noise digits appear."""
     if isinstance(dtype, INTEGRAL):
         return c.cast("string")
     if isinstance(dtype, T.DecimalType):
@@ -43,20 +50,21 @@ def number_text(c: Column, dtype: T.DataType) -> Column:
         raise TypeError(f"number_text on {dtype.simpleString()}")
     x = c.cast("double")
     absx = F.abs(x)
-    plain = F.regexp_replace(
-        x.cast("string").try_cast(T.DecimalType(38, 18)).cast("string"), r"\.?0+$", ""
-    )
-    java = x.cast("string")  # e.g. 1.0E-7, 1.5E21
-    mantissa = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    exponent = F.regexp_extract(java, r"E(-?[0-9]+)$", 1)
-    exp_text = F.concat(
-        mantissa, F.lit("e"), F.when(exponent.startswith("-"), exponent).otherwise(F.concat(F.lit("+"), exponent))
+    java = x.cast("string")  # Double.toString: plain for 1e-3 <= |x| < 1e7, else 1.0E-7 / 1.5E21
+    common = F.regexp_replace(java, r"\.0$", "")
+    strip = lambda t: F.regexp_replace(t.cast("string"), r"\.?0+$", "")
+    rare = (
+        F.when(x == F.lit(0.0), F.lit("0"))
+        .when((absx < F.lit(1e21)) & (F.rint(x) == x), x.cast(T.DecimalType(38, 0)).cast("string"))
+        # non-integral: |x| < 2^53, at most 17 significant digits
+        .when((absx >= F.lit(1e-6)) & (absx < F.lit(1e-3)), strip(x.cast(T.DecimalType(38, 30))))
+        .when((absx >= F.lit(1e7)) & (absx < F.lit(1e21)), strip(x.cast(T.DecimalType(38, 18))))
+        .otherwise(F.replace(F.regexp_replace(F.regexp_replace(java, r"\.0E", "E"), r"E([0-9])", "e+$1"), F.lit("E-"), F.lit("e-")))
     )
     return (
-        F.when(x.isNull() | F.isnan(x) | (absx == F.lit(float("inf"))), F.lit(None).cast("string"))
-        .when((F.rint(x) == x) & (absx < F.lit(1e21)), x.cast(T.DecimalType(38, 0)).cast("string"))
-        .when((absx >= F.lit(1e-6)) & (absx < F.lit(1e21)), plain)
-        .otherwise(F.when(F.instr(java, "E") > 0, exp_text).otherwise(java))
+        F.when(F.isnan(x) | (absx == F.lit(float("inf"))), F.lit(None).cast("string"))
+        .when((absx >= F.lit(1e-3)) & (absx < F.lit(1e7)), common)
+        .otherwise(rare)
     )
 
 
@@ -121,6 +129,10 @@ def cell_text(c: Column, dtype: T.DataType) -> Column:
         return F.coalesce(c, F.lit(""))
     if isinstance(dtype, TEMPORAL):
         return F.coalesce(iso_text(c, dtype), F.lit(""))
+    if isinstance(dtype, (*INTEGRAL, T.DecimalType)):
+        return F.coalesce(number_text(c, dtype), F.lit(""))
+    if isinstance(dtype, FRACTIONAL):
+        return F.coalesce(number_text(c, dtype), F.when(c.isNull(), F.lit("")).otherwise(F.lit("null")))
     return F.when(c.isNull(), F.lit("")).otherwise(json_value(c, dtype))
 
 
@@ -131,10 +143,19 @@ def csv_escape(text: Column) -> Column:
     ).otherwise(text)
 
 
+def csv_cell(c: Column, dtype: T.DataType) -> Column:
+    """Escaped cell.  Numbers, booleans and ISO dates never hold a comma, a quote or a
+    newline, so only strings and nested values pay for the quoting test."""
+    text = cell_text(c, dtype)
+    if isinstance(dtype, (*INTEGRAL, *FRACTIONAL, T.DecimalType, T.BooleanType, *TEMPORAL)):
+        return text
+    return csv_escape(text)
+
+
 def csv_line(df: DataFrame, columns: list[str] | None = None) -> Column:
     """One CSV record (without its line end)."""
     cols = columns or df.columns
-    return F.concat_ws(",", *[csv_escape(cell_text(F.col(n), df.schema[n].dataType)) for n in cols])
+    return F.concat_ws(",", *[csv_cell(F.col(n), df.schema[n].dataType) for n in cols])
 
 
 def csv_header(columns: list[str]) -> str:

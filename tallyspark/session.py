@@ -29,6 +29,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Parquet splits of 256 MiB keep task count manageable at 100 TB (~400k tasks)
     "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    # HotSpot does not JIT methods over 8,000 bytes of bytecode; report rendering builds wide
+    # projections, so let Spark fall back to split expression code for such subtrees only.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -67,6 +70,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

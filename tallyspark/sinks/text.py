@@ -22,12 +22,21 @@ class SnapshotTooLarge(RuntimeError):
     pass
 
 
-def _keyed(df: DataFrame, order: Sequence[Column], value: Column) -> tuple[DataFrame, list[str]]:
+def _keyed(df: DataFrame, order: Sequence[Column], cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """Rows with a leading line kind ``__k`` (0 header, 1 data, 2 footer) and sort keys."""
     names = [f"__o{i}" for i in range(len(order))]
-    keyed = df.select(F.lit(1).alias("__k"), *[c.alias(n) for c, n in zip(order, names)], value.alias("value"))
+    keyed = df.select(F.lit(1).alias("__k"), *[c.alias(n) for c, n in zip(order, names)], *cols)
     return keyed, names
 
 
+def _affix(keyed: DataFrame, key: int) -> DataFrame:
+    """A framing row shaped like the keyed data (nulls everywhere but ``__k``).  The header
+    exists only when a data row does (``limit(1)`` reads one row per split at most); the
+    footer always exists."""
+    cols = [F.lit(key).alias("__k")] + [F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema.fields[1:]]
+    return keyed.limit(1).select(*cols) if key == 0 else keyed.sparkSession.range(1).select(*cols)
+
+
 def _observed(frame: DataFrame, obs: Observation | None) -> DataFrame:
     """Rows out, measured inside the write job (M1).  Placed after the sort: the range
     exchange samples its input in a separate job, which would count rows twice."""
@@ -36,49 +45,47 @@ def _observed(frame: DataFrame, obs: Observation | None) -> DataFrame:
     return frame.observe(obs, F.coalesce(F.sum(F.when(F.col("__k") == 1, 1)), F.lit(0)).alias("rows"))
 
 
-def _affix(template: DataFrame, key: int, value: Column) -> DataFrame:
-    """A single framing line (header, bracket) shaped like the keyed data frame."""
-    cols = [F.lit(key).alias("__k")]
-    for f in template.schema.fields:
-        if f.name.startswith("__o"):
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    cols.append(value.alias("value"))
-    return template.limit(1).select(*cols) if key == 0 else template.sparkSession.range(1).select(*cols)
-
+def _render_sorted(frame: DataFrame, names: list[str], value: Column, obs: Observation | None) -> DataFrame:
+    """Sort the raw rows, then render: the range exchange samples and shuffles plain columns
+    and every line is rendered once, after the shuffle."""
+    return _observed(frame.sort("__k", *names), obs).select(value.alias("value"))
 
-def _in_order(frame: DataFrame, names: list[str], obs: Observation | None = None) -> DataFrame:
-    return _observed(frame.sort("__k", *names), obs).select("value")
 
-
-def csv_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """K1 lines with their sort keys (``__k``, ``__o*``), unsorted."""
-    cols = columns or df.columns
-    keyed, names = _keyed(df, order, csv_line(df, cols))
-    header = _affix(keyed, 0, F.lit(csv_header(cols)))
-    return header.unionByName(keyed), names
+def csv_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> tuple[DataFrame, list[str], Column]:
+    """K1 rows with their sort keys and the line expression (unsorted)."""
+    cols = list(columns or df.columns)
+    keyed, names = _keyed(df, order, cols)
+    framed = _affix(keyed, 0).unionByName(keyed)
+    value = F.when(F.col("__k") == 0, F.lit(csv_header(cols))).otherwise(csv_line(keyed, cols))
+    return framed, names, value
 
 
 def csv_lines(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> DataFrame:
     """K1: header plus one escaped record per row, in total order; no rows -> no lines."""
-    return _in_order(*csv_frame(df, order, columns), obs)
-
-
-def json_array_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """K2 lines with their sort keys, unsorted.  The first element is found by a scalar
-    subquery on the smallest order key."""
-    cols = columns or df.columns
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    first = df.select(F.min(key)).scalar()
-    line = json_line(df, cols)
-    value = F.when(key == first, F.concat(F.lit("["), line)).otherwise(F.concat(F.lit(","), line))
-    keyed, names = _keyed(df, order, value)
-    footer = _affix(keyed, 2, F.when(first.isNull(), F.lit("[]")).otherwise(F.lit("]")))
-    return keyed.unionByName(footer), names
+    framed, names, value = csv_frame(df, order, columns)
+    return _render_sorted(framed, names, value, obs)
+
+
+def json_array_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> tuple[DataFrame, list[str], Column]:
+    """K2 rows with their sort keys and the line expression (unsorted).  The first element
+    is found by a scalar subquery on the smallest order key."""
+    cols = list(columns or df.columns)
+    keyed, names = _keyed(df, order, cols)
+    key = F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
+    first = keyed.select(F.min(key)).scalar()
+    line = json_line(keyed, cols)
+    value = (
+        F.when(F.col("__k") == 2, F.when(first.isNull(), F.lit("[]")).otherwise(F.lit("]")))
+        .when(key == first, F.concat(F.lit("["), line))
+        .otherwise(F.concat(F.lit(","), line))
+    )
+    return keyed.unionByName(_affix(keyed, 2)), names, value
 
 
 def json_array_lines(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> DataFrame:
     """K2: a JSON array, one element per line: ``[e1`` / ``,e2`` ... / ``]``; no rows -> ``[]``."""
-    return _in_order(*json_array_frame(df, order, columns), obs)
+    framed, names, value = json_array_frame(df, order, columns)
+    return _render_sorted(framed, names, value, obs)
 
 
 def ndjson_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -90,13 +97,14 @@ def listing_lines(
     df: DataFrame, order: Sequence[Column], max_rows: int, columns: list[str] | None = None, obs: Observation | None = None
 ) -> DataFrame:
     """K5: ``"{i}. {json}"`` with i from 1 in report order; row ``max_rows + 1`` is an error."""
-    cols = columns or df.columns
-    with_line = df.select(*[c.alias(f"__o{i}") for i, c in enumerate(order)], json_line(df, cols).alias("__j"))
-    numbered = guard_row_cap(number_rows(with_line, [F.col(f"__o{i}") for i in range(len(order))]), max_rows)
+    cols = list(columns or df.columns)
+    keyed = df.select(*[c.alias(f"__o{i}") for i, c in enumerate(order)], *cols)
+    numbered = guard_row_cap(number_rows(keyed, [F.col(f"__o{i}") for i in range(len(order))]), max_rows)
     if obs is not None:
         numbered = numbered.observe(obs, F.count(F.lit(1)).alias("rows"))
-    # number_rows leaves the rows range-partitioned and sorted; the projection keeps that order.
-    return numbered.select(F.concat(F.col("rn").cast("string"), F.lit(". "), F.col("__j")).alias("value"))
+    # number_rows leaves the rows range-partitioned and sorted; rendering after it keeps that order.
+    line = json_line(numbered, cols)
+    return numbered.select(F.concat(F.col("rn").cast("string"), F.lit(". "), line).alias("value"))
 
 
 def snapshot_bytes(lines: DataFrame) -> Column:

@@ -77,3 +77,11 @@ def test_normalize_nested_dates(spark):
 def test_iso_truncates_micros(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 7, 179575),)], "ts timestamp_ntz")
     assert normalize(df).first().ts == "2024-01-01T00:00:07.179Z"
+
+
+def test_number_text_more_magnitudes(spark):
+    vals = [1.2345678901234567e-6, 0.001, 0.00099, 1e7, 12345678.25, 9007199254740993.0, 1e20, 123e-20, -1e-7]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r.t for r in df.select(number_text(F.col("x"), T.DoubleType()).alias("t")).collect()]
+    assert got == ["0.0000012345678901234567", "0.001", "0.00099", "10000000", "12345678.25", "9007199254740992",
+                   "100000000000000000000", "1.23e-18", "-1e-7"]
