@@ -37,7 +37,7 @@ from ..spec import (
     DEFAULT_SNAPSHOT_MAX_BYTES,
     ReportSpec,
 )
-from .report import plan_report
+from .report import plan_report, raw_order
 from .stats import RunStats
 
 
@@ -134,9 +134,7 @@ def export(
             snap = f"{checkpoint_dir(spark).rstrip('/')}/snapshots/{spec.report_id}-{uuid.uuid4().hex}"
             schema, _size = write_snapshot(rows, snap, snapshot_max_bytes)
             snap_rows = read_snapshot(spark, snap, schema)
-            snap_order = (
-                [group_order_key(spec.reduce)] if plan.mode == "reduce" else [F.col(plan.source.id_col)]
-            )
+            snap_order = [group_order_key(spec.reduce)] if plan.mode == "reduce" else raw_order(snap_rows, plan.source)
             n = snap_rows.count()
             stats.rows_out = n
             if plan.mode == "raw":

@@ -33,6 +33,14 @@ class ReportPlan:
         return self.rows.sort(*self.order)
 
 
+def raw_order(df: DataFrame, source: Source) -> list[Column]:
+    """O1: id order; with repeating ids a hash of the whole row breaks ties."""
+    order = [F.col(source.id_col)]
+    if not source.unique_id:
+        order.append(F.xxhash64(*[F.col(c) for c in df.columns]))
+    return order
+
+
 def scope(df: DataFrame, source: Source, spec: ReportSpec) -> DataFrame:
     """S2 + F1: tenant AND every filter, one predicate for the Parquet scan."""
     cond = equality_filter(df, spec.filters, forbid=(source.tenant_col,))
@@ -44,8 +52,7 @@ def plan_report(spark: SparkSession, spec: ReportSpec, registry: SourceRegistry)
     source, df = registry.load(spark, spec.source)
     scoped = scope(df, source, spec)
     if spec.reduce is None:
-        order = [F.col(source.id_col)]
-        return ReportPlan(spec, source, scoped, scoped, order, "raw")
+        return ReportPlan(spec, source, scoped, scoped, raw_order(scoped, source), "raw")
     reduced = reduce_frame(scoped, spec.reduce, id_col=source.id_col)
     rows = report_view(reduced, spec.reduce)
     return ReportPlan(spec, source, scoped, rows, [group_order_key(spec.reduce)], "reduce", reduced)

@@ -20,7 +20,11 @@ DEFAULT_SOURCE = "reportSource"
 
 @dataclass(frozen=True)
 class Source:
-    """A named table.  ``id_kind`` is ``bigint`` or ``hex`` (24 lowercase hex digits)."""
+    """A named table.  ``id_kind`` is ``bigint`` or ``hex`` (24 lowercase hex digits).
+
+    ``unique_id=False`` declares that ids repeat; raw reports then add a row hash as a
+    tiebreaker, so a hot id value is still split over many sort partitions and the order of
+    tied rows is the same on every (re)computation."""
 
     name: str
     path: str
@@ -28,6 +32,7 @@ class Source:
     tenant_col: str
     format: str = "parquet"
     id_kind: str = "bigint"
+    unique_id: bool = True
 
     def load(self, spark: SparkSession) -> DataFrame:
         if self.format == "table":
@@ -75,7 +80,11 @@ def testdata_registry(sf_dir: str, allowed: Iterable[str] | None = None) -> Sour
         "customer": ("c_custkey", "c_mktsegment"),
         "conversations": ("conv_id", "role"),
     }
-    sources = [Source(name, f"{sf_dir}/{name}.parquet", id_col, tenant) for name, (id_col, tenant) in roles.items()]
+    repeating = {"lineitem", "conversations"}  # ids that repeat across rows
+    sources = [
+        Source(name, f"{sf_dir}/{name}.parquet", id_col, tenant, unique_id=name not in repeating)
+        for name, (id_col, tenant) in roles.items()
+    ]
     return SourceRegistry(sources, allowed=allowed, default="events")
 
 

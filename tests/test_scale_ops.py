@@ -77,3 +77,20 @@ def test_reduce_plan_is_partial_then_final(spark):
     text = plan_text(R.reduce(ev, FIVE_OPS), "simple")
     assert "partial_count" in text and "Exchange hashpartitioning(event_type" in text
     assert "ReadSchema: struct<event_type:string,value:double>" in text
+
+
+def test_hot_tied_id_spreads_over_sort_partitions(spark):
+    from tallyspark.plans.report import raw_order
+    from tallyspark.sources.registry import Source
+
+    # a third of the rows share one id value
+    df = spark.range(0, 30000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
+    src = Source("t", "-", "k", "tenant", unique_id=False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = df.sort(*raw_order(df, src)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in sizes) < 10000  # the hot id is split, not one task
+    assert sum(r["count"] for r in sizes) == 30000
