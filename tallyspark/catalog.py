@@ -21,13 +21,14 @@ from .operators import reduce as R
 from .operators.filters import equality_filter
 from .operators.ordering import number_rows
 from .operators.ranges import chunk_of, chunk_of_bigint, id_ranges, range_predicate, ranges_frame, read_bounds
-from .plans.batch import reduce_all_tenants, retained, run_specs, specs_frame
+from .plans.batch import all_tenant_lines, reduce_all_tenants, retained, run_specs, specs_frame, write_all_tenants
 from .plans.export import export
 from .plans.report import plan_report, run
 from .plans.stats import stats_frame
 from .session import checkpoint_dir
 from .sinks.text import csv_frame, json_array_frame, listing_lines, ndjson_lines, snapshot_bytes
 from .sources.registry import bounded, high_water_id, testdata_registry
+from .sinks.manifest import part_files
 from .sinks.readback import entry_rows
 from .sinks.workbook import workbooks
 from .sources.seed import seed_from
@@ -254,14 +255,15 @@ def reduce_all_tenants_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "run_stats",
     """
-with b as (select min(event_id) as lo, max(event_id) as hi, count(*) as rows_in,
-                  count(distinct event_type) as rows_out from events where user_id = 8),
+with b as (select min(o_orderkey) as lo, max(o_orderkey) as hi, count(*) as rows_in,
+                  count(distinct o_orderstatus) as rows_out from orders where o_orderpriority = '1-URGENT'),
 s as (select *, hi - lo + 1 as span, (hi - lo + 1 + 31) // 32 as size from b)
 select rows_in, rows_out, cast((span + size - 1) // size as bigint) as chunks from s
 """,
 )
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = ReportSpec(tenant=8, source="events", reduce=FIVE_OPS)
+    spec = ReportSpec(tenant="1-URGENT", source="orders", reduce=ReduceSpec(
+        group_by=("o_orderstatus",), metrics=(Metric("count", "n"), Metric("sum", "total", "o_totalprice"))))
     return stats_frame(plan_report(spark, spec, testdata_registry(sf_dir)))
 
 
@@ -279,10 +281,13 @@ def raw_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hwm_scan",
-    "select * from events where user_id = 8 and event_id <= (select max(event_id) from events where user_id = 8)",
+    """
+select * from orders where o_orderpriority = '1-URGENT'
+  and o_orderkey <= (select max(o_orderkey) from orders where o_orderpriority = '1-URGENT')
+""",
 )
 def hwm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = plan_report(spark, ReportSpec(tenant=8, source="events"), testdata_registry(sf_dir))
+    plan = plan_report(spark, ReportSpec(tenant="1-URGENT", source="orders"), testdata_registry(sf_dir))
     hwm = high_water_id(plan.scoped, plan.source)
     return bounded(plan.scoped, plan.source, hwm)
 
@@ -603,13 +608,13 @@ def fanout_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fanout_multipass",
     """
-select 'report.csv' as entry, count(*) as n_rows from events where user_id = 8
-union all select 'report.json', count(*) from events where user_id = 8
-union all select 'report.xlsx', count(*) from events where user_id = 8
+select 'report.csv' as entry, count(*) as n_rows from orders where o_orderpriority = '1-URGENT'
+union all select 'report.json', count(*) from orders where o_orderpriority = '1-URGENT'
+union all select 'report.xlsx', count(*) from orders where o_orderpriority = '1-URGENT'
 """,
 )
 def fanout_multipass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = ReportSpec(tenant=8, source="events", format="zip", include_formats=("csv", "json", "xlsx"),
+    spec = ReportSpec(tenant="1-URGENT", source="orders", format="zip", include_formats=("csv", "json", "xlsx"),
                       report_id=f"multipass-{uuid.uuid4().hex[:8]}")
     result = export(spark, spec, testdata_registry(sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/reports", multipass=True)
     return _export_counts(spark, result)
@@ -713,3 +718,54 @@ def batch_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = run_specs(money(table(spark, sf_dir, "events"), "value"), specs, SAVED_SPECS_NOW,
                     tenant_col="user_id", status_col="event_type", spec=spec)
     return as_double(out, "total")
+
+
+# ------------------------------------------------------------------ one-pass exports and manifests
+
+EVENT_CSV_SQL = (
+    "concat_ws(',', cast(event_id as varchar), " + ISO_SQL.format(c="ts") + ", " + CSV_ESC.format(c="event_type")
+    + ", regexp_replace(cast(value as varchar), '\\.0$', ''), " + CSV_ESC.format(c="props") + ")"
+)
+
+
+@query(
+    "all_tenant_csv",
+    f"""
+select user_id, count(*) as n_rows,
+       cast(sum(octet_length(encode({EVENT_CSV_SQL})) + 1) + {len('event_id,ts,event_type,value,props') + 1} as bigint) as bytes
+from events group by user_id
+""",
+)
+def all_tenant_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenant's raw CSV in one sorted pass, one folder per tenant; read back per tenant."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/reports/all-tenants-{uuid.uuid4().hex[:8]}"
+    lines = all_tenant_lines(table(spark, sf_dir, "events"), "user_id", [F.col("event_id")], "csv")
+    write_all_tenants(lines, "user_id", path)
+    back = spark.read.text(path)
+    return back.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(
+        (F.count(F.lit(1)) - F.lit(1)).alias("n_rows"), F.sum(F.octet_length("value") + F.lit(1)).cast("long").alias("bytes"))
+
+
+ORDER_CSV_SQL = (
+    "concat_ws(',', cast(o_orderkey as varchar), cast(o_custkey as varchar), " + CSV_ESC.format(c="o_orderstatus")
+    + ", regexp_replace(cast(o_totalprice as varchar), '\\.0$', ''), " + ISO_SQL.format(c="o_orderdate")
+    + ", " + CSV_ESC.format(c="o_orderpriority") + ")"
+)
+
+
+@query(
+    "manifest_sizes",
+    f"""
+select count(*) as n_rows,
+       cast(sum(octet_length(encode({ORDER_CSV_SQL})) + 1)
+            + {len('o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority') + 1} as bigint) as bytes
+from orders where o_orderpriority = '2-HIGH'
+""",
+)
+def manifest_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9 + K11: export one tenant's CSV, then size its part files from the manifest."""
+    spec = ReportSpec(tenant="2-HIGH", source="orders", report_id=f"manifest-{uuid.uuid4().hex[:8]}")
+    result = export(spark, spec, testdata_registry(sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/reports")
+    files = part_files(spark, result.artifact.key)
+    rows = entry_rows(spark, result.artifact.key, "csv")
+    return rows.join(files.agg(F.sum("length").cast("long").alias("bytes")))

@@ -84,3 +84,40 @@ def specs_frame(spark, rows: Sequence[tuple]) -> DataFrame:
     """Helper for a small saved-spec table ``spec_id, tenant, status, enabled, next_run_at``."""
     schema = "spec_id int, tenant bigint, status string, enabled boolean, next_run_at timestamp_ntz"
     return spark.createDataFrame(list(rows), schema)
+
+
+def all_tenant_lines(df: DataFrame, tenant_col: str, order: Sequence, fmt: str = "csv", columns: Sequence[str] | None = None) -> DataFrame:
+    """L2 for raw reports: every tenant's CSV (or JSON array) in one sorted frame.
+
+    One global sort on ``(tenant, line kind, order)``: a tenant holding a third of all rows
+    spans many sort partitions, and a write with ``partitionBy(tenant)`` needs no further
+    sort, so each tenant folder's part files, in name order, hold that tenant's report.
+    Header rows come from the distinct tenants (an aggregate, one row per tenant)."""
+    from ..functions.render import csv_header, csv_line, json_line
+
+    cols = list(columns or [c for c in df.columns if c != tenant_col])
+    names = [f"__o{i}" for i in range(len(order))]
+    keyed = df.select(F.col(tenant_col), F.lit(1).alias("__k"), *[c.alias(n) for c, n in zip(order, names)],
+                      *[F.col(c).alias(f"__c_{c}") for c in cols])
+    tenants = df.select(tenant_col).distinct()
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema.fields[2:]]
+    data = keyed.select(tenant_col, "__k", *names, *[F.col(f"__c_{c}").alias(c) for c in cols])
+    if fmt == "csv":
+        framed = tenants.select(tenant_col, F.lit(0).alias("__k"), *nulls).toDF(*data.columns).unionByName(data)
+        value = F.when(F.col("__k") == 0, F.lit(csv_header(cols))).otherwise(csv_line(data, cols))
+    elif fmt == "json":
+        firsts = data.groupBy(tenant_col).agg(F.min(F.struct(*names)).alias("__first"))
+        framed = data.unionByName(tenants.select(tenant_col, F.lit(2).alias("__k"), *nulls).toDF(*data.columns))
+        framed = framed.join(firsts, tenant_col, "left")
+        line = json_line(data, cols)
+        value = (F.when(F.col("__k") == 2, F.when(F.col("__first").isNull(), F.lit("[]")).otherwise(F.lit("]")))
+                 .when(F.struct(*names) == F.col("__first"), F.concat(F.lit("["), line))
+                 .otherwise(F.concat(F.lit(","), line)))
+    else:
+        raise ValueError(f"unsupported format for all-tenant lines: {fmt}")
+    return framed.sort(tenant_col, "__k", *names).select(tenant_col, value.alias("value"))
+
+
+def write_all_tenants(lines: DataFrame, tenant_col: str, path: str) -> None:
+    """L2 sink: ``<path>/<tenant_col>=<tenant>/part-*`` holds each tenant's report."""
+    lines.write.mode("overwrite").partitionBy(tenant_col).text(path)

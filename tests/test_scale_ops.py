@@ -94,3 +94,21 @@ def test_hot_tied_id_spreads_over_sort_partitions(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(r["count"] for r in sizes) < 10000  # the hot id is split, not one task
     assert sum(r["count"] for r in sizes) == 30000
+
+
+def test_all_tenant_reports_in_one_pass(spark, workdir):
+    import json
+
+    from conftest import read_parts
+    from tallyspark.plans.batch import all_tenant_lines, write_all_tenants
+
+    # tenant "hot" holds a third of the rows and spans several sort partitions
+    df = spark.range(0, 3000, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") % 7).cast("string"))).alias("tenant"),
+        F.col("id").alias("_id"), (F.col("id") % 5).alias("v"))
+    write_all_tenants(all_tenant_lines(df, "tenant", [F.col("_id")], "csv"), "tenant", f"{workdir}/csv")
+    hot = read_parts(f"{workdir}/csv/tenant=hot").decode().splitlines()
+    assert hot[0] == "_id,v" and [int(l.split(",")[0]) for l in hot[1:]] == list(range(0, 3000, 3))
+    write_all_tenants(all_tenant_lines(df, "tenant", [F.col("_id")], "json"), "tenant", f"{workdir}/json")
+    t1 = json.loads(read_parts(f"{workdir}/json/tenant=t1"))
+    assert [d["_id"] for d in t1] == [i for i in range(3000) if i % 3 and i % 7 == 1]
