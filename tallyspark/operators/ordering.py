@@ -6,9 +6,12 @@ partitions, each partition counts its rows, a running sum over those per-partiti
 (one row per partition -- its size is bounded by the partition count, not the data) gives
 each partition its offset, and every row adds its position inside its partition.
 
-The sort keys should identify a row (the id column is appended as a tiebreaker by callers);
-then the sort, the partition boundaries and the numbering are deterministic, so a task
-recomputed after an executor loss produces the same numbers.
+Both sides -- the per-partition counts and the rows -- must see the same partitions.  Left
+to the planner they would not: column pruning gives the count side its own, narrower sort
+exchange, and adaptive execution may coalesce the two shuffles differently.  So the sorted
+rows, with their partition-position ids, are checkpointed once to the shared checkpoint
+folder (``spark.checkpoint.dir``) and both sides read those files; that also cuts lineage, so
+a lost executor cannot renumber anything.
 """
 
 from __future__ import annotations
@@ -36,10 +39,18 @@ def id_bounds(df: DataFrame, id_col: str) -> DataFrame:
     return df.agg(F.min(id_col).alias("min_id"), F.max(id_col).alias("max_id"))
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Reliable, eager checkpoint into the session's shared checkpoint folder."""
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "rn") -> DataFrame:
     """Add a 1-based ``name`` column numbering rows in ``order``, fully distributed."""
     mid = "__mid"
-    sorted_df = df.sort(*order).withColumn(mid, F.monotonically_increasing_id())
+    sorted_df = _materialize(df.sort(*order).withColumn(mid, F.monotonically_increasing_id()))
     part = F.shiftright(F.col(mid), _POS_BITS)
     pos = F.col(mid).bitwiseAND(F.lit(_POS_MASK))
     counts = (
@@ -88,7 +99,7 @@ def number_rows_within(
         or spark.conf.get("spark.sql.shuffle.partitions")
     )
     mid = "__mid"
-    sorted_df = df.sort(*groups, *order).withColumn(mid, F.monotonically_increasing_id())
+    sorted_df = _materialize(df.sort(*groups, *order).withColumn(mid, F.monotonically_increasing_id()))
     part = F.shiftright(F.col(mid), _POS_BITS).alias("__part")
     firsts = (
         sorted_df.groupBy(part, *groups)

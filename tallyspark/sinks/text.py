@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.render import csv_header, csv_line, json_line, utf8_bytes
-from ..operators.ordering import guard_row_cap, number_rows
+from ..operators.ordering import RowCapExceeded, guard_row_cap, number_rows
 
 
 class SnapshotTooLarge(RuntimeError):
@@ -96,7 +96,13 @@ def ndjson_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def listing_lines(
     df: DataFrame, order: Sequence[Column], max_rows: int, columns: list[str] | None = None, obs: Observation | None = None
 ) -> DataFrame:
-    """K5: ``"{i}. {json}"`` with i from 1 in report order; row ``max_rows + 1`` is an error."""
+    """K5: ``"{i}. {json}"`` with i from 1 in report order; row ``max_rows + 1`` is an error.
+
+    The cap is checked first with ``limit(max_rows + 1)`` (tasks stop reading once enough
+    rows are found), so an oversized report fails before anything is sorted or stored; the
+    in-job guard stays as a second line."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise RowCapExceeded(f"PDF row limit exceeded. max={max_rows}, received>{max_rows}")
     cols = list(columns or df.columns)
     keyed = df.select(*[c.alias(f"__o{i}") for i, c in enumerate(order)], *cols)
     numbered = guard_row_cap(number_rows(keyed, [F.col(f"__o{i}") for i in range(len(order))]), max_rows)
