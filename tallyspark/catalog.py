@@ -464,7 +464,7 @@ def snapshot_bytes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/snapshots/roundtrip-{uuid.uuid4().hex}"
-    schema, _ = write_snapshot(table(spark, sf_dir, "events"), path)
+    schema, _, _ = write_snapshot(table(spark, sf_dir, "events"), path)
     return read_snapshot(spark, path, schema)
 
 

@@ -132,10 +132,9 @@ def export(
         else:
             stats.zip_strategy = "snapshot"
             snap = f"{checkpoint_dir(spark).rstrip('/')}/snapshots/{spec.report_id}-{uuid.uuid4().hex}"
-            schema, _size = write_snapshot(rows, snap, snapshot_max_bytes)
+            schema, _size, n = write_snapshot(rows, snap, snapshot_max_bytes)
             snap_rows = read_snapshot(spark, snap, schema)
             snap_order = [group_order_key(spec.reduce)] if plan.mode == "reduce" else raw_order(snap_rows, plan.source)
-            n = snap_rows.count()
             stats.rows_out = n
             if plan.mode == "raw":
                 stats.rows_in = n

@@ -118,12 +118,13 @@ def snapshot_bytes(lines: DataFrame) -> Column:
     return F.coalesce(F.sum(utf8_bytes(F.col("value")) + F.lit(1)), F.lit(0)).cast("long")
 
 
-def check_snapshot_size(lines: DataFrame, max_bytes: int) -> int:
-    """K3: fail before writing when the snapshot would pass ``max_bytes``."""
-    total = lines.agg(snapshot_bytes(lines).alias("b")).first()["b"]
-    if total > max_bytes:
+def check_snapshot_size(lines: DataFrame, max_bytes: int) -> tuple[int, int]:
+    """K3: fail before writing when the snapshot would pass ``max_bytes``; returns
+    ``(bytes, rows)`` from the same aggregate."""
+    r = lines.agg(snapshot_bytes(lines).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if r["b"] > max_bytes:
         raise SnapshotTooLarge(f"Temporary snapshot size exceeded REPORT_TMP_MAX_BYTES ({max_bytes} bytes)")
-    return total
+    return int(r["b"]), int(r["n"])
 
 
 def write_lines(lines: DataFrame, path: str, compression: str = "none") -> str:

@@ -14,18 +14,17 @@ from ..sinks.text import check_snapshot_size, ndjson_lines, write_lines
 from ..spec import DEFAULT_SNAPSHOT_MAX_BYTES
 
 
-def write_snapshot(df: DataFrame, path: str, max_bytes: int = DEFAULT_SNAPSHOT_MAX_BYTES) -> tuple[T.StructType, int]:
+def write_snapshot(df: DataFrame, path: str, max_bytes: int = DEFAULT_SNAPSHOT_MAX_BYTES) -> tuple[T.StructType, int, int]:
     """K3: normalise (dates -> ISO text), check the byte cap, write NDJSON.
 
-    Returns the normalised schema (to read the snapshot back) and its size in bytes."""
-    rows = normalize(df).persist()
-    try:
-        lines = ndjson_lines(rows)
-        size = check_snapshot_size(lines, max_bytes)
-        write_lines(lines, path)
-        return rows.schema, size
-    finally:
-        rows.unpersist()
+    Returns the normalised schema (to read the snapshot back), its size in bytes and its
+    row count.  The check is a plain aggregate that stores nothing, so an input far over the
+    cap fails without being cached or written; only a passing snapshot is rendered again."""
+    rows = normalize(df)
+    lines = ndjson_lines(rows)
+    size, n = check_snapshot_size(lines, max_bytes)
+    write_lines(lines, path)
+    return rows.schema, size, n
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

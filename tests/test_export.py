@@ -116,3 +116,18 @@ def test_stats_frame(spark, registry):
     # hex ids: the lazy frame covers BIGINT ids only; rows in/out still hold
     r = stats_frame(plan.__class__(plan.spec, plan.source, plan.scoped, plan.rows, plan.order, "raw")).first()
     assert (r.rows_in, r.rows_out) == (3, 3)
+
+
+def test_cli_runs_a_request(spark, workdir):
+    from tallyspark.cli import main, parse_source
+
+    src = parse_source("orders=/data/o:_id:tenantId:hex")
+    assert (src.name, src.path, src.id_col, src.tenant_col, src.id_kind) == ("orders", "/data/o", "_id", "tenantId", "hex")
+    spark.createDataFrame([(1, "t1", "paid", 5.0), (2, "t1", "paid", 7.0)], "id long, tenant string, status string, amount double") \
+        .write.parquet(f"{workdir}/cli_src")
+    req = {"reportDefinitionId": "r1", "format": "json",
+           "reduceSpec": {"groupBy": ["status"], "metrics": [{"op": "sum", "field": "amount", "as": "total"}]}}
+    Path(f"{workdir}/req.json").write_text(json.dumps(req))
+    assert main(["--request", f"{workdir}/req.json", "--tenant", "t1", "--source", f"src={workdir}/cli_src:id:tenant",
+                 "--out", f"{workdir}/cli_out"]) == 0
+    assert json.loads(read_parts(f"{workdir}/cli_out/t1/r1/report.json")) == [{"status": "paid", "total": 12}]

@@ -56,7 +56,8 @@ def test_snapshot_cap_and_roundtrip(spark, workdir):
     with pytest.raises(SnapshotTooLarge, match=r"\(10 bytes\)"):
         check_snapshot_size(ndjson_lines(small), 10)
     df = spark.createDataFrame([(1, "a", 2.5), (2, None, 300.0)], "id long, s string, v double")
-    schema, size = write_snapshot(df, f"{workdir}/snap")
+    schema, size, n = write_snapshot(df, f"{workdir}/snap")
+    assert n == 2
     assert size == len('{"id":1,"s":"a","v":2.5}\n') + len('{"id":2,"s":null,"v":300}\n')
     back = sorted(tuple(r) for r in read_snapshot(spark, f"{workdir}/snap", schema).collect())
     assert back == [(1, "a", 2.5), (2, None, 300.0)]
