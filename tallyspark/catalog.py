@@ -768,4 +768,4 @@ def manifest_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = export(spark, spec, testdata_registry(sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/reports")
     files = part_files(spark, result.artifact.key)
     rows = entry_rows(spark, result.artifact.key, "csv")
-    return rows.join(files.agg(F.sum("length").cast("long").alias("bytes")))
+    return rows.select("n_rows", files.agg(F.sum("length").cast("long")).scalar().alias("bytes"))
