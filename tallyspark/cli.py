@@ -1,6 +1,6 @@
 """Command line: run one report request (the reference's JSON request shape) as a Spark job.
 
-    spark-submit -m tallyspark.cli --request req.json --tenant acme \\
+    python -m tallyspark.cli --request req.json --tenant acme \\
         --source orders=s3a://bucket/orders:_id:tenantId:hex --out s3a://bucket/reports
 
 ``--source`` is ``name=path:id_col:tenant_col[:id_kind]`` and may repeat; the first is the

@@ -49,3 +49,10 @@ def test_ranges_frame_matches_python(spark):
     assert got == build_ranges(3, 999, 32)
     single = [(r.chunk, r.start_id, r.end_id) for r in ranges_frame(df, "id", 1).collect()]
     assert single == [(0, 3, None)]
+
+
+def test_number_rows_within_without_broadcast(spark):
+    df = spark.range(0, 5000, numPartitions=5).select((F.col("id") % 4).alias("g"), "id")
+    got = number_rows_within(df, ["g"], [F.col("id")], broadcast_max_rows=0).select("g", "id", "rn")
+    want = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("rn"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 5000

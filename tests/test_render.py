@@ -85,3 +85,8 @@ def test_number_text_more_magnitudes(spark):
     got = [r.t for r in df.select(number_text(F.col("x"), T.DoubleType()).alias("t")).collect()]
     assert got == ["0.0000012345678901234567", "0.001", "0.00099", "10000000", "12345678.25", "9007199254740992",
                    "100000000000000000000", "1.23e-18", "-1e-7"]
+
+
+def test_csv_leaves_carriage_return_hash_and_blanks_unquoted(spark):
+    df = spark.createDataFrame([("#tag",), (" lead",), ("",), ("a\rb",), (None,)], "s string")
+    assert [r.v for r in df.select(csv_line(df).alias("v")).collect()] == ["#tag", " lead", "", "a\rb", ""]
