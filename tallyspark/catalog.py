@@ -372,8 +372,8 @@ def normalize_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "normalize_nested",
     f"""
-select event_id, to_json({{'at': {ISO_SQL.format(c='ts')},
-                          'list': [{ISO_SQL.format(c='ts')}, {ISO_SQL.format(c="(ts + interval 1 hour)")}]}}) as nested
+select event_id, cast(to_json({{'at': {ISO_SQL.format(c='ts')},
+                          'list': [{ISO_SQL.format(c='ts')}, {ISO_SQL.format(c="(ts + interval 1 hour)")}]}}) as varchar) as nested
 from events
 """,
 )
@@ -474,7 +474,7 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", sha256_hex(F.col("text")).alias("digest"), utf8_bytes(F.col("text")).alias("bytes"))
+    return docs.select("doc_id", sha256_hex(F.col("text")).alias("digest"), utf8_bytes(F.col("text")).cast("long").alias("bytes"))
 
 
 # ------------------------------------------------------------------ ranges and partials
