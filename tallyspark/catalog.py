@@ -26,14 +26,14 @@ from .plans.export import export
 from .plans.report import plan_report, run
 from .plans.stats import stats_frame
 from .session import checkpoint_dir
-from .sinks.text import csv_frame, json_array_frame, listing_lines, ndjson_lines, snapshot_bytes
+from .sinks.text import csv_frame, json_array_frame, listing_lines, ndjson_lines, report_path, snapshot_bytes
 from .sources.registry import bounded, high_water_id, testdata_registry
 from .sinks.manifest import part_files
 from .sinks.readback import entry_rows
 from .sinks.workbook import workbooks
 from .sources.seed import seed_from
 from .sources.snapshot import read_snapshot, write_snapshot
-from .streaming.incremental import reduce_stream_once
+from .streaming.incremental import reduce_stream_once, start_report_stream
 from .spec import DEFAULT_LISTING_MAX_ROWS, DEFAULT_MAX_GROUPS, Metric, ReduceSpec, ReportSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -769,3 +769,21 @@ def manifest_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_files(spark, result.artifact.key)
     rows = entry_rows(spark, result.artifact.key, "csv")
     return rows.select("n_rows", files.agg(F.sum("length").cast("long")).scalar().alias("bytes"))
+
+
+@query(
+    "report_stream",
+    r"""
+select 'event_type,n,max_value' as value
+union all
+select event_type || ',' || count(*) || ',' || regexp_replace(cast(max(value) as varchar), '\.0$', '')
+from events where user_id = 8 group by event_type
+""",
+)
+def report_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 + K1: a streaming reduce of one tenant, rendered to its CSV report per trigger."""
+    spec = ReportSpec(tenant=8, source="events", report_id=f"stream-{uuid.uuid4().hex[:8]}", reduce=ReduceSpec(
+        group_by=("event_type",), metrics=(Metric("count", "n"), Metric("max", "max_value", "value"))))
+    base = f"{checkpoint_dir(spark).rstrip('/')}/reports"
+    start_report_stream(spark, spec, testdata_registry(sf_dir), base).awaitTermination()
+    return spark.read.text(report_path(base, spec.tenant, spec.report_id, "report.csv"))

@@ -80,3 +80,46 @@ def reduce_stream_once(
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     return spark.read.parquet(f"{base}/table")
+
+
+def start_report_stream(
+    spark: SparkSession,
+    spec,
+    registry,
+    base: str,
+    *,
+    checkpoint: str | None = None,
+    available_now: bool = True,
+    processing_time: str | None = None,
+    max_files: int | None = None,
+) -> StreamingQuery:
+    """T1 end to end: a reduce report over a growing source folder, re-rendered on each
+    trigger to ``<base>/<tenant>/<report_id>/report.<ext>`` (csv, json or pdf listing).
+
+    The tenant and filter scope is applied to the stream before the aggregate, so state holds
+    only that tenant's groups; every micro-batch overwrites the report with the full, ordered
+    result (complete mode), so readers always find a whole report."""
+    from ..operators.filters import equality_filter
+    from ..operators.reduce import group_order_key
+    from ..sinks.text import csv_lines, json_array_lines, listing_lines, report_path, write_lines
+    from ..sources.registry import scan_tenant
+
+    if spec.reduce is None or spec.format not in ("csv", "json", "pdf"):
+        raise ValueError("a report stream needs a reduce spec and a csv, json or pdf format")
+    source = registry.resolve(spec.source)
+    schema = source.load(spark).schema
+    stream = stream_source(spark, source.path, schema, source.format, max_files)
+    scoped = scan_tenant(stream, source, spec.tenant, equality_filter(stream, spec.filters, forbid=(source.tenant_col,)))
+    result = report_view(reduce_frame(scoped, spec.reduce), spec.reduce)
+    target = report_path(base, spec.tenant, spec.report_id, spec.entries[0])
+    order = [group_order_key(spec.reduce)]
+    render = {"csv": lambda b: csv_lines(b, order), "json": lambda b: json_array_lines(b, order),
+              "pdf": lambda b: listing_lines(b, order, 10_000)}[spec.format]
+
+    def publish(batch: DataFrame, _epoch: int) -> None:
+        write_lines(render(batch), target, spec.compression)
+
+    ckpt = checkpoint or (checkpoint_dir(spark).rstrip("/") + f"/report-stream-{spec.report_id}-{uuid.uuid4().hex}")
+    writer = result.writeStream.outputMode("complete").option("checkpointLocation", ckpt).foreachBatch(publish)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time or "1 minute")
+    return writer.start()

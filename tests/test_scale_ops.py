@@ -112,3 +112,25 @@ def test_all_tenant_reports_in_one_pass(spark, workdir):
     write_all_tenants(all_tenant_lines(df, "tenant", [F.col("_id")], "json"), "tenant", f"{workdir}/json")
     t1 = json.loads(read_parts(f"{workdir}/json/tenant=t1"))
     assert [d["_id"] for d in t1] == [i for i in range(3000) if i % 3 and i % 7 == 1]
+
+
+def test_report_stream_keeps_csv_current(spark, workdir):
+    from conftest import read_parts
+    from tallyspark.sources.registry import Source, SourceRegistry
+    from tallyspark.spec import ReportSpec
+    from tallyspark.streaming.incremental import start_report_stream
+
+    src = f"{workdir}/rows"
+    mk = lambda lo, hi: spark.range(lo, hi).select(
+        F.col("id").alias("_id"), F.when(F.col("id") % 2 == 0, "t1").otherwise("t2").alias("tenant"),
+        F.when(F.col("id") % 3 == 0, "paid").otherwise("open").alias("status"), F.lit(2).cast("long").alias("amount"))
+    mk(0, 60).write.mode("append").parquet(src)
+    reg = SourceRegistry([Source("rows", src, "_id", "tenant")])
+    spec = ReportSpec(tenant="t1", source="rows", report_id="live", reduce=ReduceSpec(
+        group_by=("status",), metrics=(Metric("count", "n"), Metric("sum", "total", "amount"))))
+    ckpt = f"{workdir}/ckpt"
+    start_report_stream(spark, spec, reg, f"{workdir}/out", checkpoint=ckpt).awaitTermination()
+    assert read_parts(f"{workdir}/out/t1/live/report.csv").decode() == "status,n,total\nopen,20,40\npaid,10,20\n"
+    mk(60, 120).write.mode("append").parquet(src)
+    start_report_stream(spark, spec, reg, f"{workdir}/out", checkpoint=ckpt).awaitTermination()
+    assert read_parts(f"{workdir}/out/t1/live/report.csv").decode() == "status,n,total\nopen,40,80\npaid,20,40\n"
