@@ -20,6 +20,11 @@ ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 CSV_SPECIALS = '[,"\n]'
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def qcol(name: str) -> Column:
+    """A column by its exact name (dots, spaces and backticks in source names stay literal)."""
+    return F.col("`" + name.replace("`", "``") + "`")
 FRACTIONAL = (T.FloatType, T.DoubleType)
 TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -119,7 +124,7 @@ def json_object(fields: list[tuple[str, Column, T.DataType]]) -> Column:
 def json_line(df: DataFrame, columns: list[str] | None = None) -> Column:
     """``JSON.stringify(row)`` -- compact, nulls kept, column order kept."""
     cols = columns or df.columns
-    return json_object([(n, F.col(n), df.schema[n].dataType) for n in cols])
+    return json_object([(n, qcol(n), df.schema[n].dataType) for n in cols])
 
 
 def cell_text(c: Column, dtype: T.DataType) -> Column:
@@ -155,7 +160,7 @@ def csv_cell(c: Column, dtype: T.DataType) -> Column:
 def csv_line(df: DataFrame, columns: list[str] | None = None) -> Column:
     """One CSV record (without its line end)."""
     cols = columns or df.columns
-    return F.concat_ws(",", *[csv_cell(F.col(n), df.schema[n].dataType) for n in cols])
+    return F.concat_ws(",", *[csv_cell(qcol(n), df.schema[n].dataType) for n in cols])
 
 
 def csv_header(columns: list[str]) -> str:
@@ -198,7 +203,7 @@ def _has_temporal(dtype: T.DataType) -> bool:
 
 def normalize(df: DataFrame) -> DataFrame:
     """P3 on a whole frame (column names and order kept)."""
-    return df.select(*[normalize_value(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.select(*[normalize_value(qcol(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def sha256_hex(c: Column) -> Column:

@@ -93,15 +93,15 @@ def all_tenant_lines(df: DataFrame, tenant_col: str, order: Sequence, fmt: str =
     spans many sort partitions, and a write with ``partitionBy(tenant)`` needs no further
     sort, so each tenant folder's part files, in name order, hold that tenant's report.
     Header rows come from the distinct tenants (an aggregate, one row per tenant)."""
-    from ..functions.render import csv_header, csv_line, json_line
+    from ..functions.render import csv_header, csv_line, json_line, qcol
 
     cols = list(columns or [c for c in df.columns if c != tenant_col])
     names = [f"__o{i}" for i in range(len(order))]
-    keyed = df.select(F.col(tenant_col), F.lit(1).alias("__k"), *[c.alias(n) for c, n in zip(order, names)],
-                      *[F.col(c).alias(f"__c_{c}") for c in cols])
+    keyed = df.select(qcol(tenant_col), F.lit(1).alias("__k"), *[c.alias(n) for c, n in zip(order, names)],
+                      *[qcol(c).alias(f"__c_{i}") for i, c in enumerate(cols)])
     tenants = df.select(tenant_col).distinct()
     nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema.fields[2:]]
-    data = keyed.select(tenant_col, "__k", *names, *[F.col(f"__c_{c}").alias(c) for c in cols])
+    data = keyed.select(qcol(tenant_col), "__k", *names, *[F.col(f"__c_{i}").alias(c) for i, c in enumerate(cols)])
     if fmt == "csv":
         framed = tenants.select(tenant_col, F.lit(0).alias("__k"), *nulls).toDF(*data.columns).unionByName(data)
         value = F.when(F.col("__k") == 0, F.lit(csv_header(cols))).otherwise(csv_line(data, cols))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.render import qcol
 from ..operators.filters import equality_filter
 from ..operators.reduce import group_order_key, reduce_frame, report_view
 from ..session import prepare
@@ -37,7 +38,7 @@ def raw_order(df: DataFrame, source: Source) -> list[Column]:
     """O1: id order; with repeating ids a hash of the whole row breaks ties."""
     order = [F.col(source.id_col)]
     if not source.unique_id:
-        order.append(F.xxhash64(*[F.col(c) for c in df.columns]))
+        order.append(F.xxhash64(*[qcol(c) for c in df.columns]))
     return order
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.render import csv_header, csv_line, json_line, utf8_bytes
+from ..functions.render import csv_header, csv_line, json_line, qcol, utf8_bytes
 from ..operators.ordering import RowCapExceeded, guard_row_cap, number_rows
 
 
@@ -25,7 +25,7 @@ class SnapshotTooLarge(RuntimeError):
 def _keyed(df: DataFrame, order: Sequence[Column], cols: list[str]) -> tuple[DataFrame, list[str]]:
     """Rows with a leading line kind ``__k`` (0 header, 1 data, 2 footer) and sort keys."""
     names = [f"__o{i}" for i in range(len(order))]
-    keyed = df.select(F.lit(1).alias("__k"), *[c.alias(n) for c, n in zip(order, names)], *cols)
+    keyed = df.select(F.lit(1).alias("__k"), *[c.alias(n) for c, n in zip(order, names)], *[qcol(c) for c in cols])
     return keyed, names
 
 
@@ -104,7 +104,7 @@ def listing_lines(
     if df.limit(max_rows + 1).count() > max_rows:
         raise RowCapExceeded(f"PDF row limit exceeded. max={max_rows}, received>{max_rows}")
     cols = list(columns or df.columns)
-    keyed = df.select(*[c.alias(f"__o{i}") for i, c in enumerate(order)], *cols)
+    keyed = df.select(*[c.alias(f"__o{i}") for i, c in enumerate(order)], *[qcol(c) for c in cols])
     numbered = guard_row_cap(number_rows(keyed, [F.col(f"__o{i}") for i in range(len(order))]), max_rows)
     if obs is not None:
         numbered = numbered.observe(obs, F.count(F.lit(1)).alias("rows"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.render import normalize
+from ..functions.render import normalize, qcol
 from ..operators.ordering import number_rows_within
 
 EXCEL_MAX_DATA_ROWS = 1_048_575
@@ -143,8 +143,11 @@ def workbooks(
         raise ValueError(f"part_rows must be in 1..{EXCEL_MAX_DATA_ROWS}")
     cols = list(columns or [c for c in df.columns if c not in group_cols])
     order_names = [f"__o{i}" for i in range(len(order))]
-    keyed = df.select(*group_cols, *[(F.col(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, order_names)], *cols)
-    view = normalize(keyed.select(*group_cols, *order_names, *[F.col(c).alias(f"__c_{c}") for c in cols]))
+    view = normalize(df.select(
+        *[qcol(g) for g in group_cols],
+        *[(qcol(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, order_names)],
+        *[qcol(c).alias(f"__c_{i}") for i, c in enumerate(cols)],
+    ))
     numbered = number_rows_within(view, list(group_cols), order_names, "__rn")
     with_part = numbered.withColumn("part", F.floor((F.col("__rn") - 1) / F.lit(part_rows)).cast("int"))
     group_fields = [df.schema[g] for g in group_cols]
@@ -153,7 +156,7 @@ def workbooks(
         + [T.StructField("part", T.IntegerType()), T.StructField("n_rows", T.LongType()),
            T.StructField("first_key", T.StringType()), T.StructField("content", T.BinaryType())]
     )
-    data_cols = [f"__c_{c}" for c in cols]
+    data_cols = [f"__c_{i}" for i in range(len(cols))]
 
     def render(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__rn")

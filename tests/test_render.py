@@ -90,3 +90,14 @@ def test_number_text_more_magnitudes(spark):
 def test_csv_leaves_carriage_return_hash_and_blanks_unquoted(spark):
     df = spark.createDataFrame([("#tag",), (" lead",), ("",), ("a\rb",), (None,)], "s string")
     assert [r.v for r in df.select(csv_line(df).alias("v")).collect()] == ["#tag", " lead", "", "a\rb", ""]
+
+
+def test_odd_column_names_render(spark, workdir):
+    from conftest import read_parts
+    from tallyspark.sinks.text import write_lines
+
+    df = spark.createDataFrame([(1, "x", 2.0)], "id long, `a.b` string, `with space` double")
+    lines = [r.value for r in csv_lines(df, [F.col("id")]).collect()]
+    assert lines == ["id,a.b,with space", "1,x,2"]
+    assert json.loads(df.select(json_line(df).alias("j")).first().j) == {"id": 1, "a.b": "x", "with space": 2}
+    assert normalize(df).columns == ["id", "a.b", "with space"]
