@@ -131,3 +131,11 @@ def test_cli_runs_a_request(spark, workdir):
     assert main(["--request", f"{workdir}/req.json", "--tenant", "t1", "--source", f"src={workdir}/cli_src:id:tenant",
                  "--out", f"{workdir}/cli_out"]) == 0
     assert json.loads(read_parts(f"{workdir}/cli_out/t1/r1/report.json")) == [{"status": "paid", "total": 12}]
+
+
+def test_raw_json_export(spark, registry, workdir):
+    res = export(spark, ReportSpec(tenant="t1", format="json", report_id="jj"), registry, f"{workdir}/out")
+    parsed = json.loads(read_parts(f"{workdir}/out/t1/jj/report.json"))
+    assert [d["status"] for d in parsed] == ["paid", "paid", "pending"]
+    assert parsed[0]["createdAt"] == "2024-01-01T00:00:00.000Z" and parsed[0]["amount"] == 100
+    assert (res.stats.rows_in, res.stats.rows_out) == (3, 3)

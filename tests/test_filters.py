@@ -115,3 +115,23 @@ def test_tenant_filter_pushed_to_parquet(spark):
 
     text = plan_text(plan.scoped)
     assert "EqualTo(user_id,8)" in text and "EqualTo(event_type,view)" in text
+
+
+def test_range_partials_scan_pushes_tenant_filters_and_range(spark):
+    from conftest import plan_text
+    from tallyspark.operators import reduce as R
+    from tallyspark.operators.ranges import id_ranges, range_predicate
+    from tallyspark.sources.registry import scan_tenant, testdata_registry
+    from tallyspark.spec import Metric, ReduceSpec
+
+    reg = testdata_registry("/root/testdata/sf0.001")
+    src, df = reg.load(spark, "events")
+    r = id_ranges(0, 999, 4)[1]
+    scoped = scan_tenant(df, src, 8, equality_filter(df, {"event_type": "view"}) & range_predicate(r, src.id_col))
+    parts = R.partials(scoped, ReduceSpec(group_by=("event_type",), metrics=(Metric("count", "n"),)))
+    text = plan_text(parts)
+    for piece in ("EqualTo(user_id,8)", "EqualTo(event_type,view)", f"GreaterThanOrEqual(event_id,{r.start})", f"LessThan(event_id,{r.end})"):
+        assert piece in text
+    expected = df.filter(f"user_id = 8 and event_type = 'view' and event_id >= {r.start} and event_id < {r.end}").count()
+    got = parts.collect()
+    assert sum(row.n for row in got) == expected
