@@ -3,7 +3,6 @@ import json
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import read_parts
 from tallyspark.plans.export import export

@@ -1,7 +1,6 @@
 import datetime as dt
 import json
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,9 +92,6 @@ def test_csv_leaves_carriage_return_hash_and_blanks_unquoted(spark):
 
 
 def test_odd_column_names_render(spark, workdir):
-    from conftest import read_parts
-    from tallyspark.sinks.text import write_lines
-
     df = spark.createDataFrame([(1, "x", 2.0)], "id long, `a.b` string, `with space` double")
     lines = [r.value for r in csv_lines(df, [F.col("id")]).collect()]
     assert lines == ["id,a.b,with space", "1,x,2"]
