@@ -138,3 +138,15 @@ def test_raw_json_export(spark, registry, workdir):
     assert [d["status"] for d in parsed] == ["paid", "paid", "pending"]
     assert parsed[0]["createdAt"] == "2024-01-01T00:00:00.000Z" and parsed[0]["amount"] == 100
     assert (res.stats.rows_in, res.stats.rows_out) == (3, 3)
+
+
+def test_reduce_json_and_listing_in_group_order(spark, registry, workdir):
+    spec = ReportSpec(tenant="t1", format="zip", include_formats=("json", "pdf", "xlsx"), report_id="rj",
+                      reduce=ReduceSpec(group_by=("region", "status"), metrics=(Metric("count", "n"), Metric("avg", "a", "amount"))))
+    res = export(spark, spec, registry, f"{workdir}/out")
+    parsed = json.loads(read_parts(f"{workdir}/out/t1/rj/report.zip/report.json"))
+    assert parsed == [{"region": "br", "status": "paid", "n": 2, "a": 150}, {"region": "us", "status": "pending", "n": 1, "a": 50}]
+    listing = read_parts(f"{workdir}/out/t1/rj/report.zip/report.pdf").decode().splitlines()
+    assert listing == ['1. {"region":"br","status":"paid","n":2,"a":150}', '2. {"region":"us","status":"pending","n":1,"a":50}']
+    assert (res.stats.rows_in, res.stats.rows_out, res.stats.zip_strategy) == (3, 2, "snapshot")
+    assert len(list(Path(f"{workdir}/out/t1/rj/report.zip/report.xlsx").glob("*.xlsx"))) == 1
