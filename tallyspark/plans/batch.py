@@ -121,3 +121,27 @@ def all_tenant_lines(df: DataFrame, tenant_col: str, order: Sequence, fmt: str =
 def write_all_tenants(lines: DataFrame, tenant_col: str, path: str) -> None:
     """L2 sink: ``<path>/<tenant_col>=<tenant>/part-*`` holds each tenant's report."""
     lines.write.mode("overwrite").partitionBy(tenant_col).text(path)
+
+
+def apply_retention(
+    df: DataFrame, ts_col: str, days: int, as_of: _dt.datetime, target: str,
+    partition_by: Sequence[str] = (), fmt: str = "parquet",
+) -> dict:
+    """L1 rewrite: write the rows still inside the retention window to ``target`` (a new
+    location -- a table is never overwritten while it is being read) and report what was
+    kept and dropped, counted in the same job by an ``Observation``."""
+    from pyspark.sql import Observation
+
+    bound = _bound(df, ts_col, days, as_of)
+    obs = Observation("retention")
+    measured = df.observe(
+        obs,
+        F.count(F.lit(1)).alias("rows_in"),
+        F.coalesce(F.sum(F.when(F.col(ts_col) > bound, 1)), F.lit(0)).alias("kept"),
+    )
+    writer = measured.filter(F.col(ts_col) > bound).write.mode("overwrite").format(fmt)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.save(target)
+    got = obs.get
+    return {"rows_in": int(got["rows_in"]), "kept": int(got["kept"]), "dropped": int(got["rows_in"] - got["kept"])}

@@ -134,3 +134,14 @@ def test_report_stream_keeps_csv_current(spark, workdir):
     mk(60, 120).write.mode("append").parquet(src)
     start_report_stream(spark, spec, reg, f"{workdir}/out", checkpoint=ckpt).awaitTermination()
     assert read_parts(f"{workdir}/out/t1/live/report.csv").decode() == "status,n,total\nopen,40,80\npaid,20,40\n"
+
+
+def test_retention_rewrite(spark, workdir):
+    from tallyspark.plans.batch import apply_retention
+
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    as_of = dt.datetime(2024, 1, 31)
+    out = apply_retention(ev, "ts", 20, as_of, f"{workdir}/kept", partition_by=("event_type",))
+    kept = spark.read.parquet(f"{workdir}/kept")
+    assert out["kept"] == kept.count() == retained(ev, "ts", 20, as_of).count()
+    assert out["rows_in"] == ev.count() and out["dropped"] == expired(ev, "ts", 20, as_of).count()
