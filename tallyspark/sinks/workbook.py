@@ -185,7 +185,11 @@ def write_workbook_files(books: DataFrame, path: str, group_cols: Sequence[str],
     def write(batches):
         import pyarrow.fs as pafs
 
-        fs, root = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+        uri = path if "://" in path else "file://" + path
+        for hadoop_scheme in ("s3a://", "s3n://"):  # Hadoop's S3 schemes are plain s3 to Arrow
+            if uri.startswith(hadoop_scheme):
+                uri = "s3://" + uri[len(hadoop_scheme):]
+        fs, root = pafs.FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
         for pdf in batches:
             out = []
