@@ -224,7 +224,7 @@ from events group by event_type
 def reduce_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = ReduceSpec(group_by=("event_type",), metrics=(Metric("count", "n"),))
     out = R.reduce(table(spark, sf_dir, "events"), spec)
-    return number_rows(out, [R.group_order_key(spec)])
+    return number_rows(out, [R.group_order_key(spec, schema=out.schema)])
 
 
 @query(

@@ -230,22 +230,29 @@ def merge_incremental(stored: DataFrame | None, new_partials: DataFrame, spec: R
 # ---------------------------------------------------------------- order and cap
 
 
-def group_order_key(spec: ReduceSpec, extra_keys: Sequence[str] = ()) -> Column:
+def group_order_key(spec: ReduceSpec, extra_keys: Sequence[str] = (), schema: T.StructType | None = None) -> Column:
     """O3: groups sort by their JSON text under a Unicode collation, as ``localeCompare``
-    orders it (``a A b B``, ``10`` before ``9``, a null key after strings)."""
+    orders it (``a A b B``, ``10`` before ``9``, ``10.5`` before ``10``, a null key after
+    strings).  The text is rendered exactly as the group's JSON would be (JavaScript number
+    text, ISO dates) when the key types are known; otherwise by ``to_json``."""
     keys = list(dict.fromkeys([*extra_keys, *spec.keys]))
     if not keys:
         return F.lit("")
-    text = F.to_json(
-        F.struct(*[F.col(k) for k in keys]),
-        {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
-         "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"},
-    )
+    if schema is not None:
+        from ..functions.render import json_object
+
+        text = json_object([(k, F.col(k), schema[k].dataType) for k in keys])
+    else:
+        text = F.to_json(
+            F.struct(*[F.col(k) for k in keys]),
+            {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+             "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"},
+        )
     return F.collate(text, "UNICODE")
 
 
 def ordered(reduced: DataFrame, spec: ReduceSpec, extra_keys: Sequence[str] = ()) -> DataFrame:
-    return reduced.orderBy(group_order_key(spec, extra_keys))
+    return reduced.orderBy(group_order_key(spec, extra_keys, reduced.schema))
 
 
 def enforce_group_cap(reduced: DataFrame, max_groups: int) -> DataFrame:

@@ -134,7 +134,7 @@ def export(
             snap = f"{checkpoint_dir(spark).rstrip('/')}/snapshots/{spec.report_id}-{uuid.uuid4().hex}"
             schema, _size, n = write_snapshot(rows, snap, snapshot_max_bytes)
             snap_rows = read_snapshot(spark, snap, schema)
-            snap_order = [group_order_key(spec.reduce)] if plan.mode == "reduce" else raw_order(snap_rows, plan.source)
+            snap_order = [group_order_key(spec.reduce, schema=snap_rows.schema)] if plan.mode == "reduce" else raw_order(snap_rows, plan.source)
             stats.rows_out = n
             if plan.mode == "raw":
                 stats.rows_in = n

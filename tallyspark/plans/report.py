@@ -56,7 +56,7 @@ def plan_report(spark: SparkSession, spec: ReportSpec, registry: SourceRegistry)
         return ReportPlan(spec, source, scoped, scoped, raw_order(scoped, source), "raw")
     reduced = reduce_frame(scoped, spec.reduce, id_col=source.id_col)
     rows = report_view(reduced, spec.reduce)
-    return ReportPlan(spec, source, scoped, rows, [group_order_key(spec.reduce)], "reduce", reduced)
+    return ReportPlan(spec, source, scoped, rows, [group_order_key(spec.reduce, schema=rows.schema)], "reduce", reduced)
 
 
 def run(spark: SparkSession, spec: ReportSpec, registry: SourceRegistry) -> DataFrame:

@@ -112,7 +112,7 @@ def start_report_stream(
     scoped = scan_tenant(stream, source, spec.tenant, equality_filter(stream, spec.filters, forbid=(source.tenant_col,)))
     result = report_view(reduce_frame(scoped, spec.reduce), spec.reduce)
     target = report_path(base, spec.tenant, spec.report_id, spec.entries[0])
-    order = [group_order_key(spec.reduce)]
+    order = [group_order_key(spec.reduce, schema=result.schema)]
     render = {"csv": lambda b: csv_lines(b, order), "json": lambda b: json_array_lines(b, order),
               "pdf": lambda b: listing_lines(b, order, 10_000)}[spec.format]
 

@@ -151,3 +151,10 @@ def test_group_order_like_locale_compare(spark):
     assert got == ["10", "9", "a", "A", "b", "B", None]
     numbered = number_rows(R.reduce(df, spec), [R.group_order_key(spec)])
     assert [r.k for r in numbered.orderBy("rn").collect()] == got
+
+
+def test_group_order_uses_javascript_number_text(spark):
+    # JSON of the keys is {"k":10}, {"k":10.5}, {"k":9}: "." sorts before "}" in Unicode collation
+    df = spark.createDataFrame([(10.0,), (9.0,), (10.5,)], "k double")
+    spec = ReduceSpec(group_by=("k",), metrics=(Metric("count", "n"),))
+    assert [r.k for r in R.ordered(R.reduce(df, spec), spec).collect()] == [10.5, 10.0, 9.0]
