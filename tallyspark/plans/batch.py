@@ -23,6 +23,8 @@ from ..spec import ReduceSpec
 
 # Broadcast bound for the spec table (rows).  A due-spec row is a few dozen bytes.
 SPEC_BROADCAST_MAX_ROWS = 100_000
+# Up to this many distinct due tenants become an IN filter pushed to the source scan.
+SCAN_IN_LIST_MAX = 1_000
 
 
 def reduce_all_tenants(df: DataFrame, tenant_col: str, spec: ReduceSpec) -> DataFrame:
@@ -57,6 +59,10 @@ def run_specs(
     )
     n_due = due.count()
     side = F.broadcast(due) if n_due <= broadcast_max_rows else due
+    # Few due tenants: also scope the scan to them, so Parquet skips other tenants' row groups.
+    tenants = [r[0] for r in due.select("__tenant").distinct().limit(SCAN_IN_LIST_MAX + 1).collect()]
+    if len(tenants) <= SCAN_IN_LIST_MAX:
+        source = source.filter(F.col(tenant_col).isin(tenants))
     cond = (F.col(tenant_col) == F.col("__tenant")) & (
         F.col("__status").isNull() | (F.col(status_col) == F.col("__status"))
     )
