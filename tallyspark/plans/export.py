@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranges import id_ranges
-from ..operators.reduce import INPUT_COUNT, MAX_ID, MIN_ID, enforce_group_cap, group_order_key, report_view
+from ..operators.reduce import INPUT_COUNT, MAX_ID, MIN_ID, GroupCapExceeded, group_order_key, report_view
 from ..session import checkpoint_dir
 from ..sinks.manifest import Artifact, manifest_digest, noop_measure, with_policy
 from ..sinks.text import csv_lines, json_array_lines, listing_lines, report_path, write_lines
@@ -92,11 +92,16 @@ def export(
     rows, order = plan.rows, plan.order
     reduced = None
     if plan.mode == "reduce":
-        reduced = enforce_group_cap(plan.reduced, max_groups)
+        # One aggregate over the cached result gives the group cap check (A12) and the run
+        # statistics (A13, R1) together; the write then reads the same cache.
+        reduced = plan.reduced.persist()
         agg = reduced.agg(
             F.coalesce(F.sum(INPUT_COUNT), F.lit(0)).alias("i"), F.count(F.lit(1)).alias("o"),
             F.min(MIN_ID).alias("lo"), F.max(MAX_ID).alias("hi"),
         ).first()
+        if agg["o"] > max_groups:
+            reduced.unpersist()
+            raise GroupCapExceeded(f"Reduce group cardinality exceeded REPORT_REDUCE_MAX_GROUPS ({max_groups})")
         chunks = plan.spec.partition.chunks if plan.spec.partition else DEFAULT_CHUNKS
         stats.rows_in, stats.rows_out = int(agg["i"]), int(agg["o"])
         stats.chunks = len(id_ranges(agg["lo"], agg["hi"], chunks, plan.source.id_kind))
