@@ -32,6 +32,10 @@ SCALE_CONF = {
     # HotSpot does not JIT methods over 8,000 bytes of bytecode; report rendering builds wide
     # projections, so let Spark fall back to split expression code for such subtrees only.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Streaming reduce state (one partial row per group) on RocksDB: off-heap, spills to local
+    # disk, incremental checkpoints -- the default provider keeps every group on the JVM heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
