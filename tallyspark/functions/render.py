@@ -11,13 +11,15 @@ column order kept).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Output text formats.
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-CSV_SPECIALS = '[,"\n]'
+CSV_SPECIALS = (",", '"', "\n")  # a cell holding any of these is quoted
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -56,7 +58,7 @@ def number_text(c: Column, dtype: T.DataType) -> Column:
     x = c.cast("double")
     absx = F.abs(x)
     java = x.cast("string")  # Double.toString: plain for 1e-3 <= |x| < 1e7, else 1.0E-7 / 1.5E21
-    common = F.regexp_replace(java, r"\.0$", "")
+    common = F.when(java.endswith(".0"), F.substr(java, F.lit(1), F.length(java) - F.lit(2))).otherwise(java)
     strip = lambda t: F.regexp_replace(t.cast("string"), r"\.?0+$", "")
     rare = (
         F.when(x == F.lit(0.0), F.lit("0"))
@@ -143,9 +145,8 @@ def cell_text(c: Column, dtype: T.DataType) -> Column:
 
 def csv_escape(text: Column) -> Column:
     """Quote iff the text has a comma, a double quote or a newline; double the quotes."""
-    return F.when(
-        text.rlike(CSV_SPECIALS), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-    ).otherwise(text)
+    special = functools.reduce(lambda a, b: a | b, [F.instr(text, ch) > 0 for ch in CSV_SPECIALS])
+    return F.when(special, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
 def csv_cell(c: Column, dtype: T.DataType) -> Column:
