@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 # Output text formats.
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 CSV_SPECIALS = (",", '"', "\n")  # a cell holding any of these is quoted
+JSON_ESCAPED = '[\\x00-\\x1f"\\\\]'  # characters JSON text must escape
+HEX_LETTER_CONTROLS = "[\\x0b\\x0e\\x0f\\x1a-\\x1f]"  # controls escaped as \u00XX with a hex letter
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -76,9 +78,22 @@ def number_text(c: Column, dtype: T.DataType) -> Column:
 
 
 def json_string(c: Column) -> Column:
-    """A JSON string literal for a string value (escaped by the JVM's JSON writer)."""
+    """A JSON string literal for a string value, escaped as ``JSON.stringify`` escapes.
+
+    Text with nothing to escape (no quote, backslash or control character) is just quoted;
+    the rest goes through the JVM's JSON writer.  That writer prints ``\\u001F`` where
+    ``JSON.stringify`` prints ``\\u001f``, so the few control characters whose escape has a hex
+    letter get their escapes lowered (never touching an escaped backslash before ``u001F``)."""
     arr = F.to_json(F.array(c))  # ["..."]
-    return F.substr(arr, F.lit(2), F.length(arr) - F.lit(2))
+    escaped = F.substr(arr, F.lit(2), F.length(arr) - F.lit(2))
+    lowered = escaped
+    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
+        lowered = F.regexp_replace(lowered, r"(?<!\\)((?:\\\\)*)\\u00" + code, r"$1\\u00" + code.lower())
+    return (
+        F.when(~c.rlike(JSON_ESCAPED), F.concat(F.lit('"'), c, F.lit('"')))
+        .when(c.rlike(HEX_LETTER_CONTROLS), lowered)
+        .otherwise(escaped)
+    )
 
 
 def json_value(c: Column, dtype: T.DataType) -> Column:

@@ -77,3 +77,18 @@ def test_number_rows_matches_row_number(spark, keys, parts):
     got = number_rows(df, [F.col("k")]).select("k", "rn")
     want = df.select("k", F.row_number().over(Window.orderBy("k")).alias("rn"))
     assert got.exceptAll(want).count() == 0 and got.count() == len(keys)
+
+
+json_text = st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=40)
+
+
+@SETTINGS
+@given(st.lists(json_text, min_size=1, max_size=100))
+def test_json_strings_escape_like_json_stringify(spark, values):
+    import json
+
+    from tallyspark.functions.render import json_string
+
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = [r.j for r in df.select(json_string(F.col("s")).alias("j")).collect()]
+    assert got == [json.dumps(v, ensure_ascii=False) for v in values]
