@@ -33,11 +33,16 @@ class Source:
     format: str = "parquet"
     id_kind: str = "bigint"
     unique_id: bool = True
+    schema: str | None = None  # DDL; fixes the schema of text sources (no inference pass)
+    options: tuple[tuple[str, str], ...] = ()  # reader options, e.g. (("header", "true"),)
 
     def load(self, spark: SparkSession) -> DataFrame:
         if self.format == "table":
             return spark.table(self.path)
-        return spark.read.format(self.format).load(self.path)
+        reader = spark.read.format(self.format).options(**dict(self.options))
+        if self.schema:
+            reader = reader.schema(self.schema)
+        return reader.load(self.path)
 
 
 def resolve_source_name(name: str | None, allowed: Iterable[str], fallback: str = DEFAULT_SOURCE) -> str:

@@ -33,8 +33,11 @@ def stream_path(path: str) -> str:
     return path
 
 
-def stream_source(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).format(fmt)
+def stream_source(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int | None = None,
+    options: dict | None = None,
+) -> DataFrame:
+    reader = spark.readStream.schema(schema).format(fmt).options(**(options or {}))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     return reader.load(stream_path(path))
@@ -108,7 +111,7 @@ def start_report_stream(
         raise ValueError("a report stream needs a reduce spec and a csv, json or pdf format")
     source = registry.resolve(spec.source)
     schema = source.load(spark).schema
-    stream = stream_source(spark, source.path, schema, source.format, max_files)
+    stream = stream_source(spark, source.path, schema, source.format, max_files, dict(source.options))
     scoped = scan_tenant(stream, source, spec.tenant, equality_filter(stream, spec.filters, forbid=(source.tenant_col,)))
     result = report_view(reduce_frame(scoped, spec.reduce), spec.reduce)
     target = report_path(base, spec.tenant, spec.report_id, spec.entries[0])

@@ -150,3 +150,15 @@ def test_reduce_json_and_listing_in_group_order(spark, registry, workdir):
     assert listing == ['1. {"region":"br","status":"paid","n":2,"a":150}', '2. {"region":"us","status":"pending","n":1,"a":50}']
     assert (res.stats.rows_in, res.stats.rows_out, res.stats.zip_strategy) == (3, 2, "snapshot")
     assert len(list(Path(f"{workdir}/out/t1/rj/report.zip/report.xlsx").glob("*.xlsx"))) == 1
+
+
+def test_ndjson_source_with_fixed_schema(spark, workdir):
+    Path(f"{workdir}/src.json").mkdir()
+    Path(f"{workdir}/src.json/part-0.json").write_text(
+        '{"_id":"65e5b6f1de74f57fcb0f97a6","tenantId":"t1","status":"paid","amount":100}\n'
+        '\n{"_id":"65e5b6f1de74f57fcb0f97a7","tenantId":"t1","status":"paid","amount":200.5}\n')
+    src = Source("docs", f"{workdir}/src.json", "_id", "tenantId", format="json", id_kind="hex",
+                 schema="_id string, tenantId string, status string, amount double")
+    reg = SourceRegistry([src])
+    spec = ReportSpec(tenant="t1", source="docs", reduce=ReduceSpec(group_by=("status",), metrics=(Metric("sum", "total", "amount"),)))
+    assert [tuple(r) for r in run(spark, spec, reg).collect()] == [("paid", 300.5)]
