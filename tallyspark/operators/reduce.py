@@ -207,7 +207,8 @@ def union_partials(frames: Sequence[DataFrame]) -> DataFrame:
 def merge_incremental(stored: DataFrame | None, new_partials: DataFrame, spec: ReduceSpec) -> DataFrame:
     """Keep a stored partials table current -- merge it with newly arrived partials.
 
-    The result is itself a partials table (so it can be stored and merged again)."""
+    The result is itself a partials table; store it with ``save_partials`` between rounds so
+    each round starts from a written table instead of an ever longer lineage."""
     merged_input = new_partials if stored is None else union_partials([stored, new_partials])
     parts = _flatten_group(merged_input, spec)
     aggs = []
@@ -227,6 +228,13 @@ def merge_incremental(stored: DataFrame | None, new_partials: DataFrame, spec: R
     return parts.agg(*aggs).filter(F.col(INPUT_COUNT) > 0)
 
 
+def save_partials(parts: DataFrame, path: str) -> DataFrame:
+    """Write a partials table (a shared folder on a cluster) and read it back: the stored
+    state of A11, and a cut in the lineage."""
+    parts.write.mode("overwrite").parquet(path)
+    return parts.sparkSession.read.parquet(path)
+
+
 # ---------------------------------------------------------------- order and cap
 
 

@@ -158,3 +158,14 @@ def test_group_order_uses_javascript_number_text(spark):
     df = spark.createDataFrame([(10.0,), (9.0,), (10.5,)], "k double")
     spec = ReduceSpec(group_by=("k",), metrics=(Metric("count", "n"),))
     assert [r.k for r in R.ordered(R.reduce(df, spec), spec).collect()] == [10.5, 10.0, 9.0]
+
+
+def test_stored_partials_across_rounds(spark, workdir):
+    df = spark.range(0, 900).select((F.col("id") % 4).cast("string").alias("g"), F.col("id").cast("double").alias("v"), "id")
+    spec = ReduceSpec(group_by=("g",), metrics=(Metric("count", "n"), Metric("avg", "m", "v")))
+    stored = None
+    for i, lo in enumerate(range(0, 900, 300)):
+        arrived = R.partials(df.filter((F.col("id") >= lo) & (F.col("id") < lo + 300)), spec)
+        stored = R.save_partials(R.merge_incremental(stored, arrived, spec), f"{workdir}/partials-{i}")
+    final = sorted(tuple(r) for r in R.report_view(R.merge_partials(stored, spec), spec).collect())
+    assert final == sorted(tuple(r) for r in R.reduce(df, spec).collect())
