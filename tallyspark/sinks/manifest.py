@@ -39,21 +39,27 @@ class Artifact:
         return asdict(self)
 
 
-def part_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, sha256`` of each part file under ``path`` (recursively)."""
-    return (
+def part_files(spark: SparkSession, path: str, checksum: bool = True) -> DataFrame:
+    """``path, length, sha256`` of each part file under ``path`` (recursively).
+
+    Without ``checksum`` only file metadata is read (the content column is pruned), so a
+    very large report is sized without being read back."""
+    files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "{part-*,*.xlsx}")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("path", "length", F.sha2(F.col("content"), 256).alias("sha256"))
     )
+    digest = F.sha2(F.col("content"), 256) if checksum else F.lit(None).cast("string")
+    return files.select("path", "length", digest.alias("sha256"))
 
 
-def manifest_digest(spark: SparkSession, path: str) -> tuple[int, str, DataFrame]:
+def manifest_digest(spark: SparkSession, path: str, checksum: bool = True) -> tuple[int, str | None, DataFrame]:
     """Total size and report digest (SHA-256 over part digests in name order)."""
-    files = part_files(spark, path)
+    files = part_files(spark, path, checksum)
     rows = files.select("path", "length", "sha256").orderBy("path").collect()  # one row per file
+    if not checksum:
+        return sum(r["length"] for r in rows), None, files
     h = hashlib.sha256()
     for r in rows:
         h.update(bytes.fromhex(r["sha256"]))

@@ -111,3 +111,10 @@ def test_workbooks_split_a_hot_group(spark):
     for b in books:
         sheet = zipfile.ZipFile(io.BytesIO(b.content)).read("xl/worksheets/sheet1.xml")
         assert sheet.count(b"<row ") == b.n_rows + 1
+
+
+def test_manifest_without_checksum(spark, workdir):
+    df = spark.createDataFrame([(1, "x")], "id long, s string")
+    write_lines(csv_lines(df, [F.col("id")]), f"{workdir}/nc")
+    size, digest, _ = manifest_digest(spark, f"{workdir}/nc", checksum=False)
+    assert size == len(b"id,s\n1,x\n") and digest is None
