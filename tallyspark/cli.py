@@ -42,6 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--policy", default="required", choices=["required", "optional"])
     ap.add_argument("--multipass", action="store_true", help="raw zip reports re-read the source per format")
     ap.add_argument("--noop", action="store_true", help="run everything, store nothing")
+    ap.add_argument("--no-checksum", action="store_true", help="size the artifact without reading it back")
     args = ap.parse_args(argv)
 
     with open(args.request) as f:
@@ -51,7 +52,8 @@ def main(argv: list[str] | None = None) -> int:
     registry = SourceRegistry(sources, allowed=allowed, default=sources[0].name)
     spark = prepare(SparkSession.builder.appName("tallyspark").getOrCreate())
     spec = ReportSpec.parse(request, tenant=args.tenant)
-    result = export(spark, spec, registry, args.out, policy=args.policy, multipass=args.multipass, noop=args.noop)
+    result = export(spark, spec, registry, args.out, policy=args.policy, multipass=args.multipass, noop=args.noop,
+                    checksum=not args.no_checksum)
     print(json.dumps({"artifact": result.artifact.as_dict(), "stats": result.stats.as_dict(), "paths": result.paths}))
     return 0
 
