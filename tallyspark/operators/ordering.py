@@ -71,7 +71,9 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "rn")
 def guard_row_cap(numbered: DataFrame, max_rows: int, rn: str = "rn", message: str | None = None) -> DataFrame:
     """The cap is an error at row ``max_rows + 1``, never a cut.  Raised inside the
     job, so no extra pass is needed and a failing write is aborted, not left half done."""
-    msg = message or f"PDF row limit exceeded. max={max_rows}, received>{max_rows}"
+    from ..spec import MSG_ROW_CAP
+
+    msg = message or MSG_ROW_CAP.format(max_rows, max_rows)
     return numbered.withColumn(rn, F.when(F.col(rn) > F.lit(max_rows), F.raise_error(F.lit(msg))).otherwise(F.col(rn)))
 
 

@@ -16,7 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..spec import AVG_COUNT_PREFIX, AVG_SUM_PREFIX, INPUT_COUNT, Metric, ReduceSpec, SpecError
+from ..spec import (
+    AVG_COUNT_PREFIX,
+    AVG_SUM_PREFIX,
+    INPUT_COUNT,
+    MSG_GROUP_CAP,
+    MSG_NON_NUMERIC,
+    Metric,
+    ReduceSpec,
+    SpecError,
+)
 from ..sources.registry import require_columns
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -43,7 +52,7 @@ def group_key(df: DataFrame, name: str) -> Column:
 def _finite_guard(total: Column, what: str) -> Column:
     """A non-finite running sum is an error, not a value."""
     bad = F.isnan(total) | (F.abs(total) == F.lit(float("inf")))
-    return F.when(bad, F.raise_error(F.lit(f"Non numeric value found in reduce field: {what}"))).otherwise(total)
+    return F.when(bad, F.raise_error(F.lit(MSG_NON_NUMERIC.format(what)))).otherwise(total)
 
 
 def _minmax_input(df: DataFrame, name: str) -> Column:
@@ -272,7 +281,7 @@ def enforce_group_cap(reduced: DataFrame, max_groups: int) -> DataFrame:
     n = reduced.limit(max_groups + 1).count()
     if n > max_groups:
         reduced.unpersist()
-        raise GroupCapExceeded(f"Reduce group cardinality exceeded REPORT_REDUCE_MAX_GROUPS ({max_groups})")
+        raise GroupCapExceeded(MSG_GROUP_CAP.format(max_groups))
     return reduced
 
 

@@ -35,6 +35,7 @@ from ..spec import (
     DEFAULT_LISTING_MAX_ROWS,
     DEFAULT_MAX_GROUPS,
     DEFAULT_SNAPSHOT_MAX_BYTES,
+    MSG_GROUP_CAP,
     ReportSpec,
 )
 from .report import plan_report, raw_order
@@ -104,7 +105,7 @@ def export(
         ).first()
         if agg["o"] > max_groups:
             reduced.unpersist()
-            raise GroupCapExceeded(f"Reduce group cardinality exceeded REPORT_REDUCE_MAX_GROUPS ({max_groups})")
+            raise GroupCapExceeded(MSG_GROUP_CAP.format(max_groups))
         chunks = plan.spec.partition.chunks if plan.spec.partition else DEFAULT_CHUNKS
         stats.rows_in, stats.rows_out = int(agg["i"]), int(agg["o"])
         stats.chunks = len(id_ranges(agg["lo"], agg["hi"], chunks, plan.source.id_kind))

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.render import utf8_bytes
+from ..spec import OPTIONAL_FAILURE
 
 log = logging.getLogger(__name__)
 
-OPTIONAL_FAILURE = "OPTIONAL_INTEGRATION_FAILURE"
 
 
 @dataclass

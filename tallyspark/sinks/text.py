@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.render import csv_header, csv_line, json_line, qcol, utf8_bytes
 from ..operators.ordering import RowCapExceeded, guard_row_cap, number_rows
+from ..spec import MSG_ROW_CAP, MSG_SNAPSHOT_CAP
 
 
 class SnapshotTooLarge(RuntimeError):
@@ -102,7 +103,7 @@ def listing_lines(
     rows are found), so an oversized report fails before anything is sorted or stored; the
     in-job guard stays as a second line."""
     if df.limit(max_rows + 1).count() > max_rows:
-        raise RowCapExceeded(f"PDF row limit exceeded. max={max_rows}, received>{max_rows}")
+        raise RowCapExceeded(MSG_ROW_CAP.format(max_rows, max_rows))
     cols = list(columns or df.columns)
     keyed = df.select(*[c.alias(f"__o{i}") for i, c in enumerate(order)], *[qcol(c) for c in cols])
     numbered = guard_row_cap(number_rows(keyed, [F.col(f"__o{i}") for i in range(len(order))]), max_rows)
@@ -123,7 +124,7 @@ def check_snapshot_size(lines: DataFrame, max_bytes: int) -> tuple[int, int]:
     ``(bytes, rows)`` from the same aggregate."""
     r = lines.agg(snapshot_bytes(lines).alias("b"), F.count(F.lit(1)).alias("n")).first()
     if r["b"] > max_bytes:
-        raise SnapshotTooLarge(f"Temporary snapshot size exceeded REPORT_TMP_MAX_BYTES ({max_bytes} bytes)")
+        raise SnapshotTooLarge(MSG_SNAPSHOT_CAP.format(max_bytes))
     return int(r["b"]), int(r["n"])
 
 

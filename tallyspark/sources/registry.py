@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..spec import SAFE_NAME, SpecError
+from ..spec import MSG_SOURCE_NOT_ALLOWED, MSG_SOURCE_PATTERN, SAFE_NAME, SpecError
 
 DEFAULT_SOURCE = "reportSource"
 
@@ -49,9 +49,9 @@ def resolve_source_name(name: str | None, allowed: Iterable[str], fallback: str
     """Trim, blank -> fallback, must be a safe name, must be allowed."""
     resolved = (name or "").strip() or fallback
     if not SAFE_NAME.match(resolved):
-        raise SpecError("sourceCollection must match ^[A-Za-z0-9_]+$")
+        raise SpecError(MSG_SOURCE_PATTERN)
     if resolved not in list(allowed):
-        raise SpecError(f"sourceCollection '{resolved}' is not allowed")
+        raise SpecError(MSG_SOURCE_NOT_ALLOWED.format(resolved))
     return resolved
 
 

@@ -28,14 +28,34 @@ DEFAULT_LISTING_MAX_ROWS = 10_000
 DEFAULT_SNAPSHOT_MAX_BYTES = 2_147_483_648
 DEFAULT_RETENTION_DAYS = 30
 
+# Error texts kept word for word, so callers that match on them keep working.
+MSG_NO_METRICS = "reduceSpec.metrics must contain at least one metric"
+MSG_INVALID_GROUP = "Invalid groupBy field: {}"
+MSG_INVALID_ALIAS = "Invalid metric alias: {}"
+MSG_DUPLICATED_ALIAS = "Duplicated metric alias: {}"
+MSG_FIELD_REQUIRED = "Metric {} requires a valid field"
+MSG_UNSUPPORTED_OP = "Unsupported reduce operation: {}"
+MSG_ZIP_NEEDS_FORMATS = "includeFormats is required when format=zip"
+MSG_FORMATS_ONLY_ZIP = "includeFormats is allowed only when format=zip"
+MSG_ZIP_COMPRESSION = "compression=zip cannot be used with format=zip"
+MSG_DUPLICATED_FORMATS = "includeFormats cannot contain duplicates"
+MSG_ZIP_REQUIRES_FORMATS = "format=zip requires includeFormats"
+MSG_SOURCE_PATTERN = "sourceCollection must match ^[A-Za-z0-9_]+$"
+MSG_SOURCE_NOT_ALLOWED = "sourceCollection '{}' is not allowed"
+MSG_GROUP_CAP = "Reduce group cardinality exceeded REPORT_REDUCE_MAX_GROUPS ({})"
+MSG_ROW_CAP = "PDF row limit exceeded. max={}, received>{}"
+MSG_SNAPSHOT_CAP = "Temporary snapshot size exceeded REPORT_TMP_MAX_BYTES ({} bytes)"
+MSG_NON_NUMERIC = "Non numeric value found in reduce field: {}"
+OPTIONAL_FAILURE = "OPTIONAL_INTEGRATION_FAILURE"
+
 
 class SpecError(ValueError):
     """Raised for any invalid spec; the message names the offending part."""
 
 
-def _check_name(value: Any, what: str) -> str:
+def _check_name(value: Any, message: str) -> str:
     if not isinstance(value, str) or not SAFE_NAME.match(value):
-        raise SpecError(f"Invalid {what}: {value!r}")
+        raise SpecError(message.format(value))
     return value
 
 
@@ -47,13 +67,13 @@ class Metric:
 
     def __post_init__(self) -> None:
         if self.op not in OPS:
-            raise SpecError(f"Unsupported reduce operation: {self.op!r}")
-        _check_name(self.alias, "metric alias")
+            raise SpecError(MSG_UNSUPPORTED_OP.format(self.op))
+        _check_name(self.alias, MSG_INVALID_ALIAS)
         if self.op != "count":
             if self.field is None or not SAFE_NAME.match(str(self.field)):
-                raise SpecError(f"Metric {self.alias} requires a valid field")
+                raise SpecError(MSG_FIELD_REQUIRED.format(self.alias))
         elif self.field is not None:
-            _check_name(self.field, "metric field")
+            _check_name(self.field, MSG_FIELD_REQUIRED.format(self.alias) + ": {}")
 
     @classmethod
     def parse(cls, obj: Mapping[str, Any]) -> "Metric":
@@ -69,14 +89,14 @@ class ReduceSpec:
         object.__setattr__(self, "metrics", tuple(self.metrics))
         object.__setattr__(self, "group_by", tuple(self.group_by))
         if not self.metrics:
-            raise SpecError("reduceSpec.metrics must contain at least one metric")
+            raise SpecError(MSG_NO_METRICS)
         for g in self.group_by:
-            _check_name(g, "groupBy field")
+            _check_name(g, MSG_INVALID_GROUP)
         seen: set[str] = set()
         keys = set(self.group_by)
         for m in self.metrics:
             if m.alias in seen:
-                raise SpecError(f"Duplicated metric alias: {m.alias}")
+                raise SpecError(MSG_DUPLICATED_ALIAS.format(m.alias))
             seen.add(m.alias)
             # Aliases that would shadow keys or bookkeeping columns are rejected.
             if m.alias in RESERVED_ALIASES or m.alias.startswith((AVG_SUM_PREFIX, AVG_COUNT_PREFIX)):
@@ -133,13 +153,13 @@ class ReportSpec:
         if self.compression not in COMPRESSIONS:
             raise SpecError(f"Unsupported compression: {self.compression!r}")
         if self.format == "zip" and not self.include_formats:
-            raise SpecError("includeFormats is required when format=zip")
+            raise SpecError(MSG_ZIP_NEEDS_FORMATS)
         if self.format != "zip" and self.include_formats:
-            raise SpecError("includeFormats is allowed only when format=zip")
+            raise SpecError(MSG_FORMATS_ONLY_ZIP)
         if self.compression == "zip" and self.format == "zip":
-            raise SpecError("compression=zip cannot be used with format=zip")
+            raise SpecError(MSG_ZIP_COMPRESSION)
         if len(set(self.include_formats)) != len(self.include_formats):
-            raise SpecError("includeFormats cannot contain duplicates")
+            raise SpecError(MSG_DUPLICATED_FORMATS)
         for f in self.include_formats:
             if f not in SINGLE_FORMATS:
                 raise SpecError(f"Unsupported include format: {f!r}")
@@ -175,5 +195,5 @@ def check_formats(format: str, include_formats: Sequence[str] | None) -> list[st
     if format != "zip":
         return []
     if not include_formats:
-        raise SpecError("format=zip requires includeFormats")
+        raise SpecError(MSG_ZIP_REQUIRES_FORMATS)
     return list(include_formats)
