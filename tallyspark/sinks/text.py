@@ -138,5 +138,8 @@ def write_lines(lines: DataFrame, path: str, compression: str = "none") -> str:
 
 
 def report_path(base: str, tenant: object, report_id: str, entry: str) -> str:
-    """K9: ``<base>/<tenant>/<report_id>/<entry>``."""
+    """K9: ``<base>/<tenant>/<report_id>/<entry>``; each part must be one plain path segment."""
+    for part in (str(tenant), report_id, entry):
+        if not part or part in (".", "..") or any(ch in part for ch in "/\\\0"):
+            raise ValueError(f"not a single path segment: {part!r}")
     return f"{base.rstrip('/')}/{tenant}/{report_id}/{entry}"

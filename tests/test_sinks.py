@@ -118,3 +118,14 @@ def test_manifest_without_checksum(spark, workdir):
     write_lines(csv_lines(df, [F.col("id")]), f"{workdir}/nc")
     size, digest, _ = manifest_digest(spark, f"{workdir}/nc", checksum=False)
     assert size == len(b"id,s\n1,x\n") and digest is None
+
+
+def test_report_path_stays_under_base():
+    import pytest as _pytest
+
+    from tallyspark.sinks.text import report_path
+
+    assert report_path("/base/", "t1", "job", "report.csv") == "/base/t1/job/report.csv"
+    for tenant, rid in [("../x", "job"), ("t1", "a/b"), ("t1", ".."), ("", "job")]:
+        with _pytest.raises(ValueError):
+            report_path("/base", tenant, rid, "report.csv")
