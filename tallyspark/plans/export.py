@@ -3,9 +3,9 @@
 Single format: plan -> render -> one ``write.text`` (optionally gzip).  Several formats
 (``format='zip'``):
 
-* snapshot (K6) -- the rows are written once as an NDJSON snapshot in the shared checkpoint
-  folder (byte cap checked first) and every format is rendered from that written table,
-  which also cuts the lineage back to the source;
+* snapshot (K6) -- the byte cap is checked on the rows' NDJSON size, then the rows are
+  written once as a Parquet table in the shared checkpoint folder and every format is
+  rendered from that table, which also cuts the lineage back to the source;
 * multipass (K7, raw reports only) -- the high-water id is fixed first, then each format
   re-reads the source bounded by it; counts come from the first pass.
 
@@ -26,10 +26,10 @@ from ..operators.ranges import id_ranges
 from ..operators.reduce import INPUT_COUNT, MAX_ID, MIN_ID, GroupCapExceeded, group_order_key, report_view
 from ..session import checkpoint_dir
 from ..sinks.manifest import Artifact, manifest_digest, noop_measure, with_policy
-from ..sinks.text import csv_lines, json_array_lines, listing_lines, report_path, write_lines
+from ..sinks.text import check_snapshot_size, csv_lines, json_array_lines, listing_lines, ndjson_lines, report_path, write_lines
 from ..sinks.workbook import workbooks, write_workbook_files
 from ..sources.registry import SourceRegistry, bounded, high_water_id
-from ..sources.snapshot import read_snapshot, write_snapshot
+from ..functions.render import normalize
 from ..spec import (
     DEFAULT_CHUNKS,
     DEFAULT_LISTING_MAX_ROWS,
@@ -141,8 +141,11 @@ def export(
         else:
             stats.zip_strategy = "snapshot"
             snap = f"{checkpoint_dir(spark).rstrip('/')}/snapshots/{spec.report_id}-{uuid.uuid4().hex}"
-            schema, _size, n = write_snapshot(rows, snap, snapshot_max_bytes)
-            snap_rows = read_snapshot(spark, snap, schema)
+            # The cap is measured in NDJSON bytes, as the snapshot would take as text; the rows
+            # themselves are kept as a typed Parquet table, which every format re-reads by column.
+            _size, n = check_snapshot_size(ndjson_lines(normalize(rows)), snapshot_max_bytes)
+            rows.write.mode("overwrite").parquet(snap)
+            snap_rows = spark.read.parquet(snap)
             snap_order = [group_order_key(spec.reduce, schema=snap_rows.schema)] if plan.mode == "reduce" else raw_order(snap_rows, plan.source)
             stats.rows_out = n
             if plan.mode == "raw":
