@@ -25,6 +25,8 @@ from ..spec import ReduceSpec
 SPEC_BROADCAST_MAX_ROWS = 100_000
 # Up to this many distinct due tenants become an IN filter pushed to the source scan.
 SCAN_IN_LIST_MAX = 1_000
+# Per-tenant first keys of the all-tenant JSON export are broadcast up to this many tenants.
+FIRSTS_BROADCAST_MAX_TENANTS = 1_000_000
 
 
 def reduce_all_tenants(df: DataFrame, tenant_col: str, spec: ReduceSpec) -> DataFrame:
@@ -113,6 +115,10 @@ def all_tenant_lines(df: DataFrame, tenant_col: str, order: Sequence, fmt: str =
         value = F.when(F.col("__k") == 0, F.lit(csv_header(cols))).otherwise(csv_line(data, cols))
     elif fmt == "json":
         firsts = data.groupBy(tenant_col).agg(F.min(F.struct(*names)).alias("__first"))
+        # One row per tenant: broadcast under a counted bound, else a shuffle join whose hot
+        # tenant partition AQE's skew handling splits.
+        if tenants.count() <= FIRSTS_BROADCAST_MAX_TENANTS:
+            firsts = F.broadcast(firsts)
         framed = data.unionByName(tenants.select(tenant_col, F.lit(2).alias("__k"), *nulls).toDF(*data.columns))
         framed = framed.join(firsts, tenant_col, "left")
         line = json_line(data, cols)
