@@ -12,6 +12,7 @@ named ``Report``, a header row, inline strings, no styles; a null is an empty ce
 
 from __future__ import annotations
 
+import decimal
 import io
 import math
 import zipfile
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.render import normalize, qcol
+from ..functions.render import json_value, normalize, qcol
 from ..operators.ordering import number_rows_within
 
 EXCEL_MAX_DATA_ROWS = 1_048_575
@@ -92,6 +93,8 @@ def _cells(col: pd.Series, letter: str, rownums: pd.Series) -> pd.Series:
     """Cell XML for one column (empty string for a null)."""
     ref = '<c r="' + letter + rownums
     null = col.isna()
+    if col.dtype == object and len(col.dropna()) and col.dropna().map(lambda v: isinstance(v, decimal.Decimal)).all():
+        col = col.map(lambda v: None if v is None else float(v)).astype("float64")
     if pd.api.types.is_bool_dtype(col) or (col.dtype == object and col.dropna().map(type).eq(bool).all() and len(col.dropna())):
         body = ref + '" t="b"><v>' + col.map(lambda b: "1" if b else "0") + "</v></c>"
     elif pd.api.types.is_numeric_dtype(col):
@@ -143,10 +146,16 @@ def workbooks(
         raise ValueError(f"part_rows must be in 1..{EXCEL_MAX_DATA_ROWS}")
     cols = list(columns or [c for c in df.columns if c not in group_cols])
     order_names = [f"__o{i}" for i in range(len(order))]
+    nested = (T.ArrayType, T.StructType, T.MapType)
+
+    def cell(c: str) -> Column:  # nested values go in as their JSON text
+        dtype = df.schema[c].dataType
+        return json_value(qcol(c), dtype) if isinstance(dtype, nested) else qcol(c)
+
     view = normalize(df.select(
         *[qcol(g) for g in group_cols],
         *[(qcol(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, order_names)],
-        *[qcol(c).alias(f"__c_{i}") for i, c in enumerate(cols)],
+        *[cell(c).alias(f"__c_{i}") for i, c in enumerate(cols)],
     ))
     numbered = number_rows_within(view, list(group_cols), order_names, "__rn")
     with_part = numbered.withColumn("part", F.floor((F.col("__rn") - 1) / F.lit(part_rows)).cast("int"))

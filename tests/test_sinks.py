@@ -129,3 +129,12 @@ def test_report_path_stays_under_base():
     for tenant, rid in [("../x", "job"), ("t1", "a/b"), ("t1", ".."), ("", "job")]:
         with _pytest.raises(ValueError):
             report_path("/base", tenant, rid, "report.csv")
+
+
+def test_workbook_cells_for_decimals_and_nested(spark):
+    df = spark.createDataFrame([(1, [1, 2], ("x",))], "id long, tags array<int>, doc struct<k:string>") \
+        .withColumn("price", F.lit("12.50").cast("decimal(10,2)"))
+    book = workbooks(df.withColumn("g", F.lit("all")), ["g"], ["id"], columns=["id", "tags", "doc", "price"]).first()
+    sheet = zipfile.ZipFile(io.BytesIO(book.content)).read("xl/worksheets/sheet1.xml").decode()
+    assert '<t xml:space="preserve">[1,2]</t>' in sheet and '{"k":"x"}' in sheet.replace("&quot;", '"')
+    assert '<c r="D2"><v>12.5</v></c>' in sheet
