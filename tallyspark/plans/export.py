@@ -119,7 +119,8 @@ def export(
     def do_write() -> Artifact:
         if noop:
             measured = noop_measure(render(rows, order, "csv" if is_bundle else spec.format, listing_max_rows))
-            return Artifact(mode="noop", available=False, reason="NOOP", size_bytes=int(measured["bytes"]), key=root)
+            return Artifact(mode="noop", available=False, reason="NOOP", size_bytes=int(measured["bytes"]),
+                            checksum=measured["sha256"], key=root)
         if not is_bundle:
             obs = Observation("rows_out") if plan.mode == "raw" else None
             write_format(spark, rows, order, spec.format, root, compression=spec.compression,

@@ -78,6 +78,7 @@ def test_manifest_and_noop(spark, workdir):
     assert files.count() >= 1
     measured = noop_measure(lines)
     assert measured["rows"] == 3 and measured["bytes"] == size
+    assert measured["sha256"] == digest  # the dry run's digest is the written report's digest
 
 
 def test_policy(spark):
@@ -138,3 +139,20 @@ def test_workbook_cells_for_decimals_and_nested(spark):
     sheet = zipfile.ZipFile(io.BytesIO(book.content)).read("xl/worksheets/sheet1.xml").decode()
     assert '<t xml:space="preserve">[1,2]</t>' in sheet and '{"k":"x"}' in sheet.replace("&quot;", '"')
     assert '<c r="D2"><v>12.5</v></c>' in sheet
+
+
+
+def test_part_order_is_numeric():
+    from tallyspark.sinks.manifest import part_order
+
+    names = ["/r/part-100000-a.txt", "/r/part-99999-a.txt", "/r/part-00002-a.txt"]
+    assert [p.split("/")[-1] for p in sorted(names, key=part_order)] == ["part-00002-a.txt", "part-99999-a.txt", "part-100000-a.txt"]
+
+
+def test_noop_digest_matches_written_report(spark, workdir):
+    df = spark.range(0, 3000, numPartitions=5).select("id", (F.col("id") % 7).alias("k"))
+    lines = csv_lines(df, [F.col("id")])
+    write_lines(lines, f"{workdir}/dig")
+    size, digest, _ = manifest_digest(spark, f"{workdir}/dig")
+    measured = noop_measure(lines)
+    assert (measured["bytes"], measured["sha256"]) == (size, digest)
