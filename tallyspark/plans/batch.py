@@ -99,7 +99,7 @@ def all_tenant_lines(df: DataFrame, tenant_col: str, order: Sequence, fmt: str =
 
     One global sort on ``(tenant, line kind, order)``: a tenant holding a third of all rows
     spans many sort partitions, and a write with ``partitionBy(tenant)`` needs no further
-    sort, so each tenant folder's part files, in name order, hold that tenant's report.
+    sort, so each tenant folder's part files, in partition-number order, hold that tenant's report.
     Header rows come from the distinct tenants (an aggregate, one row per tenant)."""
     from ..functions.render import csv_header, csv_line, json_line, qcol
 

@@ -2,7 +2,7 @@
 
 * K11 -- a manifest lists every part file written: path, size, SHA-256 (read back with the
   ``binaryFile`` source, one file per row, in parallel).  The report digest is the SHA-256
-  over the part digests in name order, so it never needs the whole output in one place.
+  over the part digests in partition-number order, so it never needs the whole output in one place.
 * K10 -- the discard sink runs the full job through ``format("noop")`` and still measures
   rows and bytes with an ``Observation``.
 * K12 -- a write under the ``optional`` policy records a failure instead of raising.

@@ -1,7 +1,7 @@
 """Text report sinks (K1, K2, K3, K5, K8, K9).
 
 Each report is one sorted frame of text lines written with ``write.text``.  The sort is a
-range exchange, so part files in name order concatenate to the report in total order; the
+range exchange, so part files in partition-number order (``part-<n>``) concatenate to the report; the
 header / bracket lines ride in the same sorted frame under a leading sort key, so no driver
 step ever touches the rows.  Output goes to ``<base>/<tenant>/<report_id>/report.<ext>/``,
 overwritten on a retry (K9).
