@@ -27,7 +27,7 @@ from ..operators.reduce import INPUT_COUNT, MAX_ID, MIN_ID, GroupCapExceeded, gr
 from ..session import checkpoint_dir
 from ..sinks.manifest import Artifact, manifest_digest, noop_measure, with_policy
 from ..sinks.text import check_snapshot_size, csv_lines, json_array_lines, listing_lines, ndjson_lines, report_path, write_lines
-from ..sinks.workbook import workbooks, write_workbook_files
+from ..sinks.workbook import workbooks, write_empty_workbook, write_workbook_files
 from ..sources.registry import SourceRegistry, bounded, high_water_id
 from ..functions.render import normalize
 from ..spec import (
@@ -67,9 +67,13 @@ def write_format(
     if fmt == "xlsx":
         books = workbooks(rows.withColumn("__report", F.lit(0)), ["__report"], order, columns=rows.columns)
         written = write_workbook_files(books.drop("__report"), path, [])
+        counted = Observation("xlsx_files")
+        written = written.observe(counted, F.count(F.lit(1)).alias("files"))
         if obs is not None:
             written = written.observe(obs, F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"))
         written.write.format("noop").mode("overwrite").save()
+        if counted.get.get("files", 0) == 0:
+            write_empty_workbook(path)
         return
     write_lines(render(rows, order, fmt, listing_max_rows, obs), path, compression)
 

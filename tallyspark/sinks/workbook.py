@@ -110,12 +110,13 @@ def _cells(col: pd.Series, letter: str, rownums: pd.Series) -> pd.Series:
 
 
 def render_workbook(columns: Sequence[str], pdf: pd.DataFrame) -> bytes:
-    """One workbook from an ordered pandas frame (header row first)."""
+    """One workbook from an ordered pandas frame (header row first).  With no columns the
+    sheet is empty -- what a report without rows gives (its header comes from a first row)."""
     header = "".join(
         f'<c r="{column_letter(i)}1" t="inlineStr"><is><t>{_xml_text(pd.Series([c]))[0]}</t></is></c>'
         for i, c in enumerate(columns)
     )
-    parts = [SHEET_HEAD, f'<row r="1">{header}</row>']
+    parts = [SHEET_HEAD, f'<row r="1">{header}</row>' if columns else ""]
     if len(pdf):
         rownums = pd.Series(np.arange(2, len(pdf) + 2), index=pdf.index).astype(str)
         row_xml = pd.Series("", index=pdf.index)
@@ -213,3 +214,19 @@ def write_workbook_files(books: DataFrame, path: str, group_cols: Sequence[str],
             yield pd.DataFrame(out, columns=["file", "n_rows", "length", "sha256"])
 
     return books.mapInPandas(write, schema)
+
+
+def write_empty_workbook(path: str, name: str = "report-part00000.xlsx") -> str:
+    """The workbook of a report without rows: one empty ``Report`` sheet (a single small
+    file, written from the driver)."""
+    import pyarrow.fs as pafs
+
+    uri = path if "://" in path else "file://" + path
+    for hadoop_scheme in ("s3a://", "s3n://"):
+        if uri.startswith(hadoop_scheme):
+            uri = "s3://" + uri[len(hadoop_scheme):]
+    fs, root = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{name}") as f:
+        f.write(render_workbook([], pd.DataFrame()))
+    return f"{path.rstrip('/')}/{name}"

@@ -162,3 +162,19 @@ def test_ndjson_source_with_fixed_schema(spark, workdir):
     reg = SourceRegistry([src])
     spec = ReportSpec(tenant="t1", source="docs", reduce=ReduceSpec(group_by=("status",), metrics=(Metric("sum", "total", "amount"),)))
     assert [tuple(r) for r in run(spark, spec, reg).collect()] == [("paid", 300.5)]
+
+
+def test_empty_report_in_every_format(spark, registry, workdir):
+    import io
+    import zipfile
+
+    spec = ReportSpec(tenant="nobody", format="zip", include_formats=("csv", "json", "pdf", "xlsx"), report_id="empty")
+    res = export(spark, spec, registry, f"{workdir}/out")
+    root = f"{workdir}/out/nobody/empty/report.zip"
+    assert read_parts(f"{root}/report.csv") == b"" and read_parts(f"{root}/report.pdf") == b""
+    assert json.loads(read_parts(f"{root}/report.json")) == []
+    books = list(Path(f"{root}/report.xlsx").glob("*.xlsx"))
+    assert len(books) == 1
+    sheet = zipfile.ZipFile(io.BytesIO(books[0].read_bytes())).read("xl/worksheets/sheet1.xml")
+    assert b"<row" not in sheet
+    assert (res.stats.rows_in, res.stats.rows_out) == (0, 0)
