@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.render import json_value, normalize, qcol
+from ..functions.render import json_value, normalize, number_text, qcol
 from ..operators.ordering import number_rows_within
 
 EXCEL_MAX_DATA_ROWS = 1_048_575
@@ -89,10 +89,17 @@ def _number_text(v: float) -> str:
     return repr(float(v))
 
 
-def _cells(col: pd.Series, letter: str, rownums: pd.Series) -> pd.Series:
-    """Cell XML for one column (empty string for a null)."""
+def _cells(col: pd.Series, letter: str, rownums: pd.Series, kind: str | None = None) -> pd.Series:
+    """Cell XML for one column (empty string for a null).  ``kind`` comes from the Spark
+    schema: ``n`` = number already rendered as text on the JVM, ``b`` = boolean, ``s`` = text;
+    without it the kind is guessed from the pandas dtype."""
     ref = '<c r="' + letter + rownums
     null = col.isna()
+    if kind == "n":
+        return (ref + '"><v>' + col.astype(object).where(~null, "").astype(str) + "</v></c>").where(~null, "")
+    if kind == "s":
+        text = col.astype(str).where(~null, "")
+        return (ref + '" t="inlineStr"><is><t xml:space="preserve">' + _xml_text(text) + "</t></is></c>").where(~null, "")
     if col.dtype == object and len(col.dropna()) and col.dropna().map(lambda v: isinstance(v, decimal.Decimal)).all():
         col = col.map(lambda v: None if v is None else float(v)).astype("float64")
     if pd.api.types.is_bool_dtype(col) or (col.dtype == object and col.dropna().map(type).eq(bool).all() and len(col.dropna())):
@@ -109,7 +116,7 @@ def _cells(col: pd.Series, letter: str, rownums: pd.Series) -> pd.Series:
     return body.where(~null, "")
 
 
-def render_workbook(columns: Sequence[str], pdf: pd.DataFrame) -> bytes:
+def render_workbook(columns: Sequence[str], pdf: pd.DataFrame, kinds: Sequence[str] | None = None) -> bytes:
     """One workbook from an ordered pandas frame (header row first).  With no columns the
     sheet is empty -- what a report without rows gives (its header comes from a first row)."""
     header = "".join(
@@ -121,7 +128,7 @@ def render_workbook(columns: Sequence[str], pdf: pd.DataFrame) -> bytes:
         rownums = pd.Series(np.arange(2, len(pdf) + 2), index=pdf.index).astype(str)
         row_xml = pd.Series("", index=pdf.index)
         for i, c in enumerate(columns):
-            row_xml = row_xml + _cells(pdf[c], column_letter(i), rownums)
+            row_xml = row_xml + _cells(pdf[c], column_letter(i), rownums, kinds[i] if kinds else None)
         parts.append(("<row r=\"" + rownums + "\">" + row_xml + "</row>").str.cat())
     parts.append(SHEET_TAIL)
     buf = io.BytesIO()
@@ -149,10 +156,20 @@ def workbooks(
     order_names = [f"__o{i}" for i in range(len(order))]
     nested = (T.ArrayType, T.StructType, T.MapType)
 
-    def cell(c: str) -> Column:  # nested values go in as their JSON text
+    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+    def cell(c: str) -> Column:  # numbers as JavaScript text, nested values as JSON text
         dtype = df.schema[c].dataType
+        if isinstance(dtype, numeric):
+            return number_text(qcol(c), dtype)
         return json_value(qcol(c), dtype) if isinstance(dtype, nested) else qcol(c)
 
+    def kind(c: str) -> str:
+        dtype = df.schema[c].dataType
+        return "n" if isinstance(dtype, numeric) else "b" if isinstance(dtype, T.BooleanType) else "s"
+
+    kinds = [kind(c) for c in cols]
+
     view = normalize(df.select(
         *[qcol(g) for g in group_cols],
         *[(qcol(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, order_names)],
@@ -170,7 +187,7 @@ def workbooks(
 
     def render(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__rn")
-        content = render_workbook(cols, pdf[data_cols].set_axis(cols, axis=1))
+        content = render_workbook(cols, pdf[data_cols].set_axis(cols, axis=1), kinds)
         out = {g: [pdf[g].iloc[0]] for g in group_cols}
         first = pdf[order_names[0]].iloc[0] if order_names else None
         out.update(part=[int(pdf["part"].iloc[0])], n_rows=[len(pdf)],
