@@ -175,8 +175,19 @@ def workbooks(
         *[(qcol(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, order_names)],
         *[cell(c).alias(f"__c_{i}") for i, c in enumerate(cols)],
     ))
-    numbered = number_rows_within(view, list(group_cols), order_names, "__rn")
-    with_part = numbered.withColumn("part", F.floor((F.col("__rn") - 1) / F.lit(part_rows)).cast("int"))
+    # Parts are needed only when a group outgrows one sheet, and a pandas sort matches Spark's
+    # only for binary-collated keys; otherwise every row is part 0 and each group is sorted by
+    # its order keys on the executor -- one small aggregate instead of a distributed numbering.
+    collated = any(
+        getattr(view.schema[n].dataType, "collation", "UTF8_BINARY") != "UTF8_BINARY" for n in order_names
+    )
+    oversized = view.groupBy(*group_cols).count().filter(F.col("count") > part_rows).limit(1).count() > 0
+    if oversized or collated:
+        numbered = number_rows_within(view, list(group_cols), order_names, "__rn")
+        with_part = numbered.withColumn("part", F.floor((F.col("__rn") - 1) / F.lit(part_rows)).cast("int"))
+    else:
+        with_part = view.withColumn("part", F.lit(0)).withColumn("__rn", F.lit(None).cast("long"))
+    sort_cols = ["__rn"] if (oversized or collated) else order_names
     group_fields = [df.schema[g] for g in group_cols]
     out_schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in group_fields]
@@ -186,7 +197,7 @@ def workbooks(
     data_cols = [f"__c_{i}" for i in range(len(cols))]
 
     def render(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rn")
+        pdf = pdf.sort_values(sort_cols, na_position="first", kind="stable")
         content = render_workbook(cols, pdf[data_cols].set_axis(cols, axis=1), kinds)
         out = {g: [pdf[g].iloc[0]] for g in group_cols}
         first = pdf[order_names[0]].iloc[0] if order_names else None
