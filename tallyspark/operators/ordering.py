@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.render import qcol
+
 _POS_BITS = 33  # monotonically_increasing_id: partition index above bit 33, position below
 _POS_MASK = (1 << _POS_BITS) - 1
 
@@ -64,7 +66,7 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "rn")
     )
     # One row per partition of the sort: bounded by spark.sql.shuffle.partitions, safe to broadcast.
     joined = sorted_df.join(F.broadcast(counts), part == F.col("__part"))
-    out_cols = [c for c in df.columns] + [(F.col("__offset") + pos + F.lit(1)).alias(name)]
+    out_cols = [qcol(c) for c in df.columns] + [(F.col("__offset") + pos + F.lit(1)).alias(name)]
     return joined.select(*out_cols)
 
 
@@ -122,4 +124,4 @@ def number_rows_within(
     cond = [keyed["__part"] == side["__part"]] + [keyed[g].eqNullSafe(side[g]) for g in groups]
     joined = keyed.join(side, cond)
     rn = (F.col("__offset") + keyed[mid] - F.col("__first") + F.lit(1)).alias(name)
-    return joined.select(*[keyed[c] for c in df.columns], rn)
+    return joined.select(*[keyed[f"`{c}`"] for c in df.columns], rn)

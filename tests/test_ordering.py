@@ -56,3 +56,10 @@ def test_number_rows_within_without_broadcast(spark):
     got = number_rows_within(df, ["g"], [F.col("id")], broadcast_max_rows=0).select("g", "id", "rn")
     want = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("rn"))
     assert got.exceptAll(want).count() == 0 and got.count() == 5000
+
+
+def test_numbering_keeps_odd_column_names(spark):
+    df = spark.createDataFrame([(2, "b"), (1, "a")], "id long, `x.y` string")
+    assert [tuple(r) for r in number_rows(df, [F.col("id")]).orderBy("rn").collect()] == [(1, "a", 1), (2, "b", 2)]
+    g = number_rows_within(df.withColumn("g", F.lit(1)), ["g"], [F.col("id")]).orderBy("rn").collect()
+    assert [r["x.y"] for r in g] == ["a", "b"]
