@@ -122,7 +122,11 @@ def export(
 
     def do_write() -> Artifact:
         if noop:
-            measured = noop_measure(render(rows, order, "csv" if is_bundle else spec.format, listing_max_rows))
+            fmt = "csv" if is_bundle or spec.format == "xlsx" else spec.format
+            obs = Observation("noop_rows") if plan.mode == "raw" else None
+            measured = noop_measure(render(rows, order, fmt, listing_max_rows, obs))
+            if obs is not None:
+                stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
             return Artifact(mode="noop", available=False, reason="NOOP", size_bytes=int(measured["bytes"]),
                             checksum=measured["sha256"], key=root)
         if not is_bundle:

@@ -87,6 +87,7 @@ def test_xlsx_export_and_optional_failure(spark, registry, workdir):
 def test_noop_mode(spark, registry, workdir):
     res = export(spark, ReportSpec(tenant="t1", report_id="job8"), registry, f"{workdir}/out", noop=True)
     assert res.artifact.mode == "noop" and res.artifact.size_bytes > 0
+    assert (res.stats.rows_in, res.stats.rows_out) == (3, 3) and len(res.artifact.checksum) == 64
     assert not Path(f"{workdir}/out/t1/job8").exists()
 
 
