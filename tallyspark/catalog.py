@@ -19,7 +19,7 @@ from .functions.render import json_value, normalize, number_text, sha256_hex, ut
 from .operators import reduce as R
 from .operators.filters import equality_filter
 from .operators.ordering import number_rows
-from .operators.ranges import chunk_of, chunk_of_bigint, id_ranges, range_predicate, ranges_frame, read_bounds
+from .operators.ranges import chunk_of, id_ranges, range_predicate, ranges_frame, read_bounds
 from .plans.batch import all_tenant_lines, reduce_all_tenants, retained, run_specs, specs_frame, write_all_tenants
 from .plans.export import export
 from .plans.report import plan_report, run
@@ -520,10 +520,8 @@ def objectid_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_partials(spark: SparkSession, sf_dir: str, chunks: int = 32) -> DataFrame:
     ev = money(table(spark, sf_dir, "events"), "value")
-    lo, hi = read_bounds(ev, "event_id")
-    ranges = id_ranges(lo, hi, chunks)
-    size = ranges[1].start - ranges[0].start if len(ranges) > 1 else 1
-    return R.partials(ev, FIVE_OPS, chunk=chunk_of_bigint(lo, size, len(ranges), "event_id"))
+    _reduced, parts, _profile, _ranges = R.partitioned_reduce(ev, FIVE_OPS, "event_id", chunks)
+    return parts
 
 
 PARTIALS_SQL = (

@@ -293,3 +293,23 @@ def chunk_profile(parts: DataFrame) -> DataFrame:
         .orderBy("chunk")
     )
 
+
+
+def partitioned_reduce(df: DataFrame, spec: ReduceSpec, id_col: str, chunks: int, id_kind: str = "bigint"):
+    """The explicit, chunked form of a reduce (A9, A10, M2, R1): id bounds, equal-width id
+    ranges, partial rows per (range, group), their merge and the per-range profile.
+
+    Returns ``(reduced, partial_rows, profile, ranges)``; ``reduced`` equals ``reduce_frame``.
+    The bounds are one aggregate; every row finds its range with a Column expression, so the
+    partials are one ``groupBy`` -- no per-range job and no driver loop over rows."""
+    from .ranges import chunk_of, chunk_of_bigint, id_ranges, read_bounds
+
+    lo, hi = read_bounds(df, id_col)
+    ranges = id_ranges(lo, hi, chunks, id_kind)
+    if id_kind == "bigint" and ranges:
+        size = ranges[1].start - ranges[0].start if len(ranges) > 1 else max(1, int(hi) - int(lo) + 1)
+        chunk = chunk_of_bigint(int(lo), size, len(ranges), id_col)
+    else:
+        chunk = chunk_of(ranges, id_col)
+    parts = partials(df, spec, chunk=chunk)
+    return merge_partials(parts.drop("chunk"), spec), parts, chunk_profile(parts), ranges

@@ -169,3 +169,15 @@ def test_stored_partials_across_rounds(spark, workdir):
         stored = R.save_partials(R.merge_incremental(stored, arrived, spec), f"{workdir}/partials-{i}")
     final = sorted(tuple(r) for r in R.report_view(R.merge_partials(stored, spec), spec).collect())
     assert final == sorted(tuple(r) for r in R.reduce(df, spec).collect())
+
+
+def test_partitioned_reduce_equals_direct(spark):
+    df = spark.range(5, 2005).select("id", (F.col("id") % 6).cast("string").alias("g"), (F.col("id") * 0.25).alias("v"))
+    spec = ReduceSpec(group_by=("g",), metrics=(Metric("count", "n"), Metric("sum", "s", "v"), Metric("avg", "m", "v")))
+    reduced, parts, profile, ranges = R.partitioned_reduce(df, spec, "id", 32)
+    assert len(ranges) == 32 and profile.count() == 32
+    assert sorted(map(tuple, R.report_view(reduced, spec).collect())) == sorted(map(tuple, R.reduce(df, spec).collect()))
+    hexed = df.select(F.lpad(F.lower(F.hex("id")), 24, "0").alias("hid"), "g", "v")
+    hreduced, _, hprofile, hranges = R.partitioned_reduce(hexed, spec, "hid", 8, "hex")
+    assert len(hranges) == 8 and hprofile.agg(F.sum("rows_in")).first()[0] == 2000
+    assert sorted(map(tuple, R.report_view(hreduced, spec).collect())) == sorted(map(tuple, R.reduce(df, spec).collect()))
