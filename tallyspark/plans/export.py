@@ -23,7 +23,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranges import id_ranges
-from ..operators.reduce import INPUT_COUNT, MAX_ID, MIN_ID, GroupCapExceeded, group_order_key, report_view
+from ..operators.reduce import (
+    INPUT_COUNT,
+    MAX_ID,
+    MIN_ID,
+    GroupCapExceeded,
+    group_order_key,
+    partitioned_reduce,
+    report_view,
+)
 from ..session import checkpoint_dir
 from ..sinks.manifest import Artifact, manifest_digest, noop_measure, with_policy
 from ..sinks.text import check_snapshot_size, csv_lines, json_array_lines, listing_lines, ndjson_lines, report_path, write_lines
@@ -91,9 +99,12 @@ def export(
     listing_max_rows: int = DEFAULT_LISTING_MAX_ROWS,
     snapshot_max_bytes: int = DEFAULT_SNAPSHOT_MAX_BYTES,
     checksum: bool = True,
+    chunk_profile: bool = False,
 ) -> ExportResult:
     """Run one report to files.  ``checksum=False`` sizes the artifact from file metadata
-    instead of reading it back for SHA-256 (worth it for very large raw reports)."""
+    instead of reading it back for SHA-256 (worth it for very large raw reports).
+    ``chunk_profile=True`` adds, for a reduce, the per-id-range profile (M2: index, groups,
+    rows in) to the statistics; it costs one more aggregation over the scoped rows."""
     started = time.time()
     plan = plan_report(spark, spec, registry)
     stats = RunStats(mode=plan.mode)
@@ -114,6 +125,9 @@ def export(
         stats.rows_in, stats.rows_out = int(agg["i"]), int(agg["o"])
         stats.chunks = len(id_ranges(agg["lo"], agg["hi"], chunks, plan.source.id_kind))
         rows = report_view(reduced, spec.reduce)
+        if chunk_profile:
+            _, _, profile, _ = partitioned_reduce(plan.scoped, spec.reduce, plan.source.id_col, chunks, plan.source.id_kind)
+            stats.extra["chunk_profile"] = [r.asDict() for r in profile.collect()]  # at most `chunks` rows
 
     entries = spec.entries
     is_bundle = spec.format == "zip"

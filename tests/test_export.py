@@ -48,6 +48,8 @@ def test_reduce_export_stats(spark, registry, workdir):
     assert text == "status,totalOrders,total\npaid,2,300\n"
     assert (res.stats.rows_in, res.stats.rows_out, res.stats.mode) == (2, 1, "reduce")
     assert res.stats.chunks == 2  # two ids -> ranges of one id each
+    prof = export(spark, spec, registry, f"{workdir}/out2", chunk_profile=True).stats.extra["chunk_profile"]
+    assert [(p["chunk"], p["groups"], p["rows_in"]) for p in prof] == [(0, 1, 1), (1, 1, 1)]
 
 
 def test_zip_snapshot_and_multipass(spark, registry, workdir):
