@@ -145,3 +145,16 @@ def test_retention_rewrite(spark, workdir):
     kept = spark.read.parquet(f"{workdir}/kept")
     assert out["kept"] == kept.count() == retained(ev, "ts", 20, as_of).count()
     assert out["rows_in"] == ev.count() and out["dropped"] == expired(ev, "ts", 20, as_of).count()
+
+
+def test_clustered_layout_prunes_by_tenant(spark, workdir):
+    from tallyspark.sources.layout import tenant_file_spread, write_clustered
+
+    df = spark.range(0, 20000, numPartitions=8).select(
+        F.col("id").alias("_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 40).cast("string"))).alias("tenant"))
+    write_clustered(df, "tenant", "_id", f"{workdir}/clustered", partitions=16)
+    spread = {r.tenant: r.files for r in tenant_file_spread(spark, f"{workdir}/clustered", "tenant").collect()}
+    assert spread["hot"] > 1  # the hot tenant spans several files
+    assert sum(1 for t, n in spread.items() if t != "hot" and n == 1) >= 30  # small tenants sit in one file
+    back = spark.read.parquet(f"{workdir}/clustered")
+    assert back.count() == 20000 and back.filter("tenant = 't7'").count() == df.filter("tenant = 't7'").count()
