@@ -20,7 +20,15 @@ from .operators import reduce as R
 from .operators.filters import equality_filter
 from .operators.ordering import number_rows
 from .operators.ranges import chunk_of, id_ranges, range_predicate, ranges_frame, read_bounds
-from .plans.batch import all_tenant_lines, reduce_all_tenants, retained, run_specs, specs_frame, write_all_tenants
+from .plans.batch import (
+    all_tenant_lines,
+    apply_retention,
+    reduce_all_tenants,
+    retained,
+    run_specs,
+    specs_frame,
+    write_all_tenants,
+)
 from .plans.export import export
 from .plans.report import plan_report, run
 from .plans.stats import stats_frame
@@ -30,6 +38,7 @@ from .sinks.readback import entry_rows
 from .sinks.text import csv_frame, json_array_frame, listing_lines, ndjson_lines, report_path, snapshot_bytes
 from .sinks.workbook import workbooks
 from .sources.registry import bounded, high_water_id, testdata_registry
+from .sources.layout import write_clustered
 from .sources.seed import seed_from
 from .sources.snapshot import read_snapshot, write_snapshot
 from .spec import DEFAULT_LISTING_MAX_ROWS, DEFAULT_MAX_GROUPS, Metric, ReduceSpec, ReportSpec
@@ -784,3 +793,20 @@ def report_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{checkpoint_dir(spark).rstrip('/')}/reports"
     start_report_stream(spark, spec, testdata_registry(sf_dir), base).awaitTermination()
     return spark.read.text(report_path(base, spec.tenant, spec.report_id, "report.csv"))
+
+
+@query("retention_rewrite", "select * from events where ts + interval 20 day > timestamp '2024-01-31'")
+def retention_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 rewrite: the retained rows written to a new table, read back."""
+    target = f"{checkpoint_dir(spark).rstrip('/')}/retained-{uuid.uuid4().hex[:8]}"
+    apply_retention(table(spark, sf_dir, "events"), "ts", 20, _dt.datetime(2024, 1, 31), target, partition_by=("event_type",))
+    back = spark.read.parquet(target)
+    return back.select(*table(spark, sf_dir, "events").columns)
+
+
+@query("clustered_layout", "select * from events")
+def clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section 4 layout: the source rewritten clustered by (tenant, id), read back whole."""
+    target = f"{checkpoint_dir(spark).rstrip('/')}/clustered-{uuid.uuid4().hex[:8]}"
+    write_clustered(table(spark, sf_dir, "events"), "user_id", "event_id", target)
+    return spark.read.parquet(target)
