@@ -39,22 +39,17 @@ def int_to_objectid(value: int) -> str:
 
 
 def build_ranges(lo: int, hi: int, chunks: int) -> list[tuple[int, int, int | None]]:
-    """R1 over integers: ``(index, start, end_or_None)``; ``[]`` when ``hi < lo``."""
+    """R1 over integers: ``(index, start, end_or_None)``; ``[]`` when ``hi < lo``.
+
+    With ``span = hi - lo + 1`` and ``size = ceil(span / chunks)`` there are ``ceil(span / size)``
+    ranges (fewer than ``chunks`` when the span is short); range ``i`` starts at
+    ``lo + i * size`` and its end is open once the next start would pass ``hi``."""
     if hi < lo:
         return []
-    chunks = max(1, chunks)
-    if chunks == 1:
-        return [(0, lo, None)]
     span = hi - lo + 1
-    size = -(-span // chunks)
-    out = []
-    for index in range(chunks):
-        start = lo + index * size
-        if start > hi:
-            break
-        nxt = start + size
-        out.append((index, start, nxt if nxt <= hi else None))
-    return out
+    size = -(-span // max(1, chunks))
+    count = -(-span // size)
+    return [(i, lo + i * size, lo + (i + 1) * size if lo + (i + 1) * size <= hi else None) for i in range(count)]
 
 
 def id_ranges(min_id: Any, max_id: Any, chunks: int, id_kind: str = "bigint") -> list[IdRange]:
@@ -95,22 +90,18 @@ def read_bounds(df: DataFrame, id_col: str) -> tuple[Any, Any]:
 
 
 def ranges_frame(df: DataFrame, id_col: str, chunks: int) -> DataFrame:
-    """R1 for BIGINT ids as a lazy DataFrame: one aggregate, exploded into its ranges.
-
-    Columns ``chunk, start_id, end_id`` (``end_id`` null on the open last range)."""
-    b = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))
-    n = max(1, chunks)
-    size = F.when(F.lit(n) == 1, F.lit(None)).otherwise(
-        F.ceil((F.col("hi") - F.col("lo") + F.lit(1)) / F.lit(n)).cast("long")
-    )
-    exploded = b.filter(F.col("hi") >= F.col("lo")).select(
-        "lo", "hi", size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk")
-    )
-    start = F.when(F.col("size").isNull(), F.col("lo")).otherwise(F.col("lo") + F.col("chunk") * F.col("size"))
+    """R1 for BIGINT ids as a lazy DataFrame: one aggregate, exploded into its ranges (the
+    closed form of ``build_ranges``).  Columns ``chunk, start_id, end_id`` (``end_id`` null on
+    the open last range)."""
+    lo, hi = F.col("lo"), F.col("hi")
+    span = hi - lo + F.lit(1)
+    size = F.ceil(span / F.lit(max(1, chunks))).cast("long")
+    bounds = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).filter(hi >= lo)
+    sized = bounds.select("lo", "hi", size.alias("size"))
+    count = F.ceil(span / F.col("size")).cast("int")
+    exploded = sized.select("lo", "hi", "size", F.explode(F.sequence(F.lit(0), count - F.lit(1))).alias("chunk"))
+    start = lo + F.col("chunk") * F.col("size")
     nxt = start + F.col("size")
-    return (
-        exploded.select("chunk", start.alias("start_id"), nxt.alias("next"), "hi")
-        .filter((F.col("chunk") == 0) | (F.col("start_id") <= F.col("hi")))
-        .filter(F.col("next").isNotNull() | (F.col("chunk") == 0))
-        .select("chunk", "start_id", F.when(F.col("next") <= F.col("hi"), F.col("next")).alias("end_id"))
+    return exploded.select(
+        F.col("chunk").cast("int").alias("chunk"), start.alias("start_id"), F.when(nxt <= hi, nxt).alias("end_id")
     )
