@@ -18,12 +18,11 @@ from ..spec import DEFAULT_CHUNKS, INPUT_COUNT
 
 
 def range_count(lo: Column, hi: Column, chunks: int) -> Column:
-    """Number of R1 ranges over ``[lo, hi]`` for BIGINT ids (0 when empty)."""
-    n = max(1, chunks)
+    """Number of R1 ranges over ``[lo, hi]`` for BIGINT ids: ``ceil(span / ceil(span / chunks))``,
+    0 when there are no ids."""
     span = hi - lo + F.lit(1)
-    size = F.floor((span + F.lit(n - 1)) / F.lit(n))
-    many = F.floor((span + size - F.lit(1)) / size)
-    return F.when(lo.isNull() | (hi < lo), F.lit(0)).when(F.lit(n) == 1, F.lit(1)).otherwise(many).cast("long")
+    size = F.ceil(span / F.lit(max(1, chunks)))
+    return F.when(lo.isNull() | (hi < lo), F.lit(0)).otherwise(F.ceil(span / size)).cast("long")
 
 
 def stats_frame(plan, chunks: int | None = None) -> DataFrame:
