@@ -33,13 +33,11 @@ def sanitize_filters(obj: Any) -> dict[str, Any]:
     maps (not inside lists); anything that is not a map becomes ``{}``."""
     if not isinstance(obj, Mapping):
         return {}
-    out: dict[str, Any] = {}
-    for key, value in obj.items():
-        key = str(key)
-        if key.startswith("$") or "." in key:
-            continue
-        out[key] = sanitize_filters(value) if isinstance(value, Mapping) else value
-    return out
+    return {
+        str(k): sanitize_filters(v) if isinstance(v, Mapping) else v
+        for k, v in obj.items()
+        if not (str(k).startswith("$") or "." in str(k))
+    }
 
 
 def _and(parts: list[Column]) -> Column:
