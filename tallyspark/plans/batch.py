@@ -157,3 +157,13 @@ def apply_retention(
     writer.save(target)
     got = obs.get
     return {"rows_in": int(got["rows_in"]), "kept": int(got["kept"]), "dropped": int(got["rows_in"] - got["kept"])}
+
+
+def all_tenant_workbooks(df: DataFrame, tenant_col: str, order: Sequence, path: str, part_rows: int | None = None) -> list[dict]:
+    """L2 + K4: every tenant's workbook(s) in one pass, ``<path>/<tenant_col>=<t>/report-part<k>.xlsx``.
+
+    Returns the manifest, one small row per written file (``file, n_rows, length, sha256``)."""
+    from ..sinks.workbook import EXCEL_MAX_DATA_ROWS, workbooks, write_workbook_files
+
+    books = workbooks(df, [tenant_col], order, part_rows=part_rows or EXCEL_MAX_DATA_ROWS)
+    return [r.asDict() for r in write_workbook_files(books, path, [tenant_col], folder_per_group=True).collect()]

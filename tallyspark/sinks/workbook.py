@@ -208,11 +208,14 @@ def workbooks(
     return with_part.select(*group_cols, "part", "__rn", *order_names, *data_cols).groupBy(*group_cols, "part").applyInPandas(render, out_schema)
 
 
-def write_workbook_files(books: DataFrame, path: str, group_cols: Sequence[str], prefix: str = "report") -> DataFrame:
-    """Write each workbook part as ``<path>/<prefix>[-<group>]-part<k>.xlsx`` from the
-    executors (``pyarrow.fs`` understands local, HDFS and object-store URIs).  Names are
-    fixed by (group, part), so a retried task overwrites its own file.  Returns the lazy
-    manifest ``file, n_rows, length, sha256`` -- one row per file."""
+def write_workbook_files(
+    books: DataFrame, path: str, group_cols: Sequence[str], prefix: str = "report", folder_per_group: bool = False,
+) -> DataFrame:
+    """Write each workbook part as ``<path>/<prefix>[-<group>]-part<k>.xlsx`` (or, with
+    ``folder_per_group``, ``<path>/<col>=<value>/<prefix>-part<k>.xlsx``) from the executors
+    (``pyarrow.fs`` understands local, HDFS and object-store URIs).  Names are fixed by
+    (group, part), so a retried task overwrites its own file.  Returns the lazy manifest
+    ``file, n_rows, length, sha256`` -- one row per file."""
     import hashlib
 
     schema = T.StructType(
@@ -233,8 +236,13 @@ def write_workbook_files(books: DataFrame, path: str, group_cols: Sequence[str],
             out = []
             for rec in pdf.itertuples(index=False):
                 d = rec._asdict()
-                tag = "-".join(str(d[g]) for g in group_cols)
-                name = f"{prefix}{'-' + tag if tag else ''}-part{int(d['part']):05d}.xlsx"
+                if folder_per_group:
+                    folder = "/".join(f"{g}={d[g]}" for g in group_cols)
+                    name = f"{folder}/{prefix}-part{int(d['part']):05d}.xlsx"
+                    fs.create_dir(f"{root}/{folder}", recursive=True)
+                else:
+                    tag = "-".join(str(d[g]) for g in group_cols)
+                    name = f"{prefix}{'-' + tag if tag else ''}-part{int(d['part']):05d}.xlsx"
                 data = bytes(d["content"])
                 with fs.open_output_stream(f"{root}/{name}") as f:
                     f.write(data)

@@ -158,3 +158,19 @@ def test_clustered_layout_prunes_by_tenant(spark, workdir):
     assert sum(1 for t, n in spread.items() if t != "hot" and n == 1) >= 30  # small tenants sit in one file
     back = spark.read.parquet(f"{workdir}/clustered")
     assert back.count() == 20000 and back.filter("tenant = 't7'").count() == df.filter("tenant = 't7'").count()
+
+
+def test_all_tenant_workbooks(spark, workdir):
+    import io
+    import zipfile
+    from pathlib import Path
+
+    from tallyspark.plans.batch import all_tenant_workbooks
+
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    manifest = all_tenant_workbooks(ev, "event_type", [F.col("event_id")], f"{workdir}/books")
+    assert len(manifest) == ev.select("event_type").distinct().count()
+    assert sum(m["n_rows"] for m in manifest) == ev.count()
+    book = next(Path(f"{workdir}/books/event_type=view").glob("*.xlsx"))
+    sheet = zipfile.ZipFile(io.BytesIO(book.read_bytes())).read("xl/worksheets/sheet1.xml")
+    assert sheet.count(b"<row ") == ev.filter("event_type = 'view'").count() + 1
