@@ -54,7 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for reliable checkpoints and staged tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared filesystem there).
-    Only when the session leaves it unset -- local tests -- a scratch folder is created.
+    Only a local-mode session (tests) without one gets a scratch folder; on a cluster an
+    unset folder is an error rather than a machine-local fallback.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -62,6 +63,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a folder on the cluster's shared filesystem "
+            "(a machine-local folder would not survive an executor loss)"
+        )
     local = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
