@@ -57,8 +57,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session (tests) without one gets a scratch folder; on a cluster an
     unset folder is an error rather than a machine-local fallback.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext; the server side owns it
+        if configured:
+            return configured
+        raise RuntimeError("spark.checkpoint.dir is not set on this session")
+    configured = configured or sc.getCheckpointDir()
     if configured:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
