@@ -62,8 +62,37 @@ def number_text(c: Column, dtype: T.DataType) -> Column:
     java = x.cast("string")  # Double.toString: plain for 1e-3 <= |x| < 1e7, else 1.0E-7 / 1.5E21
     common = F.when(java.endswith(".0"), F.substr(java, F.lit(1), F.length(java) - F.lit(2))).otherwise(java)
     strip = lambda t: F.regexp_replace(t.cast("string"), r"\.?0+$", "")
+    # Integral and >= 1e7: the JVM prints d.dddE<n>; shift the point by padding the digits
+    # with zeros (a DECIMAL cast would keep the binary expansion's noise digits).
+    sci = r"^(-?)([0-9])\.([0-9]+)E([0-9]+)$"
+    digits = F.concat(F.regexp_extract(java, sci, 2), F.regexp_replace(F.regexp_extract(java, sci, 3), "0+$", ""))
+    integral_sci = F.concat(
+        F.regexp_extract(java, sci, 1), F.rpad(digits, F.regexp_extract(java, sci, 4).cast("int") + F.lit(1), F.lit("0"))
+    )
+    # From 2^53 on every double is an integer, and Double.toString (before Java 19) may print
+    # more digits than needed.  Take the exact integer (a BIGINT cast below 2^63; above it every
+    # double is a multiple of 2048), round it in DECIMAL to 15, 16 or 17 significant digits and
+    # keep the fewest that parse back to x -- JavaScript's rule.  The result is already the
+    # plain integer text JavaScript prints below 1e21.
+    dec = T.DecimalType(38, 0)
+    exact = F.when(absx < F.lit(2.0 ** 63), x.cast("long").cast(dec)).otherwise(
+        (x / F.lit(2048.0)).cast("long").cast(dec) * F.lit(2048).cast(dec)
+    )
+    n_digits = F.length(F.abs(exact).cast("string"))
+
+    def to_digits(k: int) -> Column:
+        scale = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(n_digits - F.lit(k), F.lit(0)))).cast(dec)
+        return (F.round(exact / scale, 0) * scale).cast(dec)
+
+    big_integral = (
+        F.when(to_digits(15).cast("double") == x, to_digits(15).cast("string"))
+        .when(to_digits(16).cast("double") == x, to_digits(16).cast("string"))
+        .otherwise(to_digits(17).cast("string"))
+    )
     rare = (
         F.when(x == F.lit(0.0), F.lit("0"))
+        .when((absx >= F.lit(2.0 ** 53)) & (absx < F.lit(1e21)), big_integral)
+        .when((absx >= F.lit(1e7)) & (absx < F.lit(1e21)) & (F.rint(x) == x), integral_sci)
         .when((absx < F.lit(1e21)) & (F.rint(x) == x), x.cast(T.DecimalType(38, 0)).cast("string"))
         # non-integral: |x| < 2^53, at most 17 significant digits
         .when((absx >= F.lit(1e-6)) & (absx < F.lit(1e-3)), strip(x.cast(T.DecimalType(38, 30))))

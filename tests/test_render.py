@@ -97,3 +97,11 @@ def test_odd_column_names_render(spark, workdir):
     assert lines == ["id,a.b,with space", "1,x,2"]
     assert json.loads(df.select(json_line(df).alias("j")).first().j) == {"id": 1, "a.b": "x", "with space": 2}
     assert normalize(df).columns == ["id", "a.b", "with space"]
+
+
+def test_number_text_large_integers_use_fewest_digits(spark):
+    vals = [3.509279706980837e18, 1.940495815998049e18, 7.651706268464958e18, 2.0 ** 63, 2.0 ** 64, 2.0 ** 53 + 2, 5e16]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r.t for r in df.select(number_text(F.col("x"), T.DoubleType()).alias("t")).collect()]
+    assert got == ["3509279706980837000", "1940495815998049000", "7651706268464958000", "9223372036854776000",
+                   "18446744073709552000", "9007199254740994", "50000000000000000"]
