@@ -63,3 +63,12 @@ def test_numbering_keeps_odd_column_names(spark):
     assert [tuple(r) for r in number_rows(df, [F.col("id")]).orderBy("rn").collect()] == [(1, "a", 1), (2, "b", 2)]
     g = number_rows_within(df.withColumn("g", F.lit(1)), ["g"], [F.col("id")]).orderBy("rn").collect()
     assert [r["x.y"] for r in g] == ["a", "b"]
+
+
+def test_number_rows_within_null_group(spark):
+    df = spark.range(0, 300, numPartitions=3).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise((F.col("id") % 2).cast("string")).alias("g"), "id")
+    for bound in (2_000_000, 0):
+        got = number_rows_within(df, ["g"], [F.col("id")], broadcast_max_rows=bound).select("g", "id", "rn")
+        want = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("rn"))
+        assert got.exceptAll(want).count() == 0 and got.count() == 300
