@@ -162,6 +162,8 @@ def workbooks(
         dtype = df.schema[c].dataType
         if isinstance(dtype, numeric):
             return number_text(qcol(c), dtype)
+        if isinstance(dtype, T.BinaryType):
+            return F.base64(qcol(c))
         return json_value(qcol(c), dtype) if isinstance(dtype, nested) else qcol(c)
 
     def kind(c: str) -> str:

@@ -181,3 +181,31 @@ def test_empty_report_in_every_format(spark, registry, workdir):
     sheet = zipfile.ZipFile(io.BytesIO(books[0].read_bytes())).read("xl/worksheets/sheet1.xml")
     assert b"<row" not in sheet
     assert (res.stats.rows_in, res.stats.rows_out) == (0, 0)
+
+
+def test_wide_schema_in_every_format(spark, workdir):
+    import datetime as _dt
+    import decimal as _dec
+    import io
+    import zipfile
+
+    schema = ("_id string, tenantId string, flag boolean, price decimal(10,2), day date, at timestamp, "
+              "tags array<string>, doc struct<k:string,n:double>, attrs map<string,int>, blob binary")
+    rows = [("65e5b6f1de74f57fcb0f97a6", "w", True, _dec.Decimal("1.50"), _dt.date(2024, 1, 2), _dt.datetime(2024, 1, 2, 3, 4, 5),
+             ["a", "b,c"], ("x", 2.0), {"q": 1}, b"\x00\x01"),
+            ("65e5b6f1de74f57fcb0f97a7", "w", None, None, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{workdir}/wide")
+    reg = SourceRegistry([Source("wide", f"{workdir}/wide", "_id", "tenantId", id_kind="hex")])
+    spec = ReportSpec(tenant="w", source="wide", format="zip", include_formats=("csv", "json", "pdf", "xlsx"), report_id="wide")
+    res = export(spark, spec, reg, f"{workdir}/out")
+    root = f"{workdir}/out/w/wide/report.zip"
+    parsed = json.loads(read_parts(f"{root}/report.json"))
+    assert parsed[0]["price"] == 1.5 and parsed[0]["day"] == "2024-01-02T00:00:00.000Z"
+    assert parsed[0]["doc"] == {"k": "x", "n": 2} and parsed[0]["attrs"] == {"q": 1} and parsed[0]["tags"] == ["a", "b,c"]
+    assert parsed[1]["tags"] is None and parsed[1]["flag"] is None
+    csv_text = read_parts(f"{root}/report.csv").decode()
+    assert '"[""a"",""b,c""]"' in csv_text and ",1.5," in csv_text
+    assert read_parts(f"{root}/report.pdf").decode().startswith("1. {")
+    book = next(Path(f"{root}/report.xlsx").glob("*.xlsx")).read_bytes()
+    sheet = zipfile.ZipFile(io.BytesIO(book)).read("xl/worksheets/sheet1.xml").decode()
+    assert "AAE=" in sheet and 't="b"' in sheet and res.stats.rows_out == 2
