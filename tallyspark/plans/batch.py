@@ -2,12 +2,15 @@
 
 * L2 -- every tenant's reduce in one job: the tenant becomes the leading group key, and a
   write partitions the output by tenant.  A tenant holding a third of all rows costs one
-  partial row per map task (map-side combine), never one task holding its rows.
+  partial row per map task (map-side combine), never one task holding its rows.  Raw reports
+  (CSV / JSON) and workbooks of every tenant also come out of one sorted pass, one folder
+  per tenant (``all_tenant_lines``, ``all_tenant_workbooks``).
 * L3 -- a table of saved specs run against one source scan: due specs (enabled and
   ``next_run_at <= now``) join the source on tenant (plus an optional status value), then
   one ``groupBy(spec_id)``.  The spec side is broadcast only when its row count is under a
   checked bound; beyond it the join shuffles, with AQE splitting a hot tenant's partition.
-* L1 -- retention: rows younger than ``days`` at ``as_of``, as a pushed-down range filter.
+* L1 -- retention: rows younger than ``days`` at ``as_of``, as a pushed-down range filter,
+  and a rewrite of the retained rows to a new location (``apply_retention``).
 """
 
 from __future__ import annotations
