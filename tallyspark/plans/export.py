@@ -34,7 +34,16 @@ from ..operators.reduce import (
 )
 from ..session import checkpoint_dir
 from ..sinks.manifest import Artifact, manifest_digest, noop_measure, with_policy
-from ..sinks.text import check_snapshot_size, csv_lines, json_array_lines, listing_lines, ndjson_lines, report_path, write_lines
+from ..sinks.text import (
+    check_snapshot_size,
+    clear_if_empty,
+    csv_lines,
+    json_array_lines,
+    listing_lines,
+    ndjson_lines,
+    report_path,
+    write_lines,
+)
 from ..sinks.workbook import workbooks, write_empty_workbook, write_workbook_files
 from ..sources.registry import SourceRegistry, bounded, high_water_id
 from ..functions.render import normalize
@@ -70,8 +79,10 @@ def render(rows: DataFrame, order, fmt: str, listing_max_rows: int, obs: Observa
 
 def write_format(
     spark: SparkSession, rows: DataFrame, order, fmt: str, path: str, *, compression: str, listing_max_rows: int,
-    obs: Observation | None = None,
+    obs: Observation | None = None, data_rows: int | None = None,
 ) -> None:
+    """Write one entry.  When the data row count is known (``data_rows``) or measured (``obs``),
+    a CSV header needs no probe pass: it is always written and an empty report is cleared."""
     if fmt == "xlsx":
         books = workbooks(rows.withColumn("__report", F.lit(0)), ["__report"], order, columns=rows.columns)
         written = write_workbook_files(books.drop("__report"), path, [])
@@ -83,6 +94,10 @@ def write_format(
         if counted.get.get("files", 0) == 0:
             write_empty_workbook(path)
         return
+    if fmt == "csv" and (obs is not None or data_rows is not None):
+        write_lines(csv_lines(rows, order, obs=obs, probe=False), path, compression)
+        clear_if_empty(path, data_rows if data_rows is not None else int(obs.get.get("rows", 0)), spark)
+        return
     write_lines(render(rows, order, fmt, listing_max_rows, obs), path, compression)
 
 
@@ -146,7 +161,8 @@ def export(
         if not is_bundle:
             obs = Observation("rows_out") if plan.mode == "raw" else None
             write_format(spark, rows, order, spec.format, root, compression=spec.compression,
-                         listing_max_rows=listing_max_rows, obs=obs)
+                         listing_max_rows=listing_max_rows, obs=obs,
+                         data_rows=stats.rows_out if plan.mode == "reduce" else None)
             paths[entries[0]] = root
             if obs is not None:
                 stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
@@ -157,7 +173,8 @@ def export(
                 obs = Observation(f"pass{i}") if i == 0 else None
                 path = f"{root}/report.{fmt}"
                 write_format(spark, bounded(plan.scoped, plan.source, hwm), order, fmt, path,
-                             compression="none", listing_max_rows=listing_max_rows, obs=obs)
+                             compression="none", listing_max_rows=listing_max_rows, obs=obs,
+                             data_rows=None if i == 0 else stats.rows_out)
                 paths[f"report.{fmt}"] = path
                 if obs is not None:
                     stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
@@ -175,7 +192,8 @@ def export(
                 stats.rows_in = n
             for fmt in spec.include_formats:
                 path = f"{root}/report.{fmt}"
-                write_format(spark, snap_rows, snap_order, fmt, path, compression="none", listing_max_rows=listing_max_rows)
+                write_format(spark, snap_rows, snap_order, fmt, path, compression="none", listing_max_rows=listing_max_rows,
+                             data_rows=n)
                 paths[f"report.{fmt}"] = path
         size, digest, _files = manifest_digest(spark, root, checksum)
         return Artifact(mode="filesystem", available=True, size_bytes=size, checksum=digest, key=root,

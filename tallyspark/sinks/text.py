@@ -30,12 +30,12 @@ def _keyed(df: DataFrame, order: Sequence[Column], cols: list[str]) -> tuple[Dat
     return keyed, names
 
 
-def _affix(keyed: DataFrame, key: int) -> DataFrame:
-    """A framing row shaped like the keyed data (nulls everywhere but ``__k``).  The header
-    exists only when a data row does (``limit(1)`` reads one row per split at most); the
-    footer always exists."""
+def _affix(keyed: DataFrame, key: int, probe: bool = False) -> DataFrame:
+    """A framing row shaped like the keyed data (nulls everywhere but ``__k``).  With
+    ``probe`` it exists only when a data row does (``limit(1)`` reads one row per split at
+    most); otherwise it always exists."""
     cols = [F.lit(key).alias("__k")] + [F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema.fields[1:]]
-    return keyed.limit(1).select(*cols) if key == 0 else keyed.sparkSession.range(1).select(*cols)
+    return keyed.limit(1).select(*cols) if probe else keyed.sparkSession.range(1).select(*cols)
 
 
 def _observed(frame: DataFrame, obs: Observation | None) -> DataFrame:
@@ -52,21 +52,37 @@ def _render_sorted(frame: DataFrame, names: list[str], value: Column, obs: Obser
     return _observed(frame.sort("__k", *names), obs).select(value.alias("value"))
 
 
-def csv_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> tuple[DataFrame, list[str], Column]:
-    """K1 rows with their sort keys and the line expression (unsorted)."""
+def csv_frame(
+    df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, probe: bool = True
+) -> tuple[DataFrame, list[str], Column]:
+    """K1 rows with their sort keys and the line expression (unsorted).
+
+    ``probe=False`` emits the header unconditionally (no ``limit(1)`` branch, which runs one
+    short task per input split); the caller then owns the empty case (see ``clear_if_empty``)."""
     cols = list(columns or df.columns)
     keyed, names = _keyed(df, order, cols)
-    framed = _affix(keyed, 0).unionByName(keyed)
+    header = _affix(keyed, 0, probe=probe)
+    framed = header.unionByName(keyed)
     value = F.when(F.col("__k") == 0, F.lit(csv_header(cols))).otherwise(csv_line(keyed, cols))
     return framed, names, value
 
 
-def csv_lines(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> DataFrame:
-    """K1: header plus one escaped record per row, in total order; no rows -> no lines."""
-    framed, names, value = csv_frame(df, order, columns)
+def csv_lines(
+    df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None,
+    probe: bool = True,
+) -> DataFrame:
+    """K1: header plus one escaped record per row, in total order; no rows -> no lines
+    (with ``probe=False``: a header-only frame, to be cleared by the caller)."""
+    framed, names, value = csv_frame(df, order, columns, probe)
     return _render_sorted(framed, names, value, obs)
 
 
+def clear_if_empty(path: str, data_rows: int, spark) -> None:
+    """Empty report -> zero bytes: replace a header-only output with an empty one."""
+    if data_rows == 0:
+        spark.createDataFrame([], "value string").write.mode("overwrite").text(path)
+
+
 def json_array_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> tuple[DataFrame, list[str], Column]:
     """K2 rows with their sort keys and the line expression (unsorted).  The first element
     is found by a scalar subquery on the smallest order key."""

@@ -181,6 +181,8 @@ def test_empty_report_in_every_format(spark, registry, workdir):
     sheet = zipfile.ZipFile(io.BytesIO(books[0].read_bytes())).read("xl/worksheets/sheet1.xml")
     assert b"<row" not in sheet
     assert (res.stats.rows_in, res.stats.rows_out) == (0, 0)
+    single = export(spark, ReportSpec(tenant="nobody", report_id="empty1"), registry, f"{workdir}/out")
+    assert read_parts(f"{workdir}/out/nobody/empty1/report.csv") == b"" and single.artifact.size_bytes == 0
 
 
 def test_wide_schema_in_every_format(spark, workdir):
