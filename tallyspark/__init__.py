@@ -17,6 +17,9 @@ except (ImportError, AttributeError, ValueError):
     pass
 
 from .spec import Metric, PartitionSpec, ReduceSpec, ReportSpec, SpecError  # noqa: E402
+from .plans.export import export  # noqa: E402
 from .plans.report import plan_report, run  # noqa: E402
+from .sources.registry import Source, SourceRegistry  # noqa: E402
 
-__all__ = ["Metric", "PartitionSpec", "ReduceSpec", "ReportSpec", "SpecError", "plan_report", "run"]
+__all__ = ["Metric", "PartitionSpec", "ReduceSpec", "ReportSpec", "Source", "SourceRegistry", "SpecError",
+           "export", "plan_report", "run"]
