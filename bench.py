@@ -45,15 +45,15 @@ def main() -> None:
         Source("reportSource", seed_path, "_id", "tenant_id"),
     ])
 
-    def add_all(name, path, id_col, unique=True):
+    def add_all(name, path, id_col, unique=True, tiebreak=()):
         # the whole table as one tenant: a constant scope column on a view
         df = spark.read.parquet(path).withColumn("__all", F.lit(0))
         view = f"bench_{name}"
         df.createOrReplaceTempView(view)
-        return SourceRegistry([Source(name, view, id_col, "__all", format="table", unique_id=unique)])
+        return SourceRegistry([Source(name, view, id_col, "__all", format="table", unique_id=unique, tiebreak=tiebreak)])
 
     events_all = add_all("events", f"{sf_dir}/events.parquet", "event_id")
-    li = add_all("lineitem", f"{sf_dir}/lineitem.parquet", "l_orderkey", unique=False)
+    li = add_all("lineitem", f"{sf_dir}/lineitem.parquet", "l_orderkey", unique=False, tiebreak=("l_linenumber",))
 
     amount = ReduceSpec(group_by=("status",), metrics=(Metric("count", "count"), Metric("sum", "total", "amount"),
                                                        Metric("avg", "avg", "amount")))

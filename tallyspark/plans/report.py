@@ -35,10 +35,14 @@ class ReportPlan:
 
 
 def raw_order(df: DataFrame, source: Source) -> list[Column]:
-    """O1: id order; with repeating ids a hash of the whole row breaks ties."""
+    """O1: id order; with repeating ids the declared tiebreak columns, or else a hash of the
+    whole row, break ties."""
     order = [F.col(source.id_col)]
     if not source.unique_id:
-        order.append(F.xxhash64(*[qcol(c) for c in df.columns]))
+        if source.tiebreak:
+            order.extend(qcol(c) for c in source.tiebreak)
+        else:
+            order.append(F.xxhash64(*[qcol(c) for c in df.columns]))
     return order
 
 

@@ -22,9 +22,10 @@ DEFAULT_SOURCE = "reportSource"
 class Source:
     """A named table.  ``id_kind`` is ``bigint`` or ``hex`` (24 lowercase hex digits).
 
-    ``unique_id=False`` declares that ids repeat; raw reports then add a row hash as a
-    tiebreaker, so a hot id value is still split over many sort partitions and the order of
-    tied rows is the same on every (re)computation."""
+    ``unique_id=False`` declares that ids repeat; raw reports then break ties by the
+    ``tiebreak`` columns when given (e.g. a line number), else by a hash of the whole row, so a
+    hot id value is still split over many sort partitions and the order of tied rows is the
+    same on every (re)computation."""
 
     name: str
     path: str
@@ -35,6 +36,7 @@ class Source:
     unique_id: bool = True
     schema: str | None = None  # DDL; fixes the schema of text sources (no inference pass)
     options: tuple[tuple[str, str], ...] = ()  # reader options, e.g. (("header", "true"),)
+    tiebreak: tuple[str, ...] = ()  # columns ordering rows that share an id
 
     def load(self, spark: SparkSession) -> DataFrame:
         if self.format == "table":
@@ -85,9 +87,11 @@ def testdata_registry(sf_dir: str, allowed: Iterable[str] | None = None) -> Sour
         "customer": ("c_custkey", "c_mktsegment"),
         "conversations": ("conv_id", "role"),
     }
-    repeating = {"lineitem", "conversations"}  # ids that repeat across rows
+    # Ids that repeat across rows, with the column that orders rows sharing an id.
+    tiebreaks = {"lineitem": ("l_linenumber",), "conversations": ("turn",)}
     sources = [
-        Source(name, f"{sf_dir}/{name}.parquet", id_col, tenant, unique_id=name not in repeating)
+        Source(name, f"{sf_dir}/{name}.parquet", id_col, tenant, unique_id=name not in tiebreaks,
+               tiebreak=tiebreaks.get(name, ()))
         for name, (id_col, tenant) in roles.items()
     ]
     return SourceRegistry(sources, allowed=allowed, default="events")

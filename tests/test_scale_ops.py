@@ -174,3 +174,12 @@ def test_all_tenant_workbooks(spark, workdir):
     book = next(Path(f"{workdir}/books/event_type=view").glob("*.xlsx"))
     sheet = zipfile.ZipFile(io.BytesIO(book.read_bytes())).read("xl/worksheets/sheet1.xml")
     assert sheet.count(b"<row ") == ev.filter("event_type = 'view'").count() + 1
+
+
+def test_declared_tiebreak_orders_tied_ids(spark):
+    from tallyspark.plans.report import raw_order
+    from tallyspark.sources.registry import Source
+
+    df = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (0, 9, "z"), (1, 2, "b")], "k long, line int, v string")
+    src = Source("t", "-", "k", "tenant", unique_id=False, tiebreak=("line",))
+    assert [r.v for r in df.sort(*raw_order(df, src)).collect()] == ["z", "a", "b", "c"]
