@@ -97,7 +97,10 @@ def specs_frame(spark, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 
 
-def all_tenant_lines(df: DataFrame, tenant_col: str, order: Sequence, fmt: str = "csv", columns: Sequence[str] | None = None) -> DataFrame:
+def all_tenant_lines(
+    df: DataFrame, tenant_col: str, order: Sequence, fmt: str = "csv", columns: Sequence[str] | None = None,
+    unique: bool = True,
+) -> DataFrame:
     """L2 for raw reports: every tenant's CSV (or JSON array) in one sorted frame.
 
     One global sort on ``(tenant, line kind, order)``: a tenant holding a third of all rows
@@ -116,6 +119,19 @@ def all_tenant_lines(df: DataFrame, tenant_col: str, order: Sequence, fmt: str =
     if fmt == "csv":
         framed = tenants.select(tenant_col, F.lit(0).alias("__k"), *nulls).toDF(*data.columns).unionByName(data)
         value = F.when(F.col("__k") == 0, F.lit(csv_header(cols))).otherwise(csv_line(data, cols))
+    elif fmt == "json" and not unique:
+        # The order key may tie (identical rows): number rows per tenant and open each array at row 1.
+        from ..operators.ordering import number_rows_within
+
+        numbered = number_rows_within(data, [tenant_col], [F.col(n) for n in names], "__rn")
+        framed = numbered.unionByName(
+            tenants.select(tenant_col, F.lit(2).alias("__k"), *nulls, F.lit(None).cast("long").alias("__rn")).toDF(*numbered.columns)
+        )
+        line = json_line(data, cols)
+        # Tenants come from the rows themselves, so every tenant has a first element.
+        value = (F.when(F.col("__k") == 2, F.lit("]"))
+                 .when(F.col("__rn") == 1, F.concat(F.lit("["), line))
+                 .otherwise(F.concat(F.lit(","), line)))
     elif fmt == "json":
         firsts = data.groupBy(tenant_col).agg(F.min(F.struct(*names)).alias("__first"))
         # One row per tenant: broadcast under a counted bound, else a shuffle join whose hot

@@ -66,12 +66,15 @@ class ExportResult:
     paths: dict[str, str] = field(default_factory=dict)
 
 
-def render(rows: DataFrame, order, fmt: str, listing_max_rows: int, obs: Observation | None = None) -> DataFrame:
-    """Text lines of one format (csv, json, pdf -> numbered listing)."""
+def render(
+    rows: DataFrame, order, fmt: str, listing_max_rows: int, obs: Observation | None = None, unique: bool = True,
+) -> DataFrame:
+    """Text lines of one format (csv, json, pdf -> numbered listing).  ``unique=False`` when
+    the order key may tie (repeating ids)."""
     if fmt == "csv":
         return csv_lines(rows, order, obs=obs)
     if fmt == "json":
-        return json_array_lines(rows, order, obs=obs)
+        return json_array_lines(rows, order, obs=obs, unique=unique)
     if fmt == "pdf":
         return listing_lines(rows, order, listing_max_rows, obs=obs)
     raise ValueError(f"not a text format: {fmt}")
@@ -79,7 +82,7 @@ def render(rows: DataFrame, order, fmt: str, listing_max_rows: int, obs: Observa
 
 def write_format(
     spark: SparkSession, rows: DataFrame, order, fmt: str, path: str, *, compression: str, listing_max_rows: int,
-    obs: Observation | None = None, data_rows: int | None = None,
+    obs: Observation | None = None, data_rows: int | None = None, unique: bool = True,
 ) -> None:
     """Write one entry.  When the data row count is known (``data_rows``) or measured (``obs``),
     a CSV header needs no probe pass: it is always written and an empty report is cleared."""
@@ -98,7 +101,7 @@ def write_format(
         write_lines(csv_lines(rows, order, obs=obs, probe=False), path, compression)
         clear_if_empty(path, data_rows if data_rows is not None else int(obs.get.get("rows", 0)), spark)
         return
-    write_lines(render(rows, order, fmt, listing_max_rows, obs), path, compression)
+    write_lines(render(rows, order, fmt, listing_max_rows, obs, unique), path, compression)
 
 
 def export(
@@ -146,6 +149,7 @@ def export(
 
     entries = spec.entries
     is_bundle = spec.format == "zip"
+    unique = plan.mode == "reduce" or plan.source.unique_id
     root = report_path(base, spec.tenant, spec.report_id, "report.zip" if is_bundle else entries[0])
     paths: dict[str, str] = {}
 
@@ -153,7 +157,7 @@ def export(
         if noop:
             fmt = "csv" if is_bundle or spec.format == "xlsx" else spec.format
             obs = Observation("noop_rows") if plan.mode == "raw" else None
-            measured = noop_measure(render(rows, order, fmt, listing_max_rows, obs))
+            measured = noop_measure(render(rows, order, fmt, listing_max_rows, obs, unique))
             if obs is not None:
                 stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
             return Artifact(mode="noop", available=False, reason="NOOP", size_bytes=int(measured["bytes"]),
@@ -162,7 +166,7 @@ def export(
             obs = Observation("rows_out") if plan.mode == "raw" else None
             write_format(spark, rows, order, spec.format, root, compression=spec.compression,
                          listing_max_rows=listing_max_rows, obs=obs,
-                         data_rows=stats.rows_out if plan.mode == "reduce" else None)
+                         data_rows=stats.rows_out if plan.mode == "reduce" else None, unique=unique)
             paths[entries[0]] = root
             if obs is not None:
                 stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
@@ -174,7 +178,7 @@ def export(
                 path = f"{root}/report.{fmt}"
                 write_format(spark, bounded(plan.scoped, plan.source, hwm), order, fmt, path,
                              compression="none", listing_max_rows=listing_max_rows, obs=obs,
-                             data_rows=None if i == 0 else stats.rows_out)
+                             data_rows=None if i == 0 else stats.rows_out, unique=unique)
                 paths[f"report.{fmt}"] = path
                 if obs is not None:
                     stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
@@ -193,7 +197,7 @@ def export(
             for fmt in spec.include_formats:
                 path = f"{root}/report.{fmt}"
                 write_format(spark, snap_rows, snap_order, fmt, path, compression="none", listing_max_rows=listing_max_rows,
-                             data_rows=n)
+                             data_rows=n, unique=unique)
                 paths[f"report.{fmt}"] = path
         size, digest, _files = manifest_digest(spark, root, checksum)
         return Artifact(mode="filesystem", available=True, size_bytes=size, checksum=digest, key=root,

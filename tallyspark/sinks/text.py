@@ -83,25 +83,38 @@ def clear_if_empty(path: str, data_rows: int, spark) -> None:
         spark.createDataFrame([], "value string").write.mode("overwrite").text(path)
 
 
-def json_array_frame(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None) -> tuple[DataFrame, list[str], Column]:
-    """K2 rows with their sort keys and the line expression (unsorted).  The first element
-    is found by a scalar subquery on the smallest order key."""
+def json_array_frame(
+    df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, unique: bool = True
+) -> tuple[DataFrame, list[str], Column]:
+    """K2 rows with their sort keys and the line expression (unsorted).
+
+    The first element is the row holding the smallest order key (a scalar subquery).  When the
+    order key may repeat (``unique=False``: identical rows can tie), rows are numbered instead
+    and the first gets the ``[`` -- exactly one, whatever the ties."""
     cols = list(columns or df.columns)
     keyed, names = _keyed(df, order, cols)
     key = F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
     first = keyed.select(F.min(key)).scalar()
+    if unique:
+        is_first = key == first
+    else:
+        keyed = number_rows(keyed, [F.col(n) for n in names], "__rn")
+        is_first = F.col("__rn") == 1
     line = json_line(keyed, cols)
     value = (
         F.when(F.col("__k") == 2, F.when(first.isNull(), F.lit("[]")).otherwise(F.lit("]")))
-        .when(key == first, F.concat(F.lit("["), line))
+        .when(is_first, F.concat(F.lit("["), line))
         .otherwise(F.concat(F.lit(","), line))
     )
     return keyed.unionByName(_affix(keyed, 2)), names, value
 
 
-def json_array_lines(df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None) -> DataFrame:
+def json_array_lines(
+    df: DataFrame, order: Sequence[Column], columns: list[str] | None = None, obs: Observation | None = None,
+    unique: bool = True,
+) -> DataFrame:
     """K2: a JSON array, one element per line: ``[e1`` / ``,e2`` ... / ``]``; no rows -> ``[]``."""
-    framed, names, value = json_array_frame(df, order, columns)
+    framed, names, value = json_array_frame(df, order, columns, unique)
     return _render_sorted(framed, names, value, obs)
 
 

@@ -211,3 +211,13 @@ def test_wide_schema_in_every_format(spark, workdir):
     book = next(Path(f"{root}/report.xlsx").glob("*.xlsx")).read_bytes()
     sheet = zipfile.ZipFile(io.BytesIO(book)).read("xl/worksheets/sheet1.xml").decode()
     assert "AAE=" in sheet and 't="b"' in sheet and res.stats.rows_out == 2
+
+
+def test_json_with_identical_rows_has_one_opening_bracket(spark, workdir):
+    rows = [(1, "t", "x"), (1, "t", "x"), (0, "t", "y"), (0, "t", "y")]  # exact duplicates tie on (id, row hash)
+    spark.createDataFrame(rows, "k long, tenant string, v string").write.parquet(f"{workdir}/dups")
+    reg = SourceRegistry([Source("d", f"{workdir}/dups", "k", "tenant", unique_id=False)])
+    export(spark, ReportSpec(tenant="t", source="d", format="json", report_id="dups"), reg, f"{workdir}/out")
+    text = read_parts(f"{workdir}/out/t/dups/report.json").decode()
+    assert text.count("[") == 1
+    assert json.loads(text) == [{"k": 0, "tenant": "t", "v": "y"}] * 2 + [{"k": 1, "tenant": "t", "v": "x"}] * 2

@@ -183,3 +183,15 @@ def test_declared_tiebreak_orders_tied_ids(spark):
     df = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (0, 9, "z"), (1, 2, "b")], "k long, line int, v string")
     src = Source("t", "-", "k", "tenant", unique_id=False, tiebreak=("line",))
     assert [r.v for r in df.sort(*raw_order(df, src)).collect()] == ["z", "a", "b", "c"]
+
+
+def test_all_tenant_json_with_identical_rows(spark, workdir):
+    import json
+
+    from conftest import read_parts
+    from tallyspark.plans.batch import all_tenant_lines, write_all_tenants
+
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("b", 2, "y")], "tenant string, k long, v string")
+    write_all_tenants(all_tenant_lines(df, "tenant", [F.col("k")], "json", unique=False), "tenant", f"{workdir}/j")
+    assert json.loads(read_parts(f"{workdir}/j/tenant=a")) == [{"k": 1, "v": "x"}] * 2
+    assert json.loads(read_parts(f"{workdir}/j/tenant=b")) == [{"k": 2, "v": "y"}]
