@@ -78,17 +78,18 @@ def number_text(c: Column, dtype: T.DataType) -> Column:
     exact = F.when(absx < F.lit(2.0 ** 63), x.cast("long").cast(dec)).otherwise(
         (x / F.lit(2048.0)).cast("long").cast(dec) * F.lit(2048).cast(dec)
     )
-    n_digits = F.length(F.abs(exact).cast("string"))
 
-    def to_digits(k: int) -> Column:
-        scale = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(n_digits - F.lit(k), F.lit(0)))).cast(dec)
-        return (F.round(exact / scale, 0) * scale).cast(dec)
+    def fewest_digits(e: Column) -> Column:  # e: the exact integer, bound once by transform()
+        n_digits = F.length(F.abs(e).cast("string"))
 
-    big_integral = (
-        F.when(to_digits(15).cast("double") == x, to_digits(15).cast("string"))
-        .when(to_digits(16).cast("double") == x, to_digits(16).cast("string"))
-        .otherwise(to_digits(17).cast("string"))
-    )
+        def to_digits(k: int) -> Column:
+            scale = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(n_digits - F.lit(k), F.lit(0)))).cast(dec)
+            return (F.round(e / scale, 0) * scale).cast(dec)
+
+        candidates = F.array(to_digits(15), to_digits(16), to_digits(17))  # 17 digits always round-trip
+        return F.filter(candidates, lambda c: c.cast("double") == x).getItem(0).cast("string")
+
+    big_integral = F.transform(F.array(exact), fewest_digits).getItem(0)
     rare = (
         F.when(x == F.lit(0.0), F.lit("0"))
         .when((absx >= F.lit(2.0 ** 53)) & (absx < F.lit(1e21)), big_integral)
