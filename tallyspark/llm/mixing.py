@@ -172,8 +172,8 @@ o AS (SELECT words, heavy FROM f WHERE cap * heavy > weight * words ORDER BY cap
 t AS (SELECT w.source, source_size, CASE WHEN cap * o.heavy > weight * o.words THEN weight * o.words / o.heavy ELSE cap END AS target
       FROM w LEFT JOIN o ON true),
 a AS (SELECT d.doc_id, size, source_size, target, least(round(target)::BIGINT, 2 * source_size) AS goal,
-             (sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', '17', d.doc_id)), d.doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS at
+             (sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', '17', d.doc_id)), d.doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS begins
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       least(greatest(goal - at, 0), size) + least(greatest(goal - at - source_size, 0), size) AS taken FROM a
+       least(greatest(goal - begins, 0), size) + least(greatest(goal - begins - source_size, 0), size) AS taken FROM a
 """
