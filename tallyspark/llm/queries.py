@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing
+from . import decontaminate, line_dedup, mixing, repetition
 from .staging import table_path
 
 
@@ -18,15 +18,26 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(spark, _docs(spark, sf_dir))
 
 
+def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_digest(_docs(spark, sf_dir))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_docs(spark, sf_dir))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(_docs(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op6_repetition_rules": op6_repetition_rules,
     "op7_source_mixing": op7_source_mixing,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op8_benchmark_decontamination": decontaminate.ORACLE,
 }
