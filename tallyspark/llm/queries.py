@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, repetition
+from . import decontaminate, line_dedup, mixing, near_dedup, repetition
 from .staging import table_path
 
 
@@ -14,6 +14,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "documents"))
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_digest(_docs(spark, sf_dir))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(spark, _docs(spark, sf_dir))
 
@@ -31,12 +35,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op6_repetition_rules": op6_repetition_rules,
     "op7_source_mixing": op7_source_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": near_dedup.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,

@@ -43,3 +43,11 @@ def table_path(sf_dir: str, name: str) -> str:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else; ``lower`` serves the all-ASCII strings, where both agree."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_LOWER))
+
+
+def bounded_batches(spark: SparkSession, limit: int = 32 << 20) -> None:
+    """Rows reach Python in batches of at most about ``limit`` bytes, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not str(now).isdigit() or int(now) <= 0 or int(now) > limit:
+        spark.conf.set(key, str(limit))
