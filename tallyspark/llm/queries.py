@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, near_dedup, repetition
+from . import decontaminate, line_dedup, mixing, near_dedup, quality, repetition, toxicity
 from .staging import table_path
 
 
@@ -22,6 +22,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(spark, _docs(spark, sf_dir))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(_docs(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "labels")))
+
+
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_digest(_docs(spark, sf_dir))
 
@@ -34,12 +38,18 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination_digest(_docs(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "benchmark")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(_docs(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_repetition_rules": op6_repetition_rules,
     "op7_source_mixing": op7_source_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": near_dedup.ORACLE,
