@@ -2,7 +2,7 @@
 
 Confirmed toxic rows (at most about ``FIT_POSITIVE``, outside the held-out fold) stand against a
 sample of all documents' texts, labels unseen (at most about ``FIT_UNLABELLED``).  A text is the set
-of its hashed words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, A-Z lower-cased) and of the words' first 3 to 6
+of its hashed words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, A-Z lower-cased) and of the words' first 4 to 10
 bytes.  Those that are clearly more or less frequent among the confirmed rows become the inputs, scaled by their log frequency ratio; a
 linear classifier is fitted in numpy by gradient steps on the non-negative risk of Kiryo et al. 2017,
 
@@ -34,7 +34,7 @@ from .tokens import ALNUM_WORD, Slice, mix, runs_of, slices
 
 FIT_POSITIVE, FIT_UNLABELLED = 4_000, 6_000
 FOLDS, HELD = 5, 0
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8, 10)
 STEPS, RATE, SHRINK, MIN_Z, MIN_TEXTS = 400, 0.05, 1e-4, 5.0, 5
 
 
