@@ -83,7 +83,7 @@ def _offsets(frame: DataFrame, keys: list[str], part: str, amount: str, name: st
     return frame.withColumn(name, F.coalesce(F.sum(amount).over(before), F.lit(0)))
 
 
-def schedule(spark: SparkSession, shares: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+def schedule(spark: SparkSession, shares: DataFrame, chunk: int = 1 << 12) -> DataFrame:
     """``(slot, source_no, rank)``: every block of every source once, in schedule order; tail slots come last.
 
     ``shares`` has ``source_no, quota`` (blocks to take); the weights are the quotas."""
@@ -155,6 +155,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_words: int = 25
     return mixed, slots, pieces.select("source_no", "rank", "doc_id", "words")
 
 
+def with_texts(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with ``size, source_size, target, taken``; texts meet their row by a key, in one shuffle.
+
+    Rows that agree in id and text share a key, and their texts are one."""
+    key = F.xxhash64("doc_id", "text")
+    slim = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "taken")], key.alias("mix_key"))
+    texts = slim.select("mix_key", F.col("doc_id").alias("mix_id"), F.col("text").alias("mix_text")).dropDuplicates(["mix_key", "mix_id"])
+    mixed = mix(slim)[0]
+    joined = mixed.join(texts, (mixed["mix_key"] == texts["mix_key"]) & mixed["doc_id"].eqNullSafe(texts["mix_id"])).drop(texts["mix_key"])
+    return joined.withColumn("text", F.col("mix_text")).drop("mix_key", "mix_id", "mix_text")
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """The contract's columns from ``mix``."""
     return mix(docs.select("doc_id", "source", "text"))[0].select("doc_id", "size", "source_size", "target", "taken")
