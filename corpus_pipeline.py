@@ -21,7 +21,7 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    model = quality.fit_quality(spark.read.parquet(table_path(sf_dir, "documents")), spark.read.parquet(table_path(sf_dir, "labels")))
+    model = quality.fit_quality(docs, spark.read.parquet(table_path(sf_dir, "labels")))
     return quality.score_quality(docs, model).where("predicted = 1").select(*COLUMNS)
 
 

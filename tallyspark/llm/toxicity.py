@@ -13,7 +13,7 @@ The prior is the toxic share of the usable labels.  Features are collected as wo
 texts; scoring is one pass over the documents.
 
 Defined cases: a null or empty text has no words and gets the constant's score; without confirmed
-rows every score is 0; an id that is labelled 0 and 1 counts as 1; a label without its document is ignored;
+rows every score is 0 (below 1e-9); an id that is labelled 0 and 1 counts as 1; a label without its document is ignored;
 rows that repeat a ``doc_id`` are scored each on its own; a null ``doc_id`` belongs to the fold of the
 empty text; an empty table gives an empty result; extra columns stay (``held_out score predicted``
 are replaced).
