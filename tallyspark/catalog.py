@@ -9,6 +9,8 @@ to DOUBLE on both sides so float addition order cannot differ.
 from __future__ import annotations
 
 import datetime as _dt
+import functools
+import json
 import uuid
 from collections.abc import Callable
 
@@ -35,14 +37,14 @@ from .plans.stats import stats_frame
 from .session import checkpoint_dir
 from .sinks.manifest import part_files
 from .sinks.readback import entry_rows
-from .sinks.text import csv_frame, json_array_frame, listing_lines, ndjson_lines, report_path, snapshot_bytes
+from .sinks.text import csv_frame, json_array_frame, listing_lines, ndjson_lines, snapshot_bytes
 from .sinks.workbook import workbooks
-from .sources.registry import bounded, high_water_id, testdata_registry
+from .sources.registry import Source, SourceRegistry, bounded, high_water_id, testdata_registry
 from .sources.layout import write_clustered
 from .sources.seed import seed_from
 from .sources.snapshot import read_snapshot, write_snapshot
-from .spec import DEFAULT_LISTING_MAX_ROWS, DEFAULT_MAX_GROUPS, Metric, ReduceSpec, ReportSpec
-from .streaming.incremental import reduce_stream_once, start_report_stream
+from .spec import LISTING_MAX_ROWS, MAX_GROUPS, Metric, ReduceSpec, ReportSpec
+from .streaming.incremental import current_report, reduce_stream_once, start_report_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -232,7 +234,7 @@ from events group by event_type
 def reduce_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = ReduceSpec(group_by=("event_type",), metrics=(Metric("count", "n"),))
     out = R.reduce(table(spark, sf_dir, "events"), spec)
-    return number_rows(out, [R.group_order_key(spec, schema=out.schema)])
+    return number_rows(out, R.group_order(spec, schema=out.schema))
 
 
 @query(
@@ -244,7 +246,7 @@ from events group by user_id
 )
 def reduce_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = ReduceSpec(group_by=("user_id",), metrics=(Metric("count", "n"), Metric("sum", "total", "value")))
-    reduced = R.enforce_group_cap(R.reduce_frame(money(table(spark, sf_dir, "events"), "value"), spec), DEFAULT_MAX_GROUPS)
+    reduced = R.enforce_group_cap(R.reduce_frame(money(table(spark, sf_dir, "events"), "value"), spec), MAX_GROUPS)
     return as_double(R.report_view(reduced, spec), "total")
 
 
@@ -315,7 +317,8 @@ def id_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     lo, hi = read_bounds(ev, "event_id")
     ranges = id_ranges(lo, hi, 32)
-    return ev.select("event_id", chunk_of(ranges, "event_id").cast("int").alias("chunk"))
+    parts = [ev.where(range_predicate(r, "event_id")).select("event_id", F.lit(r.index).alias("chunk")) for r in ranges]
+    return functools.reduce(DataFrame.unionAll, parts)
 
 
 @query("filter_type_bracket", "select * from orders where false")
@@ -454,7 +457,7 @@ EVENT_JSON_SQL = (
 )
 def numbered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_report(spark, ReportSpec(tenant=8, source="events", format="pdf"), testdata_registry(sf_dir))
-    return listing_lines(plan.rows, plan.order, DEFAULT_LISTING_MAX_ROWS)
+    return listing_lines(plan.rows, plan.order, LISTING_MAX_ROWS)
 
 
 @query(
@@ -681,49 +684,44 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Saved specs: (spec_id, tenant, status or null = all, enabled, next_run_at).
+def _request(fmt: str, filters: dict, group_by: list[str], metrics: list[tuple]) -> str:
+    return json.dumps({"reportDefinitionId": "saved", "format": fmt, "filters": filters, "reduceSpec": {
+        "groupBy": group_by, "metrics": [{"op": op, "as": alias, **({"field": f} if f else {})} for op, alias, f in metrics]}})
+
+
+_BY_TYPE = ["event_type"], [("count", "n", None), ("max", "last_id", "event_id")]
+_WHOLE = [], [("count", "n", None), ("min", "first_id", "event_id"), ("avg", "avg_user", "user_id")]
 SAVED_SPECS = [
-    (1, 8, None, True, _dt.datetime(2024, 1, 1)),
-    (2, 8, "purchase", True, _dt.datetime(2024, 1, 1)),
-    (3, 16, "view", True, _dt.datetime(2024, 1, 20)),
-    (4, 46, None, False, _dt.datetime(2024, 1, 1)),
-    (5, 7, None, True, _dt.datetime(2099, 1, 1)),
-    (6, 143, "error", True, _dt.datetime(2024, 1, 31, 23, 59)),
+    (1, 8, _request("csv", {}, *_BY_TYPE), True, _dt.datetime(2024, 1, 1)),
+    (2, 8, _request("json", {"event_type": "view"}, *_WHOLE), True, _dt.datetime(2024, 1, 15)),
+    (3, 16, _request("csv", {"event_type": "click"}, *_BY_TYPE), True, _dt.datetime(2024, 1, 1)),
+    (4, 16, _request("csv", {}, *_BY_TYPE), False, _dt.datetime(2024, 1, 1)),
+    (5, 3, _request("csv", {}, *_BY_TYPE), True, _dt.datetime(2030, 1, 1)),
+    (6, 143, _request("json", {"event_type": "error"}, ["event_type", "user_id"], [("count", "n", None)]), True, _dt.datetime(2024, 1, 31, 23, 59)),
+    (7, 8, _request("csv", {"event_type": 7}, *_BY_TYPE), True, _dt.datetime(2024, 1, 1)),  # another type: no rows
 ]
 SAVED_SPECS_NOW = _dt.datetime(2024, 2, 1)
 
 
-def _values_sql() -> str:
-    def lit(v):
-        if v is None:
-            return "null"
-        if isinstance(v, bool):
-            return "true" if v else "false"
-        if isinstance(v, _dt.datetime):
-            return f"timestamp '{v:%Y-%m-%d %H:%M:%S}'"
-        if isinstance(v, str):
-            return f"'{v}'"
-        return str(v)
-
-    return ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in SAVED_SPECS)
-
-
 @query(
     "batch_specs",
-    f"""
-with specs(spec_id, tenant, status, enabled, next_run_at) as (values {_values_sql()}),
-due as (select * from specs where enabled and next_run_at <= timestamp '{SAVED_SPECS_NOW:%Y-%m-%d %H:%M:%S}')
-select cast(d.spec_id as integer) as spec_id, e.event_type, count(*) as n,
-       cast(sum(cast(e.value as decimal(18,2))) as double) as total
-from events e join due d on e.user_id = d.tenant and (d.status is null or e.event_type = d.status)
-group by 1, 2
+    """
+select 1 as spec_id, 'csv' as format, '{"event_type":"' || event_type || '","n":' || count(*) || ',"last_id":' || max(event_id) || '}' as row
+from events where user_id = 8 group by event_type
+union all
+select 2, 'json', '{"n":' || count(*) || ',"first_id":' || min(event_id) || ',"avg_user":8}'
+from events where user_id = 8 and event_type = 'view' having count(*) > 0
+union all
+select 3, 'csv', '{"event_type":"' || event_type || '","n":' || count(*) || ',"last_id":' || max(event_id) || '}'
+from events where user_id = 16 and event_type = 'click' group by event_type
+union all
+select 6, 'json', '{"event_type":"' || event_type || '","user_id":' || user_id || ',"n":' || count(*) || '}'
+from events where user_id = 143 and event_type = 'error' group by event_type, user_id
 """,
 )
 def batch_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = specs_frame(spark, SAVED_SPECS)
-    spec = ReduceSpec(group_by=("event_type",), metrics=(Metric("count", "n"), Metric("sum", "total", "value")))
-    out = run_specs(money(table(spark, sf_dir, "events"), "value"), specs, SAVED_SPECS_NOW,
-                    tenant_col="user_id", status_col="event_type", spec=spec)
-    return as_double(out, "total")
+    """L3: due specs, each with its own filters, reduce and format, in one aggregation per shape."""
+    return run_specs(table(spark, sf_dir, "events"), specs_frame(spark, SAVED_SPECS), SAVED_SPECS_NOW, tenant_col="user_id")
 
 
 # ------------------------------------------------------------------ one-pass exports and manifests
@@ -792,7 +790,7 @@ def report_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         group_by=("event_type",), metrics=(Metric("count", "n"), Metric("max", "max_value", "value"))))
     base = f"{checkpoint_dir(spark).rstrip('/')}/reports"
     start_report_stream(spark, spec, testdata_registry(sf_dir), base).awaitTermination()
-    return spark.read.text(report_path(base, spec.tenant, spec.report_id, "report.csv"))
+    return spark.read.text(current_report(spark, base, spec))
 
 
 @query("retention_rewrite", "select * from events where ts + interval 20 day > timestamp '2024-01-31'")
@@ -810,3 +808,104 @@ def clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = f"{checkpoint_dir(spark).rstrip('/')}/clustered-{uuid.uuid4().hex[:8]}"
     write_clustered(table(spark, sf_dir, "events"), "user_id", "event_id", target)
     return spark.read.parquet(target)
+
+
+# ------------------------------------------------------------------ edges of the operators
+
+
+@query("tenant_type_bracket", "select * from events where false")
+def tenant_type_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenant of another type family matches nothing (and is no cast error)."""
+    return run(spark, ReportSpec(tenant="08", source="events"), testdata_registry(sf_dir))
+
+
+@query(
+    "hwm_scan_null_ids",
+    "select case when o_orderkey % 10 = 0 then null else o_orderkey end as o_orderkey, o_orderstatus from orders where o_orderpriority = '1-URGENT'",
+)
+def hwm_scan_null_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the bounded re-read keeps rows without an id."""
+    plan = plan_report(spark, ReportSpec(tenant="1-URGENT", source="orders"), testdata_registry(sf_dir))
+    some = plan.scoped.select(F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey")).alias("o_orderkey"), "o_orderstatus")
+    return bounded(some, plan.source, high_water_id(some, plan.source))
+
+
+@query(
+    "reduce_avg_bigint",
+    """
+select event_type, cast(sum(cast(9000000000000000000 + event_id as hugeint)) as double) / count(*) as avg_big
+from events group by event_type
+""",
+)
+def reduce_avg_bigint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: the step sum of an average does not overflow."""
+    ev = table(spark, sf_dir, "events").withColumn("big", F.lit(9_000_000_000_000_000_000) + F.col("event_id"))
+    return R.reduce(ev, ReduceSpec(group_by=("event_type",), metrics=(Metric("avg", "avg_big", "big"),)))
+
+
+@query(
+    "reduce_ts_key",
+    "select date_trunc('millisecond', ts + to_microseconds(event_id % 3000)) as ts, count(*) as n from events group by 1",
+)
+def reduce_ts_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times that print alike are one key."""
+    ev = table(spark, sf_dir, "events").withColumn("ts", F.expr("ts + make_dt_interval(0, 0, 0, (event_id % 3000) / 1000000)"))
+    return R.reduce(ev, ReduceSpec(group_by=("ts",), metrics=(Metric("count", "n"),)))
+
+
+@query(
+    "chunk_ranges_large",
+    """
+with b as (select min(event_id)::hugeint * 100000000000000 + 7 as lo, max(event_id)::hugeint * 100000000000000 + 7 as hi from events),
+s as (select lo, hi, (hi - lo + 7) // 7 as size from b)
+select cast(least((event_id::hugeint * 100000000000000 + 7 - s.lo) // s.size, 6) as integer) as chunk, count(*) as n_rows
+from events, s group by 1
+""",
+)
+def chunk_ranges_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 and A9 over ids near 10^18: exact range arithmetic."""
+    ev = table(spark, sf_dir, "events").withColumn("event_id", F.col("event_id") * 100_000_000_000_000 + 7)
+    ranges = id_ranges(*read_bounds(ev, "event_id"), 7)
+    return ev.groupBy(chunk_of(ranges, "event_id").alias("chunk")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("run_stats_hex", """
+with b as (select min(event_id) as lo, max(event_id) as hi, count(*) as rows_in, count(distinct event_type) as rows_out from events where user_id = 8),
+s as (select *, (hi - lo + 32) // 32 as size from b)
+select rows_in, rows_out, cast((hi - lo + size) // size as bigint) as chunks from s
+""")
+def run_stats_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 over 24-digit hex ids."""
+    view = f"events_hex_{uuid.uuid4().hex[:8]}"
+    table(spark, sf_dir, "events").withColumn("_id", F.lower(F.lpad(F.hex("event_id"), 24, "0"))).createOrReplaceTempView(view)
+    reg = SourceRegistry([Source("hexed", view, "_id", "user_id", format="table", id_kind="hex")])
+    spec = ReportSpec(tenant=8, source="hexed", reduce=ReduceSpec(group_by=("event_type",), metrics=(Metric("count", "n"),)))
+    return stats_frame(plan_report(spark, spec, reg))
+
+
+@query("json_reduce_ties", """
+select count(*) as n_lines, cast(sum(case when event_id % 2 = 0 then 1 else 0 end) as bigint) as n_even, 1::bigint as n_open, 1::bigint as n_close
+from (select distinct event_type, event_id % 2 as event_id from events)
+""")
+def json_reduce_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 + O3: keys that the collation equates (a soft hyphen) still give one opening bracket."""
+    ev = table(spark, sf_dir, "events").withColumn("event_type", F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit("\u00ad"))).otherwise(F.col("event_type")))
+    spec = ReduceSpec(group_by=("event_type",), metrics=(Metric("count", "n"),))
+    out = R.reduce(ev, spec)
+    frame, _names, value = json_array_frame(out, R.group_order(spec, schema=out.schema))
+    lines = frame.select(value.alias("value"))
+    return lines.agg((F.count(F.lit(1)) - 1).alias("n_lines"), F.sum(F.col("value").contains("\u00ad").cast("long")).alias("n_even"),
+                     F.sum(F.col("value").startswith("[").cast("long")).alias("n_open"), F.sum((F.col("value") == "]").cast("long")).alias("n_close"))
+
+
+@query("all_tenant_json", """
+select case when user_id % 10 = 0 then null else user_id end as user_id, count(*) as n_rows, 1::bigint as n_open, 1::bigint as n_close
+from events group by 1
+""")
+def all_tenant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: every tenant's JSON array, the null tenant's too."""
+    ev = table(spark, sf_dir, "events").withColumn("user_id", F.when(F.col("user_id") % 10 != 0, F.col("user_id")))
+    lines = all_tenant_lines(ev, "user_id", [F.col("event_id")], "json")
+    return lines.groupBy("user_id").agg(
+        F.sum((F.col("value") != "]").cast("long")).alias("n_rows"), F.sum(F.col("value").startswith("[").cast("long")).alias("n_open"),
+        F.sum((F.col("value") == "]").cast("long")).alias("n_close"))

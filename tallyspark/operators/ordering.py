@@ -79,29 +79,17 @@ def guard_row_cap(numbered: DataFrame, max_rows: int, rn: str = "rn", message: s
     return numbered.withColumn(rn, F.when(F.col(rn) > F.lit(max_rows), F.raise_error(F.lit(msg))).otherwise(F.col(rn)))
 
 
-# Broadcast bound for the per-(partition, group) offsets table of ``number_rows_within``.
-OFFSETS_BROADCAST_MAX_ROWS = 2_000_000
-
-
 def number_rows_within(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], name: str = "rn",
-    broadcast_max_rows: int = OFFSETS_BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """1-based row numbers restarting per group, without putting a group into one task.
 
     The sort on ``(groups, order)`` range-partitions rows, so a group holding a third of all
     rows spans many partitions.  A small table -- one row per (partition, group), at most
     partitions + groups rows -- gets each group's running offset per partition; rows add
-    their position relative to their group's first row in the partition.  That table is
-    broadcast when its bound (sort partitions + distinct groups, counted first) is under
-    ``broadcast_max_rows``; otherwise the join shuffles on (partition, group).  Both sides
-    read the same sort exchange inside one job, so partition numbers agree."""
-    spark = df.sparkSession
-    n_groups = df.select(*groups).distinct().count() if groups else 1
-    n_parts = int(
-        spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-        or spark.conf.get("spark.sql.shuffle.partitions")
-    )
+    their position relative to their group's first row in the partition.  How that table is
+    joined is left to Spark, which knows its bytes.  Both sides read the same checkpointed sort, so
+    partition numbers agree."""
     mid = "__mid"
     sorted_df = _materialize(df.sort(*groups, *order).withColumn(mid, F.monotonically_increasing_id()))
     part = F.shiftright(F.col(mid), _POS_BITS).alias("__part")
@@ -119,7 +107,7 @@ def number_rows_within(
         )
         .drop("__n")
     )
-    side = F.broadcast(firsts) if n_parts + n_groups <= broadcast_max_rows else firsts
+    side = firsts
     keyed = sorted_df.withColumn("__part", F.shiftright(F.col(mid), _POS_BITS))
     cond = [keyed["__part"] == side["__part"]] + [keyed[g].eqNullSafe(side[g]) for g in groups]
     joined = keyed.join(side, cond)

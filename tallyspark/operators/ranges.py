@@ -61,21 +61,47 @@ def id_ranges(min_id: Any, max_id: Any, chunks: int, id_kind: str = "bigint") ->
     return [IdRange(i, s, e) for i, s, e in build_ranges(int(min_id), int(max_id), chunks)]
 
 
+EXACT = "decimal(38,0)"
+
+
+def exact(value: int) -> Column:
+    """An integer literal of the type all range arithmetic uses (96-bit ids fit)."""
+    return F.lit(str(value)).cast(EXACT)
+
+
+def exact_div(a: Column, b: Column) -> Column:
+    """Integer quotient of two non-negative exact columns.  What is divided is a multiple of the
+    divisor, so the decimal division cannot round."""
+    return ((a - a % b) / b).cast(EXACT)
+
+
+def id_number(col: Column, id_kind: str = "bigint") -> Column:
+    """An id as an exact number: BIGINT as it is, 24 hex digits from their two halves."""
+    if id_kind == "hex":
+        halves = [F.conv(F.substring(col, at, HEX_DIGITS // 2), 16, 10).cast("decimal(20,0)").cast(EXACT) for at in (1, HEX_DIGITS // 2 + 1)]
+        return (halves[0] * F.lit(1 << (2 * HEX_DIGITS)).cast("decimal(18,0)") + halves[1]).cast(EXACT)
+    return col.cast(EXACT)
+
+
+def _kind(ranges: list[IdRange]) -> str:
+    return "hex" if isinstance(ranges[0].start, str) else "bigint"
+
+
 def chunk_of(ranges: list[IdRange], id_col: str) -> Column:
-    """Index of the range holding each row's id (works for BIGINT and hex ids).
+    """Index of the range holding each row's id: ``(id - first start) div size``, at most the last.
 
-    ``size(filter(starts, s -> s <= id)) - 1``: one pass over at most ``chunks`` literals."""
+    Equal-width ranges need two literals, however many there are.  An id below the first start
+    and a null id are in no range (null), for either kind of id."""
     if not ranges:
         return F.lit(None).cast("int")
-    starts = F.array(*[F.lit(r.start) for r in ranges])
-    idx = F.size(F.filter(starts, lambda s: s <= F.col(id_col))) - F.lit(1)
-    indices = F.array(*[F.lit(r.index) for r in ranges])
-    return F.when(idx >= 0, F.element_at(indices, idx + 1))
-
-
-def chunk_of_bigint(lo: int, size: int, n: int, id_col: str) -> Column:
-    """Arithmetic form for BIGINT ids: ``floor((id - lo) / size)``, clamped to the last range."""
-    return F.least(F.floor((F.col(id_col) - F.lit(lo)) / F.lit(size)).cast("int"), F.lit(n - 1))
+    kind = _kind(ranges)
+    number = objectid_to_int if kind == "hex" else int
+    lo = number(ranges[0].start)
+    above = id_number(F.col(id_col), kind) - exact(lo)
+    if len(ranges) == 1:
+        return F.when(above >= 0, F.lit(ranges[0].index))
+    index = exact_div(above, exact(number(ranges[1].start) - lo))
+    return F.when(above >= 0, F.least(index, exact(len(ranges) - 1)).cast("int") + F.lit(ranges[0].index))
 
 
 def range_predicate(r: IdRange, id_col: str) -> Column:
@@ -91,17 +117,26 @@ def read_bounds(df: DataFrame, id_col: str) -> tuple[Any, Any]:
 
 def ranges_frame(df: DataFrame, id_col: str, chunks: int) -> DataFrame:
     """R1 for BIGINT ids as a lazy DataFrame: one aggregate, exploded into its ranges (the
-    closed form of ``build_ranges``).  Columns ``chunk, start_id, end_id`` (``end_id`` null on
-    the open last range)."""
+    closed form of ``build_ranges``, in exact arithmetic).  Columns ``chunk, start_id, end_id``
+    (``end_id`` null on the open last range)."""
     lo, hi = F.col("lo"), F.col("hi")
-    span = hi - lo + F.lit(1)
-    size = F.ceil(span / F.lit(max(1, chunks))).cast("long")
-    bounds = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).filter(hi >= lo)
-    sized = bounds.select("lo", "hi", size.alias("size"))
-    count = F.ceil(span / F.col("size")).cast("int")
+    bounds = df.agg(id_number(F.min(id_col)).alias("lo"), id_number(F.max(id_col)).alias("hi")).filter(hi >= lo)
+    sized = bounds.withColumn("size", range_size(lo, hi, chunks))
+    count = range_total(lo, hi, F.col("size")).cast("int")
     exploded = sized.select("lo", "hi", "size", F.explode(F.sequence(F.lit(0), count - F.lit(1))).alias("chunk"))
-    start = lo + F.col("chunk") * F.col("size")
-    nxt = start + F.col("size")
+    start = (lo + F.col("chunk").cast(EXACT) * F.col("size")).cast(EXACT)
+    nxt = (start + F.col("size")).cast(EXACT)
     return exploded.select(
-        F.col("chunk").cast("int").alias("chunk"), start.alias("start_id"), F.when(nxt <= hi, nxt).alias("end_id")
+        F.col("chunk").cast("int").alias("chunk"), start.cast("long").alias("start_id"), F.when(nxt <= hi, nxt).cast("long").alias("end_id")
     )
+
+
+def range_size(lo: Column, hi: Column, chunks: int) -> Column:
+    """Width of R1's ranges over exact bounds: ``ceil(span / chunks)``."""
+    parts = max(1, chunks)
+    return exact_div((hi - lo + exact(parts)).cast(EXACT), exact(parts))
+
+
+def range_total(lo: Column, hi: Column, size: Column) -> Column:
+    """How many ranges of ``size`` cover exact bounds."""
+    return exact_div((hi - lo + size).cast(EXACT), size)

@@ -41,12 +41,24 @@ def _dtype(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+def _json_key(c: Column, dtype: T.DataType) -> Column:
+    """``c`` such that values are equal exactly when their JSON text is: NaN and infinities are
+    null, times are whole milliseconds, and so on inside structs and arrays."""
+    if isinstance(dtype, FRACTIONAL):
+        return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("millisecond", c).cast(dtype)
+    if isinstance(dtype, T.StructType):
+        parts = [_json_key(c.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: _json_key(x, dtype.elementType))
+    return c
+
+
 def group_key(df: DataFrame, name: str) -> Column:
-    """Floating keys group as their JSON text would -- NaN and infinities with null."""
-    c = F.col(name)
-    if isinstance(_dtype(df, name), FRACTIONAL):
-        c = F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)
-    return c.alias(name)
+    """Keys group as their JSON text would (see ``_json_key``)."""
+    return _json_key(F.col(name), _dtype(df, name)).alias(name)
 
 
 def _finite_guard(total: Column, what: str) -> Column:
@@ -87,6 +99,14 @@ def _require_numeric(df: DataFrame, name: str, alias: str) -> None:
         raise SpecError(f"Metric {alias}: avg needs a numeric field, {name} is {_dtype(df, name).simpleString()}")
 
 
+def _avg_sum(df: DataFrame, name: str, what: str) -> Column:
+    """The sum below an average.  Integers add up as DECIMAL(38,0): the sum is only a step and must
+    not overflow where the average itself fits."""
+    if isinstance(_dtype(df, name), INTEGRAL):
+        return F.coalesce(F.sum(F.col(name).cast("decimal(19,0)")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    return _sum(df, name, what)
+
+
 def _avg(total: Column, count: Column) -> Column:
     """A5: sum / count-of-non-null as double, null when nothing was counted."""
     return F.try_divide(total.cast("double"), count.cast("double"))
@@ -103,7 +123,7 @@ def metric_column(df: DataFrame, m: Metric) -> Column:
     if m.op == "max":
         return F.max(_minmax_input(df, m.field)).alias(m.alias)
     _require_numeric(df, m.field, m.alias)
-    return _avg(_sum(df, m.field, m.alias + ".sum"), F.count(F.col(m.field))).alias(m.alias)
+    return _avg(_avg_sum(df, m.field, m.alias + ".sum"), F.count(F.col(m.field))).alias(m.alias)
 
 
 def _check(df: DataFrame, spec: ReduceSpec) -> None:
@@ -151,16 +171,17 @@ def partial_columns(df: DataFrame, m: Metric) -> list[Column]:
     if m.op == "avg":
         _require_numeric(df, m.field, m.alias)
         return [
-            _sum(df, m.field, m.alias + ".sum").alias(AVG_SUM_PREFIX + m.alias),
+            _avg_sum(df, m.field, m.alias + ".sum").alias(AVG_SUM_PREFIX + m.alias),
             F.count(F.col(m.field)).alias(AVG_COUNT_PREFIX + m.alias),
         ]
     return [metric_column(df, m)]
 
 
-def partials(df: DataFrame, spec: ReduceSpec, chunk: Column | None = None) -> DataFrame:
-    """Partial aggregate rows, one per (chunk, group) when a chunk column is given."""
+def partials(df: DataFrame, spec: ReduceSpec, chunk: Column | None = None, extra: Sequence[Column] = ()) -> DataFrame:
+    """Partial aggregate rows, one per (chunk, group) when a chunk column is given, and per
+    ``extra`` columns (aliased)."""
     _check(df, spec)
-    keys = [group_key(df, k) for k in spec.keys]
+    keys = [*extra, *[group_key(df, k) for k in spec.keys]]
     if chunk is not None:
         keys = [chunk.alias("chunk")] + keys
     aggs = [c for m in spec.metrics for c in partial_columns(df, m)] + [F.count(F.lit(1)).alias(INPUT_COUNT)]
@@ -229,7 +250,9 @@ def merge_incremental(stored: DataFrame | None, new_partials: DataFrame, spec: R
         elif m.op == "max":
             aggs.append(F.max(m.alias).alias(m.alias))
         else:
-            aggs.append(F.sum(AVG_SUM_PREFIX + m.alias).alias(AVG_SUM_PREFIX + m.alias))
+            kept = parts.schema[AVG_SUM_PREFIX + m.alias].dataType  # a stored table keeps its type from round to round
+            total = F.sum(AVG_SUM_PREFIX + m.alias)
+            aggs.append((total.cast(kept) if isinstance(kept, T.DecimalType) else total).alias(AVG_SUM_PREFIX + m.alias))
             aggs.append(F.sum(AVG_COUNT_PREFIX + m.alias).alias(AVG_COUNT_PREFIX + m.alias))
     aggs.append(F.sum(INPUT_COUNT).alias(INPUT_COUNT))
     if spec.keys:
@@ -268,15 +291,23 @@ def group_order_key(spec: ReduceSpec, extra_keys: Sequence[str] = (), schema: T.
     return F.collate(text, "UNICODE")
 
 
+def group_order(spec: ReduceSpec, extra_keys: Sequence[str] = (), schema: T.StructType | None = None) -> list[Column]:
+    """O3 as a total order: distinct keys that the collation equates follow their plain text."""
+    key = group_order_key(spec, extra_keys, schema)
+    return [key, F.collate(key, "UTF8_BINARY")]
+
+
 def ordered(reduced: DataFrame, spec: ReduceSpec, extra_keys: Sequence[str] = ()) -> DataFrame:
-    return reduced.orderBy(group_order_key(spec, extra_keys, reduced.schema))
+    return reduced.orderBy(*group_order(spec, extra_keys, reduced.schema))
 
 
-def enforce_group_cap(reduced: DataFrame, max_groups: int) -> DataFrame:
-    """Fail when the result has more than ``max_groups`` groups.
+def enforce_group_cap(reduced: DataFrame, max_groups: int | None = None) -> DataFrame:
+    """Without a limit the frame as it is; with one, fail when the result has more than ``max_groups`` groups.
 
     The reduced frame is cached so the check and the later write share one computation;
     ``limit(max+1)`` stops the count early on a runaway result."""
+    if max_groups is None:
+        return reduced
     reduced = reduced.persist()
     n = reduced.limit(max_groups + 1).count()
     if n > max_groups:
@@ -302,14 +333,9 @@ def partitioned_reduce(df: DataFrame, spec: ReduceSpec, id_col: str, chunks: int
     Returns ``(reduced, partial_rows, profile, ranges)``; ``reduced`` equals ``reduce_frame``.
     The bounds are one aggregate; every row finds its range with a Column expression, so the
     partials are one ``groupBy`` -- no per-range job and no driver loop over rows."""
-    from .ranges import chunk_of, chunk_of_bigint, id_ranges, read_bounds
+    from .ranges import chunk_of, id_ranges, read_bounds
 
     lo, hi = read_bounds(df, id_col)
     ranges = id_ranges(lo, hi, chunks, id_kind)
-    if id_kind == "bigint" and ranges:
-        size = ranges[1].start - ranges[0].start if len(ranges) > 1 else max(1, int(hi) - int(lo) + 1)
-        chunk = chunk_of_bigint(int(lo), size, len(ranges), id_col)
-    else:
-        chunk = chunk_of(ranges, id_col)
-    parts = partials(df, spec, chunk=chunk)
+    parts = partials(df, spec, chunk=chunk_of(ranges, id_col))
     return merge_partials(parts.drop("chunk"), spec), parts, chunk_profile(parts), ranges

@@ -5,10 +5,9 @@
   partial row per map task (map-side combine), never one task holding its rows.  Raw reports
   (CSV / JSON) and workbooks of every tenant also come out of one sorted pass, one folder
   per tenant (``all_tenant_lines``, ``all_tenant_workbooks``).
-* L3 -- a table of saved specs run against one source scan: due specs (enabled and
-  ``next_run_at <= now``) join the source on tenant (plus an optional status value), then
-  one ``groupBy(spec_id)``.  The spec side is broadcast only when its row count is under a
-  checked bound; beyond it the join shuffles, with AQE splitting a hot tenant's partition.
+* L3 -- a table of saved specs, each with its own filters, reduce and format: due specs (enabled
+  and ``next_run_at <= now``) of one shape share a pass.  The source is aggregated by tenant, filtered
+  columns and group keys first, and the specs join those partial rows.
 * L1 -- retention: rows younger than ``days`` at ``as_of``, as a pushed-down range filter,
   and a rewrite of the retained rows to a new location (``apply_retention``).
 """
@@ -16,20 +15,19 @@
 from __future__ import annotations
 
 import datetime as _dt
+import decimal
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.reduce import reduce_frame, report_view
-from ..spec import ReduceSpec
-
-# Broadcast bound for the spec table (rows).  A due-spec row is a few dozen bytes.
-SPEC_BROADCAST_MAX_ROWS = 100_000
-# Up to this many distinct due tenants become an IN filter pushed to the source scan.
-SCAN_IN_LIST_MAX = 1_000
-# Per-tenant first keys of the all-tenant JSON export are broadcast up to this many tenants.
-FIRSTS_BROADCAST_MAX_TENANTS = 1_000_000
+from ..functions.render import csv_header, csv_line, json_line, qcol
+from ..operators.filters import _same_family, equality_filter, sanitize_filters
+from ..operators.reduce import group_order, merge_partials, output_columns, partials, reduce_frame, report_view
+from ..spec import ReduceSpec, ReportSpec, SpecError
 
 
 def reduce_all_tenants(df: DataFrame, tenant_col: str, spec: ReduceSpec) -> DataFrame:
@@ -47,32 +45,115 @@ def due_specs(specs: DataFrame, now: _dt.datetime) -> DataFrame:
     return specs.filter(F.col("enabled") & (F.col("next_run_at") <= F.lit(now)))
 
 
-def run_specs(
-    source: DataFrame,
-    specs: DataFrame,
-    now: _dt.datetime,
-    *,
-    tenant_col: str,
-    status_col: str,
-    spec: ReduceSpec,
-    broadcast_max_rows: int = SPEC_BROADCAST_MAX_ROWS,
-) -> DataFrame:
-    """L3: run every due spec (``spec_id, tenant, status``; null status = all statuses)
-    against one scan of ``source``; one output row per (spec, group)."""
-    due = due_specs(specs, now).select(
-        F.col("spec_id").alias("__spec_id"), F.col("tenant").alias("__tenant"), F.col("status").alias("__status")
-    )
-    n_due = due.count()
-    side = F.broadcast(due) if n_due <= broadcast_max_rows else due
-    # Few due tenants: also scope the scan to them, so Parquet skips other tenants' row groups.
-    tenants = [r[0] for r in due.select("__tenant").distinct().limit(SCAN_IN_LIST_MAX + 1).collect()]
-    if len(tenants) <= SCAN_IN_LIST_MAX:
-        source = source.filter(F.col(tenant_col).isin(tenants))
-    cond = (F.col(tenant_col) == F.col("__tenant")) & (
-        F.col("__status").isNull() | (F.col(status_col) == F.col("__status"))
-    )
-    joined = source.join(side, cond, "inner").withColumnRenamed("__spec_id", "spec_id").drop("__tenant", "__status")
-    return report_view(reduce_frame(joined, spec, extra_keys=("spec_id",)), spec, extra_keys=("spec_id",))
+@dataclass(frozen=True)
+class SpecShape:
+    """What due specs share to be answered together: reduce (None: raw rows), format, filtered
+    columns, and filters on nested values (these are applied as they are)."""
+
+    reduce: ReduceSpec | None
+    format: str
+    columns: tuple[str, ...]
+    nested: str = "{}"
+
+
+def _typed(value, dtype: T.DataType):
+    """``value`` as the column's own Python type; raises where no value of the column equals it."""
+    if value is None:
+        return None
+    if not _same_family(dtype, value):
+        raise ValueError(value)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return float(value)
+    if isinstance(dtype, T.DecimalType):
+        return decimal.Decimal(str(value)).quantize(decimal.Decimal(1).scaleb(-dtype.scale), context=decimal.Context(prec=38, traps=[decimal.Inexact]))
+    if isinstance(dtype, T.IntegralType):
+        bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32}.get(type(dtype), 64)
+        if int(value) != value or not -(1 << (bits - 1)) <= value < 1 << (bits - 1):
+            raise ValueError(value)
+        return int(value)
+    return value
+
+
+def _shapes(source: DataFrame, due: DataFrame, tenant_col: str) -> dict[SpecShape, list[tuple]]:
+    """Due specs by shape, each with its rows ``(spec_id, tenant, *filter values)``.
+
+    Specs are definitions, not data: each is validated on the driver, as it is read."""
+    types = {f.name: f.dataType for f in source.schema.fields}
+    out: dict[SpecShape, list[tuple]] = {}
+    for row in due.select("spec_id", "tenant", "request").toLocalIterator():
+        spec = ReportSpec.parse(json.loads(row.request), row.tenant)
+        if tenant_col in spec.filters:
+            raise SpecError(f"filter on scope column {tenant_col!r} is not allowed")
+        clean = sanitize_filters(spec.filters)
+        for name in clean:
+            if name not in types:
+                raise SpecError(f"Unknown filter column: {name}")
+        flat = {c: v for c, v in clean.items() if not isinstance(v, (dict, list)) and isinstance(types[c], T.AtomicType)}
+        nested = {c: v for c, v in clean.items() if c not in flat}
+        columns = tuple(sorted(flat))
+        try:
+            values = [_typed(flat[c], types[c]) for c in columns]
+        except (ValueError, ArithmeticError):
+            continue  # no row can match
+        formats = spec.include_formats or (spec.format,)
+        for fmt in formats:
+            out.setdefault(SpecShape(spec.reduce, fmt, columns, json.dumps(nested, sort_keys=True)), []).append((row.spec_id, row.tenant, *values))
+    return out
+
+
+def _shape_frame(source: DataFrame, shape: SpecShape, rows: list[tuple], tenant_col: str, id_type: T.DataType) -> DataFrame:
+    """``spec_id`` and the output columns of every spec of one shape.
+
+    A reduce is aggregated once by tenant, filtered columns and group keys; the specs join those
+    partial rows, which are then merged per spec.  No source row is repeated per spec."""
+    fields = [T.StructField("spec_id", id_type), T.StructField("__tenant", source.schema[tenant_col].dataType)]
+    names = [f"__f{i}" for i in range(len(shape.columns))]
+    fields += [T.StructField(n, source.schema[c].dataType) for n, c in zip(names, shape.columns)]
+    wanted = source.sparkSession.createDataFrame(rows, T.StructType(fields))
+    nested = json.loads(shape.nested)
+    scoped = source.where(equality_filter(source, nested)) if nested else source
+    keys = [("__t", F.col(tenant_col)), *[(f"__g{i}", qcol(c)) for i, c in enumerate(shape.columns)]]
+    if shape.reduce is None:
+        kept = scoped.select(*[c.alias(n) for n, c in keys], *[qcol(c) for c in scoped.columns])
+    else:
+        kept = partials(scoped, shape.reduce, extra=[c.alias(n) for n, c in keys])
+    match = F.col("__t").eqNullSafe(F.col("__tenant"))
+    for i, n in enumerate(names):
+        match = match & F.col(f"__g{i}").eqNullSafe(F.col(n))
+    joined = kept.join(wanted, match).drop("__t", "__tenant", *names, *[f"__g{i}" for i in range(len(names))])
+    if shape.reduce is None:
+        return joined.select("spec_id", *[qcol(c) for c in scoped.columns])
+    merged = merge_partials(joined, ReduceSpec(shape.reduce.metrics, ("spec_id", *shape.reduce.group_by)))
+    return merged.select("spec_id", *[qcol(c) for c in output_columns(shape.reduce)])
+
+
+def run_specs(source: DataFrame, specs: DataFrame, now: _dt.datetime, *, tenant_col: str) -> DataFrame:
+    """L3: run every due spec ``(spec_id, tenant, request, enabled, next_run_at)`` with its own filters,
+    reduce and format (``request`` is the JSON request).
+
+    Returns ``(spec_id, format, row)``: each output row of each spec as JSON text."""
+    due = due_specs(specs, now)
+    out = source.sparkSession.createDataFrame([], T.StructType([specs.schema["spec_id"], T.StructField("format", T.StringType()), T.StructField("row", T.StringType())]))
+    for shape, rows in _shapes(source, due, tenant_col).items():
+        frame = _shape_frame(source, shape, rows, tenant_col, specs.schema["spec_id"].dataType)
+        cols = [c for c in frame.columns if c != "spec_id"]
+        out = out.unionByName(frame.select("spec_id", F.lit(shape.format).alias("format"), json_line(frame, cols).alias("row")))
+    return out
+
+
+def write_specs(source: DataFrame, specs: DataFrame, now: _dt.datetime, path: str, *, tenant_col: str, id_col: str) -> list[str]:
+    """L3 sink: one report per due spec and format, ``<path>/report.<format>/spec_id=<id>/part-*``, each in its
+    own order.  ``path`` must be new.  A spec whose result is empty has no folder."""
+    written = []
+    for shape, rows in _shapes(source, due_specs(specs, now), tenant_col).items():
+        if shape.format not in ("csv", "json"):
+            raise ValueError(f"saved specs are written as csv or json, not {shape.format}")
+        frame = _shape_frame(source, shape, rows, tenant_col, specs.schema["spec_id"].dataType)
+        order = [qcol(id_col)] if shape.reduce is None else group_order(shape.reduce, schema=frame.schema)
+        lines = all_tenant_lines(frame, "spec_id", order, shape.format)
+        lines.write.mode("append").partitionBy("spec_id").text(f"{path.rstrip('/')}/report.{shape.format}")
+        written.append(f"{path.rstrip('/')}/report.{shape.format}")
+    return sorted(set(written))
 
 
 def _bound(df: DataFrame, ts_col: str, days: int, as_of: _dt.datetime):
@@ -92,14 +173,13 @@ def expired(df: DataFrame, ts_col: str, days: int, as_of: _dt.datetime) -> DataF
 
 
 def specs_frame(spark, rows: Sequence[tuple]) -> DataFrame:
-    """Helper for a small saved-spec table ``spec_id, tenant, status, enabled, next_run_at``."""
-    schema = "spec_id int, tenant bigint, status string, enabled boolean, next_run_at timestamp_ntz"
+    """Helper for a small saved-spec table ``spec_id, tenant, request, enabled, next_run_at``."""
+    schema = "spec_id int, tenant bigint, request string, enabled boolean, next_run_at timestamp_ntz"
     return spark.createDataFrame(list(rows), schema)
 
 
 def all_tenant_lines(
     df: DataFrame, tenant_col: str, order: Sequence, fmt: str = "csv", columns: Sequence[str] | None = None,
-    unique: bool = True,
 ) -> DataFrame:
     """L2 for raw reports: every tenant's CSV (or JSON array) in one sorted frame.
 
@@ -107,8 +187,6 @@ def all_tenant_lines(
     spans many sort partitions, and a write with ``partitionBy(tenant)`` needs no further
     sort, so each tenant folder's part files, in partition-number order, hold that tenant's report.
     Header rows come from the distinct tenants (an aggregate, one row per tenant)."""
-    from ..functions.render import csv_header, csv_line, json_line, qcol
-
     cols = list(columns or [c for c in df.columns if c != tenant_col])
     names = [f"__o{i}" for i in range(len(order))]
     keyed = df.select(qcol(tenant_col), F.lit(1).alias("__k"), *[c.alias(n) for c, n in zip(order, names)],
@@ -119,30 +197,23 @@ def all_tenant_lines(
     if fmt == "csv":
         framed = tenants.select(tenant_col, F.lit(0).alias("__k"), *nulls).toDF(*data.columns).unionByName(data)
         value = F.when(F.col("__k") == 0, F.lit(csv_header(cols))).otherwise(csv_line(data, cols))
-    elif fmt == "json" and not unique:
-        # The order key may tie (identical rows): number rows per tenant and open each array at row 1.
-        from ..operators.ordering import number_rows_within
-
-        numbered = number_rows_within(data, [tenant_col], [F.col(n) for n in names], "__rn")
-        framed = numbered.unionByName(
-            tenants.select(tenant_col, F.lit(2).alias("__k"), *nulls, F.lit(None).cast("long").alias("__rn")).toDF(*numbered.columns)
-        )
-        line = json_line(data, cols)
-        # Tenants come from the rows themselves, so every tenant has a first element.
-        value = (F.when(F.col("__k") == 2, F.lit("]"))
-                 .when(F.col("__rn") == 1, F.concat(F.lit("["), line))
-                 .otherwise(F.concat(F.lit(","), line)))
     elif fmt == "json":
-        firsts = data.groupBy(tenant_col).agg(F.min(F.struct(*names)).alias("__first"))
-        # One row per tenant: broadcast under a counted bound, else a shuffle join whose hot
-        # tenant partition AQE's skew handling splits.
-        if tenants.count() <= FIRSTS_BROADCAST_MAX_TENANTS:
-            firsts = F.broadcast(firsts)
-        framed = data.unionByName(tenants.select(tenant_col, F.lit(2).alias("__k"), *nulls).toDF(*data.columns))
-        framed = framed.join(firsts, tenant_col, "left")
+        key = F.struct(*names)
+        firsts = data.groupBy(qcol(tenant_col).alias("__tenant")).agg(F.min(key).alias("__first"))
+        joined = data.join(firsts, qcol(tenant_col).eqNullSafe(F.col("__tenant"))).drop("__tenant")
+        opens = key.eqNullSafe(F.col("__first"))
+        # Never by declaration: where a tenant's first key ties, rows are numbered and row 1 opens the array.
+        if joined.where(opens).groupBy(tenant_col).count().where("count > 1").limit(1).count():
+            from ..operators.ordering import number_rows_within
+
+            numbered = number_rows_within(data, [tenant_col], [F.col(n) for n in names], "__rn")
+            opened = numbered.withColumn("__k", F.when(F.col("__rn") == 1, F.lit(0)).otherwise(F.lit(1))).drop("__rn")
+        else:
+            opened = joined.withColumn("__k", F.when(opens, F.lit(0)).otherwise(F.lit(1))).drop("__first")
+        framed = opened.unionByName(tenants.select(tenant_col, F.lit(2).alias("__k"), *nulls).toDF(*data.columns))
         line = json_line(data, cols)
-        value = (F.when(F.col("__k") == 2, F.when(F.col("__first").isNull(), F.lit("[]")).otherwise(F.lit("]")))
-                 .when(F.struct(*names) == F.col("__first"), F.concat(F.lit("["), line))
+        value = (F.when(F.col("__k") == 2, F.lit("]"))  # tenants come from the rows, so each has a first element
+                 .when(F.col("__k") == 0, F.concat(F.lit("["), line))
                  .otherwise(F.concat(F.lit(","), line)))
     else:
         raise ValueError(f"unsupported format for all-tenant lines: {fmt}")

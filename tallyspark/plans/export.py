@@ -3,14 +3,14 @@
 Single format: plan -> render -> one ``write.text`` (optionally gzip).  Several formats
 (``format='zip'``):
 
-* snapshot (K6) -- the byte cap is checked on the rows' NDJSON size, then the rows are
-  written once as a Parquet table in the shared checkpoint folder and every format is
-  rendered from that table, which also cuts the lineage back to the source;
+* snapshot (K6) -- the rows are written once as a Parquet table in the shared checkpoint folder
+  (after a check of their NDJSON size, if a limit was asked for) and every format is rendered
+  from that table, which also cuts the lineage back to the source; the table is deleted after the run;
 * multipass (K7, raw reports only) -- the high-water id is fixed first, then each format
   re-reads the source bounded by it; counts come from the first pass.
 
-Reduce reports are cached once the group cap (A12) has been checked, so the check, the stats
-and the write share one aggregation.
+Reduce reports are cached: the group limit (A12, if asked for), the statistics and the write share
+one aggregation.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ from ..operators.reduce import (
     MAX_ID,
     MIN_ID,
     GroupCapExceeded,
-    group_order_key,
+    group_order,
     partitioned_reduce,
     report_view,
 )
-from ..session import checkpoint_dir
-from ..sinks.manifest import Artifact, manifest_digest, noop_measure, with_policy
+from ..session import checkpoint_dir, remove_path
+from ..sinks.manifest import Artifact, manifest_digest, with_policy
 from ..sinks.text import (
     check_snapshot_size,
     clear_if_empty,
@@ -49,9 +49,6 @@ from ..sources.registry import SourceRegistry, bounded, high_water_id
 from ..functions.render import normalize
 from ..spec import (
     DEFAULT_CHUNKS,
-    DEFAULT_LISTING_MAX_ROWS,
-    DEFAULT_MAX_GROUPS,
-    DEFAULT_SNAPSHOT_MAX_BYTES,
     MSG_GROUP_CAP,
     ReportSpec,
 )
@@ -67,7 +64,7 @@ class ExportResult:
 
 
 def render(
-    rows: DataFrame, order, fmt: str, listing_max_rows: int, obs: Observation | None = None, unique: bool = True,
+    rows: DataFrame, order, fmt: str, listing_max_rows: int | None, obs: Observation | None = None, unique: bool = True,
 ) -> DataFrame:
     """Text lines of one format (csv, json, pdf -> numbered listing).  ``unique=False`` when
     the order key may tie (repeating ids)."""
@@ -81,7 +78,7 @@ def render(
 
 
 def write_format(
-    spark: SparkSession, rows: DataFrame, order, fmt: str, path: str, *, compression: str, listing_max_rows: int,
+    spark: SparkSession, rows: DataFrame, order, fmt: str, path: str, *, compression: str, listing_max_rows: int | None,
     obs: Observation | None = None, data_rows: int | None = None, unique: bool = True,
 ) -> None:
     """Write one entry.  When the data row count is known (``data_rows``) or measured (``obs``),
@@ -95,7 +92,7 @@ def write_format(
             written = written.observe(obs, F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"))
         written.write.format("noop").mode("overwrite").save()
         if counted.get.get("files", 0) == 0:
-            write_empty_workbook(path)
+            write_empty_workbook(spark, path)
         return
     if fmt == "csv" and (obs is not None or data_rows is not None):
         write_lines(csv_lines(rows, order, obs=obs, probe=False), path, compression)
@@ -113,13 +110,17 @@ def export(
     policy: str = "required",
     noop: bool = False,
     multipass: bool = False,
-    max_groups: int = DEFAULT_MAX_GROUPS,
-    listing_max_rows: int = DEFAULT_LISTING_MAX_ROWS,
-    snapshot_max_bytes: int = DEFAULT_SNAPSHOT_MAX_BYTES,
+    max_groups: int | None = None,
+    listing_max_rows: int | None = None,
+    snapshot_max_bytes: int | None = None,
+    run_id: str | None = None,
     checksum: bool = True,
     chunk_profile: bool = False,
 ) -> ExportResult:
-    """Run one report to files.  ``checksum=False`` sizes the artifact from file metadata
+    """Run one report to files, in a folder of its own per run (``run_id``; by default a new one), so no run
+    sees another's files.  Limits (groups, listing rows, snapshot bytes) hold only where passed.
+
+    ``checksum=False`` sizes the artifact from file metadata
     instead of reading it back for SHA-256 (worth it for very large raw reports).
     ``chunk_profile=True`` adds, for a reduce, the per-id-range profile (M2: index, groups,
     rows in) to the statistics; it costs one more aggregation over the scoped rows."""
@@ -136,7 +137,7 @@ def export(
             F.coalesce(F.sum(INPUT_COUNT), F.lit(0)).alias("i"), F.count(F.lit(1)).alias("o"),
             F.min(MIN_ID).alias("lo"), F.max(MAX_ID).alias("hi"),
         ).first()
-        if agg["o"] > max_groups:
+        if max_groups is not None and agg["o"] > max_groups:
             reduced.unpersist()
             raise GroupCapExceeded(MSG_GROUP_CAP.format(max_groups))
         chunks = plan.spec.partition.chunks if plan.spec.partition else DEFAULT_CHUNKS
@@ -150,18 +151,30 @@ def export(
     entries = spec.entries
     is_bundle = spec.format == "zip"
     unique = plan.mode == "reduce" or plan.source.unique_id
-    root = report_path(base, spec.tenant, spec.report_id, "report.zip" if is_bundle else entries[0])
+    run_id = run_id or uuid.uuid4().hex
+    key = report_path(base, spec.tenant, spec.report_id, run_id, "report.zip" if is_bundle else entries[0])
+    shared = checkpoint_dir(spark).rstrip("/")
+    # A dry run goes through the same writer into scratch, which is measured and then deleted.
+    root = f"{shared}/dry-runs/{run_id}/{key.rsplit('/', 1)[1]}" if noop else key
     paths: dict[str, str] = {}
+    snapshot = is_bundle and not (multipass and plan.mode == "raw")
+    snap = f"{shared}/snapshots/{run_id}"
+
+    def take_snapshot() -> tuple[DataFrame, list]:
+        """The rows once, as a typed table that every format re-reads by column.
+
+        With a limit, their NDJSON size is measured first; without one there is no measuring pass."""
+        if snapshot_max_bytes is not None:
+            check_snapshot_size(ndjson_lines(normalize(rows)), snapshot_max_bytes)
+        counted = Observation("snapshot_rows")
+        rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(snap)
+        stats.zip_strategy, stats.rows_out = "snapshot", int(counted.get.get("rows", 0))
+        if plan.mode == "raw":
+            stats.rows_in = stats.rows_out
+        kept = spark.read.schema(rows.schema).parquet(snap)
+        return kept, group_order(spec.reduce, schema=kept.schema) if plan.mode == "reduce" else raw_order(kept, plan.source)
 
     def do_write() -> Artifact:
-        if noop:
-            fmt = "csv" if is_bundle or spec.format == "xlsx" else spec.format
-            obs = Observation("noop_rows") if plan.mode == "raw" else None
-            measured = noop_measure(render(rows, order, fmt, listing_max_rows, obs, unique))
-            if obs is not None:
-                stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
-            return Artifact(mode="noop", available=False, reason="NOOP", size_bytes=int(measured["bytes"]),
-                            checksum=measured["sha256"], key=root)
         if not is_bundle:
             obs = Observation("rows_out") if plan.mode == "raw" else None
             write_format(spark, rows, order, spec.format, root, compression=spec.compression,
@@ -170,7 +183,7 @@ def export(
             paths[entries[0]] = root
             if obs is not None:
                 stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
-        elif multipass and plan.mode == "raw":
+        elif not snapshot:
             stats.zip_strategy = "multipass"
             hwm = high_water_id(plan.scoped, plan.source)
             for i, fmt in enumerate(spec.include_formats):
@@ -183,30 +196,30 @@ def export(
                 if obs is not None:
                     stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
         else:
-            stats.zip_strategy = "snapshot"
-            snap = f"{checkpoint_dir(spark).rstrip('/')}/snapshots/{spec.report_id}-{uuid.uuid4().hex}"
-            # The cap is measured in NDJSON bytes, as the snapshot would take as text; the rows
-            # themselves are kept as a typed Parquet table, which every format re-reads by column.
-            _size, n = check_snapshot_size(ndjson_lines(normalize(rows)), snapshot_max_bytes)
-            rows.write.mode("overwrite").parquet(snap)
-            snap_rows = spark.read.parquet(snap)
-            snap_order = [group_order_key(spec.reduce, schema=snap_rows.schema)] if plan.mode == "reduce" else raw_order(snap_rows, plan.source)
-            stats.rows_out = n
-            if plan.mode == "raw":
-                stats.rows_in = n
+            snap_rows, snap_order = taken
             for fmt in spec.include_formats:
                 path = f"{root}/report.{fmt}"
                 write_format(spark, snap_rows, snap_order, fmt, path, compression="none", listing_max_rows=listing_max_rows,
-                             data_rows=n, unique=unique)
+                             data_rows=stats.rows_out, unique=unique)
                 paths[f"report.{fmt}"] = path
         size, digest, _files = manifest_digest(spark, root, checksum)
+        if noop:
+            return Artifact(mode="noop", available=False, reason="NOOP", size_bytes=size, checksum=digest, key=key)
         return Artifact(mode="filesystem", available=True, size_bytes=size, checksum=digest, key=root,
                         entries=entries if (is_bundle or spec.compression == "zip") else [])
 
     try:
-        artifact = with_policy(policy, do_write, root)
+        # The snapshot comes before the store step: its failures are errors under either policy.
+        taken = take_snapshot() if snapshot else None
+        artifact = with_policy(policy, do_write, key)
+        if noop:
+            paths.clear()
     finally:
         if reduced is not None:
             reduced.unpersist()
+        if snapshot:
+            remove_path(spark, snap)
+        if noop:
+            remove_path(spark, root.rsplit("/", 1)[0])
     stats.finish(started)
     return ExportResult(artifact, stats, paths)

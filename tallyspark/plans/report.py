@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.render import qcol
 from ..operators.filters import equality_filter
-from ..operators.reduce import group_order_key, reduce_frame, report_view
+from ..operators.reduce import group_order, reduce_frame, report_view
 from ..session import prepare
 from ..sources.registry import Source, SourceRegistry, scan_tenant
 from ..spec import ReportSpec
@@ -60,7 +60,7 @@ def plan_report(spark: SparkSession, spec: ReportSpec, registry: SourceRegistry)
         return ReportPlan(spec, source, scoped, scoped, raw_order(scoped, source), "raw")
     reduced = reduce_frame(scoped, spec.reduce, id_col=source.id_col)
     rows = report_view(reduced, spec.reduce)
-    return ReportPlan(spec, source, scoped, rows, [group_order_key(spec.reduce, schema=rows.schema)], "reduce", reduced)
+    return ReportPlan(spec, source, scoped, rows, group_order(spec.reduce, schema=rows.schema), "reduce", reduced)
 
 
 def run(spark: SparkSession, spec: ReportSpec, registry: SourceRegistry) -> DataFrame:

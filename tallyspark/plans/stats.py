@@ -13,16 +13,17 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import id_number, range_size, range_total
 from ..operators.reduce import MAX_ID, MIN_ID
 from ..spec import DEFAULT_CHUNKS, INPUT_COUNT
 
 
-def range_count(lo: Column, hi: Column, chunks: int) -> Column:
-    """Number of R1 ranges over ``[lo, hi]`` for BIGINT ids: ``ceil(span / ceil(span / chunks))``,
-    0 when there are no ids."""
-    span = hi - lo + F.lit(1)
-    size = F.ceil(span / F.lit(max(1, chunks)))
-    return F.when(lo.isNull() | (hi < lo), F.lit(0)).otherwise(F.ceil(span / size)).cast("long")
+def range_count(lo: Column, hi: Column, chunks: int, id_kind: str = "bigint") -> Column:
+    """Number of R1 ranges over ids ``[lo, hi]``: ``ceil(span / ceil(span / chunks))``, 0 when there
+    are no ids."""
+    lo, hi = id_number(lo, id_kind), id_number(hi, id_kind)
+    total = range_total(lo, hi, range_size(lo, hi, chunks))
+    return F.when(lo.isNull() | (hi < lo), F.lit(0)).otherwise(total).cast("long")
 
 
 def stats_frame(plan, chunks: int | None = None) -> DataFrame:
@@ -37,7 +38,7 @@ def stats_frame(plan, chunks: int | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("rows_out"),
         F.min(MIN_ID).alias("lo"),
         F.max(MAX_ID).alias("hi"),
-    ).select("rows_in", "rows_out", range_count(F.col("lo"), F.col("hi"), requested).alias("chunks"))
+    ).select("rows_in", "rows_out", range_count(F.col("lo"), F.col("hi"), requested, plan.source.id_kind).alias("chunks"))
 
 
 @dataclass

@@ -13,6 +13,7 @@ benchmark only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -69,7 +70,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set: name a folder on the cluster's shared filesystem "
             "(a machine-local folder would not survive an executor loss)"
@@ -80,6 +81,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file through the session's own file systems; absent is fine."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tallyspark") -> SparkSession:
     """Local session for tests and benchmarks (UI off, UTC, AQE)."""
     builder = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,27 @@ def _xlsx_rows(batches):
         yield pd.DataFrame({"n_rows": pd.Series(counts, dtype="int64")})
 
 
+def _csv_records(batches):
+    """Record ends of each part file: newlines outside quotes (no record spans two files)."""
+    for pdf in batches:
+        counts = []
+        for content in pdf["content"]:
+            data = np.frombuffer(bytes(content), dtype=np.uint8)
+            inside = np.cumsum(data == ord('"')) % 2
+            counts.append(int(((data == 10) & (inside == 0)).sum()))
+        yield pd.DataFrame({"n": pd.Series(counts, dtype="int64")})
+
+
 def entry_rows(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """One row ``n_rows``: data rows in a written entry (framing lines excluded)."""
     if fmt == "xlsx":
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content")
         per_file = files.mapInPandas(_xlsx_rows, T.StructType([T.StructField("n_rows", T.LongType())]))
         return per_file.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).cast("long").alias("n_rows"))
+    if fmt == "csv":
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+        records = files.mapInPandas(_csv_records, T.StructType([T.StructField("n", T.LongType())])).agg(F.sum("n").alias("lines"))
+        return records.select(F.greatest(F.coalesce("lines", F.lit(0)) - F.lit(1), F.lit(0)).cast("long").alias("n_rows"))
     lines = spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"))
-    framing = 0 if fmt == "pdf" else 1  # csv header / json closing bracket
+    framing = 0 if fmt == "pdf" else 1  # json closing bracket
     return lines.select(F.greatest(F.col("lines") - F.lit(framing), F.lit(0)).cast("long").alias("n_rows"))

@@ -38,18 +38,18 @@ def _affix(keyed: DataFrame, key: int, probe: bool = False) -> DataFrame:
     return keyed.limit(1).select(*cols) if probe else keyed.sparkSession.range(1).select(*cols)
 
 
-def _observed(frame: DataFrame, obs: Observation | None) -> DataFrame:
+def _observed(frame: DataFrame, obs: Observation | None, kinds: Column) -> DataFrame:
     """Rows out, measured inside the write job (M1).  Placed after the sort: the range
     exchange samples its input in a separate job, which would count rows twice."""
     if obs is None:
         return frame
-    return frame.observe(obs, F.coalesce(F.sum(F.when(F.col("__k") == 1, 1)), F.lit(0)).alias("rows"))
+    return frame.observe(obs, F.coalesce(F.sum(F.when(kinds, 1)), F.lit(0)).alias("rows"))
 
 
-def _render_sorted(frame: DataFrame, names: list[str], value: Column, obs: Observation | None) -> DataFrame:
+def _render_sorted(frame: DataFrame, names: list[str], value: Column, obs: Observation | None, data: tuple[int, ...] = (1,)) -> DataFrame:
     """Sort the raw rows, then render: the range exchange samples and shuffles plain columns
     and every line is rendered once, after the shuffle."""
-    return _observed(frame.sort("__k", *names), obs).select(value.alias("value"))
+    return _observed(frame.sort("__k", *names), obs, F.col("__k").isin(*data)).select(value.alias("value"))
 
 
 def csv_frame(
@@ -88,22 +88,26 @@ def json_array_frame(
 ) -> tuple[DataFrame, list[str], Column]:
     """K2 rows with their sort keys and the line expression (unsorted).
 
-    The first element is the row holding the smallest order key (a scalar subquery).  When the
-    order key may repeat (``unique=False``: identical rows can tie), rows are numbered instead
-    and the first gets the ``[`` -- exactly one, whatever the ties."""
+    The rows that share the smallest order key are counted first (two passes over the keys only).
+    One row, as a total order has: it gets the ``[``.  Several, whatever ``unique`` declared: these
+    rows alone are numbered, the first of them gets the ``[`` and stands at the head."""
     cols = list(columns or df.columns)
     keyed, names = _keyed(df, order, cols)
     key = F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
-    first = keyed.select(F.min(key)).scalar()
-    if unique:
-        is_first = key == first
+    smallest = keyed.sort(*names).limit(1).select(key).scalar()
+    at_head = key.eqNullSafe(smallest)
+    heads = keyed.where(at_head).count()
+    if heads > 1:
+        # any order will do among them; a random one spreads equal rows over the sort's partitions
+        tied = number_rows(keyed.where(at_head).withColumn("__r", F.rand(17)), ["__r"], "__rn").drop("__r")
+        keyed = keyed.where(~at_head).withColumn("__rn", F.lit(0).cast(tied.schema["__rn"].dataType)).unionByName(tied)
+        keyed = keyed.withColumn("__k", F.when(F.col("__rn") == 1, F.lit(0)).otherwise(F.col("__k")))
     else:
-        keyed = number_rows(keyed, [F.col(n) for n in names], "__rn")
-        is_first = F.col("__rn") == 1
+        keyed = keyed.withColumn("__k", F.when(at_head, F.lit(0)).otherwise(F.col("__k")))
     line = json_line(keyed, cols)
     value = (
-        F.when(F.col("__k") == 2, F.when(first.isNull(), F.lit("[]")).otherwise(F.lit("]")))
-        .when(is_first, F.concat(F.lit("["), line))
+        F.when(F.col("__k") == 2, F.lit("]") if heads else F.lit("[]"))
+        .when(F.col("__k") == 0, F.concat(F.lit("["), line))
         .otherwise(F.concat(F.lit(","), line))
     )
     return keyed.unionByName(_affix(keyed, 2)), names, value
@@ -115,7 +119,7 @@ def json_array_lines(
 ) -> DataFrame:
     """K2: a JSON array, one element per line: ``[e1`` / ``,e2`` ... / ``]``; no rows -> ``[]``."""
     framed, names, value = json_array_frame(df, order, columns, unique)
-    return _render_sorted(framed, names, value, obs)
+    return _render_sorted(framed, names, value, obs, data=(0, 1))
 
 
 def ndjson_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -124,18 +128,20 @@ def ndjson_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def listing_lines(
-    df: DataFrame, order: Sequence[Column], max_rows: int, columns: list[str] | None = None, obs: Observation | None = None
+    df: DataFrame, order: Sequence[Column], max_rows: int | None = None, columns: list[str] | None = None, obs: Observation | None = None
 ) -> DataFrame:
-    """K5: ``"{i}. {json}"`` with i from 1 in report order; row ``max_rows + 1`` is an error.
+    """K5: ``"{i}. {json}"`` with i from 1 in report order; with a limit, row ``max_rows + 1`` is an error.
 
-    The cap is checked first with ``limit(max_rows + 1)`` (tasks stop reading once enough
+    The limit is checked first with ``limit(max_rows + 1)`` (tasks stop reading once enough
     rows are found), so an oversized report fails before anything is sorted or stored; the
     in-job guard stays as a second line."""
-    if df.limit(max_rows + 1).count() > max_rows:
+    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
         raise RowCapExceeded(MSG_ROW_CAP.format(max_rows, max_rows))
     cols = list(columns or df.columns)
     keyed = df.select(*[c.alias(f"__o{i}") for i, c in enumerate(order)], *[qcol(c) for c in cols])
-    numbered = guard_row_cap(number_rows(keyed, [F.col(f"__o{i}") for i in range(len(order))]), max_rows)
+    numbered = number_rows(keyed, [F.col(f"__o{i}") for i in range(len(order))])
+    if max_rows is not None:
+        numbered = guard_row_cap(numbered, max_rows)
     if obs is not None:
         numbered = numbered.observe(obs, F.count(F.lit(1)).alias("rows"))
     # number_rows leaves the rows range-partitioned and sorted; rendering after it keeps that order.
@@ -148,11 +154,11 @@ def snapshot_bytes(lines: DataFrame) -> Column:
     return F.coalesce(F.sum(utf8_bytes(F.col("value")) + F.lit(1)), F.lit(0)).cast("long")
 
 
-def check_snapshot_size(lines: DataFrame, max_bytes: int) -> tuple[int, int]:
-    """K3: fail before writing when the snapshot would pass ``max_bytes``; returns
+def check_snapshot_size(lines: DataFrame, max_bytes: int | None = None) -> tuple[int, int]:
+    """K3: fail before writing when the snapshot would pass ``max_bytes`` (None: no limit); returns
     ``(bytes, rows)`` from the same aggregate."""
     r = lines.agg(snapshot_bytes(lines).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if r["b"] > max_bytes:
+    if max_bytes is not None and r["b"] > max_bytes:
         raise SnapshotTooLarge(MSG_SNAPSHOT_CAP.format(max_bytes))
     return int(r["b"]), int(r["n"])
 
@@ -166,9 +172,9 @@ def write_lines(lines: DataFrame, path: str, compression: str = "none") -> str:
     return path
 
 
-def report_path(base: str, tenant: object, report_id: str, entry: str) -> str:
-    """K9: ``<base>/<tenant>/<report_id>/<entry>``; each part must be one plain path segment."""
-    for part in (str(tenant), report_id, entry):
+def report_path(base: str, tenant: object, report_id: str, *parts: str) -> str:
+    """K9: ``<base>/<tenant>/<report_id>/<run id>/<entry>``; each part must be one plain path segment."""
+    for part in (str(tenant), report_id, *parts):
         if not part or part in (".", "..") or any(ch in part for ch in "/\\\0"):
             raise ValueError(f"not a single path segment: {part!r}")
-    return f"{base.rstrip('/')}/{tenant}/{report_id}/{entry}"
+    return "/".join([base.rstrip("/"), str(tenant), report_id, *parts])

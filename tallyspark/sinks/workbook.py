@@ -20,14 +20,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.render import json_value, normalize, number_text, qcol
+from ..functions.render import TEMPORAL, iso_text, json_value, number_text, qcol
 from ..operators.ordering import number_rows_within
 
 EXCEL_MAX_DATA_ROWS = 1_048_575
+PART_BYTES = 256 << 20  # cell text in one part, at most (one task renders it)
 
 # The package parts of a one-sheet workbook.
 CONTENT_TYPES = (
@@ -154,14 +155,16 @@ def workbooks(
         raise ValueError(f"part_rows must be in 1..{EXCEL_MAX_DATA_ROWS}")
     cols = list(columns or [c for c in df.columns if c not in group_cols])
     order_names = [f"__o{i}" for i in range(len(order))]
+    data_cols = [f"__c_{i}" for i in range(len(cols))]
     nested = (T.ArrayType, T.StructType, T.MapType)
-
     numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
-    def cell(c: str) -> Column:  # numbers as JavaScript text, nested values as JSON text
+    def cell(c: str) -> Column:  # numbers as JavaScript text, times as ISO text, nested values as JSON text
         dtype = df.schema[c].dataType
         if isinstance(dtype, numeric):
             return number_text(qcol(c), dtype)
+        if isinstance(dtype, TEMPORAL):
+            return iso_text(qcol(c), dtype)
         if isinstance(dtype, T.BinaryType):
             return F.base64(qcol(c))
         return json_value(qcol(c), dtype) if isinstance(dtype, nested) else qcol(c)
@@ -171,43 +174,59 @@ def workbooks(
         return "n" if isinstance(dtype, numeric) else "b" if isinstance(dtype, T.BooleanType) else "s"
 
     kinds = [kind(c) for c in cols]
-
-    view = normalize(df.select(
+    # Cells become text; group and order keys keep their values, so Spark's order is the only one.
+    view = df.select(
         *[qcol(g) for g in group_cols],
         *[(qcol(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, order_names)],
-        *[cell(c).alias(f"__c_{i}") for i, c in enumerate(cols)],
-    ))
-    # Parts are needed only when a group outgrows one sheet, and a pandas sort matches Spark's
-    # only for binary-collated keys; otherwise every row is part 0 and each group is sorted by
-    # its order keys on the executor -- one small aggregate instead of a distributed numbering.
-    collated = any(
-        getattr(view.schema[n].dataType, "collation", "UTF8_BINARY") != "UTF8_BINARY" for n in order_names
+        *[cell(c).alias(n) for c, n in zip(cols, data_cols)],
     )
-    oversized = view.groupBy(*group_cols).count().filter(F.col("count") > part_rows).limit(1).count() > 0
-    if oversized or collated:
-        numbered = number_rows_within(view, list(group_cols), order_names, "__rn")
-        with_part = numbered.withColumn("part", F.floor((F.col("__rn") - 1) / F.lit(part_rows)).cast("int"))
-    else:
-        with_part = view.withColumn("part", F.lit(0)).withColumn("__rn", F.lit(None).cast("long"))
-    sort_cols = ["__rn"] if (oversized or collated) else order_names
+    width = F.lit(0)
+    for n in data_cols:
+        width = width + F.coalesce(F.octet_length(F.col(n).cast("string")), F.lit(0))
+    # Rows that fit a part, by group: a sheet's rows, and at most PART_BYTES at the group's widest row.
+    limits = view.groupBy(*[qcol(g).alias(f"__g_{i}") for i, g in enumerate(group_cols)]).agg(
+        F.greatest(F.lit(1), F.least(F.lit(part_rows), F.floor(F.lit(PART_BYTES) / F.greatest(F.max(width), F.lit(1))))).alias("__fit"))
+    numbered = number_rows_within(view, list(group_cols), order_names, "__rn")
+    same = F.lit(True)
+    for i, g in enumerate(group_cols):
+        same = same & qcol(g).eqNullSafe(F.col(f"__g_{i}"))
+    with_part = numbered.join(limits, same).withColumn("part", F.floor((F.col("__rn") - 1) / F.col("__fit")).cast("int"))
+    first_type = with_part.schema[order_names[0]].dataType if order_names else T.NullType()
+    first_key = iso_text(F.col(order_names[0]), first_type) if isinstance(first_type, TEMPORAL) else F.col(order_names[0]) if order_names else F.lit(None)
+    with_part = with_part.withColumn("__first", first_key.cast("string"))
     group_fields = [df.schema[g] for g in group_cols]
     out_schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in group_fields]
         + [T.StructField("part", T.IntegerType()), T.StructField("n_rows", T.LongType()),
            T.StructField("first_key", T.StringType()), T.StructField("content", T.BinaryType())]
     )
-    data_cols = [f"__c_{i}" for i in range(len(cols))]
-
     def render(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort_cols, na_position="first", kind="stable")
+        pdf = pdf.sort_values("__rn", kind="stable")
         content = render_workbook(cols, pdf[data_cols].set_axis(cols, axis=1), kinds)
         out = {g: [pdf[g].iloc[0]] for g in group_cols}
-        first = pdf[order_names[0]].iloc[0] if order_names else None
-        out.update(part=[int(pdf["part"].iloc[0])], n_rows=[len(pdf)],
-                   first_key=[None if first is None or pd.isna(first) else str(first)], content=[content])
+        first = pdf["__first"].iloc[0]
+        out.update(part=[int(pdf["part"].iloc[0])], n_rows=[len(pdf)], first_key=[None if pd.isna(first) else first], content=[content])
         return pd.DataFrame(out)
 
-    return with_part.select(*group_cols, "part", "__rn", *order_names, *data_cols).groupBy(*group_cols, "part").applyInPandas(render, out_schema)
+    return with_part.select(*group_cols, "part", "__rn", "__first", *data_cols).groupBy(*group_cols, "part").applyInPandas(render, out_schema)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the session's file system, as the text sinks resolve it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = target.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    return "file://" + uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _open_store(uri: str):
+    """``(file system, root)`` of a qualified path; Hadoop's S3 schemes are plain s3 to Arrow."""
+    import pyarrow.fs as pafs
+
+    for hadoop_scheme in ("s3a://", "s3n://"):
+        if uri.startswith(hadoop_scheme):
+            uri = "s3://" + uri[len(hadoop_scheme):]
+    return pafs.FileSystem.from_uri(uri)
 
 
 def write_workbook_files(
@@ -225,14 +244,10 @@ def write_workbook_files(
          T.StructField("length", T.LongType()), T.StructField("sha256", T.StringType())]
     )
 
-    def write(batches):
-        import pyarrow.fs as pafs
+    uri = qualified(books.sparkSession, path)
 
-        uri = path if "://" in path else "file://" + path
-        for hadoop_scheme in ("s3a://", "s3n://"):  # Hadoop's S3 schemes are plain s3 to Arrow
-            if uri.startswith(hadoop_scheme):
-                uri = "s3://" + uri[len(hadoop_scheme):]
-        fs, root = pafs.FileSystem.from_uri(uri)
+    def write(batches):
+        fs, root = _open_store(uri)
         fs.create_dir(root, recursive=True)
         for pdf in batches:
             out = []
@@ -254,16 +269,10 @@ def write_workbook_files(
     return books.mapInPandas(write, schema)
 
 
-def write_empty_workbook(path: str, name: str = "report-part00000.xlsx") -> str:
+def write_empty_workbook(spark: SparkSession, path: str, name: str = "report-part00000.xlsx") -> str:
     """The workbook of a report without rows: one empty ``Report`` sheet (a single small
     file, written from the driver)."""
-    import pyarrow.fs as pafs
-
-    uri = path if "://" in path else "file://" + path
-    for hadoop_scheme in ("s3a://", "s3n://"):
-        if uri.startswith(hadoop_scheme):
-            uri = "s3://" + uri[len(hadoop_scheme):]
-    fs, root = pafs.FileSystem.from_uri(uri)
+    fs, root = _open_store(qualified(spark, path))
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/{name}") as f:
         f.write(render_workbook([], pd.DataFrame()))

@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.filters import typed_equals
 from ..spec import MSG_SOURCE_NOT_ALLOWED, MSG_SOURCE_PATTERN, SAFE_NAME, SpecError
 
 DEFAULT_SOURCE = "reportSource"
@@ -50,7 +51,7 @@ class Source:
 def resolve_source_name(name: str | None, allowed: Iterable[str], fallback: str = DEFAULT_SOURCE) -> str:
     """Trim, blank -> fallback, must be a safe name, must be allowed."""
     resolved = (name or "").strip() or fallback
-    if not SAFE_NAME.match(resolved):
+    if not SAFE_NAME.fullmatch(resolved):
         raise SpecError(MSG_SOURCE_PATTERN)
     if resolved not in list(allowed):
         raise SpecError(MSG_SOURCE_NOT_ALLOWED.format(resolved))
@@ -97,15 +98,14 @@ def testdata_registry(sf_dir: str, allowed: Iterable[str] | None = None) -> Sour
     return SourceRegistry(sources, allowed=allowed, default="events")
 
 
-def tenant_predicate(source: Source, tenant: Any) -> Column:
-    """The tenant scope; ``None`` scopes to rows whose tenant is null."""
-    col = F.col(source.tenant_col)
-    return col.isNull() if tenant is None else col == F.lit(tenant)
+def tenant_predicate(df: DataFrame, source: Source, tenant: Any) -> Column:
+    """The tenant scope, a typed equality (D6); ``None`` scopes to rows whose tenant is null."""
+    return typed_equals(F.col(source.tenant_col), df.schema[source.tenant_col].dataType, tenant)
 
 
 def scan_tenant(df: DataFrame, source: Source, tenant: Any, extra: Column | None = None) -> DataFrame:
     """S2 + F7: tenant scope ANDed with any other clause; pushed to the Parquet scan."""
-    cond = tenant_predicate(source, tenant)
+    cond = tenant_predicate(df, source, tenant)
     if extra is not None:
         cond = cond & extra
     return df.filter(cond)
@@ -119,10 +119,11 @@ def high_water_id(df: DataFrame, source: Source) -> Any:
 
 
 def bounded(df: DataFrame, source: Source, hwm: Any) -> DataFrame:
-    """S3: re-read bounded by a high-water id fixed before the first pass."""
-    if hwm is None:
-        return df.filter(F.lit(False))
-    return df.filter(F.col(source.id_col) <= F.lit(hwm))
+    """S3: re-read bounded by a high-water id fixed before the first pass.
+
+    Rows without an id have no place above the bound, so every pass keeps them."""
+    id_col = F.col(source.id_col)
+    return df.filter(id_col.isNull() if hwm is None else id_col.isNull() | (id_col <= F.lit(hwm)))
 
 
 def require_columns(df: DataFrame, names: Iterable[str], what: str = "column") -> None:

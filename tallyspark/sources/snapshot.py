@@ -1,7 +1,7 @@
 """NDJSON snapshots (K3 write side, S4 read side).
 
 A snapshot is the rendered rows of a report as JSON lines in a shared folder, written once
-and read by every later pass.  The byte cap is checked before anything is written.
+and read by every later pass.  A byte limit, if the caller sets one, is checked before anything is written.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from pyspark.sql import types as T
 
 from ..functions.render import normalize
 from ..sinks.text import check_snapshot_size, ndjson_lines, write_lines
-from ..spec import DEFAULT_SNAPSHOT_MAX_BYTES
 
 
-def write_snapshot(df: DataFrame, path: str, max_bytes: int = DEFAULT_SNAPSHOT_MAX_BYTES) -> tuple[T.StructType, int, int]:
-    """K3: normalise (dates -> ISO text), check the byte cap, write NDJSON.
+def write_snapshot(df: DataFrame, path: str, max_bytes: int | None = None) -> tuple[T.StructType, int, int]:
+    """K3: normalise (dates -> ISO text), check the byte limit if there is one, write NDJSON.
 
     Returns the normalised schema (to read the snapshot back), its size in bytes and its
     row count.  The check is a plain aggregate that stores nothing, so an input far over the

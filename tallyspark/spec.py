@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 # Names accepted in specs, operations, formats and internal prefixes.
-SAFE_NAME = re.compile(r"^[A-Za-z0-9_]+$")
+SAFE_NAME = re.compile(r"[A-Za-z0-9_]+")  # always a full match
 OPS = ("count", "sum", "min", "max", "avg")
 SINGLE_FORMATS = ("csv", "xlsx", "json", "pdf")
 FORMATS = SINGLE_FORMATS + ("zip",)
@@ -23,9 +23,10 @@ AVG_COUNT_PREFIX = "__avg_count__"
 INPUT_COUNT = "__input_count"
 RESERVED_ALIASES = ("_id", INPUT_COUNT)
 DEFAULT_CHUNKS = 32
-DEFAULT_MAX_GROUPS = 500_000
-DEFAULT_LISTING_MAX_ROWS = 10_000
-DEFAULT_SNAPSHOT_MAX_BYTES = 2_147_483_648
+# Limits a deployment may ask for; nothing is limited unless the caller passes a limit.
+MAX_GROUPS = 500_000
+LISTING_MAX_ROWS = 10_000
+SNAPSHOT_MAX_BYTES = 2_147_483_648
 DEFAULT_RETENTION_DAYS = 30
 
 # Error texts kept word for word, so callers that match on them keep working.
@@ -54,7 +55,7 @@ class SpecError(ValueError):
 
 
 def _check_name(value: Any, message: str) -> str:
-    if not isinstance(value, str) or not SAFE_NAME.match(value):
+    if not isinstance(value, str) or not SAFE_NAME.fullmatch(value):
         raise SpecError(message.format(value))
     return value
 
@@ -70,7 +71,7 @@ class Metric:
             raise SpecError(MSG_UNSUPPORTED_OP.format(self.op))
         _check_name(self.alias, MSG_INVALID_ALIAS)
         if self.op != "count":
-            if self.field is None or not SAFE_NAME.match(str(self.field)):
+            if self.field is None or not SAFE_NAME.fullmatch(str(self.field)):
                 raise SpecError(MSG_FIELD_REQUIRED.format(self.alias))
         elif self.field is not None:
             _check_name(self.field, MSG_FIELD_REQUIRED.format(self.alias) + ": {}")
@@ -175,18 +176,21 @@ class ReportSpec:
     @classmethod
     def parse(cls, obj: Mapping[str, Any], tenant: Any) -> "ReportSpec":
         """Build from the reference's JSON request shape."""
+        for name in ("reportDefinitionId", "format"):
+            if not isinstance(obj.get(name), str) or not obj[name]:
+                raise SpecError(f"{name} is required")
         reduce = obj.get("reduceSpec")
         part = obj.get("partitionSpec")
         return cls(
             tenant=tenant,
             source=obj.get("sourceCollection"),
-            format=obj.get("format", "csv"),
+            format=obj["format"],
             filters=obj.get("filters") or {},
             reduce=ReduceSpec.parse(reduce) if reduce else None,
             partition=PartitionSpec(part.get("strategy", "idRange"), part.get("chunks", DEFAULT_CHUNKS)) if part else None,
             include_formats=tuple(obj.get("includeFormats") or ()),
             compression=obj.get("compression", "none"),
-            report_id=obj.get("reportDefinitionId", "report"),
+            report_id=obj["reportDefinitionId"],
         )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.reduce import reduce_frame, report_view
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, remove_path
 from ..spec import ReduceSpec
 
 
@@ -85,6 +85,29 @@ def reduce_stream_once(
     return spark.read.parquet(f"{base}/table")
 
 
+def point_to(spark: SparkSession, home: str, epoch: int) -> None:
+    """Name ``epoch`` as the current one: an empty marker file, created whole or not at all."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{home}/_current/{epoch:019d}")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(marker.getParent())
+    fs.create(marker, True).close()
+    for old in fs.listStatus(marker.getParent()):
+        if old.getPath().getName().isdigit() and int(old.getPath().getName()) < epoch:
+            fs.delete(old.getPath(), False)
+
+
+def current_report(spark: SparkSession, base: str, spec) -> str | None:
+    """Folder of the latest whole report of a report stream; None before the first."""
+    from ..sinks.text import report_path
+
+    home = report_path(base, spec.tenant, spec.report_id)
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{home}/_current")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    epochs = [int(s.getPath().getName()) for s in fs.listStatus(marker) if s.getPath().getName().isdigit()] if fs.exists(marker) else []
+    return f"{home}/epoch-{max(epochs)}/{spec.entries[0]}" if epochs else None
+
+
 def start_report_stream(
     spark: SparkSession,
     spec,
@@ -95,15 +118,19 @@ def start_report_stream(
     available_now: bool = True,
     processing_time: str | None = None,
     max_files: int | None = None,
+    max_groups: int | None = None,
+    listing_max_rows: int | None = None,
 ) -> StreamingQuery:
     """T1 end to end: a reduce report over a growing source folder, re-rendered on each
-    trigger to ``<base>/<tenant>/<report_id>/report.<ext>`` (csv, json or pdf listing).
+    trigger (csv, json or pdf listing); ``current_report`` gives the latest one's folder.
 
     The tenant and filter scope is applied to the stream before the aggregate, so state holds
-    only that tenant's groups; every micro-batch overwrites the report with the full, ordered
-    result (complete mode), so readers always find a whole report."""
+    only that tenant's groups.  Every micro-batch writes the full, ordered result (complete mode)
+    to ``<base>/<tenant>/<report_id>/epoch-<n>/report.<ext>`` and then names that epoch in a
+    pointer table, so a reader finds a whole report at any time; the epoch before the last is
+    deleted.  The limits (groups, listing rows) hold only where passed and end the query."""
     from ..operators.filters import equality_filter
-    from ..operators.reduce import group_order_key
+    from ..operators.reduce import enforce_group_cap, group_order
     from ..sinks.text import csv_lines, json_array_lines, listing_lines, report_path, write_lines
     from ..sources.registry import scan_tenant
 
@@ -114,13 +141,20 @@ def start_report_stream(
     stream = stream_source(spark, source.path, schema, source.format, max_files, dict(source.options))
     scoped = scan_tenant(stream, source, spec.tenant, equality_filter(stream, spec.filters, forbid=(source.tenant_col,)))
     result = report_view(reduce_frame(scoped, spec.reduce), spec.reduce)
-    target = report_path(base, spec.tenant, spec.report_id, spec.entries[0])
-    order = [group_order_key(spec.reduce, schema=result.schema)]
+    home = report_path(base, spec.tenant, spec.report_id)
+    order = group_order(spec.reduce, schema=result.schema)
     render = {"csv": lambda b: csv_lines(b, order), "json": lambda b: json_array_lines(b, order),
-              "pdf": lambda b: listing_lines(b, order, 10_000)}[spec.format]
-
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        write_lines(render(batch), target, spec.compression)
+              "pdf": lambda b: listing_lines(b, order, listing_max_rows)}[spec.format]
+
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()  # the header probe, the range sample and the write read one result
+        try:
+            target = f"{home}/epoch-{epoch}/{spec.entries[0]}"
+            write_lines(render(enforce_group_cap(batch, max_groups)), target, spec.compression)
+            point_to(batch.sparkSession, home, epoch)
+        finally:
+            batch.unpersist()
+        remove_path(batch.sparkSession, f"{home}/epoch-{epoch - 2}")
 
     ckpt = checkpoint or (checkpoint_dir(spark).rstrip("/") + f"/report-stream-{spec.report_id}-{uuid.uuid4().hex}")
     writer = result.writeStream.outputMode("complete").option("checkpointLocation", ckpt).foreachBatch(publish)

@@ -30,7 +30,7 @@ def test_ranges_fixtures():
         assert a.end == b.start
     assert objectid_to_int(many[-1].start) <= objectid_to_int(pad("5ff"))
     assert id_ranges("f" * 24, pad("1"), 4, "hex") == []
-    assert int_to_objectid(objectid_to_int("65e5b6f1de74f57fcb0f97a6")) == "65e5b6f1de74f57fcb0f97a6"
+    assert int_to_objectid(objectid_to_int("0a1b2c3d4e5f60718293a4b0")) == "0a1b2c3d4e5f60718293a4b0"
 
 
 def test_ranges_cover_without_overlap():
@@ -53,7 +53,7 @@ def test_ranges_frame_matches_python(spark):
 
 def test_number_rows_within_without_broadcast(spark):
     df = spark.range(0, 5000, numPartitions=5).select((F.col("id") % 4).alias("g"), "id")
-    got = number_rows_within(df, ["g"], [F.col("id")], broadcast_max_rows=0).select("g", "id", "rn")
+    got = number_rows_within(df, ["g"], [F.col("id")]).select("g", "id", "rn")
     want = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("rn"))
     assert got.exceptAll(want).count() == 0 and got.count() == 5000
 
@@ -69,6 +69,29 @@ def test_number_rows_within_null_group(spark):
     df = spark.range(0, 300, numPartitions=3).select(
         F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise((F.col("id") % 2).cast("string")).alias("g"), "id")
     for bound in (2_000_000, 0):
-        got = number_rows_within(df, ["g"], [F.col("id")], broadcast_max_rows=bound).select("g", "id", "rn")
+        got = number_rows_within(df, ["g"], [F.col("id")]).select("g", "id", "rn")
         want = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("rn"))
         assert got.exceptAll(want).count() == 0 and got.count() == 300
+
+
+def test_ranges_are_exact_for_large_ids(spark):
+    import random
+
+    from tallyspark.operators.ranges import chunk_of
+
+    draw = random.Random(11)
+    for _ in range(6):
+        lo = draw.randrange(-(2**62), 2**61)
+        hi, chunks = lo + draw.randrange(1, 2**62), draw.choice([1, 3, 7, 1000])
+        want = build_ranges(lo, hi, chunks)
+        got = ranges_frame(spark.createDataFrame([(lo,), (hi,), (None,)], "id long"), "id", chunks).orderBy("chunk").collect()
+        assert [(r.chunk, r.start_id, r.end_id) for r in got] == want
+        edges = sorted({x for _, s, e in want[:50] for x in (s - 1, s, (hi if e is None else e) - 1) if lo <= x <= hi})
+        ranges = id_ranges(lo, hi, chunks)
+        rows = spark.createDataFrame([(x,) for x in edges], "id long").select("id", chunk_of(ranges, "id").alias("c")).collect()
+        assert all(next(i for i, s, e in want if s <= r.id and (e is None or r.id < e)) == r.c for r in rows)
+        hexed = [int_to_objectid(x - lo + 5) for x in edges]
+        hex_ranges = id_ranges(int_to_objectid(5), int_to_objectid(hi - lo + 5), chunks, "hex")
+        both = spark.createDataFrame([(h,) for h in hexed] + [(None,)], "id string").select("id", chunk_of(hex_ranges, "id").alias("c")).collect()
+        assert {r.id: r.c for r in both} == {None: None, **{int_to_objectid(r.id - lo + 5): r.c for r in rows}}
+    assert spark.createDataFrame([(None,), (4,)], "id long").select(chunk_of(id_ranges(5, 9, 2), "id").alias("c")).collect() == [(None,), (None,)]

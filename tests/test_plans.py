@@ -1,3 +1,4 @@
+import json
 """Plan regressions: the physical shapes the scale design relies on."""
 
 import datetime as dt
@@ -20,14 +21,16 @@ def test_raw_report_sorts_by_range_without_a_single_task(spark):
     assert "EqualTo(user_id,8)" in text
 
 
-def test_saved_specs_broadcast_and_scope_the_scan(spark):
+def test_saved_specs_aggregate_before_they_join(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet")
-    specs = specs_frame(spark, [(1, 8, None, True, dt.datetime(2024, 1, 1)), (2, 16, "view", True, dt.datetime(2024, 1, 1))])
-    out = run_specs(ev, specs, dt.datetime(2024, 2, 1), tenant_col="user_id", status_col="event_type",
-                    spec=ReduceSpec(metrics=(Metric("count", "n"),)))
-    text = plan_text(out, "simple")
-    assert "BroadcastHashJoin" in text and "In(user_id" in text
-    assert "SortMergeJoin" not in text and "CartesianProduct" not in text
+    request = json.dumps({"reportDefinitionId": "s", "format": "csv", "filters": {"event_type": "view"},
+                          "reduceSpec": {"groupBy": [], "metrics": [{"op": "count", "as": "n"}]}})
+    specs = specs_frame(spark, [(i, i, request, True, dt.datetime(2024, 1, 1)) for i in range(50)])
+    text = plan_text(run_specs(ev, specs, dt.datetime(2024, 2, 1), tenant_col="user_id"), "simple")
+    below = text[text.index("Scan parquet") - 4000 : text.index("Scan parquet")]
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    # printed top-down: between the scan and the aggregates there is no join
+    assert below.rindex("HashAggregate") > below.rindex("Join ")
 
 
 def test_all_tenant_reduce_combines_before_the_shuffle(spark):

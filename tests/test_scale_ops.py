@@ -1,3 +1,4 @@
+import json
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -50,19 +51,40 @@ def test_all_tenants_and_retention(spark):
     assert "GreaterThan(ts," in plan_text(kept)  # pushed to the scan as a literal bound
 
 
-def test_saved_specs_one_pass(spark):
+def _request(fmt="csv", filters=None, group=("event_type",)):
+    return json.dumps({"reportDefinitionId": "s", "format": fmt, "filters": filters or {},
+                       "reduceSpec": {"groupBy": list(group), "metrics": [{"op": "count", "as": "n"}]}})
+
+
+def test_saved_specs_with_their_own_queries(spark, workdir):
     ev = spark.read.parquet(f"{SF}/events.parquet")
-    specs = specs_frame(spark, [(1, 8, None, True, dt.datetime(2024, 1, 1)), (2, 8, "view", True, dt.datetime(2024, 1, 1)),
-                                (3, 8, None, False, dt.datetime(2024, 1, 1)), (4, 8, None, True, dt.datetime(2030, 1, 1))])
-    spec = ReduceSpec(metrics=(Metric("count", "n"),))
-    got = {r.spec_id: r.n for r in run_specs(ev, specs, dt.datetime(2024, 2, 1), tenant_col="user_id",
-                                              status_col="event_type", spec=spec).collect()}
-    mine = ev.filter(F.col("user_id") == 8)
-    assert got == {1: mine.count(), 2: mine.filter(F.col("event_type") == "view").count()}
-    # beyond the broadcast bound the join shuffles instead
-    got2 = {r.spec_id: r.n for r in run_specs(ev, specs, dt.datetime(2024, 2, 1), tenant_col="user_id",
-                                               status_col="event_type", spec=spec, broadcast_max_rows=0).collect()}
-    assert got2 == got
+    past, now = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    other = ev.where("user_id <> 8 and event_type = 'view'").first().user_id
+    raw = json.dumps({"reportDefinitionId": "s", "format": "json", "filters": {"event_type": "click"}})
+    specs = specs_frame(spark, [
+        (1, 8, _request(), True, past), (2, 8, _request("json", {"event_type": "view"}, ()), True, past),
+        (3, other, _request("csv", {"event_type": "view"}), True, past), (4, 8, _request(), False, past), (5, 8, _request(), True, dt.datetime(2030, 1, 1)),
+        (6, 8, _request("csv", {"event_type": 3}), True, past), (7, 8, raw, True, past), (8, 8, _request("csv", {"event_id": 10**30}), True, past)])
+    got = {}
+    for r in run_specs(ev, specs, now, tenant_col="user_id").collect():
+        got.setdefault((r.spec_id, r.format), []).append(json.loads(r.row))
+    mine = [r for r in ev.collect() if r.user_id == 8]
+    by = {}
+    for r in mine:
+        by[r.event_type] = by.get(r.event_type, 0) + 1
+    assert {r["event_type"]: r["n"] for r in got[1, "csv"]} == by
+    assert got[2, "json"] == [{"n": by["view"]}]
+    assert sum(r["n"] for r in got[3, "csv"]) == ev.where(f"user_id = {other} and event_type = 'view'").count()
+    assert sorted(r["event_id"] for r in got[7, "json"]) == sorted(r.event_id for r in mine if r.event_type == "click")
+    assert set(got) == {(1, "csv"), (2, "json"), (3, "csv"), (7, "json")}
+
+    from conftest import read_parts
+    from tallyspark.plans.batch import write_specs
+
+    write_specs(ev, specs, now, f"{workdir}/specs", tenant_col="user_id", id_col="event_id")
+    assert read_parts(f"{workdir}/specs/report.csv/spec_id=1").decode() == "event_type,n\n" + "".join(f"{k},{by[k]}\n" for k in sorted(by))
+    assert json.loads(read_parts(f"{workdir}/specs/report.json/spec_id=2")) == [{"n": by["view"]}]
+    assert [r["event_id"] for r in json.loads(read_parts(f"{workdir}/specs/report.json/spec_id=7"))] == sorted(r.event_id for r in mine if r.event_type == "click")
 
 
 def test_seed_workload(spark):
@@ -118,7 +140,7 @@ def test_report_stream_keeps_csv_current(spark, workdir):
     from conftest import read_parts
     from tallyspark.sources.registry import Source, SourceRegistry
     from tallyspark.spec import ReportSpec
-    from tallyspark.streaming.incremental import start_report_stream
+    from tallyspark.streaming.incremental import current_report, start_report_stream
 
     src = f"{workdir}/rows"
     mk = lambda lo, hi: spark.range(lo, hi).select(
@@ -130,10 +152,10 @@ def test_report_stream_keeps_csv_current(spark, workdir):
         group_by=("status",), metrics=(Metric("count", "n"), Metric("sum", "total", "amount"))))
     ckpt = f"{workdir}/ckpt"
     start_report_stream(spark, spec, reg, f"{workdir}/out", checkpoint=ckpt).awaitTermination()
-    assert read_parts(f"{workdir}/out/t1/live/report.csv").decode() == "status,n,total\nopen,20,40\npaid,10,20\n"
+    assert read_parts(current_report(spark, f"{workdir}/out", spec)).decode() == "status,n,total\nopen,20,40\npaid,10,20\n"
     mk(60, 120).write.mode("append").parquet(src)
     start_report_stream(spark, spec, reg, f"{workdir}/out", checkpoint=ckpt).awaitTermination()
-    assert read_parts(f"{workdir}/out/t1/live/report.csv").decode() == "status,n,total\nopen,40,80\npaid,20,40\n"
+    assert read_parts(current_report(spark, f"{workdir}/out", spec)).decode() == "status,n,total\nopen,40,80\npaid,20,40\n"
 
 
 def test_retention_rewrite(spark, workdir):
@@ -192,6 +214,6 @@ def test_all_tenant_json_with_identical_rows(spark, workdir):
     from tallyspark.plans.batch import all_tenant_lines, write_all_tenants
 
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("b", 2, "y")], "tenant string, k long, v string")
-    write_all_tenants(all_tenant_lines(df, "tenant", [F.col("k")], "json", unique=False), "tenant", f"{workdir}/j")
+    write_all_tenants(all_tenant_lines(df, "tenant", [F.col("k")], "json"), "tenant", f"{workdir}/j")
     assert json.loads(read_parts(f"{workdir}/j/tenant=a")) == [{"k": 1, "v": "x"}] * 2
     assert json.loads(read_parts(f"{workdir}/j/tenant=b")) == [{"k": 2, "v": "y"}]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import read_parts
-from tallyspark.sinks.manifest import OPTIONAL_FAILURE, Artifact, manifest_digest, noop_measure, with_policy
+from tallyspark.sinks.manifest import OPTIONAL_FAILURE, Artifact, manifest_digest, with_policy
 from tallyspark.sinks.text import (
     SnapshotTooLarge, check_snapshot_size, csv_lines, json_array_lines, listing_lines, ndjson_lines, write_lines,
 )
@@ -51,34 +51,55 @@ def test_listing_numbers_and_cap(spark):
         listing_lines(df, [F.col("id")], 1).collect()
 
 
-def test_snapshot_cap_and_roundtrip(spark, workdir):
-    small = spark.createDataFrame([("1234567890",)], "line string")
-    with pytest.raises(SnapshotTooLarge, match=r"\(10 bytes\)"):
-        check_snapshot_size(ndjson_lines(small), 10)
-    df = spark.createDataFrame([(1, "a", 2.5), (2, None, 300.0)], "id long, s string, v double")
+def test_snapshot_limit_and_roundtrip(spark, workdir):
+    df = spark.createDataFrame([(7, "é", 0.25), (8, None, 1200.0)], "id long, s string, v double")
+    want = '{"id":7,"s":"é","v":0.25}\n{"id":8,"s":null,"v":1200}\n'.encode()
+    with pytest.raises(SnapshotTooLarge, match=rf"\({len(want) - 1} bytes\)"):
+        check_snapshot_size(ndjson_lines(df), len(want) - 1)
+    assert check_snapshot_size(ndjson_lines(df), len(want)) == check_snapshot_size(ndjson_lines(df)) == (len(want), 2)
     schema, size, n = write_snapshot(df, f"{workdir}/snap")
-    assert n == 2
-    assert size == len('{"id":1,"s":"a","v":2.5}\n') + len('{"id":2,"s":null,"v":300}\n')
+    assert (n, size) == (2, len(want))
     back = sorted(tuple(r) for r in read_snapshot(spark, f"{workdir}/snap", schema).collect())
-    assert back == [(1, "a", 2.5), (2, None, 300.0)]
+    assert back == [(7, "é", 0.25), (8, None, 1200.0)]
 
 
-def test_ndjson_blank_lines_skipped(spark, workdir):
+def test_blank_lines_of_ndjson_are_no_rows(spark, workdir):
     Path(f"{workdir}/nd").mkdir()
-    Path(f"{workdir}/nd/part-0.json").write_text('{"id":1}\n\n{"id":2}\n')
-    assert sorted(r.id for r in read_snapshot(spark, f"{workdir}/nd", "id long").collect()) == [1, 2]
-
-
-def test_manifest_and_noop(spark, workdir):
-    df = spark.createDataFrame([(1, "x"), (2, "y")], "id long, s string")
-    lines = csv_lines(df, [F.col("id")])
-    write_lines(lines, f"{workdir}/m")
-    size, digest, files = manifest_digest(spark, f"{workdir}/m")
-    assert size == len(b"id,s\n1,x\n2,y\n") and len(digest) == 64
-    assert files.count() >= 1
-    measured = noop_measure(lines)
-    assert measured["rows"] == 3 and measured["bytes"] == size
-    assert measured["sha256"] == digest  # the dry run's digest is the written report's digest
+    Path(f"{workdir}/nd/part-0.json").write_text('\n{"k":"x"}\n\n\n{"k":"y"}\n{"k":null}\n')
+    assert [r.k for r in read_snapshot(spark, f"{workdir}/nd", "k string").collect()] == ["x", "y", None]
+
+
+def test_manifest_does_not_depend_on_the_part_files(spark, workdir, monkeypatch):
+    import hashlib
+
+    from tallyspark.sinks import manifest
+
+    df = spark.range(40_000).select("id", F.concat(F.lit("text é "), F.col("id")).alias("s"))
+    one, many = f"{workdir}/one", f"{workdir}/many"
+    write_lines(csv_lines(df, [F.col("id")]).coalesce(1), one)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        write_lines(csv_lines(df, [F.col("id")]), many)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    data = read_parts(one)
+    assert read_parts(many) == data and len(list(Path(many).glob("part-*"))) > 20
+    size, digest, files = manifest_digest(spark, one)
+    assert size == len(data) == files.agg(F.sum("length")).first()[0]
+    assert digest == hashlib.sha256(data).hexdigest()  # one block
+    assert manifest_digest(spark, many)[:2] == (size, digest)
+    monkeypatch.setattr(manifest, "BLOCK", 1000)
+    monkeypatch.setattr(manifest, "RANGE", 7000)
+    monkeypatch.setattr(manifest, "FOLD", 10)
+    level = [hashlib.sha256(data[i : i + 1000]).digest() for i in range(0, size, 1000)]
+    while len(level) > 1:
+        level = [hashlib.sha256(b"".join(level[i : i + 10])).digest() for i in range(0, len(level), 10)]
+    assert manifest_digest(spark, one)[1] == manifest_digest(spark, many)[1] == level[0].hex()
+    Path(f"{workdir}/none").mkdir()
+    write_lines(spark.createDataFrame([], "value string"), f"{workdir}/empty")
+    assert manifest_digest(spark, f"{workdir}/empty")[:2] == (0, hashlib.sha256(b"").hexdigest())
 
 
 def test_policy(spark):
@@ -142,17 +163,10 @@ def test_workbook_cells_for_decimals_and_nested(spark):
 
 
 
-def test_part_order_is_numeric():
-    from tallyspark.sinks.manifest import part_order
-
-    names = ["/r/part-100000-a.txt", "/r/part-99999-a.txt", "/r/part-00002-a.txt"]
-    assert [p.split("/")[-1] for p in sorted(names, key=part_order)] == ["part-00002-a.txt", "part-99999-a.txt", "part-100000-a.txt"]
-
+def test_part_files_follow_their_numbers(spark, workdir):
+    from tallyspark.sinks.manifest import part_files
 
-def test_noop_digest_matches_written_report(spark, workdir):
-    df = spark.range(0, 3000, numPartitions=5).select("id", (F.col("id") % 7).alias("k"))
-    lines = csv_lines(df, [F.col("id")])
-    write_lines(lines, f"{workdir}/dig")
-    size, digest, _ = manifest_digest(spark, f"{workdir}/dig")
-    measured = noop_measure(lines)
-    assert (measured["bytes"], measured["sha256"]) == (size, digest)
+    for i, name in enumerate(["part-100000-a.txt", "part-99999-a.txt", "part-00002-a.txt"]):
+        Path(f"{workdir}/{name}").write_text("x" * (i + 1))
+    rows = part_files(spark, workdir).orderBy("begins").collect()
+    assert [(r.path.rsplit("/", 1)[1], r.begins) for r in rows] == [("part-00002-a.txt", 0), ("part-99999-a.txt", 3), ("part-100000-a.txt", 5)]

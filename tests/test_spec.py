@@ -83,3 +83,19 @@ def test_parse_reference_request_shape():
     assert spec.reduce.keys == ["status"]
     assert [m.alias for m in spec.reduce.metrics] == ["orders", "total"]
     assert spec.partition.chunks == 8 and spec.report_id == "sales"
+
+
+def test_names_are_matched_whole():
+    for bad in ("abc\n", "a b", "", "\nabc"):
+        with pytest.raises(SpecError):
+            Metric("count", bad)
+        with pytest.raises(SpecError):
+            ReduceSpec(metrics=(Metric("count", "n"),), group_by=(bad,))
+
+
+def test_request_needs_its_definition_and_format():
+    whole = {"reportDefinitionId": "r", "format": "csv"}
+    assert ReportSpec.parse(whole, "t").report_id == "r"
+    for name in whole:
+        with pytest.raises(SpecError, match=name):
+            ReportSpec.parse({k: v for k, v in whole.items() if k != name}, "t")
