@@ -909,3 +909,16 @@ def all_tenant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("user_id").agg(
         F.sum((F.col("value") != "]").cast("long")).alias("n_rows"), F.sum(F.col("value").startswith("[").cast("long")).alias("n_open"),
         F.sum((F.col("value") == "]").cast("long")).alias("n_close"))
+
+
+@query("manifest_digest", """
+select sha256(string_agg(line, chr(10) order by k, line) || chr(10)) as digest from (
+  select 0 as k, 'o_orderstatus,n,last_key' as line
+  union all select 1, o_orderstatus || ',' || count(*) || ',' || max(o_orderkey) from orders where o_orderpriority = '2-HIGH' group by o_orderstatus)
+""")
+def manifest_digest_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content digest of a written report (a report of one block: the plain SHA-256 of its bytes)."""
+    spec = ReportSpec(tenant="2-HIGH", source="orders", report_id="digest", reduce=ReduceSpec(
+        group_by=("o_orderstatus",), metrics=(Metric("count", "n"), Metric("max", "last_key", "o_orderkey"))))
+    result = export(spark, spec, testdata_registry(sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/reports")
+    return spark.range(1).select(F.lit(result.artifact.checksum).alias("digest"))
