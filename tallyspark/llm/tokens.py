@@ -30,7 +30,28 @@ _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240817)).integers(1, 2**63,
 _LOWER = np.arange(256)
 _LOWER[0x41:0x5B] += 32
 _BYTE_VALUES_LOWER = _BYTE_VALUES[_LOWER]
-_powers: dict[str, np.ndarray] = {}
+
+
+class _Powers:
+    """Powers of the base and of its inverse, grown as needed; tasks make their own."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __getstate__(self):
+        return {"up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
+
+    def table(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, SLICE_BYTES + 64)
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                steps = np.full(size, base, dtype=np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+        return self.up, self.down
+
+
+_powers = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,17 +61,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse for ``n`` positions, kept between calls."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + 64)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
 class Slice:
     """Whole texts of one column: ``data`` bytes, ``bounds`` (rows + 1 byte offsets), ``first`` row."""
 
@@ -76,7 +86,7 @@ class Slice:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
         """A 64-bit hash per byte range; empty ranges hash alike."""
-        up, down = _power_table(len(self.data) + 1)
+        up, down = _powers.table(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum((_BYTE_VALUES_LOWER if lower else _BYTE_VALUES)[self.data] * up[: len(self.data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT)
