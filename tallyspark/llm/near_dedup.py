@@ -117,7 +117,7 @@ def _sets(width: int):
 
 
 def _verify(percent: int):
-    """(a, b, set of a, set of b) to the links (a, b) that hold; rows of one b follow each other."""
+    """(a, b, set of a, set of b) to the links that hold, joined by union-find within a batch."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
@@ -126,7 +126,8 @@ def _verify(percent: int):
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 good[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+            a, b = union_find(*(batch.column(c).to_numpy(zero_copy_only=False)[good] for c in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
     return work
 
 
@@ -196,7 +197,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = pairs.join(sets.withColumnRenamed("members", "x"), ["id", "cls"])
     second = first.join(sets.select(F.col("id").alias("hub"), F.col("cls").alias("hub_cls"), F.col("members").alias("y")), ["hub", "hub_cls"])
     links = second.select(F.col("id").alias("a"), F.col("hub").alias("b"), "x", "y").mapInArrow(_verify(percent), "a long, b long")
-    groups = components(links, staging, "groups")
+    groups = components(links, staging, "groups", joined=True)
 
     # what shares a bucket across groups
     labelled = members.join(groups, "id", "left").select("bucket", "id", "cls", F.coalesce("component", "id").alias("label"))
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                      (F.col("own") > F.col("other")).cast("int").alias("side")))
     blocks = dealt.join(sets, ["id", "cls"])
     further = blocks.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
-    merged = components(further, staging, "merged")
+    merged = components(further, staging, "merged", joined=True)
 
     # every class to the smallest id that it reaches
     final = (reps.select("c1", "c2", "id").join(groups, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")

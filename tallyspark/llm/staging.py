@@ -45,7 +45,7 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_LOWER))
 
 
-def bounded_batches(spark: SparkSession, limit: int = 32 << 20) -> None:
+def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     """Rows reach Python in batches of at most about ``limit`` bytes, unless the session asks for less."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)

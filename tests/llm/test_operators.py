@@ -74,7 +74,11 @@ def test_superminhash_estimates_similarity():
     assert (few[1] == near_dedup._MAX).all()
 
 
-def test_components_of_random_links_chains_and_stars(spark):
+@pytest.mark.parametrize("flush", [200_000, 20])
+def test_components_of_random_links_chains_and_stars(spark, monkeypatch, flush):
+    from tallyspark.llm import components as module
+
+    monkeypatch.setattr(module, "FLUSH_LINKS", flush)
     draw = random.Random(5)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5000, 5001 + i) for i in range(500)]
     parent = {}
