@@ -1,11 +1,15 @@
 """License scans by conditional compression.
 
 Candidate blocks are the stretches of words around license cues.  Each block is compressed alone and
-once with every template as a zstandard raw-content dictionary; templates are ranked by how much they shorten
-the block.  The best few are confirmed by wording: the block's words are aligned with the template's,
-and the winner, with the fewest missing words, must miss none of the words that tell licenses apart
-(the rarest among the templates, versions included) and at most ``MOST_MISSING`` of all.  The difference
-itself, missing and extra words, is part of the result.
+once with every template as a zstandard raw-content dictionary; the reduction is how much the template
+shortens the block.  Every template that shortens it is checked by wording: the template's words are
+aligned with the stretch of the block that differs least from them, and the difference, missing and
+extra words, is part of the result.  A template is confirmed when it misses none of the words that
+tell licenses apart (versions included), at most ``MOST_MISSING`` of all, and has few words in between.
+A template is aligned only if a count of the block's words leaves it possible, which loses none.
+
+``TEMPLATES`` are short notices; ``FORMS`` are further wordings of the same and other licenses: texts
+(of long ones the head, which stands in front of every copy), standard headers, titles and SPDX ids.
 
 Texts are pre-selected by a pattern in the scan; whole texts reach the tasks, nothing is shuffled.
 One row per candidate block.
@@ -18,11 +22,12 @@ nothing; an empty table gives an empty result; extra columns play no part.
 
 from __future__ import annotations
 
-import difflib
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -47,9 +52,93 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-CUE = r"(?i)licen[sc]e|copyright|redistribut|hereby granted|public domain|\bCC0\b|\bCC[ -]BY"
-BEFORE, AFTER, LONGEST = 24, 40, 200
-CONTENDERS, MOST_MISSING = 3, 0.25
+# (license, form, words that tell it from others, wording)
+_GNU = {"GPL-2.0": ("", "version 2", "2"), "GPL-3.0": ("", "version 3", "3"), "LGPL-2.1": ("lesser", "version 2.1", "2.1"),
+        "LGPL-3.0": ("lesser", "version 3", "3"), "AGPL-3.0": ("affero", "version 3", "3")}
+_CC = {"CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-NC-4.0": "Attribution-NonCommercial",
+       "CC-BY-ND-4.0": "Attribution-NoDerivatives", "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike",
+       "CC-BY-NC-ND-4.0": "Attribution-NonCommercial-NoDerivatives"}
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. """
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission. """
+_BSD_END = """This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but
+not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."""
+FORMS = (
+    ("All-rights-reserved", "notice", "all rights reserved", "All rights reserved."),
+    ("All-rights-reserved", "notice-de", "rechte vorbehalten", "Alle Rechte vorbehalten."),
+    ("All-rights-reserved", "notice-es", "derechos reservados", "Todos los derechos reservados."),
+    ("All-rights-reserved", "notice-fr", "tous droits", "Tous droits réservés."),
+    ("Apache-2.0", "text", "apache 2.0 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Apache-2.0", "header", "apache 2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+     License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""),
+    ("Apache-2.0", "title", "apache 2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "title", "apache 2.0", "Apache License 2.0"),
+    ("Apache-2.0", "title", "apache 2.0", "Apache 2.0 license"),
+    ("Apache-2.0", "title", "apache v2.0", "Apache License v2.0"),
+    ("Apache-2.0", "spdx", "apache-2.0", "Apache-2.0"),
+    ("Apache-2.0", "spdx", "apache-2.0", "Apache-2.0 OR MIT"),
+    ("Apache-2.0", "spdx", "apache-2.0", "MIT OR Apache-2.0"),
+    ("Apache-2.0", "spdx", "apache-2.0", "MIT/Apache-2.0"),
+    ("BSD-2-Clause", "text", "redistribution redistributions retain reproduce", _BSD + _BSD_END),
+    ("BSD-2-Clause", "title", "bsd 2-clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "spdx", "bsd-2-clause", "BSD-2-Clause"),
+    ("BSD-3-Clause", "text", "redistribution redistributions retain reproduce neither endorse", _BSD + _BSD_3 + _BSD_END),
+    ("BSD-3-Clause", "title", "bsd 3-clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "spdx", "bsd-3-clause", "BSD-3-Clause"),
+    ("CC0-1.0", "text", "cc0 1.0 universal", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC0-1.0", "title", "cc0 1.0 universal", "CC0 1.0 Universal"),
+    ("CC0-1.0", "title", "cc0", "Creative Commons Zero CC0"),
+    ("CC0-1.0", "spdx", "cc0-1.0", "CC0-1.0"),
+    ("ISC", "text", "copy modify distribute fee hereby granted disclaims", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+     hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+     WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("ISC", "title", "isc", "ISC License"),
+    ("ISC", "spdx", "isc", "SPDX-License-Identifier: ISC"),
+    ("MIT", "text", "granted free charge deal sublicense substantial portions", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+     documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+     sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
+     notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+     EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
+    ("MIT", "title", "mit license", "MIT License"),
+    ("MIT", "title", "mit licence", "MIT Licence"),
+    ("MIT", "spdx", "mit", "SPDX-License-Identifier: MIT"),
+    ("MIT", "spdx", "mit", "License: MIT"),
+    ("MIT", "spdx", "mit", "Apache-2.0 OR MIT"),
+    ("MIT", "spdx", "mit", "MIT OR Apache-2.0"),
+    ("MIT", "spdx", "mit", "MIT/Apache-2.0"),
+    ("MPL-2.0", "text", "mozilla 2.0 definitions", "Mozilla Public License Version 2.0 1. Definitions"),
+    ("MPL-2.0", "header", "mozilla 2.0 mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+     file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("MPL-2.0", "title", "mozilla 2.0", "Mozilla Public License 2.0"),
+    ("MPL-2.0", "title", "mozilla 2.0", "Mozilla Public License, version 2.0"),
+    ("MPL-2.0", "spdx", "mpl-2.0", "MPL-2.0"),
+    ("Unlicense", "text", "free unencumbered released public domain", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell,
+     or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("Unlicense", "title", "the unlicense", "The Unlicense"),
+    *((name, "text", f"gnu {kind} general {digit} verbatim", f"GNU {kind} General Public License {version}, {when} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute "
+       "verbatim copies of this license document, but changing it is not allowed.")
+      for (name, (kind, version, digit)), when in zip(_GNU.items(), ("June 1991", "29 June 2007", "February 1999", "29 June 2007", "19 November 2007"))),
+    *((name, "header", f"gnu {kind} general {digit}", f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the "
+       f"Free Software Foundation; either {version} of the License, or (at your option) any later version.") for name, (kind, version, digit) in _GNU.items()),
+    *((name, "header-only", f"gnu {kind} general {digit}", f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License {version} as published by "
+       "the Free Software Foundation.") for name, (kind, version, digit) in _GNU.items()),
+    *((name, "title", f"gnu {kind} general {digit}", f"GNU {kind} General Public License {version}") for name, (kind, version, digit) in _GNU.items()),
+    *((name, "title", f"gnu {kind} general v{digit}", f"GNU {kind} General Public License v{digit}") for name, (kind, _, digit) in _GNU.items()),
+    *((name, "title", f"gnu {kind} general v{name.split('-')[1]}", f"GNU {kind} General Public License v{name.split('-')[1]}")
+      for name, (kind, _, digit) in _GNU.items() if digit != name.split("-")[1]),
+    *((name, "spdx", (name + tail).lower(), name + tail) for name in _GNU for tail in ("", "-only", "-or-later")),
+    *((name, "title", f"creative {long.lower()} 4.0", f"Creative Commons {long} 4.0 International License") for name, long in _CC.items()),
+    *((name, "title", f"creative {long.lower()} 4.0", f"Creative Commons {long} 4.0") for name, long in _CC.items()),
+    *((name, "title", f"cc {name[3:-4].lower()} 4.0", f"CC {name[3:-4]} 4.0") for name in _CC),
+    *((name, "spdx", name.lower(), name) for name in _CC),
+)
+CUE = (r"(?i)licen[sc]e|copyright|redistribut|hereby granted|public domain|\bCC0\b|\bCC[ -]BY|all\s+rights\s+reserved|rechte\s+vorbehalten|derechos\s+reservados"
+       r"|tous\s+droits|spdx|\u00A9|\(c\)\s*(?:19|20)[0-9][0-9]|\b[AL]?GPL-?v?[0-9]|\bMPL-[0-9]|\bApache-[0-9]|\bBSD-[0-9]|creative\s+commons|gnu\s+(?:\w+\s+)?general\s+public")
+BEFORE, AFTER, LONGEST = 24, 40, 480
+MOST_MISSING = 0.25
 SCHEMA = ("doc_id long, block long, first_word long, n_words long, license string, reduction double, missing array<string>, extra array<string>, "
           "confirmed boolean")
 ARROW = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("license", pa.string()),
@@ -60,37 +149,70 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
 
 
+def align(want: list[str], words: list[str], cost: list[int]) -> tuple[list[int], list[int]]:
+    """Places in ``want`` and in ``words`` of the cheapest alignment with any stretch of ``words``.
+
+    A word of ``want`` that is left out costs its ``cost``, a word in between costs 1."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    at = np.array([number[w] for w in words], np.int64)
+    step = np.arange(len(words) + 1)
+    rows = [np.zeros(len(words) + 1, np.int64)]
+    for w, c in zip(want, cost):
+        row = rows[-1] + c
+        row[1:] = np.where(at == number.get(w, -1), np.minimum(rows[-1][:-1], row[1:]), row[1:])
+        rows.append(np.minimum.accumulate(row - step) + step)
+    i, j, held, there = len(want), int(np.argmin(rows[-1])), [], []
+    while i:
+        if j and words[j - 1] == want[i - 1] and rows[i][j] == rows[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            held.append(i)
+            there.append(j)
+        elif rows[i][j] == rows[i - 1][j] + cost[i - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return held[::-1], there[::-1]
+
+
 class Scanner:
     """Compressors and word lists of the templates, made once per task."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
-        self.words = {n: _words(templates[n]) for n in self.names}
-        used = Counter(w for n in self.names for w in set(self.words[n]))
-        # what tells a template from the others: its rarest words
-        self.telling = {n: {w for w in self.words[n] if used[w] == min(used[x] for x in self.words[n]) or any(c.isdigit() for c in w)} for n in self.names}
+    def __init__(self, templates: dict[str, str], forms: tuple = FORMS):
+        short = {n: _words(t) for n, t in templates.items()}
+        used = Counter(w for n in short for w in set(short[n]))
+        # what tells a short notice from the others: its rarest words
+        rows = [(n, w, {x for x in w if used[x] == min(used[y] for y in w) or any(c.isdigit() for c in x)}, len(w)) for n, w in short.items()]
+        rows += [(n, w := _words(t), set(telling.split()), int(MOST_MISSING * len(w))) for n, _, telling, t in forms]
+        #: license, words, telling words, most extra words
+        self.templates = sorted(rows, key=lambda r: r[:2])
+        self.bags = [Counter(w) for _, w, _, _ in self.templates]
+        # a telling word is dearer than all the extra words that it may take to reach it
+        self.costs = [[len(w) + 2 if x in telling else 2 for x in w] for _, w, telling, _ in self.templates]
         level = dict(level=12, write_content_size=False, write_checksum=False)
         self.plain = zstandard.ZstdCompressor(**level)
-        self.primed = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(
-            " ".join(self.words[n]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **level) for n in self.names}
+        self.primed = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **level)
+                       for _, w, _, _ in self.templates]
 
     def judge(self, words: list[str]) -> tuple:
         """(license, reduction, missing, extra, confirmed) of one block."""
-        data = " ".join(words).encode()
+        data, bag = " ".join(words).encode(), Counter(words)
         alone = len(self.plain.compress(data))
-        gains = sorted(((alone - len(self.primed[n].compress(data))) / alone, n) for n in self.names)[::-1]
-        ranked = sorted(gains, key=lambda g: (-g[0], g[1]))[:CONTENDERS]
+        found, near = [], []
+        for k, (name, want, telling, most) in enumerate(self.templates):
+            gain = (alone - len(self.primed[k].compress(data))) / alone
+            # no alignment misses fewer words than the block lacks
+            least = sum((self.bags[k] - bag).values())
+            if gain > 0 and least <= MOST_MISSING * len(want) and all(w in bag for w in telling):
+                found.append((k, gain))
+            near.append((least / len(want), -gain, k))
         best = None
-        for gain, name in ranked:
-            want = self.words[name]
-            blocks = difflib.SequenceMatcher(None, want, words, autojunk=False).get_matching_blocks()
-            held = [i for m in blocks for i in range(m.a, m.a + m.size)]
-            there = [j for m in blocks for j in range(m.b, m.b + m.size)]
+        for k, gain in found or [(k, -g) for _, g, k in [min(near)]]:
+            name, want, telling, most = self.templates[k]
+            held, there = align(want, words, self.costs[k])
             missing = [w for i, w in enumerate(want) if i not in set(held)]
-            first, last = (min(there), max(there)) if there else (0, -1)
-            extra = [words[j] for j in range(first, last + 1) if j not in set(there)]
-            sure = not self.telling[name] & set(missing) and len(missing) <= MOST_MISSING * len(want) and len(extra) <= len(want)
-            rank = (not sure, len(missing), len(extra), -gain, name)
+            extra = [words[j] for j in range(there[0], there[-1] + 1) if j not in set(there)] if there else []
+            sure = not telling & set(missing) and len(missing) <= MOST_MISSING * len(want) and len(extra) <= most
+            rank = (not sure, -len(held), len(missing), len(extra), -gain, name)
             if best is None or rank < best[0]:
                 best = (rank, (name, gain, missing, extra, sure))
         return best[1]
@@ -103,8 +225,6 @@ def blocks_of(text: str) -> list[tuple[int, list[str]]]:
         return []
     spots = list(re.finditer(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower()))
     starts = [m.start() for m in spots]
-    import bisect
-
     spans: list[list[int]] = []
     for m in cue.finditer(text.lower()):
         at = max(bisect.bisect_right(starts, m.start()) - 1, 0)
@@ -123,12 +243,12 @@ def blocks_of(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-def license_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def license_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, forms: tuple = FORMS) -> DataFrame:
     """One row per candidate block of ``docs`` ``(doc_id, text)``."""
     bounded_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates)
+        scanner = Scanner(templates, forms)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -367,6 +367,34 @@ def test_license_blocks_of_planted_notices(spark):
     assert licenses.license_blocks(docs.limit(0)).count() == 0
 
 
+def test_license_wordings_that_are_not_the_short_notices(spark):
+    filler = " ".join(prose(3, 200))
+    gpl = ("Frobnicator is free software; you can redistribute it and/or modify it under the terms of the GNU{} General Public License as published by the Free "
+           "Software Foundation; either version {} of the License, or (at your option) any later version.")
+    rows = [("Some tale of the sea.\nAll rights reserved.", "All-rights-reserved"), ("Alle Rechte vorbehalten.", "All-rights-reserved"),
+            (gpl.format("", "2"), "GPL-2.0"), (gpl.format("", "3"), "GPL-3.0"), (gpl.format(" Lesser", "3"), "LGPL-3.0"), (gpl.format(" Affero", "3"), "AGPL-3.0"),
+            ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("# SPDX-License-Identifier: MIT", "MIT"), ("see BSD-2-Clause for terms", "BSD-2-Clause"),
+            ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this work except in compliance with the License.', "Apache-2.0"),
+            ("This is shared under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+            ("MIT License\n\nCopyright (c) 2019 Jo Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+             "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+             "publish, distribute, sublicense, and/or sell copies of the Software, subject to the following conditions: the above copyright notice and this permission "
+             "notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+             "IMPLIED, INCLUDING THE WARRANTIES OF MERCHANTABILITY AND FITNESS.", "MIT")]
+    clauses = "\n * ".join([
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "{}THIS SOFTWARE IS PROVIDED BY THE AUTHOR AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."])
+    third = "Neither the name of Acme nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    rows += [(clauses.format(""), "BSD-2-Clause"), (clauses.format(third), "BSD-3-Clause")]
+    docs = table(spark, [(i, f"{filler}\n{t}\n{filler}") for i, (t, _) in enumerate(rows)] + [(99, "(c) 2021 by us"), (98, "©")], "doc_id long, text string")
+    got = licenses.license_blocks(docs).collect()
+    for i, (text, name) in enumerate(rows):
+        assert {r.license for r in got if r.doc_id == i and r.confirmed} == {name}, (text, [r for r in got if r.doc_id == i])
+    assert [r.confirmed for r in got if r.doc_id >= 98] == [False, False]
+
+
 # --- registered queries ------------------------------------------------------------------------------
 
 def test_queries_keep_every_row(spark):
