@@ -2,7 +2,7 @@
 
 Candidate blocks are the stretches of words around license cues.  Each block is compressed alone and
 once with every template as a zstandard raw-content dictionary; the reduction is how much the template
-shortens the block.  Every template that shortens it is checked by wording: the template's words are
+shortens the block (a title or an SPDX id may shorten it by nothing).  Every template is checked by wording: the template's words are
 aligned with the stretch of the block that differs least from them, and the difference, missing and
 extra words, is part of the result.  A template is confirmed when it misses none of the words that
 tell licenses apart (versions included), at most ``MOST_MISSING`` of all, and has few words in between.
@@ -12,11 +12,14 @@ A template is aligned only if a count of the block's words leaves it possible, w
 (of long ones the head, which stands in front of every copy), standard headers, titles and SPDX ids.
 
 Texts are pre-selected by a pattern in the scan; whole texts reach the tasks, nothing is shuffled.
-One row per candidate block.
+One row per block and confirmed license, with the template that holds most of the block's words.  A
+license whose telling words all belong to a larger notice in the block (the GNU GPL's to the Lesser
+GPL's) is not another license.  A block without a confirmed template has one row, of the nearest.
 
 Defined cases: a null or empty text has no blocks; blocks are numbered in text order; a cue without a
-matching template yields a row that is not confirmed; of equally good templates the first by name
-wins; rows that repeat a ``doc_id`` are scanned each on its own; nulls in other columns change
+matching template yields a row that is not confirmed; rows of a block stand in order of their words
+held, then by name; long stretches are cut with an overlap, and what two pieces both hold whole has
+one row, of the first; rows that repeat a ``doc_id`` are scanned each on its own; nulls in other columns change
 nothing; an empty table gives an empty result; extra columns play no part.
 """
 
@@ -193,8 +196,8 @@ class Scanner:
         self.primed = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **level)
                        for _, w, _, _ in self.templates]
 
-    def judge(self, words: list[str]) -> tuple:
-        """(license, reduction, missing, extra, confirmed) of one block."""
+    def judge(self, words: list[str]) -> list[tuple]:
+        """(license, reduction, missing, extra, confirmed, places of its words) of each license of one block."""
         data, bag = " ".join(words).encode(), Counter(words)
         alone = len(self.plain.compress(data))
         found, near = [], []
@@ -202,20 +205,31 @@ class Scanner:
             gain = (alone - len(self.primed[k].compress(data))) / alone
             # no alignment misses fewer words than the block lacks
             least = sum((self.bags[k] - bag).values())
-            if gain > 0 and least <= MOST_MISSING * len(want) and all(w in bag for w in telling):
+            if least <= MOST_MISSING * len(want) and all(w in bag for w in telling):
                 found.append((k, gain))
             near.append((least / len(want), -gain, k))
-        best = None
-        for k, gain in found or [(k, -g) for _, g, k in [min(near)]]:
-            name, want, telling, most = self.templates[k]
-            held, there = align(want, words, self.costs[k])
-            missing = [w for i, w in enumerate(want) if i not in set(held)]
-            extra = [words[j] for j in range(there[0], there[-1] + 1) if j not in set(there)] if there else []
-            sure = not telling & set(missing) and len(missing) <= MOST_MISSING * len(want) and len(extra) <= most
-            rank = (not sure, -len(held), len(missing), len(extra), -gain, name)
-            if best is None or rank < best[0]:
-                best = (rank, (name, gain, missing, extra, sure))
-        return best[1]
+        ranked = sorted(self._compare(words, k, gain) for k, gain in found)
+        taken: dict[str, tuple] = {}
+        larger: list[set[int]] = []
+        for (unsure, fewer, *_), row, tells in ranked:
+            there = set(row[-1])
+            if not unsure and row[0] not in taken and not any(len(x) > -fewer and tells <= x for x in larger):
+                taken[row[0]] = row
+            if not unsure:
+                larger.append(there)
+        if taken:
+            return list(taken.values())
+        return [ranked[0][1] if ranked else self._compare(words, min(near)[2], -min(near)[1])[1]]
+
+    def _compare(self, words: list[str], k: int, gain: float) -> tuple:
+        """(rank, row, places of the telling words) of a template against a block."""
+        name, want, telling, most = self.templates[k]
+        held, there = align(want, words, self.costs[k])
+        missing = [w for i, w in enumerate(want) if i not in set(held)]
+        extra = [words[j] for j in range(there[0], there[-1] + 1) if j not in set(there)] if there else []
+        sure = not telling & set(missing) and len(missing) <= MOST_MISSING * len(want) and len(extra) <= most
+        rank = (not sure, -len(held), len(missing), len(extra), -gain, name, k)
+        return rank, (name, gain, missing, extra, sure, there), {j for j in there if words[j] in telling}
 
 
 def blocks_of(text: str) -> list[tuple[int, list[str]]]:
@@ -244,7 +258,7 @@ def blocks_of(text: str) -> list[tuple[int, list[str]]]:
 
 
 def license_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, forms: tuple = FORMS) -> DataFrame:
-    """One row per candidate block of ``docs`` ``(doc_id, text)``."""
+    """One row per candidate block of ``docs`` ``(doc_id, text)`` and license confirmed in it."""
     bounded_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,10 +266,15 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, forms
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seen = set()
                 for number, (first, words) in enumerate(blocks_of(text.as_py())):
-                    name, gain, missing, extra, sure = scanner.judge(words)
-                    rows.append({"doc_id": doc, "block": number, "first_word": first, "n_words": len(words), "license": name, "reduction": gain,
-                                 "missing": missing, "extra": extra, "confirmed": sure})
+                    for name, gain, missing, extra, sure, there in scanner.judge(words):
+                        places = (name, *(first + j for j in there))
+                        if sure and places in seen:
+                            continue
+                        seen.add(places)
+                        rows.append({"doc_id": doc, "block": number, "first_word": first, "n_words": len(words), "license": name, "reduction": gain,
+                                     "missing": missing, "extra": extra, "confirmed": sure})
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     candidates = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(CUE))

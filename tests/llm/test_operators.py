@@ -395,6 +395,22 @@ def test_license_wordings_that_are_not_the_short_notices(spark):
     assert [r.confirmed for r in got if r.doc_id >= 98] == [False, False]
 
 
+def test_every_license_of_a_block(spark):
+    rows = [("Licensed under the Apache License, Version 2.0. Released under the MIT License.", ["Apache-2.0", "MIT"]),
+            ("Licensed under either of Apache License, Version 2.0 or the MIT license at your option.", ["Apache-2.0", "MIT"]),
+            ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), ("SPDX-License-Identifier: Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]),
+            ("Copyright (c) 2020 Jo Doe. All rights reserved. Released under the MIT License.", ["All-rights-reserved", "MIT"]),
+            (" ".join(licenses.TEMPLATES[n] for n in ("MPL-2.0", "GPL-2.0", "LGPL-3.0", "CC-BY-4.0", "CC0-1.0", "ISC")), ["CC-BY-4.0", "CC0-1.0", "GPL-2.0", "ISC", "LGPL-3.0", "MPL-2.0"]),
+            ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+            ("BSD-2-Clause GPL-3.0-only ISC License AGPL-3.0-or-later " * 150, ["AGPL-3.0", "BSD-2-Clause", "GPL-3.0", "ISC"])]
+    docs = table(spark, [(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = licenses.license_blocks(docs).collect()
+    for i, (text, names) in enumerate(rows):
+        found = [r for r in got if r.doc_id == i]
+        assert all(r.confirmed for r in found) and sorted({r.license for r in found}) == names, (text, found)
+        assert len({(r.block, r.license) for r in found}) == len(found)
+
+
 # --- registered queries ------------------------------------------------------------------------------
 
 def test_queries_keep_every_row(spark):
