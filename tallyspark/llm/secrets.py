@@ -1,15 +1,18 @@
 """Secret scans: a random forest that removes false positives among candidate strings.
 
-A candidate is a run of ``[A-Za-z0-9+/_=-]`` of at least ``SHORTEST`` characters that holds a digit, or
-letters of both cases beyond a leading capital.  Its features are length and character make-up,
+Candidates are: whatever is assigned to a credential name, of any length and characters; keys of known
+formats; the lines of a private key's PEM body; and any other run of ``[A-Za-z0-9+/_=-]`` of at least ``SHORTEST``
+characters, less a leading ``name=``, that holds a digit, or letters of both cases beyond a leading capital.  Its features are length and character make-up,
 character transitions (class changes, and mean log-probability of its letter pairs against the
 corpus' common words), dictionary coverage (share of its four-letter pieces found in those words),
 path (slashes, dots, the document's source) and neighbouring words and marks.  The forest is fitted
 on the driver from at most about ``FIT_FINDINGS`` labelled findings' features and scores every
 candidate of every text.
 
-``rule_findings`` supplies labels where no triaged findings exist: candidates assigned to a
-credential name are secrets, candidates without an assignment are not, the others stay unlabelled.
+``rule_findings`` supplies labels where no triaged findings exist: known formats, PEM bodies and what is
+assigned to a credential name are secrets (but for placeholders and bare words); runs that are clearly words, paths or
+plain numbers are not; all others stay unlabelled.  So that the forest does not learn the rule in place of the strings,
+each secret among these labels counts a second time with the surroundings of one that is not.
 
 Defined cases: a null or empty text has no candidates; a null source is a source of its own; offsets
 count code points; with labels of one class every score is that class, without labels 0.5; rows that
@@ -39,10 +42,27 @@ FIT_FINDINGS, DICTIONARY_TEXTS, DICTIONARY_WORDS = 20_000, 2_000, 5_000
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z][A-Z]+[a-z]")
 # Names that credentials are assigned to.
-CREDENTIAL = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)\W{0,6}$")
-ASSIGNED = re.compile(r"[=:]\s*[\"'`]?$")
+NAMES = r"(?:token|secret|secret[_-]?key|passw(?:or)?d|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"
+CREDENTIAL = re.compile(rf"(?i)(?:{NAMES}\W{{0,6}}|authorization\W{{1,6}}(?:bearer|basic|token)\s+)$")
+ASSIGNED = re.compile(r"[=:]>?\s*[\"'`]?$")
+NAMED = re.compile(rf"(?i)(?:{NAMES}[\"'`\])]{{0,3}}[ \t]*(?:=>|:=|==?|:)[ \t]*|authorization\W{{1,6}}(?:bearer|basic|token)[ \t]+)"
+                   r"(?:([\"'`])((?:(?!\1)[^\n\\]|\\.)+)\1|[\"'`]?([^\s\"'`]+))")
+NAME_PARTS = ("token", "secret", "passw", "pwd", "passphrase", "key", "credential", "auth")
+#: what every text with a candidate matches, in Java's dialect too
+HINT = RUN.pattern + r"|(?i:token|secret|passw|pwd|passphrase|(?:api|access|private)[_-]?key|credential|auth)[^a-zA-Z0-9]|PRIVATE KEY-----"
+# Formats that issuers give their keys.
+FORMATS = re.compile(r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}"
+                     r"|sk-[A-Za-z0-9_-]*[A-Za-z0-9]{20,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
+                     r"|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+)(?![A-Za-z0-9])")
+FORMAT_PARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "k_live_", "k_test_", "AIza", "npm_", "SG.", "eyJ")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(.*?)(?:-----END|\Z)", re.S)
+PEM_LINE = re.compile(r"^[ \t]*([A-Za-z0-9+/]+=*)[ \t]*\r?$", re.M)
+LEADING_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*=+(?=[^=])")
+PLACEHOLDER = re.compile(r"(?i)[x*.•_-]+|<.*>|\$?\{.*\}|\$\w+|%.*%|none|null|true|false|your[ _-].*|[a-z]+")
 FEATURES = ["length", "digits", "upper", "lower", "hex", "marks", "distinct", "entropy", "changes", "pairs", "covered", "slashes", "dots_near",
-            "source", "assigned", "quoted", "credential_word", "word_before", "word_after", "words_near"]
+            "source", "assigned", "quoted", "credential_word", "word_before", "word_after", "words_near", "format"]
+# what the surroundings of a candidate decide
+AROUND = [FEATURES.index(n) for n in ("dots_near", "assigned", "quoted", "credential_word", "word_before", "word_after", "words_near")]
 
 
 class Dictionary:
@@ -74,8 +94,58 @@ def fit_dictionary(docs: DataFrame, texts: int = DICTIONARY_TEXTS, words: int =
     return Dictionary([(r.w, r["count"]) for r in common.collect()])
 
 
+def _named(text: str) -> Iterator[tuple[int, int, int | None]]:
+    """What credential names are given; a placeholder, or a bare word, has no label."""
+    at = 0
+    while m := NAMED.search(text, at):
+        begin, until = m.span(2) if m.group(1) else m.span(3)
+        if not m.group(1):
+            name = m.start()
+            while name and (text[name - 1].isalnum() or text[name - 1] in "_-"):
+                name -= 1
+            if name and text[name - 1] in "?&" and (cut := re.search(r"[&#]", text[begin:until])):  # an address' argument
+                until = max(begin + cut.start(), begin + 1)
+            while until - begin > 1 and (text[until - 1] in ",;." or text[until - 1] in ")]}>" and text[begin:until].count(text[until - 1]) > text[begin:until].count("([{<"[")]}>".index(text[until - 1])])):
+                until -= 1
+        yield begin, until, None if PLACEHOLDER.fullmatch(text, begin, until) and not (m.group(1) and text[begin:until].isalpha()) else 1
+        at = until
+
+
+def spans(text: str) -> list[tuple[int, int, int | None]]:
+    """Candidates ``(begin, until, label)`` in text order, none within another; runs have no label yet."""
+    low, sure = text.lower(), []
+    if any(p in low for p in NAME_PARTS):
+        sure += _named(text)
+    if any(p in text for p in FORMAT_PARTS):
+        sure += [(*m.span(), 1) for m in FORMATS.finditer(text)]
+    if "PRIVATE KEY-----" in text:
+        sure += [(b.start(1) + line.start(1), b.start(1) + line.end(1), 1) for b in PEM.finditer(text) for line in PEM_LINE.finditer(b.group(1))]
+    out, last = [], 0
+    for begin, until, y in sorted(sure, key=lambda r: (r[0], -r[1], r[2] is None)):
+        if begin >= last:
+            out.append((begin, until, y))
+            last = until
+        elif y and out[-1][2] is None and until <= last:  # a key inside a longer placeholder
+            out[-1] = (out[-1][0], last, 1)
+    held, k = out[:], 0
+    for m in RUN.finditer(text):
+        begin = m.start()
+        while k < len(held) and held[k][1] <= begin:
+            k += 1
+        cuts, j = [], k
+        while j < len(held) and held[j][0] < m.end():  # what is left of the run around others
+            cuts.append((begin, held[j][0]))
+            begin, j = max(begin, held[j][1]), j + 1
+        for a, b in [*cuts, (begin, m.end())]:
+            while name := LEADING_NAME.match(text, a, b):
+                a = name.end()
+            if b - a >= SHORTEST and (MIXED.search(text, a + 1, b) or text[a].isdigit()):
+                out.append((a, b, None))
+    return sorted(out, key=lambda r: r[:2])
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in RUN.finditer(text) if MIXED.search(m.group(), 1) or m.group()[0].isdigit()]
+    return [(a, b) for a, b, _ in spans(text)]
 
 
 def features(text: str, begin: int, until: int, source: str | None, words: Dictionary) -> list[float]:
@@ -89,28 +159,39 @@ def features(text: str, begin: int, until: int, source: str | None, words: Dicti
     return [n, kind.count("d") / n, kind.count("u") / n, kind.count("l") / n, sum(c in "0123456789abcdefABCDEF" for c in run) / n, kind.count("m") / n,
             len(count) / n, -sum(v / n * math.log2(v / n) for v in count.values()), sum(a != b for a, b in zip(kind, kind[1:])) / n, pair, covered,
             run.count("/"), before[-8:].count(".") + after[:8].count("."), hashed(source or ""), bool(ASSIGNED.search(before)),
-            before[-1:] in "\"'`" and before != "", bool(CREDENTIAL.search(before)), hashed(left[-1] if left else ""), hashed(right[0] if right else ""), len(left) + len(right)]
+            before[-1:] in "\"'`" and before != "", bool(CREDENTIAL.search(before)), hashed(left[-1] if left else ""), hashed(right[0] if right else ""), len(left) + len(right), bool(FORMATS.fullmatch(run))]
+
+
+def plain(run: str, words: Dictionary) -> bool:
+    """Clearly words, a path of words, or a plain number."""
+    if re.fullmatch(r"[0-9_/+=-]+", run):
+        return True
+    parts = re.findall(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}", run)
+    letters = sum(map(len, parts))
+    return letters >= 0.75 * sum(c.isalnum() for c in run) and letters >= 4 * len(parts) and words.of(run)[1] >= 0.5
 
 
-def rule_label(text: str, begin: int) -> int | None:
-    before = text[max(begin - 48, 0) : begin]
-    return 1 if CREDENTIAL.search(before) and ASSIGNED.search(before) else None if ASSIGNED.search(before) else 0
+def rule_label(text: str, begin: int, until: int, label: int | None, words: Dictionary) -> int | None:
+    """``label`` is what ``spans`` knows of the candidate."""
+    if label is not None or CREDENTIAL.search(text[max(begin - 48, 0) : begin]):
+        return label
+    return 0 if plain(text[begin:until], words) else None
 
 
 def _found(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return rows.where(F.col("text").rlike(RUN.pattern))
+    return rows.where(F.col("text").rlike(HINT))
 
 
-def rule_findings(docs: DataFrame) -> DataFrame:
+def rule_findings(docs: DataFrame, words: Dictionary) -> DataFrame:
     """``(doc_id, begin, y)`` labelled by rule."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(2)):
                 text = text.as_py()
-                out += [(doc, a, float(y)) for a, _ in candidates(text) if (y := rule_label(text, a)) is not None]
+                out += [(doc, a, float(y)) for a, b, known in spans(text) if (y := rule_label(text, a, b, known, words)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())],
                                              names=["doc_id", "begin", "y"])
 
@@ -137,8 +218,11 @@ def _featured(docs: DataFrame, words: Dictionary) -> DataFrame:
 def secret_findings(docs: DataFrame, findings: DataFrame | None = None, fit_findings: int = FIT_FINDINGS) -> DataFrame:
     """``(doc_id, begin, until, score, secret)`` for every candidate; ``findings`` ``(doc_id, begin, y)`` are labels."""
     words = fit_dictionary(docs)
-    findings = rule_findings(docs) if findings is None else findings
-    known = thinned(findings.where("y IN (0, 1)"), F.struct("doc_id", "begin"), fit_findings, "findings")
+    by_rule = findings is None
+    findings = rule_findings(docs, words) if by_rule else findings
+    # half of each label, so that the rarer one is not thinned with the other
+    halves = [thinned(findings.where(F.col("y") == y), F.struct("doc_id", "begin"), fit_findings // 2, "findings") for y in (0, 1)]
+    known = halves[0].unionByName(halves[1])
     known = known.groupBy("doc_id", "begin").agg(F.max(F.col("y").cast("double")).alias("y"))
     found = _featured(docs, words)
     rows = found.join(F.broadcast(known), ["doc_id", "begin"]).select("doc_id", "begin", "y", "x").toArrow()  # bounded by the sample
@@ -147,7 +231,12 @@ def secret_findings(docs: DataFrame, findings: DataFrame | None = None, fit_find
         y = rows.column("y").to_numpy()
         x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
         order = np.lexsort((*x.T[::-1], y, rows.column("begin").to_numpy(), rows.column("doc_id").to_numpy()))
-        forest = random_forest(x[order], y[order])
+        x, y = x[order], y[order]
+        if by_rule and 0 < y.sum() < len(y):
+            again, others = x[y == 1], x[y == 0]
+            again[:, AROUND] = others[np.arange(len(again)) * 7919 % len(others)][:, AROUND]
+            x, y = np.concatenate([x, again]), np.concatenate([y, np.ones(len(again))])
+        forest = random_forest(x, y)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
