@@ -3,12 +3,17 @@
 Candidates are: whatever is assigned to a credential name, of any length and characters; keys of known
 formats; the lines of a private key's PEM body; and any other run of ``[A-Za-z0-9+/_=-]`` of at least ``SHORTEST``
 characters, less a leading ``name=``, that holds a digit, or letters of both cases beyond a leading capital.  Its features are length and character make-up,
-character transitions (class changes, and mean log-probability of its letter pairs against the
-corpus' common words), dictionary coverage (share of its four-letter pieces found in those words),
-path (slashes, dots, the document's source) and neighbouring words and marks.  The forest is fitted
+character transitions (class changes, and mean log-probability of its letter pairs), dictionary
+coverage (share of its four-letter pieces that the corpus holds often enough, and their mean
+log-probability), path (slashes, dots, the document's source) and neighbouring words and marks.  The forest is fitted
 on the driver from at most about ``FIT_FINDINGS`` labelled findings' features and scores every
 candidate of every text.
 
+Pairs and pieces are counted over the words of all documents, in tables of ``PAIR_SLOTS`` and ``PIECE_SLOTS``
+hashed slots, so what reaches the driver and the tasks is bounded at any size of the corpus and nothing is
+left out; only the labelled findings are sampled.  A piece is held often enough from a share of all pieces on,
+which means the same at every size.
+
 ``rule_findings`` supplies labels where no triaged findings exist: known formats, PEM bodies and what is
 assigned to a credential name are secrets (but for placeholders and bare words); runs that are clearly words, paths or
 plain numbers are not; all others stay unlabelled.  So that the forest does not learn the rule in place of the strings,
@@ -22,6 +27,7 @@ empty table gives an empty result; extra columns play no part.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -34,11 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import thinned
-from .staging import bounded_batches
+from .staging import Staging, bounded_batches
 from .trees import random_forest
 
 SHORTEST = 16
-FIT_FINDINGS, DICTIONARY_TEXTS, DICTIONARY_WORDS = 20_000, 2_000, 5_000
+FIT_FINDINGS = 20_000
+PAIR_SLOTS, PIECE_SLOTS = 1 << 16, 1 << 18
+# a piece is known from this part of an even share of the slots on
+KNOWN = 1 / 64
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z][A-Z]+[a-z]")
 # Names that credentials are assigned to.
@@ -59,39 +68,70 @@ PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(.*?)(?:-----END|\Z)", r
 PEM_LINE = re.compile(r"^[ \t]*([A-Za-z0-9+/]+=*)[ \t]*\r?$", re.M)
 LEADING_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*=+(?=[^=])")
 PLACEHOLDER = re.compile(r"(?i)[x*.•_-]+|<.*>|\$?\{.*\}|\$\w+|%.*%|none|null|true|false|your[ _-].*|[a-z]+")
-FEATURES = ["length", "digits", "upper", "lower", "hex", "marks", "distinct", "entropy", "changes", "pairs", "covered", "slashes", "dots_near",
+FEATURES = ["length", "digits", "upper", "lower", "hex", "marks", "distinct", "entropy", "changes", "pairs", "covered", "pieces", "slashes", "dots_near",
             "source", "assigned", "quoted", "credential_word", "word_before", "word_after", "words_near", "format"]
 # what the surroundings of a candidate decide
 AROUND = [FEATURES.index(n) for n in ("dots_near", "assigned", "quoted", "credential_word", "word_before", "word_after", "words_near")]
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def _grams(text: str, n: int, slots: int) -> np.ndarray:
+    """Slots of the ``n`` letters in a row of ``text``, in order."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    count = len(codes) - n + 1
+    if count < 1:
+        return np.zeros(0, np.int64)
+    letter = _letters()[codes]
+    whole, mixed = letter[:count].copy(), codes[:count].copy()
+    for k in range(1, n):
+        whole &= letter[k : k + count]
+        mixed = mixed * np.uint64(0x100000001B3) + codes[k : k + count]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed[whole] >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+
+
 class Dictionary:
-    """Letter-pair log-probabilities and four-letter pieces of common words."""
-
-    def __init__(self, words: list[tuple[str, int]]):
-        pairs: Counter = Counter()
-        self.pieces = set()
-        for word, count in words:
-            for a, b in zip(word, word[1:]):
-                pairs[a + b] += count
-            self.pieces.update(word[i : i + 4] for i in range(len(word) - 3))
-        total = sum(pairs.values()) + 1
-        self.pairs = {k: math.log((v + 0.5) / total) for k, v in pairs.items()}
-        self.floor = math.log(0.5 / total)
-
-    def of(self, run: str) -> tuple[float, float]:
+    """Log-probabilities of letter pairs and four-letter pieces, by hashed slot."""
+
+    def __init__(self, pairs: np.ndarray, pieces: np.ndarray):
+        self.pairs = np.log((pairs + 0.5) / (pairs.sum() + 1)).astype(np.float32)
+        self.pieces = np.log((pieces + 0.5) / (pieces.sum() + 1)).astype(np.float32)
+        self.known = (pieces > 0) & (pieces * (len(pieces) / KNOWN) >= pieces.sum())
+        self.floors = float(self.pairs.min()), float(self.pieces.min())
+
+    def of(self, run: str) -> tuple[float, float, float]:
+        """Mean log-probability of pairs, share of known pieces, mean log-probability of pieces; what is not of letters counts as unseen."""
         low = run.lower()
-        pairs = [self.pairs.get(low[i : i + 2], self.floor) for i in range(len(low) - 1)]
-        pieces = [low[i : i + 4] in self.pieces for i in range(len(low) - 3)]
-        return sum(pairs) / max(len(pairs), 1), sum(pieces) / max(len(pieces), 1)
+        two, four = _grams(low, 2, PAIR_SLOTS), _grams(low, 4, PIECE_SLOTS)
+        n, m = max(len(low) - 1, 1), max(len(low) - 3, 1)
+        return ((float(self.pairs[two].sum()) + (n - len(two)) * self.floors[0]) / n, int(self.known[four].sum()) / m,
+                (float(self.pieces[four].sum()) + (m - len(four)) * self.floors[1]) / m)
+
+
+def fit_dictionary(docs: DataFrame) -> Dictionary:
+    """From the texts of all documents; slots ``PAIR_SLOTS`` and up are those of the pieces."""
+    bounded_batches(docs.sparkSession)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PAIR_SLOTS + PIECE_SLOTS, np.int64)
+        for batch in batches:
+            # joined, so that short texts do not cost a call each; the mark between them is no letter
+            low, at = "\n".join(t for t in batch.column(0).to_pylist() if t).lower(), 0
+            while at < len(low):  # a piece that begins in a part ends at most three letters after it
+                total[:PAIR_SLOTS] += np.bincount(_grams(low[at : at + (1 << 20) + 1], 2, PAIR_SLOTS), minlength=PAIR_SLOTS)
+                total[PAIR_SLOTS:] += np.bincount(_grams(low[at : at + (1 << 20) + 3], 4, PIECE_SLOTS), minlength=PIECE_SLOTS)
+                at += 1 << 20
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[slots], pa.int64())], names=["slot", "n"])
 
-def fit_dictionary(docs: DataFrame, texts: int = DICTIONARY_TEXTS, words: int = DICTIONARY_WORDS) -> Dictionary:
-    """From the most common words of about ``texts`` documents."""
-    sample = thinned(docs.select("doc_id", "text"), F.col("doc_id"), texts, "dictionary")
-    split = sample.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("w")).where("length(w) >= 3")
-    common = split.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
-    return Dictionary([(r.w, r["count"]) for r in common.collect()])
+    counts = docs.select("text").where("text IS NOT NULL").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # bounded by the slots
+    total = np.zeros(PAIR_SLOTS + PIECE_SLOTS, np.int64)
+    total[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    return Dictionary(total[:PAIR_SLOTS], total[PAIR_SLOTS:])
 
 
 def _named(text: str) -> Iterator[tuple[int, int, int | None]]:
@@ -153,11 +193,11 @@ def features(text: str, begin: int, until: int, source: str | None, words: Dicti
     n = len(run)
     count = Counter(run)
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in run]
-    pair, covered = words.of(run)
+    pair, covered, piece = words.of(run)
     left, right = re.findall(r"\w+", before), re.findall(r"\w+", after)
     hashed = lambda w: zlib.crc32(w.lower().encode()) % 64 if w else -1
     return [n, kind.count("d") / n, kind.count("u") / n, kind.count("l") / n, sum(c in "0123456789abcdefABCDEF" for c in run) / n, kind.count("m") / n,
-            len(count) / n, -sum(v / n * math.log2(v / n) for v in count.values()), sum(a != b for a, b in zip(kind, kind[1:])) / n, pair, covered,
+            len(count) / n, -sum(v / n * math.log2(v / n) for v in count.values()), sum(a != b for a, b in zip(kind, kind[1:])) / n, pair, covered, piece,
             run.count("/"), before[-8:].count(".") + after[:8].count("."), hashed(source or ""), bool(ASSIGNED.search(before)),
             before[-1:] in "\"'`" and before != "", bool(CREDENTIAL.search(before)), hashed(left[-1] if left else ""), hashed(right[0] if right else ""), len(left) + len(right), bool(FORMATS.fullmatch(run))]
 
@@ -217,14 +257,14 @@ def _featured(docs: DataFrame, words: Dictionary) -> DataFrame:
 
 def secret_findings(docs: DataFrame, findings: DataFrame | None = None, fit_findings: int = FIT_FINDINGS) -> DataFrame:
     """``(doc_id, begin, until, score, secret)`` for every candidate; ``findings`` ``(doc_id, begin, y)`` are labels."""
-    words = fit_dictionary(docs)
+    words, staging = fit_dictionary(docs), Staging(docs.sparkSession, "secrets")
     by_rule = findings is None
-    findings = rule_findings(docs, words) if by_rule else findings
+    findings = staging.table("labels", rule_findings(docs, words)) if by_rule else findings
     # half of each label, so that the rarer one is not thinned with the other
     halves = [thinned(findings.where(F.col("y") == y), F.struct("doc_id", "begin"), fit_findings // 2, "findings") for y in (0, 1)]
     known = halves[0].unionByName(halves[1])
     known = known.groupBy("doc_id", "begin").agg(F.max(F.col("y").cast("double")).alias("y"))
-    found = _featured(docs, words)
+    found = staging.table("found", _featured(docs, words))
     rows = found.join(F.broadcast(known), ["doc_id", "begin"]).select("doc_id", "begin", "y", "x").toArrow()  # bounded by the sample
     forest = None
     if rows.num_rows:

@@ -272,6 +272,18 @@ def test_secret_forms_are_candidates_and_learned(spark):
     assert [rows[0][1][a:b] for a, b in secrets.candidates(rows[0][1])][0] == rows[0][1][slice(*want[0])]
 
 
+def test_dictionary_counts_every_document(spark):
+    rows = [(i, "the common words of it " * 5) for i in range(4000)] + [(5000 + i, "kwzxq") for i in range(40)] + [(None, None), (1, ""), (2, "É" * 30), (3, "a1b2 c3")]
+    docs = table(spark, rows, "doc_id long, text string").repartition(7)
+    once, twice = secrets.fit_dictionary(docs), secrets.fit_dictionary(docs.unionAll(docs))
+    assert once.of("kwzx")[1] == 1 and once.of("kwzx")[2] > once.of("qqqq")[2]  # the source of 40 words is not dropped
+    pieces = [w[i : i + 4] for _, t in rows if t for w in t.lower().replace("1", " ").replace("2", " ").split() for i in range(len(w) - 3)]
+    for p in ("comm", "word", "kwzx", "éééé"):
+        assert once.of(p)[2] == pytest.approx(np.log((pieces.count(p) + 0.5) / (len(pieces) + 1)), abs=1e-4)
+        assert once.of(p)[1] == twice.of(p)[1] == 1 and once.of(p)[2] == pytest.approx(twice.of(p)[2], abs=0.02)  # alike at every size
+    assert secrets.fit_dictionary(docs.limit(0)).of("word")[1] == 0
+
+
 # --- 6 repetition ----------------------------------------------------------------------------------
 
 def test_repetition_matches_brute_force(spark, documents):
