@@ -3,7 +3,8 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame
 that is written as Parquet and read again as the next stage's ``docs``.  All but the last return the
 columns of ``documents``; the last returns the mix: those columns and, for each document in it, its
-size, its source's size and target, and the words taken of it.
+size, its source's size and target, and the words taken of it.  ``run_texts`` ends in the texts of the
+mix instead: a row per taken stretch, in schedule order.
 """
 
 from __future__ import annotations
@@ -54,10 +55,19 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is a table in the shared folder."""
+def _through(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
     staging = Staging(spark, "pipeline")
     docs = spark.read.parquet(table_path(sf_dir, "documents"))
-    for name, stage in STAGES:
+    for name, stage in stages:
         docs = staging.table(name, stage(spark, docs, sf_dir))
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is a table in the shared folder."""
+    return _through(spark, sf_dir, STAGES)
+
+
+def run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of what the stages before it keep, as ``mixing.mixed_texts``."""
+    return mixing.mixed_texts(_through(spark, sf_dir, STAGES[:-1]))

@@ -8,6 +8,8 @@ Ranks stop at the block that reaches the source's target, whose last block is cu
 blocks that the points have not reached by the end of the schedule follow as its tail (the
 points' discrepancy, a few blocks a source).  So every source takes its target, to the word.
 
+``mix`` gives the mix as numbers, ``mixed_texts`` as texts: the blocks' words in schedule order.
+
 Shares: all sources share ``share`` (1.5) of all words by weight; a target stops at twice its
 source's words and the excess is shared again by weight until none is above.
 
@@ -108,12 +110,14 @@ def schedule(spark: SparkSession, shares: DataFrame, chunk: int = 1 << 12) -> Da
     return ranked.where("rank < quota").select("slot", "source_no", "rank").unionByName(tail)
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, block_words: int = 256, share: float = 1.5, most: int = 2, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: DataFrame | None = None, block_words: int = 256, share: float = 1.5, most: int = 2, seed: int = 17,
+        keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix as three tables.
 
     ``documents``: the rows of ``docs`` with ``size, source_size, target, taken``; ``slots``: the
-    schedule ``(slot, source_no, rank)``; ``pieces``: ``(source_no, rank, doc_id, words)``, what each
-    block holds.  ``weights`` is ``(source, weight)``; by default 5, 2, 1 repeating."""
+    schedule ``(slot, source_no, rank)``; ``pieces``: ``(source_no, rank, at, doc_id, begin, until,
+    words)``, what each block holds: from its word ``at`` on the words ``begin`` to ``until`` of a document, and the
+    columns ``keys`` of its row.  ``weights`` is ``(source, weight)``; by default 5, 2, 1 repeating."""
     spark = docs.sparkSession
     staging = Staging(spark, "mix")
     extra = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
@@ -144,15 +148,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_words: int = 25
     block = F.lit(block_words)
     pieces = (stream.where("size > 0").withColumn("__mx_round", rounds).withColumn("__mx_begin", begin)
               .withColumn("__mx_end", F.least(F.col("__mx_begin") + F.col("size"), F.col("goal"))).where(F.col("__mx_begin") < end)
-              .select("source_no", "__mx_part", "__mx_row", "doc_id", "__mx_begin", "__mx_end",
+              .select("source_no", "__mx_part", "__mx_row", "doc_id", *keys, "__mx_begin", "__mx_end",
                       F.explode(F.sequence(F.floor(F.col("__mx_begin") / block), F.floor((end - 1) / block))).alias("rank"))
-              .withColumn("words", F.least(end, (F.col("rank") + 1) * block) - F.greatest(F.col("__mx_begin"), F.col("rank") * block)))
+              .withColumn("words", F.least(end, (F.col("rank") + 1) * block) - F.greatest(F.col("__mx_begin"), F.col("rank") * block))
+              .withColumn("at", F.greatest(F.col("__mx_begin") - F.col("rank") * block, F.lit(0)).cast("long"))
+              .withColumn("begin", F.greatest(F.col("rank") * block - F.col("__mx_begin"), F.lit(0)).cast("long"))
+              .withColumn("until", F.col("begin") + F.col("words")))
     slots = schedule(spark, per.select("source_no", "quota"))
     taken = (pieces.join(slots.select("source_no", "rank"), ["source_no", "rank"])
              .groupBy("source_no", "__mx_part", "__mx_row").agg(F.sum("words").alias("taken")))
     mixed = (stream.join(taken, ["source_no", "__mx_part", "__mx_row"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
              .drop("goal", "source_no", "__mx_part", "__mx_row", "__mx_at"))
-    return mixed, slots, pieces.select("source_no", "rank", "doc_id", "words")
+    return mixed, slots, pieces.select("source_no", "rank", "at", "doc_id", "begin", "until", "words", *keys)
 
 
 def with_texts(docs: DataFrame) -> DataFrame:
@@ -167,6 +174,27 @@ def with_texts(docs: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.col("mix_text")).drop("mix_key", "mix_id", "mix_text")
 
 
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: ``(slot, at, source, doc_id, begin, until, text)``, a row per piece of a block, in schedule order.
+
+    ``text`` holds the words ``begin`` to ``until`` of the document with what stands between them, so a
+    document taken twice is there twice and one taken in part is cut.  ``options`` are those of ``mix``.
+    Each text meets the list of its pieces once (a few numbers per block of words) and is split once."""
+    slim = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("mix_key"))
+    texts = slim.select("mix_key", F.col("doc_id").alias("mix_id"), F.col("text").alias("mix_text")).dropDuplicates(["mix_key", "mix_id"])
+    _, slots, pieces = mix(slim, keys=("mix_key", "source"), **options)
+    taken = (pieces.join(slots, ["source_no", "rank"])
+             .groupBy("mix_key", "doc_id").agg(F.collect_list(F.struct("slot", "at", "source", "begin", "until")).alias("mix_pieces")))
+    joined = taken.join(texts, (taken["mix_key"] == texts["mix_key"]) & taken["doc_id"].eqNullSafe(texts["mix_id"]))
+    split = F.regexp_extract_all("mix_text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    # a name of the lambda is computed once; a column might be split anew for each piece
+    cut = F.transform(F.array(split), lambda words: F.transform("mix_pieces", lambda p: F.struct(
+        p["slot"].alias("slot"), p["at"].alias("at"), p["source"].alias("source"), p["begin"].alias("begin"), p["until"].alias("until"),
+        F.regexp_replace(F.array_join(F.slice(words, (p["begin"] + 1).cast("int"), (p["until"] - p["begin"]).cast("int")), ""), r"^[\x20\x09-\x0D]+", "").alias("text"))))
+    return (joined.select("doc_id", F.explode(cut[0]).alias("p")).select("p.slot", "p.at", "p.source", "doc_id", "p.begin", "p.until", "p.text")
+            .orderBy("slot", "at"))
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """The contract's columns from ``mix``."""
     return mix(docs.select("doc_id", "source", "text"))[0].select("doc_id", "size", "source_size", "target", "taken")

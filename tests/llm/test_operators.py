@@ -343,6 +343,30 @@ def test_mix_odd_rows_and_outputs(spark):
     assert len(texts) == len(rows) and sorted(str(r.text) for r in texts) == sorted(str(r[1]) for r in rows)
 
 
+def test_mixed_texts_hold_the_words_taken(spark):
+    rows = [(i, "  ".join(f"d{i}w{k}\n" for k in range(i % 60)), "abc"[i % 3] if i % 5 else None) for i in range(200)]
+    rows += [(None, "x\ty z", "a"), (5, "u " * 400, "c"), (5, "u " * 400, "c"), (1000, None, "a"), (1001, " ", "a")]
+    docs = table(spark, rows, "doc_id long, text string, source string")
+    got = mixing.mixed_texts(docs, block_words=16).collect()
+    whole, slots, _ = mixed(docs, block_words=16)
+    assert [(r.slot, r.at) for r in got] == sorted((r.slot, r.at) for r in got)
+    words, blocks, per_doc, texts = {}, {}, {}, {(i, s): t for i, t, s in rows}
+    for r in got:
+        n = r.until - r.begin
+        assert brute.space_words(r.text) == brute.space_words(texts[r.doc_id, r.source])[r.begin : r.until] and r.text in texts[r.doc_id, r.source]
+        assert blocks.get(r.slot, 0) == r.at
+        blocks[r.slot] = r.at + n
+        words[r.source] = words.get(r.source, 0) + n
+        per_doc[r.doc_id, r.source] = per_doc.get((r.doc_id, r.source), 0) + n
+    assert words == {r.source: int(r.target + 0.5) for r in whole.select("source", "target").distinct().collect()}  # the words follow the targets
+    assert set(blocks) == {r.slot for r in slots.collect()} and sum(n != 16 for n in blocks.values()) <= len(words)
+    taken = {}
+    for r in whole.where("taken > 0").collect():
+        taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + r.taken
+    assert per_doc == taken
+    assert mixing.mixed_texts(docs.limit(0)).count() == 0
+
+
 # --- 8 decontamination -------------------------------------------------------------------------------
 
 def test_contamination_matches_brute_force(spark, documents):

@@ -76,3 +76,11 @@ def test_odd_documents_pass_every_stage(spark):
             assert len(got) <= docs.count()
         assert stage is corpus_pipeline.mix_sources
         assert corpus_pipeline.keep_quality(spark, docs, SF).count() <= docs.count()
+
+
+def test_texts_of_the_mix_follow_the_targets(spark):
+    goals = {r.source: int(r.target + 0.5) for r in corpus_pipeline.run(spark, SF).select("source", "target").distinct().collect()}
+    words = {}
+    for r in corpus_pipeline.run_texts(spark, SF).collect():
+        words[r.source] = words.get(r.source, 0) + len(brute.space_words(r.text))
+    assert words == goals
