@@ -256,7 +256,7 @@ def _merged(spark: SparkSession, docs: DataFrame, passes: list[DataFrame]) -> Da
     for p in passes:
         some = p.where("n_hit > 0").select(key.alias("__key"), F.col("doc_id").alias("__id"), "items", "matches", "hit_spans").dropDuplicates(["__key", "__id"])
         extra = some if extra is None else extra.unionByName(some)
-    joined = (staging.table("found", extra).groupBy("__key", "__id")
+    joined = (staging.table("found", extra).groupBy(F.col("__key").alias("__found_key"), F.col("__id").alias("__found_id"))
               .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"),
                    F.array_sort(F.flatten(F.collect_list("matches"))).alias("__matches"),
                    F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("__spans")))
@@ -264,10 +264,10 @@ def _merged(spark: SparkSession, docs: DataFrame, passes: list[DataFrame]) -> Da
     covered = F.aggregate("__spans", start, lambda s, x: F.struct(
         F.greatest(s["until"], x["until"]).alias("until"),
         (s["n"] + F.greatest(F.lit(0).cast("long"), x["until"] - F.greatest(s["until"], x["begin"]))).alias("n")))["n"]
-    wide = base.join(joined, (F.col("__key") == joined["__key"]) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop(joined["__key"])
+    wide = base.join(joined, (F.col("__key") == F.col("__found_key")) & F.col("doc_id").eqNullSafe(F.col("__found_id")), "left")
     return (wide.withColumn("n_hit", F.when(F.col("__spans").isNull(), F.lit(0).cast("long")).otherwise(covered))
             .withColumn("items", F.coalesce("__items", F.col("items"))).withColumn("matches", F.coalesce("__matches", F.col("matches")))
-            .drop("__key", "__id", "__items", "__matches", "__spans"))
+            .drop("__key", "__found_key", "__found_id", "__items", "__matches", "__spans"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:

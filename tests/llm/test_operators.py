@@ -235,7 +235,7 @@ def test_secret_forest_learns_the_labels(spark):
         key = "".join(draw.choice("0123456789abcdef") for _ in range(40))
         word = "".join(draw.choice(["hand", "book", "work", "Shop", "tree", "9"]) for _ in range(6)) + "1"
         rows.append((i, f"some text é here token = \"{key}\" and {word} or {draw.randrange(10**15, 10**16)} more", "s"))
-    rows += [(900 + i, t, None) for i, t in enumerate(ODD)] + [(0, "again abcdefgh12345678", "s")]
+    rows += [(900 + i, t, None) for i, t in enumerate(ODD)] + [(990, "again abcdefgh12345678", "s")] * 2
     docs = table(spark, rows, "doc_id long, text string, source string")
     got = secrets.secret_findings(docs).collect()
     texts = {i: t for i, t, _ in rows}
