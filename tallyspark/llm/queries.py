@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, line_dedup, mixing, near_dedup, quality, repetition, secrets, toxicity
+from . import (chat, decontaminate, filter_audit, licenses, line_dedup, mixing, near_dedup, quality, repetition, secrets, toxicity,
+               whitening)
 from .staging import table_path
 
 
@@ -54,6 +55,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(_docs(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "labels")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(spark.read.parquet(table_path(sf_dir, "embeddings")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_digest(_docs(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -65,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": near_dedup.ORACLE,
@@ -72,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_preference_formatting": chat.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
