@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat, decontaminate, filter_audit, licenses, line_dedup, mixing, near_dedup, quality, repetition, secrets, toxicity,
+from . import (chat, decontaminate, filter_audit, katz, licenses, line_dedup, mixing, near_dedup, quality, repetition, secrets, toxicity,
                whitening)
 from .staging import table_path
 
@@ -63,6 +63,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_digest(_docs(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "labels")))
 
 
+def op13_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_digest(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_filter_audit": op12_filter_audit,
+    "op13_katz_scoring": op13_katz_scoring,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": near_dedup.ORACLE,

@@ -23,9 +23,9 @@ class Staging:
         self.spark = spark
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def table(self, name: str, frame: DataFrame) -> DataFrame:
-        """Write ``frame`` and return what reads it back."""
-        frame.write.mode("error").parquet(f"{self.path}/{name}")
+    def table(self, name: str, frame: DataFrame, *partitions: str, **options) -> DataFrame:
+        """Write ``frame`` (in folders by the columns ``partitions``) and return what reads it back."""
+        frame.write.mode("error").options(**options).partitionBy(*partitions).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
 
     def remove(self, *names: str) -> None:
