@@ -174,7 +174,7 @@ def _factors(diagonal: np.ndarray, off: np.ndarray, shift: float, least: float):
 def leading_vectors(diagonal: np.ndarray, off: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Unit eigenvectors (columns) by inverse iteration; those of close eigenvalues are orthogonalised at every step."""
     n, draw = len(diagonal), np.random.default_rng(7)
-    norm = float(np.max(np.abs(diagonal)) + 2 * np.max(np.abs(off), initial=0.0))
+    norm = float(np.max(np.abs(diagonal)) + 2 * np.max(np.abs(off), initial=0.0)) or 1.0
     least, out, cluster = max(norm * _EPS, np.finfo(float).tiny), np.zeros((n, len(values))), 0
     for k, value in enumerate(values):
         if k and values[k - 1] - value > 1e-3 * norm:

@@ -139,3 +139,102 @@ def taken(docs, goals, seed=17):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def whitened(vectors, components=16):
+    """(n, deviations, whitened, explained) of whole-number vectors by numpy's own eigenvectors."""
+    import numpy as np
+
+    x = np.array(vectors, np.int64)
+    fit = np.unique(x, axis=0)
+    n, sums = len(fit), fit.sum(axis=0)
+    centred = fit - sums / n
+    cov = centred.T @ centred / n
+    values, q = np.linalg.eigh(cov)
+    values, q = values[::-1][:components], q[:, ::-1][:, :components]
+    return n, ((n * x - sums) ** 2).sum(axis=1), (x - sums / n) @ q / np.sqrt(values), values / np.trace(cov)
+
+
+def audit(docs, labels):
+    """Rows of the filter audit: docs are (doc_id, text, lang), labels (doc_id, quality, toxic)."""
+    from itertools import permutations
+
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    least = {}
+    for i, t, _ in docs:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    seen = []
+    for i, t, part in docs:
+        t = t or ""
+        w = space_words(t)
+        fails = {"A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t),
+                 "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and least[t] < i}
+        seen.append((part or "", {f for f, x in fails.items() if x}, i in good, i in toxic))
+    out, total = {}, Counter()
+    for order in map("".join, permutations("ABCDE")):
+        for part in {s[0] for s in seen}:
+            left = [s for s in seen if s[0] == part]
+            gone = []
+            for step, f in enumerate(order, 1):
+                fall = [s for s in left if f in s[1]]
+                left = [s for s in left if f not in s[1]]
+                only = sum(s[1] == {f} for s in seen if s[0] == part)
+                out[part, order, step] = (len(left), len(fall), sum(f in s[1] for s in gone), only, sum(s[2] for s in fall), sum(s[3] for s in fall))
+                total[part, f] += len(fall)
+                gone += fall
+    return {k: (*v, total[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+class KatzPlain:
+    """Katz backoff over pairs, word by word."""
+
+    def __init__(self, texts, k=5):
+        self.rows = [[*space_words(t, True), "\n"] for t in texts]
+        self.word = Counter(w for r in self.rows for w in r)
+        self.pair = Counter((a, b) for r in self.rows for a, b in zip(["\0", *r], r))
+        self.total, self.size = sum(self.word.values()), len(self.word)
+        self.after = defaultdict(dict)
+        for (a, b), c in self.pair.items():
+            self.after[a][b] = c
+        self.d1, self.d2 = self.cuts(self.word, k), self.cuts(self.pair, k)
+        free = sum(c - self.cut(c, self.d1) for c in self.word.values())
+        self.whole = self.total + (free == 0)
+        self.unknown = 1 - sum(self.cut(c, self.d1) for c in self.word.values()) / self.whole if self.total else 1.0
+
+    @staticmethod
+    def cuts(counter, k):
+        n = Counter(counter.values())
+        for top in range(k, 0, -1):
+            if all(n[r] for r in range(1, top + 2)):
+                a = (top + 1) * n[top + 1] / n[1]
+                d = {r: ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a) for r in range(1, top + 1)} if a < 1 else {1: 0}
+                if all(0 < x <= 1 for x in d.values()) and d[1] < 1:
+                    return d
+        return {}
+
+    @staticmethod
+    def cut(c, d):
+        return c * d.get(c, 1)
+
+    def one(self, w):
+        return self.cut(self.word[w], self.d1) / self.whole if w in self.word else self.unknown
+
+    def prob(self, h, w):
+        seen = self.after.get(h)
+        if not seen:
+            return self.one(w)
+        few = any(c in self.d2 for c in seen.values())
+        whole = sum(seen.values()) + (not few)
+        if w in seen:
+            return self.cut(seen[w], self.d2) / whole
+        left = 1 - sum(self.cut(c, self.d2) for c in seen.values()) / whole
+        return left / (1 - sum(self.one(x) for x in seen)) * self.one(w)
+
+    def score(self, text):
+        import math
+
+        r = [*space_words(text, True), "\n"]
+        base = sum(math.log10((self.word[w] + 1) / (self.total + self.size + 1)) for w in r)
+        return len(r), sum(w in self.word for w in r), base, sum(math.log10(self.prob(a, b)) for a, b in zip(["\0", *r], r))
