@@ -5,9 +5,7 @@
   partial row per map task (map-side combine), never one task holding its rows.  Raw reports
   (CSV / JSON) and workbooks of every tenant also come out of one sorted pass, one folder
   per tenant (``all_tenant_lines``, ``all_tenant_workbooks``).
-* L3 -- a table of saved specs, each with its own filters, reduce and format: due specs (enabled
-  and ``next_run_at <= now``) of one shape share a pass.  The source is aggregated by tenant, filtered
-  columns and group keys first, and the specs join those partial rows.
+* L3 -- a table of saved specs, all due ones from one scan: see ``plans/saved.py``.
 * L1 -- retention: rows younger than ``days`` at ``as_of``, as a pushed-down range filter,
   and a rewrite of the retained rows to a new location (``apply_retention``).
 """
@@ -15,19 +13,15 @@
 from __future__ import annotations
 
 import datetime as _dt
-import decimal
-import json
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.render import csv_header, csv_line, json_line, qcol
-from ..operators.filters import _same_family, equality_filter, sanitize_filters
-from ..operators.reduce import group_order, merge_partials, output_columns, partials, reduce_frame, report_view
-from ..spec import ReduceSpec, ReportSpec, SpecError
+from ..operators.reduce import reduce_frame, report_view
+from ..spec import ReduceSpec
+from .saved import due_specs, run_specs, run_status, write_specs  # noqa: F401
 
 
 def reduce_all_tenants(df: DataFrame, tenant_col: str, spec: ReduceSpec) -> DataFrame:
@@ -40,122 +34,6 @@ def write_per_tenant(df: DataFrame, tenant_col: str, path: str, fmt: str = "parq
     df.write.mode("overwrite").partitionBy(tenant_col).format(fmt).save(path)
 
 
-def due_specs(specs: DataFrame, now: _dt.datetime) -> DataFrame:
-    """L3: enabled specs whose next run is due."""
-    return specs.filter(F.col("enabled") & (F.col("next_run_at") <= F.lit(now)))
-
-
-@dataclass(frozen=True)
-class SpecShape:
-    """What due specs share to be answered together: reduce (None: raw rows), format, filtered
-    columns, and filters on nested values (these are applied as they are)."""
-
-    reduce: ReduceSpec | None
-    format: str
-    columns: tuple[str, ...]
-    nested: str = "{}"
-
-
-def _typed(value, dtype: T.DataType):
-    """``value`` as the column's own Python type; raises where no value of the column equals it."""
-    if value is None:
-        return None
-    if not _same_family(dtype, value):
-        raise ValueError(value)
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return float(value)
-    if isinstance(dtype, T.DecimalType):
-        return decimal.Decimal(str(value)).quantize(decimal.Decimal(1).scaleb(-dtype.scale), context=decimal.Context(prec=38, traps=[decimal.Inexact]))
-    if isinstance(dtype, T.IntegralType):
-        bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32}.get(type(dtype), 64)
-        if int(value) != value or not -(1 << (bits - 1)) <= value < 1 << (bits - 1):
-            raise ValueError(value)
-        return int(value)
-    return value
-
-
-def _shapes(source: DataFrame, due: DataFrame, tenant_col: str) -> dict[SpecShape, list[tuple]]:
-    """Due specs by shape, each with its rows ``(spec_id, tenant, *filter values)``.
-
-    Specs are definitions, not data: each is validated on the driver, as it is read."""
-    types = {f.name: f.dataType for f in source.schema.fields}
-    out: dict[SpecShape, list[tuple]] = {}
-    for row in due.select("spec_id", "tenant", "request").toLocalIterator():
-        spec = ReportSpec.parse(json.loads(row.request), row.tenant)
-        if tenant_col in spec.filters:
-            raise SpecError(f"filter on scope column {tenant_col!r} is not allowed")
-        clean = sanitize_filters(spec.filters)
-        for name in clean:
-            if name not in types:
-                raise SpecError(f"Unknown filter column: {name}")
-        flat = {c: v for c, v in clean.items() if not isinstance(v, (dict, list)) and isinstance(types[c], T.AtomicType)}
-        nested = {c: v for c, v in clean.items() if c not in flat}
-        columns = tuple(sorted(flat))
-        try:
-            values = [_typed(flat[c], types[c]) for c in columns]
-        except (ValueError, ArithmeticError):
-            continue  # no row can match
-        formats = spec.include_formats or (spec.format,)
-        for fmt in formats:
-            out.setdefault(SpecShape(spec.reduce, fmt, columns, json.dumps(nested, sort_keys=True)), []).append((row.spec_id, row.tenant, *values))
-    return out
-
-
-def _shape_frame(source: DataFrame, shape: SpecShape, rows: list[tuple], tenant_col: str, id_type: T.DataType) -> DataFrame:
-    """``spec_id`` and the output columns of every spec of one shape.
-
-    A reduce is aggregated once by tenant, filtered columns and group keys; the specs join those
-    partial rows, which are then merged per spec.  No source row is repeated per spec."""
-    fields = [T.StructField("spec_id", id_type), T.StructField("__tenant", source.schema[tenant_col].dataType)]
-    names = [f"__f{i}" for i in range(len(shape.columns))]
-    fields += [T.StructField(n, source.schema[c].dataType) for n, c in zip(names, shape.columns)]
-    wanted = source.sparkSession.createDataFrame(rows, T.StructType(fields))
-    nested = json.loads(shape.nested)
-    scoped = source.where(equality_filter(source, nested)) if nested else source
-    keys = [("__t", F.col(tenant_col)), *[(f"__g{i}", qcol(c)) for i, c in enumerate(shape.columns)]]
-    if shape.reduce is None:
-        kept = scoped.select(*[c.alias(n) for n, c in keys], *[qcol(c) for c in scoped.columns])
-    else:
-        kept = partials(scoped, shape.reduce, extra=[c.alias(n) for n, c in keys])
-    match = F.col("__t").eqNullSafe(F.col("__tenant"))
-    for i, n in enumerate(names):
-        match = match & F.col(f"__g{i}").eqNullSafe(F.col(n))
-    joined = kept.join(wanted, match).drop("__t", "__tenant", *names, *[f"__g{i}" for i in range(len(names))])
-    if shape.reduce is None:
-        return joined.select("spec_id", *[qcol(c) for c in scoped.columns])
-    merged = merge_partials(joined, ReduceSpec(shape.reduce.metrics, ("spec_id", *shape.reduce.group_by)))
-    return merged.select("spec_id", *[qcol(c) for c in output_columns(shape.reduce)])
-
-
-def run_specs(source: DataFrame, specs: DataFrame, now: _dt.datetime, *, tenant_col: str) -> DataFrame:
-    """L3: run every due spec ``(spec_id, tenant, request, enabled, next_run_at)`` with its own filters,
-    reduce and format (``request`` is the JSON request).
-
-    Returns ``(spec_id, format, row)``: each output row of each spec as JSON text."""
-    due = due_specs(specs, now)
-    out = source.sparkSession.createDataFrame([], T.StructType([specs.schema["spec_id"], T.StructField("format", T.StringType()), T.StructField("row", T.StringType())]))
-    for shape, rows in _shapes(source, due, tenant_col).items():
-        frame = _shape_frame(source, shape, rows, tenant_col, specs.schema["spec_id"].dataType)
-        cols = [c for c in frame.columns if c != "spec_id"]
-        out = out.unionByName(frame.select("spec_id", F.lit(shape.format).alias("format"), json_line(frame, cols).alias("row")))
-    return out
-
-
-def write_specs(source: DataFrame, specs: DataFrame, now: _dt.datetime, path: str, *, tenant_col: str, id_col: str) -> list[str]:
-    """L3 sink: one report per due spec and format, ``<path>/report.<format>/spec_id=<id>/part-*``, each in its
-    own order.  ``path`` must be new.  A spec whose result is empty has no folder."""
-    written = []
-    for shape, rows in _shapes(source, due_specs(specs, now), tenant_col).items():
-        if shape.format not in ("csv", "json"):
-            raise ValueError(f"saved specs are written as csv or json, not {shape.format}")
-        frame = _shape_frame(source, shape, rows, tenant_col, specs.schema["spec_id"].dataType)
-        order = [qcol(id_col)] if shape.reduce is None else group_order(shape.reduce, schema=frame.schema)
-        lines = all_tenant_lines(frame, "spec_id", order, shape.format)
-        lines.write.mode("append").partitionBy("spec_id").text(f"{path.rstrip('/')}/report.{shape.format}")
-        written.append(f"{path.rstrip('/')}/report.{shape.format}")
-    return sorted(set(written))
-
-
 def _bound(df: DataFrame, ts_col: str, days: int, as_of: _dt.datetime):
     """The cut-off as a literal of the column's own type (no cast on the column side)."""
     return F.lit(as_of - _dt.timedelta(days=days)).cast(df.schema[ts_col].dataType)
@@ -215,6 +93,11 @@ def all_tenant_lines(
         value = (F.when(F.col("__k") == 2, F.lit("]"))  # tenants come from the rows, so each has a first element
                  .when(F.col("__k") == 0, F.concat(F.lit("["), line))
                  .otherwise(F.concat(F.lit(","), line)))
+    elif fmt == "pdf":
+        from ..operators.ordering import number_rows_within
+
+        framed = number_rows_within(data, [tenant_col], [F.col(n) for n in names], "__rn")
+        value = F.concat(F.col("__rn").cast("string"), F.lit(". "), json_line(data, cols))
     else:
         raise ValueError(f"unsupported format for all-tenant lines: {fmt}")
     return framed.sort(tenant_col, "__k", *names).select(tenant_col, value.alias("value"))
@@ -249,11 +132,16 @@ def apply_retention(
     return {"rows_in": int(got["rows_in"]), "kept": int(got["kept"]), "dropped": int(got["rows_in"] - got["kept"])}
 
 
-def all_tenant_workbooks(df: DataFrame, tenant_col: str, order: Sequence, path: str, part_rows: int | None = None) -> list[dict]:
+def all_tenant_workbook_files(df: DataFrame, tenant_col: str, order: Sequence, path: str, part_rows: int | None = None) -> DataFrame:
     """L2 + K4: every tenant's workbook(s) in one pass, ``<path>/<tenant_col>=<t>/report-part<k>.xlsx``.
 
-    Returns the manifest, one small row per written file (``file, n_rows, length, sha256``)."""
+    Returns the lazy manifest, a row per file (``file, n_rows, length, sha256``); running it writes the files."""
     from ..sinks.workbook import EXCEL_MAX_DATA_ROWS, workbooks, write_workbook_files
 
     books = workbooks(df, [tenant_col], order, part_rows=part_rows or EXCEL_MAX_DATA_ROWS)
-    return [r.asDict() for r in write_workbook_files(books, path, [tenant_col], folder_per_group=True).collect()]
+    return write_workbook_files(books, path, [tenant_col], folder_per_group=True)
+
+
+def all_tenant_workbooks(df: DataFrame, tenant_col: str, order: Sequence, path: str, part_rows: int | None = None) -> list[dict]:
+    """``all_tenant_workbook_files``, written, with its manifest as a list (one entry a file: for few tenants)."""
+    return [r.asDict() for r in all_tenant_workbook_files(df, tenant_col, order, path, part_rows).toLocalIterator()]

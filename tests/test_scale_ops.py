@@ -217,3 +217,70 @@ def test_all_tenant_json_with_identical_rows(spark, workdir):
     write_all_tenants(all_tenant_lines(df, "tenant", [F.col("k")], "json"), "tenant", f"{workdir}/j")
     assert json.loads(read_parts(f"{workdir}/j/tenant=a")) == [{"k": 1, "v": "x"}] * 2
     assert json.loads(read_parts(f"{workdir}/j/tenant=b")) == [{"k": 2, "v": "y"}]
+
+
+def test_fifty_shapes_share_one_scan_and_one_bad_spec_fails_alone(spark, workdir):
+    from conftest import plan_text, read_parts
+    from tallyspark.plans.saved import FORMATS, run_status, write_specs
+
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    past, now = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    pool = [("count", "n", None), ("sum", "s", "value"), ("min", "a", "event_id"), ("max", "b", "ts"), ("avg", "c", "value"), ("min", "d", "event_type"), ("max", "e", "event_id")]
+    groups = [(), ("event_type",), ("event_type", "user_id"), ("user_id",)]
+    rows, plain = [], []
+    for i in range(56):
+        metrics = [m for j, m in enumerate(pool) if (i % 28 + 1) >> (j % 5) & 1] or pool[:1]
+        group, filters = groups[i % 4], {} if i % 3 else {"event_type": ["view", "click"][i % 2]}
+        request = {"reportDefinitionId": "s", "format": ["csv", "json"][i % 2], "filters": filters, "reduceSpec": {
+            "groupBy": list(group), "metrics": [{"op": o, "as": a, **({"field": f} if f else {})} for o, a, f in metrics]}}
+        tenant = [8, 16, 143][i % 3]
+        rows.append((i, tenant, json.dumps(request), True, past))
+        plain.append((tenant, filters, ReduceSpec(group_by=group, metrics=tuple(Metric(o, a, f) for o, a, f in metrics))))
+    bad = [(900, 8, "no json", True, past), (901, 8, json.dumps({"format": "csv"}), True, past), (902, 8, _request(filters={"nowhere": 1}), True, past),
+           (903, 8, _request(group=("nowhere",)), True, past), (904, 8, _request(filters={"user_id": 9}), True, past), (905, 8, "[1]", True, past),
+           (906, 8, _request(filters={"event_type": 4}), True, past), (907, 8, _request("xlsx"), True, past), (908, 8, _request("pdf"), True, past), (909, 8, _request(), True, dt.datetime(2030, 1, 1))]
+    specs = specs_frame(spark, rows + bad)
+    frame = run_specs(ev, specs, now, tenant_col="user_id")
+    assert plan_text(frame, "simple").count("Scan parquet") == 1
+    got = {}
+    for r in frame.collect():
+        got.setdefault(r.spec_id, []).append(json.loads(r.row))
+    for i, (tenant, filters, spec) in enumerate(plain):
+        own = ev.where(F.col("user_id") == tenant)
+        for c, v in filters.items():
+            own = own.where(F.col(c) == v)
+        want = sorted(R.reduce(own, spec).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toPandas().j) if i < 8 else None
+        if want is None:
+            assert len(got.get(i, [])) == R.reduce(own, spec).count()
+            continue
+        pick = lambda x: {k: v for k, v in x.items() if k != "b"}  # noqa: E731  times are rendered another way
+        near = lambda x: {k: round(v, 6) if isinstance(v, float) else v for k, v in pick(x).items()}
+        assert sorted(map(str, (near(x) for x in got.get(i, [])))) == sorted(map(str, (near(json.loads(x)) for x in want)))
+    assert not set(got) & {900, 901, 902, 903, 904, 905, 906, 909} and {907, 908} <= set(got)
+
+    later = F.col("next_run_at") + F.expr("interval 40 days")
+    status = {r.spec_id: r for r in run_status(ev, specs, now, tenant_col="user_id", next_run=later, formats=FORMATS).collect()}
+    assert len(status) == len(rows + bad)
+    assert {i for i, r in status.items() if r.status == "failed"} == {900, 901, 902, 903, 904, 905}
+    assert all(r.error and not r.enabled and r.next_run_at == past and r.last_run_at is None for r in status.values() if r.status == "failed")
+    assert status[906].status == "ran" and status[0].last_run_at == now and status[0].next_run_at == past + dt.timedelta(days=40)
+    assert status[909].status == "waiting" and status[909].enabled and status[909].next_run_at == dt.datetime(2030, 1, 1)
+
+    few = specs.where("spec_id >= 900 or spec_id < 4")
+    write_specs(ev, few, now, f"{workdir}/specs", tenant_col="user_id", id_col="event_id", batch=5)
+    listing = read_parts(f"{workdir}/specs/report.pdf/spec_id=908").decode().splitlines()
+    assert [x.split(". ")[0] for x in listing] == [str(k + 1) for k in range(len(got[908]))] and [json.loads(x.split(". ", 1)[1]) for x in listing] == sorted(got[908], key=lambda x: x["event_type"])
+    import os
+
+    found = {os.path.join(d, f) for d, _, fs in os.walk(f"{workdir}/specs/report.xlsx") for f in fs if f.endswith(".xlsx")}
+    assert len(found) == 1 and "spec_id=907" in found.pop()
+
+
+def test_specs_with_odd_filter_values(spark):
+    source = spark.createDataFrame([(1, 0.0, "a", "1:b", None), (1, -0.0, "a1:", "b", True), (1, 2.5, None, "x", False), (None, 0.0, "a", "y", None)], "t int, d double, s string, u string, f boolean")
+    past = dt.datetime(2024, 1, 1)
+    ask = [{"d": 0}, {"d": 0.0, "f": True}, {"s": "a", "u": "1:b"}, {"s": "a1:", "u": "b"}, {"s": None}, {"f": None}, {"s": "zz"}, {}]
+    for tenant, want in ((1, [2, 1, 1, 1, 1, 1, None, 3]), (None, [1, None, None, None, None, 1, None, 1])):
+        specs = spark.createDataFrame([(i, tenant, _request(filters=f, group=()), True, past) for i, f in enumerate(ask)], "spec_id int, tenant int, request string, enabled boolean, next_run_at timestamp_ntz")
+        got = {r.spec_id: json.loads(r.row)["n"] for r in run_specs(source, specs, past, tenant_col="t").collect()}
+        assert got == {i: n for i, n in enumerate(want) if n}
