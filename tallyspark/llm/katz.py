@@ -28,7 +28,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,47 +98,56 @@ class Words:
         return np.where(number < 0, self.unknown, self.prob[np.maximum(step, 0)])
 
 
-def _texts_to_block(part, held: np.ndarray) -> dict:
-    """One slice of texts as a block: word list by falling count, token places, training counts."""
-    starts, ends = part.words(SPACE_WORD)
-    hashes, rows = part.hashes(starts, ends, lower=True), part.row_of(starts)
+def _bytes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).tobytes()
+
+
+def _block(texts: pa.Array, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Texts as a block: tokens per text, token places, the word list by falling count, and training counts.
+
+    Words are hashed slice by slice, so that memory follows the slice and the tokens."""
+    parts = []
+    base = 0
+    for part in slices(texts):
+        starts, ends = part.words(SPACE_WORD)
+        parts.append((part.hashes(starts, ends, lower=True), starts + base, ends - starts, part.row_of(starts) + part.first, part.data))
+        base += len(part.data)
+    hashes, starts, sizes, rows = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    data = np.concatenate([p[4] for p in parts])
+    del parts
     _, example, place, seen = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     order = np.argsort(-seen, kind="stable")
-    new = np.empty(len(order), np.int64)
-    new[order] = np.arange(len(order))
-    example = example[order]
-    size = ends[example] - starts[example]
+    new = np.empty(len(order), np.int32)
+    new[order] = np.arange(len(order), dtype=np.int32)
+    starts, size = starts[example[order]], sizes[example[order]]
     bounds = np.concatenate([[0], np.cumsum(size)])
-    letters = _LOWER[part.data[np.arange(bounds[-1]) + np.repeat(starts[example] - bounds[:-1], size)]]
-    words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(letters)))
-    length = np.bincount(rows, minlength=part.rows) + 1
-    tokens = np.full(len(hashes) + part.rows, len(size), np.int32)  # ends, but where a word stands
+    letters = _LOWER[data[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], size)]]
+    words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(_bytes(bounds.astype(np.int64))), pa.py_buffer(_bytes(letters))).cast(pa.string())
+    length = np.bincount(rows, minlength=len(texts)) + 1
+    tokens = np.full(len(hashes) + len(texts), len(size), np.int32)  # ends, but where a word stands
     tokens[np.arange(len(hashes)) + rows] = new[place.reshape(-1)]
-    learned = np.repeat(~held, length)
-    trained = np.bincount(tokens[learned], minlength=len(size) + 1)
-    return {"length": length, "tokens": tokens, "words": [*words.to_pylist(), END], "trained": trained}
+    trained = np.bincount(tokens[np.repeat(~held, length)], minlength=len(size) + 1)
+    return length.astype(np.int64), tokens, pa.concat_arrays([words, pa.array([END])]), trained
 
 
 def _blocks(docs: DataFrame, held: Column) -> DataFrame:
-    """``(block, doc_ids, held, length, tokens, words, trained)``."""
+    """``(block, doc_ids, held, length, tokens, words, trained)``; what only Python reads is the bytes of its array."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 32
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for batch in _gathered(batches, 2, BLOCK_BYTES):
-            for part in slices(batch.column(2), BLOCK_BYTES):
-                own = batch.slice(part.first, part.rows)
-                out = np.asarray(own.column(1).to_numpy(zero_copy_only=False), bool)
-                made = _texts_to_block(part, out)
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at], pa.int64()), one(own.column(0)), one(own.column(1)), one(pa.array(made["length"], pa.int32())), one(pa.array(made["tokens"])),
-                     one(pa.array(made["words"], pa.string())), one(pa.array(made["trained"], pa.int64()))], names=["block", "doc_ids", "held", "length", "tokens", "words", "trained"])
-                at += 1
-
-    schema = f"block long, doc_ids array<{kind}>, held array<boolean>, length array<int>, tokens array<int>, words array<string>, trained array<long>"
+            out = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+            length, tokens, words, trained = _block(batch.column(2), out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at], pa.int64()), one(batch.column(0)), one(batch.column(1)), pa.array([_bytes(length)]), pa.array([_bytes(tokens)]),
+                 one(words), one(pa.array(trained, pa.int64()))], names=["block", "doc_ids", "held", "length", "tokens", "words", "trained"])
+            at += 1
+
+    schema = f"block long, doc_ids array<{kind}>, held array<boolean>, length binary, tokens binary, words array<string>, trained array<long>"
     return docs.select("doc_id", held.alias("held"), "text").mapInArrow(work, schema)
 
 
@@ -162,7 +170,9 @@ def _number(blocks: DataFrame, staging: Staging) -> tuple[DataFrame, Words]:
     spark = staging.spark
     seen = (blocks.select(F.explode(F.arrays_zip("words", "trained")).alias("w")).where("w.trained > 0")
             .groupBy(F.col("w.words").alias("word")).agg(F.sum("w.trained").alias("count")))
-    placed = staging.table("vocabulary", seen.orderBy(F.desc("count"), "word").withColumn("place", F.monotonically_increasing_id()))
+    counts = staging.table("words", seen)  # else the sort's sample would count twice
+    placed = staging.table("vocabulary", counts.orderBy(F.desc("count"), "word").withColumn("place", F.monotonically_increasing_id()))
+    staging.remove("words")
     part = F.shiftright("place", 33)
     starts, before = [], 0
     for row in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row per shuffle partition
@@ -182,7 +192,7 @@ class _Pairs:
     """A block's distinct pairs of neighbours, in the order in which they are asked for and answered."""
 
     def __init__(self, row: dict, words: Words, partitions: int, spread: int):
-        tokens, self.length = _list(row["tokens"]).astype(np.int64), _list(row["length"]).astype(np.int64)
+        tokens, self.length = _list(row["tokens"], np.int32).astype(np.int64), _list(row["length"])
         n_local = int(tokens.max(initial=-1)) + 1
         number = np.full(n_local + 1, -1, np.int64)
         number[_list(row["place"])] = _list(row["number"])
@@ -210,9 +220,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
             yield {name: column[i] for name, column in zip(batch.schema.names, batch.columns)}
 
 
-def _list(value: pa.ListScalar) -> np.ndarray:
-    """A list as an array; an absent one is empty."""
-    return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int64)
+def _list(value: pa.Scalar, kind=np.int64) -> np.ndarray:
+    """A list, or the bytes of an array, as an array; an absent one is empty."""
+    if not value.is_valid:
+        return np.zeros(0, kind)
+    return np.frombuffer(value.as_buffer(), kind) if pa.types.is_binary(value.type) else value.values.to_numpy(zero_copy_only=False)
 
 
 def _sums_of(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -235,18 +247,20 @@ def _requests(wide: DataFrame, words: Words, partitions: int, spread: int) -> Da
             pairs = _Pairs(row, shared.value, partitions, spread)
             learned = np.repeat(~_list(row["held"]).astype(bool), pairs.length)
             n = np.bincount(pairs.of[learned], minlength=len(pairs.h))[pairs.asked]
-            full = np.flatnonzero(np.diff(pairs.bounds))
-            offsets = pa.array(np.append(pairs.bounds[full], pairs.bounds[-1]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (pairs.h[pairs.asked], pairs.w[pairs.asked], n)]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([row["block"].as_py()] * len(full), pa.int64()), *lists], names=["part", "block", "h", "w", "n"])
+            h, w = pairs.h[pairs.asked], pairs.w[pairs.asked]
+            for p in np.flatnonzero(np.diff(pairs.bounds)).tolist():
+                own = slice(pairs.bounds[p], pairs.bounds[p + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([row["block"].as_py()], pa.int64()), *[pa.array([_bytes(x[own])]) for x in (h, w, n.astype(np.int64))]],
+                                                 names=["part", "block", "h", "w", "n"])
 
-    return (wide.select("block", "held", "length", "tokens", "place", "number")
-            .mapInArrow(work, "part long, block long, h array<long>, w array<long>, n array<long>"))
+    return wide.select("block", "held", "length", "tokens", "place", "number").mapInArrow(work, "part long, block long, h binary, w binary, n binary")
 
 
 def _count(table: pa.Table) -> pa.Table:
     """One partition: every block's pairs answered with their counts over all blocks, and the pairs seen in training themselves."""
-    h, w, n = (table[c].combine_chunks().flatten().to_numpy() for c in ("h", "w", "n"))
+    asked = [[np.frombuffer(x.as_buffer(), np.int64) for x in table[c]] for c in ("h", "w", "n")]
+    bounds = np.cumsum([0, *map(len, asked[0])])
+    h, w, n = (np.concatenate(x) for x in asked)
     order = np.lexsort((w, h))
     h, w, n = h[order], w[order], n[order]
     heads = _heads(h, w)
@@ -254,14 +268,13 @@ def _count(table: pa.Table) -> pa.Table:
     answers = np.empty(len(h), np.int64)
     answers[order] = np.repeat(total, np.diff(np.append(heads, len(h))))
     seen = total > 0
-    blocks, found = table["block"].to_pylist(), int(seen.sum())
-    k = len(blocks)
-    asked = np.cumsum([0, *pc.list_value_length(table["h"]).to_pylist()])
-    lists = lambda values, bounds: pa.ListArray.from_arrays(pa.array(np.asarray(bounds, np.int32)), pa.array(values))
-    alone = [0] * (k + 1) + [found]
+    k, none = table.num_rows, [None] * table.num_rows
+    few = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3)
     return pa.table({
-        "kind": pa.array(["answers"] * k + ["pairs"]), "part": pa.array([table["part"][0].as_py()] * (k + 1), pa.int64()), "block": pa.array([*blocks, None], pa.int64()),
-        "h": lists(h[heads][seen], alone), "w": lists(w[heads][seen], alone), "r": lists(np.concatenate([answers, total[seen]]), [*asked, asked[-1] + found])})
+        "kind": pa.array(["answers"] * k + ["pairs"]), "part": pa.array([table["part"][0].as_py()] * (k + 1), pa.int64()), "block": pa.array([*table["block"].to_pylist(), None], pa.int64()),
+        "h": pa.array([*none, _bytes(h[heads][seen])], pa.binary()), "w": pa.array([*none, _bytes(w[heads][seen])], pa.binary()),
+        "r": pa.array([*[_bytes(answers[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], _bytes(total[seen])], pa.binary()),
+        "few": pa.array([*none, few.tolist()], pa.list_(pa.int64()))})
 
 
 def _contexts(pairs: DataFrame, words: Words, d: np.ndarray) -> DataFrame:
@@ -300,7 +313,7 @@ def _score(wide: DataFrame, kind: str, words: Words, d: np.ndarray, start: tuple
             r = np.zeros(len(pairs.h), np.int64)
             for answer in row["answers"].values if row["answers"].is_valid else ():
                 p = answer["part"].as_py()
-                r[pairs.asked[pairs.bounds[p] : pairs.bounds[p + 1]]] = answer["r"].values.to_numpy()
+                r[pairs.asked[pairs.bounds[p] : pairs.bounds[p + 1]]] = _list(answer["r"])
             seen = np.flatnonzero(r)
             logs[seen] = np.log10(discounted(r[seen], d) / (model.counts(pairs.h[seen]) + more[pairs.prior[seen]]))
             count = model.counts(pairs.number)[pairs.tokens]
@@ -318,7 +331,7 @@ class Katz:
     """The model's tables, and the texts' scores by it."""
 
     vocabulary: DataFrame  # word, number, count
-    pairs: DataFrame  # part, h, w, r: lists of a partition's pairs (word numbers; the start's is the vocabulary's size)
+    pairs: DataFrame  # part, h, w, r: a partition's pairs and counts as bytes of int64 arrays (see ``pair_rows``)
     contexts: DataFrame  # h, alpha, more
     words: Words
     discounts: np.ndarray
@@ -326,6 +339,15 @@ class Katz:
     staging: Staging
 
 
+def pair_rows(pairs: DataFrame) -> DataFrame:
+    """``(h, w, r)``, a row per pair seen in training; words by number, the start by the vocabulary's size."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_list(row[c])) for c in ("h", "w", "r")], names=["h", "w", "r"])
+
+    return pairs.select("h", "w", "r").mapInArrow(work, "h long, w long, r long")
+
+
 def katz_scores(docs: DataFrame, held: Column | None = None, folds: int = FOLDS, held_fold: int = HELD) -> Katz:
     """Learns from the rows where ``held`` is false (by default those outside one fold of the ids) and scores all rows.
 
@@ -336,7 +358,7 @@ def katz_scores(docs: DataFrame, held: Column | None = None, folds: int = FOLDS,
     held = held if held is not None else fold(F.col("doc_id"), folds) == held_fold
     blocks = staging.table("blocks", _blocks(docs, held), compression="zstd")
     vocabulary, words = _number(blocks, staging)
-    total = blocks.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
+    total = blocks.agg(F.sum(F.octet_length("tokens").cast("long") / 4)).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PAIRS_PER_PARTITION))
     # first words that would fill an eighth of a partition go by pairs: by falling count, those before ``spread``
     spread = int(np.append(words.first, words.size)[int(np.sum(words.count > words.tokens // (8 * partitions)))])
@@ -345,10 +367,10 @@ def katz_scores(docs: DataFrame, held: Column | None = None, folds: int = FOLDS,
     numbers = staging.table("numbers", named.select("block", F.col("known.place").alias("place"), F.col("known.number").alias("number")))
     tokens = blocks.select("block", "doc_ids", "held", "length", "tokens").join(numbers, "block", "left")
     counted = staging.table("counted", _requests(tokens, words, partitions, spread).groupBy("part").applyInArrow(
-        _count, "kind string, part long, block long, h array<long>, w array<long>, r array<long>"), "kind")
+        _count, "kind string, part long, block long, h binary, w binary, r binary, few array<long>"), "kind", compression="zstd")
     pairs = counted.where("kind = 'pairs'").select("part", "h", "w", "r")
-    of_counts = pairs.select(F.explode("r").alias("r")).where(F.col("r") <= K + 1).groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()
-    d = discounts([{x.r: x.n for x in of_counts}.get(r, 0) for r in range(1, K + 2)])
+    of_counts = counted.where("kind = 'pairs'").agg(*[F.sum(F.get("few", F.lit(r))) for r in range(1, K + 2)]).first()
+    d = discounts([int(n or 0) for n in of_counts])
     contexts = staging.table("contexts", _contexts(pairs, words, d))
     first = contexts.where(F.col("h") == words.size).first()
     weights = (numbers.select("block", F.explode(F.arrays_zip("place", "number")).alias("k")).select("block", "k.place", F.col("k.number").alias("h"))

@@ -176,6 +176,8 @@ def test_katz_hot_words_go_by_pairs(spark, monkeypatch):
     for i, t in rows:
         assert np.allclose((got[i].base_score, got[i].score), plain.score(t)[2:], rtol=1e-9)
     assert model.vocabulary.orderBy("number").first().word == "the" and model.pairs.count() > 8
+    name = {r.number: r.word for r in model.vocabulary.collect()} | {model.words.size: "\0"}
+    assert {(name[r.h], name[r.w]): r.r for r in katz.pair_rows(model.pairs).collect()} == plain.pair
     model.staging.remove()
 
 
