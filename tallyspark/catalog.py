@@ -36,7 +36,7 @@ from .plans.report import plan_report, run
 from .plans.stats import stats_frame
 from .session import checkpoint_dir
 from .sinks.manifest import part_files
-from .sinks.readback import entry_rows
+from .sinks.readback import entry_rows, workbook_cells
 from .sinks.text import csv_frame, json_array_frame, listing_lines, ndjson_lines, snapshot_bytes
 from .sinks.workbook import workbooks
 from .sources.registry import Source, SourceRegistry, bounded, high_water_id, testdata_registry
@@ -659,6 +659,28 @@ def workbook_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.hex(F.substring("content", 1, 2)) == "504B").alias("starts_pk"))
 
 
+_BOOK_SQL = """
+with r as (select event_type, event_id, {iso} as ts, regexp_replace(cast(value as varchar), '\\.0$', '') as value, props,
+                  row_number() over (partition by event_type order by event_id) - 1 as r from events),
+b as (select event_type || '/' || (r // 500) as book, r % 500 + 2 as row, * from r),
+c as (select book, row, unnest([{{'letter': 'A', 'kind': 'n', 'value': cast(event_id as varchar)}}, {{'letter': 'B', 'kind': 's', 'value': ts}},
+                                {{'letter': 'C', 'kind': 'n', 'value': value}}, {{'letter': 'D', 'kind': 's', 'value': props}}]) as x from b
+      union all
+      select book, 1, unnest([{{'letter': 'A', 'kind': 's', 'value': 'event_id'}}, {{'letter': 'B', 'kind': 's', 'value': 'ts'}},
+                              {{'letter': 'C', 'kind': 's', 'value': 'value'}}, {{'letter': 'D', 'kind': 's', 'value': 'props'}}]) from (select distinct book from b) t)
+select book, cast(row as bigint) as row, x.letter as letter, x.kind as kind, x.value as value from c where x.value is not null
+"""
+
+
+@query("workbook_cells", _BOOK_SQL.format(iso=ISO_SQL.format(c="ts")))
+def workbook_cells_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of every workbook part (500 rows each), read back from the files' bytes."""
+    ev = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value", "props")
+    books = workbooks(ev, ["event_type"], ["event_id"], part_rows=500)
+    named = books.select(F.concat_ws("/", "event_type", F.col("part").cast("string")).alias("path"), "content")
+    return workbook_cells(named).withColumnRenamed("path", "book")
+
+
 # ------------------------------------------------------------------ workload, retention, saved specs
 
 

@@ -136,10 +136,9 @@ def all_tenant_workbook_files(df: DataFrame, tenant_col: str, order: Sequence, p
     """L2 + K4: every tenant's workbook(s) in one pass, ``<path>/<tenant_col>=<t>/report-part<k>.xlsx``.
 
     Returns the lazy manifest, a row per file (``file, n_rows, length, sha256``); running it writes the files."""
-    from ..sinks.workbook import EXCEL_MAX_DATA_ROWS, workbooks, write_workbook_files
+    from ..sinks.workbook import EXCEL_MAX_DATA_ROWS, write_workbooks
 
-    books = workbooks(df, [tenant_col], order, part_rows=part_rows or EXCEL_MAX_DATA_ROWS)
-    return write_workbook_files(books, path, [tenant_col], folder_per_group=True)
+    return write_workbooks(df, path, [tenant_col], order, part_rows=part_rows or EXCEL_MAX_DATA_ROWS, folder_per_group=True)
 
 
 def all_tenant_workbooks(df: DataFrame, tenant_col: str, order: Sequence, path: str, part_rows: int | None = None) -> list[dict]:

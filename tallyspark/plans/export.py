@@ -44,7 +44,7 @@ from ..sinks.text import (
     report_path,
     write_lines,
 )
-from ..sinks.workbook import workbooks, write_empty_workbook, write_workbook_files
+from ..sinks.workbook import write_empty_workbook, write_workbooks
 from ..sources.registry import SourceRegistry, bounded, high_water_id
 from ..functions.render import normalize
 from ..spec import (
@@ -84,8 +84,7 @@ def write_format(
     """Write one entry.  When the data row count is known (``data_rows``) or measured (``obs``),
     a CSV header needs no probe pass: it is always written and an empty report is cleared."""
     if fmt == "xlsx":
-        books = workbooks(rows.withColumn("__report", F.lit(0)), ["__report"], order, columns=rows.columns)
-        written = write_workbook_files(books.drop("__report"), path, [])
+        written = write_workbooks(rows, path, [], order)
         counted = Observation("xlsx_files")
         written = written.observe(counted, F.count(F.lit(1)).alias("files"))
         if obs is not None:

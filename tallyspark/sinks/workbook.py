@@ -1,10 +1,12 @@
-"""Workbooks (K4): one XLSX per group, split into parts, rendered in parallel.
+"""Workbooks (K4): one XLSX per group, split into parts, streamed in parallel.
 
 A sheet holds at most 1,048,576 rows (one header + 1,048,575 data rows), so rows are first
 numbered inside their group (distributed: ``number_rows_within``) and cut into parts of at
-most ``part_rows``.  ``groupBy(group, part).applyInPandas`` then renders each part on an
-executor; a group holding a third of all rows becomes many parts on many tasks, and no task
-ever holds more than ``part_rows`` rows.
+most ``part_rows``.  Parts are dealt to tasks; each task streams its rows in order, batch by batch,
+into an incremental deflate, so no task holds a sheet, and a group with a third of all rows becomes many parts on
+many tasks.  A sheet whose text reaches ``PIECE_BYTES`` ends there and goes on in a further piece.
+
+File names hold the group's values in an encoding that no two groups share and that cannot leave the folder.
 
 The file is minimal SpreadsheetML written with the standard ``zipfile`` module: one sheet
 named ``Report``, a header row, inline strings, no styles; a null is an empty cell.
@@ -13,22 +15,29 @@ named ``Report``, a header row, inline strings, no styles; a null is an empty ce
 from __future__ import annotations
 
 import decimal
+import hashlib
 import io
 import math
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any, BinaryIO
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.render import TEMPORAL, iso_text, json_value, number_text, qcol
-from ..operators.ordering import number_rows_within
+from ..operators.ordering import number_rows, number_rows_within
 
 EXCEL_MAX_DATA_ROWS = 1_048_575
-PART_BYTES = 256 << 20  # cell text in one part, at most (one task renders it)
+PIECE_BYTES = 1 << 30  # sheet text in one file; well below what a zip entry holds without extensions
+SLICE_ROWS = 2_000
+
+NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 # The package parts of a one-sheet workbook.
 CONTENT_TYPES = (
@@ -117,31 +126,164 @@ def _cells(col: pd.Series, letter: str, rownums: pd.Series, kind: str | None = N
     return body.where(~null, "")
 
 
+class _Hashed:
+    """A write-only stream that forwards to another and keeps length and digest."""
+
+    def __init__(self, out: BinaryIO):
+        self.out, self.length, self.digest = out, 0, hashlib.sha256()
+
+    def write(self, data) -> int:
+        self.out.write(data)
+        self.length += len(data)
+        self.digest.update(data)
+        return len(data)
+
+    def flush(self) -> None:
+        pass
+
+
+class SheetWriter:
+    """One workbook, written in slices of rows; ``sheet_bytes`` is the sheet's text so far."""
+
+    def __init__(self, out: BinaryIO, columns: Sequence[str], kinds: Sequence[str] | None = None):
+        self.columns, self.kinds, self.n_rows, self.sheet_bytes = columns, kinds, 0, 0
+        self.hashed = _Hashed(out)
+        self.zip = zipfile.ZipFile(self.hashed, "w", zipfile.ZIP_DEFLATED)
+        for name, text in (("[Content_Types].xml", CONTENT_TYPES), ("_rels/.rels", ROOT_RELS), ("xl/workbook.xml", WORKBOOK), ("xl/_rels/workbook.xml.rels", WORKBOOK_RELS)):
+            self.zip.writestr(name, text)
+        self.sheet = self.zip.open("xl/worksheets/sheet1.xml", "w")
+        header = "".join(f'<c r="{column_letter(i)}1" t="inlineStr"><is><t>{_xml_text(pd.Series([c]))[0]}</t></is></c>' for i, c in enumerate(columns))
+        self._text(SHEET_HEAD + (f'<row r="1">{header}</row>' if columns else ""))
+
+    def _text(self, text: str) -> None:
+        data = text.encode()
+        self.sheet_bytes += len(data)
+        self.sheet.write(data)
+
+    def rows(self, pdf: pd.DataFrame) -> None:
+        for at in range(0, len(pdf), SLICE_ROWS):
+            part = pdf.iloc[at : at + SLICE_ROWS]
+            rownums = pd.Series(np.arange(self.n_rows + 2, self.n_rows + len(part) + 2), index=part.index).astype(str)
+            row_xml = pd.Series("", index=part.index)
+            for i, c in enumerate(self.columns):
+                row_xml = row_xml + _cells(part[c], column_letter(i), rownums, self.kinds[i] if self.kinds else None)
+            self._text(("<row r=\"" + rownums + "\">" + row_xml + "</row>").str.cat())
+            self.n_rows += len(part)
+
+    def close(self) -> None:
+        self._text(SHEET_TAIL)
+        self.sheet.close()
+        self.zip.close()
+
+
 def render_workbook(columns: Sequence[str], pdf: pd.DataFrame, kinds: Sequence[str] | None = None) -> bytes:
     """One workbook from an ordered pandas frame (header row first).  With no columns the
     sheet is empty -- what a report without rows gives (its header comes from a first row)."""
-    header = "".join(
-        f'<c r="{column_letter(i)}1" t="inlineStr"><is><t>{_xml_text(pd.Series([c]))[0]}</t></is></c>'
-        for i, c in enumerate(columns)
-    )
-    parts = [SHEET_HEAD, f'<row r="1">{header}</row>' if columns else ""]
-    if len(pdf):
-        rownums = pd.Series(np.arange(2, len(pdf) + 2), index=pdf.index).astype(str)
-        row_xml = pd.Series("", index=pdf.index)
-        for i, c in enumerate(columns):
-            row_xml = row_xml + _cells(pdf[c], column_letter(i), rownums, kinds[i] if kinds else None)
-        parts.append(("<row r=\"" + rownums + "\">" + row_xml + "</row>").str.cat())
-    parts.append(SHEET_TAIL)
     buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", CONTENT_TYPES)
-        z.writestr("_rels/.rels", ROOT_RELS)
-        z.writestr("xl/workbook.xml", WORKBOOK)
-        z.writestr("xl/_rels/workbook.xml.rels", WORKBOOK_RELS)
-        z.writestr("xl/worksheets/sheet1.xml", "".join(parts))
+    writer = SheetWriter(buf, columns, kinds)
+    writer.rows(pdf)
+    writer.close()
     return buf.getvalue()
 
 
+class _Numbered:
+    """The rows of all parts as text cells, dealt out by part and in order: groups, ``part``, ``__row`` (0 begins a part), ``__first``, cells."""
+
+    def __init__(self, df: DataFrame, group_cols: Sequence[str], order: Sequence[Column | str], columns: Sequence[str] | None, part_rows: int):
+        if not 1 <= part_rows <= EXCEL_MAX_DATA_ROWS:
+            raise ValueError(f"part_rows must be in 1..{EXCEL_MAX_DATA_ROWS}")
+        self.schema, self.groups = df.schema, list(group_cols)
+        self.columns = list(columns or [c for c in df.columns if c not in group_cols])
+        self.kinds = [self._kind(c) for c in self.columns]
+        order_names = [f"__o{i}" for i in range(len(order))]
+        names = [f"__c_{i}" for i in range(len(self.columns))]
+        # Cells become text; group and order keys keep their values, so Spark's order is the only one.
+        view = df.select(
+            *[qcol(g) for g in self.groups],
+            *[(qcol(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, order_names)],
+            *[self._cell(c).alias(n) for c, n in zip(self.columns, names)],
+        )
+        numbered = number_rows_within(view, self.groups, order_names, "__rn") if self.groups else number_rows(view, order_names, "__rn")
+        first_type = numbered.schema[order_names[0]].dataType if order_names else T.NullType()
+        first = iso_text(F.col(order_names[0]), first_type) if isinstance(first_type, TEMPORAL) else F.col(order_names[0]) if order_names else F.lit(None)
+        keys = [qcol(g) for g in self.groups]
+        self.rows = (numbered.select(*keys, F.floor((F.col("__rn") - 1) / part_rows).cast("int").alias("part"), ((F.col("__rn") - 1) % part_rows).alias("__row"),
+                                     first.cast("string").alias("__first"), *names)
+                     .repartition(*keys, "part").sortWithinPartitions(*keys, "part", "__row"))
+
+    def _cell(self, c: str) -> Column:  # numbers as JavaScript text, times as ISO text, nested values as JSON text
+        dtype = self.schema[c].dataType
+        if isinstance(dtype, NUMERIC):
+            return number_text(qcol(c), dtype)
+        if isinstance(dtype, TEMPORAL):
+            return iso_text(qcol(c), dtype)
+        if isinstance(dtype, T.BinaryType):
+            return F.base64(qcol(c))
+        return json_value(qcol(c), dtype) if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)) else qcol(c)
+
+    def _kind(self, c: str) -> str:
+        dtype = self.schema[c].dataType
+        return "n" if isinstance(dtype, NUMERIC) else "b" if isinstance(dtype, T.BooleanType) else "s"
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], n_groups: int, columns: Sequence[str], kinds: Sequence[str], open_book) -> Iterator[pa.RecordBatch]:
+    """Rows of whole parts, in order, through one open workbook at a time.
+
+    ``open_book(keys, part, piece)`` gives a stream; when its workbook is complete, ``done(writer, first)`` of it makes a batch."""
+    book = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = np.flatnonzero(batch.column(n_groups + 1).to_numpy() == 0)
+        cells = pa.RecordBatch.from_arrays(batch.columns[n_groups + 3 :], names=[str(i) for i in range(len(columns))]).to_pandas()
+        cells.columns = columns
+        for at, end in zip([0, *starts.tolist()], [*starts.tolist(), batch.num_rows]):
+            while at < end:
+                begins = at in starts
+                if begins or book is None or book.writer.sheet_bytes >= PIECE_BYTES:
+                    piece = 0 if begins or book is None else book.piece + 1
+                    if book is not None:
+                        yield book.close()
+                    book = open_book([batch.column(i).slice(at, 1) for i in range(n_groups)], batch.column(n_groups)[at].as_py(), piece, batch.column(n_groups + 2)[at].as_py())
+                    starts = starts[starts != at]
+                until = min(end, at + SLICE_ROWS)
+                book.writer.rows(cells.iloc[at:until])
+                at = until
+    if book is not None:
+        yield book.close()
+
+
+class _Content:
+    """A workbook kept in memory and returned as a row."""
+
+    def __init__(self, names, columns, kinds, keys, part, piece, first):
+        self.names, self.keys, self.part, self.piece, self.first = names, keys, part, piece, first
+        self.buffer = io.BytesIO()
+        self.writer = SheetWriter(self.buffer, columns, kinds)
+
+    def close(self) -> pa.RecordBatch:
+        self.writer.close()
+        made = [pa.array([self.part], pa.int32()), pa.array([self.piece], pa.int32()), pa.array([self.writer.n_rows], pa.int64()), pa.array([self.first], pa.string()), pa.array([self.buffer.getvalue()], pa.binary())]
+        return pa.RecordBatch.from_arrays([*self.keys, *made], names=[*self.names, "part", "piece", "n_rows", "first_key", "content"])
+
+
+class _File:
+    """A workbook streamed into a file; closing it gives its manifest row."""
+
+    def __init__(self, fs, root, shown, name, columns, kinds, piece):
+        self.piece, self.shown = piece, f"{shown}/{name}"
+        fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+        self.stream = fs.open_output_stream(f"{root}/{name}")
+        self.writer = SheetWriter(self.stream, columns, kinds)
+
+    def close(self) -> pa.RecordBatch:
+        self.writer.close()
+        self.stream.close()
+        out = self.writer.hashed
+        return pa.RecordBatch.from_arrays([pa.array([self.shown]), pa.array([self.writer.n_rows], pa.int64()), pa.array([out.length], pa.int64()), pa.array([out.digest.hexdigest()])],
+                                          names=["file", "n_rows", "length", "sha256"])
+
+
 def workbooks(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -149,66 +291,33 @@ def workbooks(
     columns: Sequence[str] | None = None,
     part_rows: int = EXCEL_MAX_DATA_ROWS,
 ) -> DataFrame:
-    """K4: ``(*group_cols, part, n_rows, first_key, content)`` -- one XLSX per group part;
+    """K4: ``(*group_cols, part, piece, n_rows, first_key, content)`` -- one XLSX per group part (and piece of it);
     ``first_key`` is the first row's (first) order key as text, an index of the parts."""
-    if not 1 <= part_rows <= EXCEL_MAX_DATA_ROWS:
-        raise ValueError(f"part_rows must be in 1..{EXCEL_MAX_DATA_ROWS}")
-    cols = list(columns or [c for c in df.columns if c not in group_cols])
-    order_names = [f"__o{i}" for i in range(len(order))]
-    data_cols = [f"__c_{i}" for i in range(len(cols))]
-    nested = (T.ArrayType, T.StructType, T.MapType)
-    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-
-    def cell(c: str) -> Column:  # numbers as JavaScript text, times as ISO text, nested values as JSON text
-        dtype = df.schema[c].dataType
-        if isinstance(dtype, numeric):
-            return number_text(qcol(c), dtype)
-        if isinstance(dtype, TEMPORAL):
-            return iso_text(qcol(c), dtype)
-        if isinstance(dtype, T.BinaryType):
-            return F.base64(qcol(c))
-        return json_value(qcol(c), dtype) if isinstance(dtype, nested) else qcol(c)
-
-    def kind(c: str) -> str:
-        dtype = df.schema[c].dataType
-        return "n" if isinstance(dtype, numeric) else "b" if isinstance(dtype, T.BooleanType) else "s"
-
-    kinds = [kind(c) for c in cols]
-    # Cells become text; group and order keys keep their values, so Spark's order is the only one.
-    view = df.select(
-        *[qcol(g) for g in group_cols],
-        *[(qcol(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, order_names)],
-        *[cell(c).alias(n) for c, n in zip(cols, data_cols)],
-    )
-    width = F.lit(0)
-    for n in data_cols:
-        width = width + F.coalesce(F.octet_length(F.col(n).cast("string")), F.lit(0))
-    # Rows that fit a part, by group: a sheet's rows, and at most PART_BYTES at the group's widest row.
-    limits = view.groupBy(*[qcol(g).alias(f"__g_{i}") for i, g in enumerate(group_cols)]).agg(
-        F.greatest(F.lit(1), F.least(F.lit(part_rows), F.floor(F.lit(PART_BYTES) / F.greatest(F.max(width), F.lit(1))))).alias("__fit"))
-    numbered = number_rows_within(view, list(group_cols), order_names, "__rn")
-    same = F.lit(True)
-    for i, g in enumerate(group_cols):
-        same = same & qcol(g).eqNullSafe(F.col(f"__g_{i}"))
-    with_part = numbered.join(limits, same).withColumn("part", F.floor((F.col("__rn") - 1) / F.col("__fit")).cast("int"))
-    first_type = with_part.schema[order_names[0]].dataType if order_names else T.NullType()
-    first_key = iso_text(F.col(order_names[0]), first_type) if isinstance(first_type, TEMPORAL) else F.col(order_names[0]) if order_names else F.lit(None)
-    with_part = with_part.withColumn("__first", first_key.cast("string"))
-    group_fields = [df.schema[g] for g in group_cols]
+    numbered = _Numbered(df, group_cols, order, columns, part_rows)
+    names, cols, kinds = numbered.groups, numbered.columns, numbered.kinds
     out_schema = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in group_fields]
-        + [T.StructField("part", T.IntegerType()), T.StructField("n_rows", T.LongType()),
+        [T.StructField(g, df.schema[g].dataType) for g in names]
+        + [T.StructField("part", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("n_rows", T.LongType()),
            T.StructField("first_key", T.StringType()), T.StructField("content", T.BinaryType())]
     )
-    def render(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rn", kind="stable")
-        content = render_workbook(cols, pdf[data_cols].set_axis(cols, axis=1), kinds)
-        out = {g: [pdf[g].iloc[0]] for g in group_cols}
-        first = pdf["__first"].iloc[0]
-        out.update(part=[int(pdf["part"].iloc[0])], n_rows=[len(pdf)], first_key=[None if pd.isna(first) else first], content=[content])
-        return pd.DataFrame(out)
 
-    return with_part.select(*group_cols, "part", "__rn", "__first", *data_cols).groupBy(*group_cols, "part").applyInPandas(render, out_schema)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _streamed(batches, len(names), cols, kinds, lambda keys, part, piece, first: _Content(names, cols, kinds, keys, part, piece, first))
+
+    return numbered.rows.mapInArrow(work, out_schema)
+
+
+def group_name(values: Sequence[Any], separator: str = "-") -> str:
+    """The values as one file name, another for each other group: letters, digits, ``_`` and (inside) ``.`` stand for
+    themselves, all else is percent-encoded, and null is ``%null``.  A name too long for a file ends in its digest."""
+    def encode(v: Any) -> str:
+        if v is None:
+            return "%null"
+        text = quote(v.hex() if isinstance(v, bytes) else str(v), safe="").replace("-", "%2D").replace("~", "%7E")
+        return "%2E" + text[1:] if text.startswith(".") else text
+
+    name = separator.join(encode(v) for v in values)
+    return name if len(name) <= 180 else f"{name[:100]}%{hashlib.sha256(name.encode()).hexdigest()}"
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -229,44 +338,34 @@ def _open_store(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_workbook_files(
-    books: DataFrame, path: str, group_cols: Sequence[str], prefix: str = "report", folder_per_group: bool = False,
+def write_workbooks(
+    df: DataFrame, path: str, group_cols: Sequence[str], order: Sequence[Column | str], columns: Sequence[str] | None = None,
+    part_rows: int = EXCEL_MAX_DATA_ROWS, prefix: str = "report", folder_per_group: bool = False,
 ) -> DataFrame:
-    """Write each workbook part as ``<path>/<prefix>[-<group>]-part<k>.xlsx`` (or, with
+    """Stream each workbook part into ``<path>/<prefix>[-<group>]-part<k>[-<piece>].xlsx`` (or, with
     ``folder_per_group``, ``<path>/<col>=<value>/<prefix>-part<k>.xlsx``) from the executors
     (``pyarrow.fs`` understands local, HDFS and object-store URIs).  Names are fixed by
-    (group, part), so a retried task overwrites its own file.  Returns the lazy manifest
-    ``file, n_rows, length, sha256`` -- one row per file."""
-    import hashlib
+    (group, part), so a retried task overwrites its own file; ``group_name`` keeps them apart.  Returns the lazy manifest
+    ``file, n_rows, length, sha256`` -- one row per file; running it writes the files."""
+    numbered = _Numbered(df, group_cols, order, columns, part_rows)
+    names, cols, kinds = numbered.groups, numbered.columns, numbered.kinds
+    uri, shown = qualified(df.sparkSession, path), path.rstrip("/")
 
-    schema = T.StructType(
-        [T.StructField("file", T.StringType()), T.StructField("n_rows", T.LongType()),
-         T.StructField("length", T.LongType()), T.StructField("sha256", T.StringType())]
-    )
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _open_store(uri)
 
-    uri = qualified(books.sparkSession, path)
+        def open_book(keys, part, piece, first):
+            values = [k[0].as_py() for k in keys]
+            tail = f"part{part:05d}{f'-{piece}' if piece else ''}.xlsx"
+            if folder_per_group:
+                name = "/".join([*[f"{group_name([g])}={group_name([v])}" for g, v in zip(names, values)], f"{prefix}-{tail}"])
+            else:
+                name = "-".join([prefix, *([group_name(values)] if names else []), tail])
+            return _File(fs, root.rstrip("/"), shown, name, cols, kinds, piece)
 
-    def write(batches):
-        fs, root = _open_store(uri)
-        fs.create_dir(root, recursive=True)
-        for pdf in batches:
-            out = []
-            for rec in pdf.itertuples(index=False):
-                d = rec._asdict()
-                if folder_per_group:
-                    folder = "/".join(f"{g}={d[g]}" for g in group_cols)
-                    name = f"{folder}/{prefix}-part{int(d['part']):05d}.xlsx"
-                    fs.create_dir(f"{root}/{folder}", recursive=True)
-                else:
-                    tag = "-".join(str(d[g]) for g in group_cols)
-                    name = f"{prefix}{'-' + tag if tag else ''}-part{int(d['part']):05d}.xlsx"
-                data = bytes(d["content"])
-                with fs.open_output_stream(f"{root}/{name}") as f:
-                    f.write(data)
-                out.append((f"{path.rstrip('/')}/{name}", int(d["n_rows"]), len(data), hashlib.sha256(data).hexdigest()))
-            yield pd.DataFrame(out, columns=["file", "n_rows", "length", "sha256"])
-
-    return books.mapInPandas(write, schema)
+        return _streamed(batches, len(names), cols, kinds, open_book)
+
+    return numbered.rows.mapInArrow(work, "file string, n_rows long, length long, sha256 string")
 
 
 def write_empty_workbook(spark: SparkSession, path: str, name: str = "report-part00000.xlsx") -> str:

@@ -170,3 +170,40 @@ def test_part_files_follow_their_numbers(spark, workdir):
         Path(f"{workdir}/{name}").write_text("x" * (i + 1))
     rows = part_files(spark, workdir).orderBy("begins").collect()
     assert [(r.path.rsplit("/", 1)[1], r.begins) for r in rows] == [("part-00002-a.txt", 0), ("part-99999-a.txt", 3), ("part-100000-a.txt", 5)]
+
+
+def test_groups_never_share_a_workbook_name(spark, workdir):
+    from tallyspark.sinks.readback import workbook_cells
+    from tallyspark.sinks.workbook import group_name, write_workbooks
+
+    groups = [("a-b", "c"), ("a", "b-c"), (None, "x"), ("None", "x"), ("%null", "x"), ("", ""), ("..", "../../up"), ("a/b", "c"), ("é ü", "~"), ("w" * 300, "x"), ("w" * 300, "y"), ("%2D", "-"), ("A.b", ".")]
+    assert len({group_name(g) for g in groups}) == len(groups) and all("/" not in group_name(g) and len(group_name(g)) < 200 for g in groups)
+    df = spark.createDataFrame([(*g, i, f"t{i}<&>\n") for i, g in enumerate(groups) for _ in range(2)], "g string, h string, id long, t string")
+    for folder in (False, True):
+        out = f"{workdir}/in/books{folder}"
+        manifest = write_workbooks(df, out, ["g", "h"], ["id"], folder_per_group=folder).collect()
+        found = {str(p) for p in Path(f"{workdir}").rglob("*.xlsx") if f"books{folder}" in str(p)}
+        assert {m.file for m in manifest} == found and len(found) == len(groups) and all(p.startswith(out) for p in found)
+        for m in manifest:
+            data = Path(m.file).read_bytes()
+            assert (m.n_rows, m.length, m.sha256) == (2, len(data), __import__("hashlib").sha256(data).hexdigest())
+        cells = workbook_cells(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out)).collect()
+        got = sorted((c.row, c.letter, c.kind, c.value) for c in cells)
+        assert got == sorted([(1, "A", "s", "id"), (1, "B", "s", "t")] * len(groups) + [(r, *x) for r in (2, 3) for i in range(len(groups)) for x in (("A", "n", str(i)), ("B", "s", f"t{i}<&>\n"))])
+
+
+def test_a_large_sheet_goes_on_in_a_further_piece(spark, workdir, monkeypatch):
+    from tallyspark.sinks import workbook
+
+    rows = [(i, "x" * (200_000 if i == 3 else 5)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("g", F.lit(1))
+    cols, kinds = ["id", "t"], ["n", "s"]
+    import pyarrow as pa
+
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array([1] * (b - a)), pa.array([0] * (b - a), pa.int32()), pa.array(range(a, b)), pa.array([str(a)] * (b - a)), pa.array([str(i) for i, _ in rows[a:b]]), pa.array([t for _, t in rows[a:b]])], names=["g", "part", "__row", "__first", "c0", "c1"])
+    monkeypatch.setattr(workbook, "PIECE_BYTES", 100_000)
+    monkeypatch.setattr(workbook, "SLICE_ROWS", 4)
+    books = list(workbook._streamed(iter([batch(0, 7), batch(7, 50)]), 1, cols, kinds, lambda k, p, q, f: workbook._Content(["g"], cols, kinds, k, p, q, f)))
+    assert [(b.column("part")[0].as_py(), b.column("piece")[0].as_py(), b.column("n_rows")[0].as_py()) for b in books] == [(0, 0, 4), (0, 1, 46)]
+    got = workbooks(df, ["g"], ["id"]).collect()  # the small limits travel with the function
+    assert [(b.part, b.piece, b.n_rows, b.first_key) for b in got] == [(0, 0, 4, "0"), (0, 1, 46, "4")]
