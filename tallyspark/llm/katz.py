@@ -13,8 +13,8 @@ the number: its steps, at most about sqrt(2N), are all that is broadcast); ``cou
 partition of the pair's hash); ``contexts`` (alpha per context).  A block sends each of its distinct pairs
 once, and the answer is the pair's count in the same order, so the shuffles grow with the distinct pairs of the blocks and
 a word or pair that a third of all tokens repeat counts once a block.  Pairs go by their first word, those of the
-few first words that would fill a partition by both.  Words are told apart by 64-bit hashes inside a block and by
-themselves across blocks.
+few first words that would fill a partition by both.  Words are counted as they are; inside a block, and to find their number,
+they are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text is one end; a null ``doc_id`` belongs to the fold of the empty text;
 rows that repeat a ``doc_id`` are texts of their own; without training texts every probability is 1 (score 0);
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ from .tokens import SPACE_WORD, mix, slices
 
 FOLDS, HELD = 7, 2
 K = 5
-BLOCK_BYTES = 16 << 20
-PAIRS_PER_PARTITION = 3_000_000
+BLOCK_BYTES = 8 << 20
+PAIRS_PER_PARTITION = 1_500_000
 END = "\n"  # no word holds a line break
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -99,7 +100,12 @@ class Words:
 
 
 def _bytes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+    """An array as compressed bytes: numbers are small or sorted, and most of what is stored or shuffled here."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).data.cast("B") if len(values) else b"")
+
+
+def _array(data, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
 def _block(texts: pa.Array, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -122,7 +128,7 @@ def _block(texts: pa.Array, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, p
     starts, size = starts[example[order]], sizes[example[order]]
     bounds = np.concatenate([[0], np.cumsum(size)])
     letters = _LOWER[data[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], size)]]
-    words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(_bytes(bounds.astype(np.int64))), pa.py_buffer(_bytes(letters))).cast(pa.string())
+    words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(letters.tobytes())).cast(pa.string())
     length = np.bincount(rows, minlength=len(texts)) + 1
     tokens = np.full(len(hashes) + len(texts), len(size), np.int32)  # ends, but where a word stands
     tokens[np.arange(len(hashes)) + rows] = new[place.reshape(-1)]
@@ -131,7 +137,7 @@ def _block(texts: pa.Array, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, p
 
 
 def _blocks(docs: DataFrame, held: Column) -> DataFrame:
-    """``(block, doc_ids, held, length, tokens, words, trained)``; what only Python reads is the bytes of its array."""
+    """``(block, doc_ids, held, n_tokens, length, tokens, words, trained)``; what only Python reads is the bytes of its array."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +149,11 @@ def _blocks(docs: DataFrame, held: Column) -> DataFrame:
             out = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             length, tokens, words, trained = _block(batch.column(2), out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([at], pa.int64()), one(batch.column(0)), one(batch.column(1)), pa.array([_bytes(length)]), pa.array([_bytes(tokens)]),
-                 one(words), one(pa.array(trained, pa.int64()))], names=["block", "doc_ids", "held", "length", "tokens", "words", "trained"])
+                [pa.array([at], pa.int64()), one(batch.column(0)), one(batch.column(1)), pa.array([len(tokens)], pa.int64()), pa.array([_bytes(length)]), pa.array([_bytes(tokens)]),
+                 one(words), one(pa.array(trained, pa.int64()))], names=["block", "doc_ids", "held", "n_tokens", "length", "tokens", "words", "trained"])
             at += 1
 
-    schema = f"block long, doc_ids array<{kind}>, held array<boolean>, length binary, tokens binary, words array<string>, trained array<long>"
+    schema = f"block long, doc_ids array<{kind}>, held array<boolean>, n_tokens long, length binary, tokens binary, words array<string>, trained array<long>"
     return docs.select("doc_id", held.alias("held"), "text").mapInArrow(work, schema)
 
 
@@ -173,6 +179,7 @@ def _number(blocks: DataFrame, staging: Staging) -> tuple[DataFrame, Words]:
     counts = staging.table("words", seen)  # else the sort's sample would count twice
     placed = staging.table("vocabulary", counts.orderBy(F.desc("count"), "word").withColumn("place", F.monotonically_increasing_id()))
     staging.remove("words")
+    staging.settle()
     part = F.shiftright("place", 33)
     starts, before = [], 0
     for row in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row per shuffle partition
@@ -224,7 +231,7 @@ def _list(value: pa.Scalar, kind=np.int64) -> np.ndarray:
     """A list, or the bytes of an array, as an array; an absent one is empty."""
     if not value.is_valid:
         return np.zeros(0, kind)
-    return np.frombuffer(value.as_buffer(), kind) if pa.types.is_binary(value.type) else value.values.to_numpy(zero_copy_only=False)
+    return _array(value.as_buffer(), kind) if pa.types.is_binary(value.type) else value.values.to_numpy(zero_copy_only=False)
 
 
 def _sums_of(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -238,6 +245,16 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
+def _packed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A row per block with the bytes of its columns: as many rows as the block has words are gathered."""
+    kinds = [np.float64 if t == "double" else np.int64 for t in (dict(rows.dtypes)[c] for c in columns)]
+
+    def pack(table: pa.Table) -> pa.Table:
+        return pa.table({"block": table["block"][:1]} | {c: pa.array([_bytes(table[c].to_numpy().astype(kind))], pa.binary()) for c, kind in zip(columns, kinds)})
+
+    return rows.select("block", *columns).groupBy("block").applyInArrow(pack, ", ".join(["block long", *[f"{c} binary" for c in columns]]))
+
+
 def _requests(wide: DataFrame, words: Words, partitions: int, spread: int) -> DataFrame:
     """``(part, block, h, w, n)``: a block's pairs of known words for one partition, with their training counts."""
     shared = wide.sparkSession.sparkContext.broadcast(words)
@@ -258,7 +275,7 @@ def _requests(wide: DataFrame, words: Words, partitions: int, spread: int) -> Da
 
 def _count(table: pa.Table) -> pa.Table:
     """One partition: every block's pairs answered with their counts over all blocks, and the pairs seen in training themselves."""
-    asked = [[np.frombuffer(x.as_buffer(), np.int64) for x in table[c]] for c in ("h", "w", "n")]
+    asked = [[_array(x.as_buffer()) for x in table[c]] for c in ("h", "w", "n")]
     bounds = np.cumsum([0, *map(len, asked[0])])
     h, w, n = (np.concatenate(x) for x in asked)
     order = np.lexsort((w, h))
@@ -306,7 +323,7 @@ def _score(wide: DataFrame, kind: str, words: Words, d: np.ndarray, start: tuple
         for row in _rows(batches):
             pairs = _Pairs(row, model, partitions, spread)
             alpha, more = np.ones(len(pairs.number)), np.zeros(len(pairs.number), np.int64)
-            alpha[_list(row["alpha_place"])], more[_list(row["alpha_place"])] = _list(row["alpha"]), _list(row["more"])
+            alpha[_list(row["place"])], more[_list(row["place"])] = _list(row["alpha"], np.float64), _list(row["more"], np.float64)
             alpha[-1], more[-1] = start
             # a pair's own estimate where it was seen, else its context's weight times the estimate of the word alone
             logs = np.log10(model.probs(pairs.w)) + np.log10(alpha[pairs.prior])
@@ -322,7 +339,7 @@ def _score(wide: DataFrame, kind: str, words: Words, d: np.ndarray, start: tuple
             yield pa.RecordBatch.from_arrays([row["doc_ids"].values, row["held"].values, *map(pa.array, (pairs.length, n_known, base, score))],
                                              names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    names = ["doc_ids", "held", "length", "tokens", "place", "number", "alpha_place", "alpha", "more", "answers"]
+    names = ["doc_ids", "held", "length", "tokens", "place", "number", "alpha", "more", "answers"]
     return wide.select(*names).mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -356,26 +373,28 @@ def katz_scores(docs: DataFrame, held: Column | None = None, folds: int = FOLDS,
     bounded_batches(spark)
     staging = Staging(spark, "katz")
     held = held if held is not None else fold(F.col("doc_id"), folds) == held_fold
-    blocks = staging.table("blocks", _blocks(docs, held), compression="zstd")
+    blocks = staging.table("blocks", _blocks(docs, held))
     vocabulary, words = _number(blocks, staging)
-    total = blocks.agg(F.sum(F.octet_length("tokens").cast("long") / 4)).first()[0] or 0
+    total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PAIRS_PER_PARTITION))
     # first words that would fill an eighth of a partition go by pairs: by falling count, those before ``spread``
     spread = int(np.append(words.first, words.size)[int(np.sum(words.count > words.tokens // (8 * partitions)))])
-    named = (blocks.select("block", F.posexplode("words").alias("place", "word")).join(vocabulary, "word")
-             .groupBy("block").agg(F.collect_list(F.struct("place", "number")).alias("known")))
-    numbers = staging.table("numbers", named.select("block", F.col("known.place").alias("place"), F.col("known.number").alias("number")))
-    tokens = blocks.select("block", "doc_ids", "held", "length", "tokens").join(numbers, "block", "left")
-    counted = staging.table("counted", _requests(tokens, words, partitions, spread).groupBy("part").applyInArrow(
-        _count, "kind string, part long, block long, h binary, w binary, r binary, few array<long>"), "kind", compression="zstd")
+    code = F.xxhash64("word").alias("code")  # words meet their number by 64-bit hash, as inside a block
+    numbers = staging.table("numbers", blocks.select("block", F.posexplode("words").alias("place", "word")).select("block", "place", code)
+                            .join(vocabulary.select(code, "number"), "code").select("block", "place", "number"))
+    staging.settle()
+    tokens = blocks.select("block", "doc_ids", "held", "length", "tokens")
+    asking = tokens.join(_packed(numbers, ["place", "number"]), "block", "left")
+    counted = staging.table("counted", _requests(asking, words, partitions, spread).groupBy("part").applyInArrow(
+        _count, "kind string, part long, block long, h binary, w binary, r binary, few array<long>"), "kind")
+    staging.settle()
     pairs = counted.where("kind = 'pairs'").select("part", "h", "w", "r")
     of_counts = counted.where("kind = 'pairs'").agg(*[F.sum(F.get("few", F.lit(r))) for r in range(1, K + 2)]).first()
     d = discounts([int(n or 0) for n in of_counts])
     contexts = staging.table("contexts", _contexts(pairs, words, d))
+    staging.settle()
     first = contexts.where(F.col("h") == words.size).first()
-    weights = (numbers.select("block", F.explode(F.arrays_zip("place", "number")).alias("k")).select("block", "k.place", F.col("k.number").alias("h"))
-               .join(contexts, "h").groupBy("block").agg(F.collect_list(F.struct("place", "alpha", "more")).alias("k"))
-               .select("block", F.col("k.place").alias("alpha_place"), F.col("k.alpha").alias("alpha"), F.col("k.more").alias("more")))
+    weights = _packed(numbers.join(contexts.withColumnRenamed("h", "number"), "number", "left").select("block", "place", "number", F.coalesce("alpha", F.lit(1.0)).alias("alpha"), F.coalesce("more", F.lit(0)).cast("double").alias("more")), ["place", "number", "alpha", "more"])
     answers = counted.where("kind = 'answers'").groupBy("block").agg(F.collect_list(F.struct("part", "r")).alias("answers"))
     wide = tokens.join(weights, "block", "left").join(answers, "block", "left")
     scores = _score(wide, dict(docs.dtypes)["doc_id"], words, d, (first.alpha, first.more) if first else (1.0, 0), partitions, spread)

@@ -6,6 +6,7 @@ back: that cuts lineage, and a lost executor costs a re-read, not a recomputatio
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,11 @@ class Staging:
         frame.write.mode("error").options(**options).partitionBy(*partitions).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
 
+    def settle(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of finished steps: it does when the driver drops their plans."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def remove(self, *names: str) -> None:
         """Delete tables that no later job reads (the whole folder when none is named)."""
         hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
