@@ -2,7 +2,8 @@
 
 Candidate blocks are the stretches of words around license cues.  Each block is compressed alone and
 once with every template as a zstandard raw-content dictionary; the reduction is how much the template
-shortens the block (a title or an SPDX id may shorten it by nothing).  Every template is checked by wording: the template's words are
+shortens the block.  Templates are walked in falling reduction (a title or an SPDX id may shorten a block by nothing and then comes last,
+but it comes) and confirmed by exact wording: a template's words are
 aligned with the stretch of the block that differs least from them, and the difference, missing and
 extra words, is part of the result.  A template is confirmed when it misses none of the words that
 tell licenses apart (versions included), at most ``MOST_MISSING`` of all, and has few words in between.
@@ -11,15 +12,16 @@ A template is aligned only if a count of the block's words leaves it possible, w
 ``TEMPLATES`` are short notices; ``FORMS`` are further wordings of the same and other licenses: texts
 (of long ones the head, which stands in front of every copy), standard headers, titles and SPDX ids.
 
-Texts are pre-selected by a pattern in the scan; whole texts reach the tasks, nothing is shuffled.
-One row per block and confirmed license, with the template that holds most of the block's words.  A
-license whose telling words all belong to a larger notice in the block (the GNU GPL's to the Lesser
-GPL's) is not another license.  A block without a confirmed template has one row, of the nearest.
+Texts are pre-selected in the scan, by plain parts of the cues and then by their pattern; whole texts reach the tasks, nothing is shuffled.
+One row per block and confirmed license, by the confirmed template that shortens the block most.  A
+license whose telling words all belong to a larger confirmed notice in the block (the GNU GPL's to the Lesser
+GPL's) is not another license.  A block without a confirmed template has one row, of the template that shortens it most; where none
+does, its license is null.
 
 Defined cases: a null or empty text has no blocks; blocks are numbered in text order; a cue without a
-matching template yields a row that is not confirmed; rows of a block stand in order of their words
-held, then by name; long stretches are cut with an overlap, and what two pieces both hold whole has
-one row, of the first; rows that repeat a ``doc_id`` are scanned each on its own; nulls in other columns change
+matching template yields a row that is not confirmed; rows of a block stand by falling reduction, then by
+name; long stretches are cut with an overlap, and what two pieces both hold whole has
+one row, of the first; rows that repeat a ``doc_id`` are scanned each on its own (ids are returned as long); nulls in other columns change
 nothing; an empty table gives an empty result; extra columns play no part.
 """
 
@@ -85,6 +87,9 @@ FORMS = (
     ("Apache-2.0", "spdx", "apache-2.0", "Apache-2.0 OR MIT"),
     ("Apache-2.0", "spdx", "apache-2.0", "MIT OR Apache-2.0"),
     ("Apache-2.0", "spdx", "apache-2.0", "MIT/Apache-2.0"),
+    ("BSL-1.0", "text", "boost 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "title", "boost 1.0", "Boost Software License 1.0"),
+    ("BSL-1.0", "spdx", "bsl-1.0", "BSL-1.0"),
     ("BSD-2-Clause", "text", "redistribution redistributions retain reproduce", _BSD + _BSD_END),
     ("BSD-2-Clause", "title", "bsd 2-clause", "BSD 2-Clause License"),
     ("BSD-2-Clause", "spdx", "bsd-2-clause", "BSD-2-Clause"),
@@ -95,6 +100,12 @@ FORMS = (
     ("CC0-1.0", "title", "cc0 1.0 universal", "CC0 1.0 Universal"),
     ("CC0-1.0", "title", "cc0", "Creative Commons Zero CC0"),
     ("CC0-1.0", "spdx", "cc0-1.0", "CC0-1.0"),
+    ("EPL-2.0", "title", "eclipse 2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "title", "eclipse 2.0", "Eclipse Public License 2.0"),
+    ("EPL-2.0", "spdx", "epl-2.0", "EPL-2.0"),
+    ("EUPL-1.2", "title", "european union 1.2", "European Union Public Licence v. 1.2"),
+    ("EUPL-1.2", "notice", "eupl", "Licensed under the EUPL"),
+    ("EUPL-1.2", "spdx", "eupl-1.2", "EUPL-1.2"),
     ("ISC", "text", "copy modify distribute fee hereby granted disclaims", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
      hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
      WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
@@ -106,6 +117,8 @@ FORMS = (
      notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
      EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
     ("MIT", "title", "mit license", "MIT License"),
+    ("MIT", "title", "mit licensed", "MIT licensed"),
+    ("MIT", "title", "mit-licensed", "MIT-licensed"),
     ("MIT", "title", "mit licence", "MIT Licence"),
     ("MIT", "spdx", "mit", "SPDX-License-Identifier: MIT"),
     ("MIT", "spdx", "mit", "License: MIT"),
@@ -132,6 +145,10 @@ FORMS = (
     *((name, "title", f"gnu {kind} general v{digit}", f"GNU {kind} General Public License v{digit}") for name, (kind, _, digit) in _GNU.items()),
     *((name, "title", f"gnu {kind} general v{name.split('-')[1]}", f"GNU {kind} General Public License v{name.split('-')[1]}")
       for name, (kind, _, digit) in _GNU.items() if digit != name.split("-")[1]),
+    *((name, "short", f"{short}{sep}{digit}", f"{short.upper()}{sep}{digit}") for name, short, digit in (("GPL-2.0", "gpl", "2"), ("GPL-3.0", "gpl", "3"), ("LGPL-2.1", "lgpl", "2.1"),
+                                                                                                        ("LGPL-3.0", "lgpl", "3"), ("AGPL-3.0", "agpl", "3")) for sep in ("v", "-v")),
+    *((name, "short", f"gnu {short} v{digit}", f"GNU {short.upper()} v{digit}") for name, short, digit in (("GPL-2.0", "gpl", "2"), ("GPL-3.0", "gpl", "3"), ("LGPL-2.1", "lgpl", "2.1"),
+                                                                                                   ("LGPL-3.0", "lgpl", "3"), ("AGPL-3.0", "agpl", "3"))),
     *((name, "spdx", (name + tail).lower(), name + tail) for name in _GNU for tail in ("", "-only", "-or-later")),
     *((name, "title", f"creative {long.lower()} 4.0", f"Creative Commons {long} 4.0 International License") for name, long in _CC.items()),
     *((name, "title", f"creative {long.lower()} 4.0", f"Creative Commons {long} 4.0") for name, long in _CC.items()),
@@ -139,7 +156,10 @@ FORMS = (
     *((name, "spdx", name.lower(), name) for name in _CC),
 )
 CUE = (r"(?i)licen[sc]e|copyright|redistribut|hereby granted|public domain|\bCC0\b|\bCC[ -]BY|all\s+rights\s+reserved|rechte\s+vorbehalten|derechos\s+reservados"
-       r"|tous\s+droits|spdx|\u00A9|\(c\)\s*(?:19|20)[0-9][0-9]|\b[AL]?GPL-?v?[0-9]|\bMPL-[0-9]|\bApache-[0-9]|\bBSD-[0-9]|creative\s+commons|gnu\s+(?:\w+\s+)?general\s+public")
+       r"|tous\s+droits|spdx|\bEUPL\b|\bBSL-[0-9]|\u00A9|\(c\)\s*(?:19|20)[0-9][0-9]|\b[AL]?GPL-?v?[0-9]|\bMPL-[0-9]|\bApache-[0-9]|\bBSD-[0-9]|creative\s+commons|gnu\s+(?:\w+\s+)?general\s+public|gnu\s+[al]?gpl\b")
+# every text that the pattern finds holds one of these, in lower case
+PARTS = ("licen", "copyright", "redistribut", "hereby granted", "public domain", "cc0", "cc by", "cc-by", "rights", "rechte", "derechos", "droits", "spdx", "\u00A9", "(c)", "gpl", "mpl-",
+         "apache-", "bsd-", "creative", "gnu", "eupl", "bsl-")
 BEFORE, AFTER, LONGEST = 24, 40, 480
 MOST_MISSING = 0.25
 SCHEMA = ("doc_id long, block long, first_word long, n_words long, license string, reduction double, missing array<string>, extra array<string>, "
@@ -196,40 +216,43 @@ class Scanner:
         self.primed = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **level)
                        for _, w, _, _ in self.templates]
 
+    def gains(self, words: list[str]) -> list[float]:
+        """How much each template shortens the block, as a share of its size compressed alone."""
+        data = " ".join(words).encode()
+        alone = len(self.plain.compress(data))
+        return [(alone - len(p.compress(data))) / alone for p in self.primed]
+
     def judge(self, words: list[str]) -> list[tuple]:
         """(license, reduction, missing, extra, confirmed, places of its words) of each license of one block."""
-        data, bag = " ".join(words).encode(), Counter(words)
-        alone = len(self.plain.compress(data))
-        found, near = [], []
-        for k, (name, want, telling, most) in enumerate(self.templates):
-            gain = (alone - len(self.primed[k].compress(data))) / alone
+        gains, bag = self.gains(words), Counter(words)
+        walk = sorted(range(len(gains)), key=lambda k: (-gains[k], self.templates[k][0], k))
+        confirmed = []
+        for k in walk:
+            _, want, telling, _ = self.templates[k]
             # no alignment misses fewer words than the block lacks
-            least = sum((self.bags[k] - bag).values())
-            if least <= MOST_MISSING * len(want) and all(w in bag for w in telling):
-                found.append((k, gain))
-            near.append((least / len(want), -gain, k))
-        ranked = sorted(self._compare(words, k, gain) for k, gain in found)
+            if sum((self.bags[k] - bag).values()) <= MOST_MISSING * len(want) and all(w in bag for w in telling):
+                row, tells = self._compare(words, k, gains[k])
+                if row[4]:
+                    confirmed.append((row, tells))
         taken: dict[str, tuple] = {}
-        larger: list[set[int]] = []
-        for (unsure, fewer, *_), row, tells in ranked:
-            there = set(row[-1])
-            if not unsure and row[0] not in taken and not any(len(x) > -fewer and tells <= x for x in larger):
+        for row, tells in confirmed:
+            inside = any(len(other[5]) > len(row[5]) and tells <= set(other[5]) for other, _ in confirmed)
+            if row[0] not in taken and not inside:
                 taken[row[0]] = row
-            if not unsure:
-                larger.append(there)
         if taken:
             return list(taken.values())
-        return [ranked[0][1] if ranked else self._compare(words, min(near)[2], -min(near)[1])[1]]
+        if gains[walk[0]] > 0:
+            return [self._compare(words, walk[0], gains[walk[0]])[0]]
+        return [(None, 0.0, [], [], False, [])]
 
     def _compare(self, words: list[str], k: int, gain: float) -> tuple:
-        """(rank, row, places of the telling words) of a template against a block."""
+        """(row, places of the telling words) of a template against a block."""
         name, want, telling, most = self.templates[k]
         held, there = align(want, words, self.costs[k])
         missing = [w for i, w in enumerate(want) if i not in set(held)]
         extra = [words[j] for j in range(there[0], there[-1] + 1) if j not in set(there)] if there else []
         sure = not telling & set(missing) and len(missing) <= MOST_MISSING * len(want) and len(extra) <= most
-        rank = (not sure, -len(held), len(missing), len(extra), -gain, name, k)
-        return rank, (name, gain, missing, extra, sure, there), {j for j in there if words[j] in telling}
+        return (name, gain, missing, extra, sure, there), {j for j in there if words[j] in telling}
 
 
 def blocks_of(text: str) -> list[tuple[int, list[str]]]:
@@ -277,5 +300,9 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, forms
                                      "missing": missing, "extra": extra, "confirmed": sure})
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    candidates = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(CUE))
+    low = F.lower("text")
+    some = F.lit(False)
+    for part in PARTS:
+        some = some | low.contains(part)
+    candidates = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(some & F.col("text").rlike(CUE))
     return candidates.mapInArrow(work, SCHEMA)

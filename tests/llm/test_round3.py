@@ -185,3 +185,68 @@ def test_discounts():
     assert katz.discounts([0, 0, 0, 0, 0, 0]).tolist() == [0.0] and katz.discounts([10, 0, 5]).tolist() == [0.0]
     d = katz.discounts([1000, 400, 200, 120, 80, 50])
     assert len(d) == 6 and all(0 < x <= 1 for x in d[1:])
+
+
+# --- 9 licenses, by compression --------------------------------------------------------------------
+
+def plain_align(want, words, cost):
+    """The cheapest alignment of ``want`` with any stretch of ``words``, by trying every stretch."""
+    best = None
+    for a in range(len(words) + 1):
+        for b in range(a, len(words) + 1):
+            stretch = words[a:b]
+            table = [[0] * (len(stretch) + 1) for _ in range(len(want) + 1)]
+            for i in range(len(want) + 1):
+                for j in range(len(stretch) + 1):
+                    if i or j:
+                        options = []
+                        if i:
+                            options.append(table[i - 1][j] + cost[i - 1])
+                        if j:
+                            options.append(table[i][j - 1] + 1)
+                        if i and j and want[i - 1] == stretch[j - 1]:
+                            options.append(table[i - 1][j - 1])
+                        table[i][j] = min(options)
+            value = table[-1][-1]
+            best = value if best is None else min(best, value)
+    return best
+
+
+def test_alignment_is_the_cheapest():
+    from tallyspark.llm import licenses
+
+    draw = random.Random(12)
+    for _ in range(150):
+        want = [draw.choice("abcd") for _ in range(draw.randrange(1, 6))]
+        words = [draw.choice("abcde") for _ in range(draw.randrange(1, 9))]
+        cost = [draw.choice([2, 5]) for _ in want]
+        held, there = licenses.align(want, words, cost)
+        assert [want[i] for i in held] == [words[j] for j in there] and held == sorted(held) and there == sorted(there)
+        between = there[-1] - there[0] + 1 - len(there) if there else 0
+        assert sum(c for i, c in enumerate(cost) if i not in held) + between == plain_align(want, words, cost)
+
+
+def test_reductions_rank_the_templates(spark, monkeypatch):
+    from tallyspark.llm import licenses
+
+    draw = random.Random(5)
+    filler = " ".join(draw.choice(["tree", "river", "stone", "cloud", "paper"]) for _ in range(60))
+    cases = {1: ("This part is GPLv3 code", "GPL-3.0"), 2: ("It is MIT-licensed code", "MIT"), 3: ("licensed under the EUPL", "EUPL-1.2"), 4: ("SPDX-License-Identifier: BSL-1.0", "BSL-1.0"),
+             5: ("GNU GPL v2 or later", "GPL-2.0"), 6: ("Released under the MIT License.", "MIT"), 7: (licenses.TEMPLATES["Apache-2.0"], "Apache-2.0")}
+    rows = [(i, f"{filler} {t} {filler}") for i, (t, _) in cases.items()] + [(50, f"{filler} a copyright question {filler}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.license_blocks(docs).collect()
+    for i, (text, name) in cases.items():
+        assert {r.license for r in got if r.doc_id == i and r.confirmed} == {name}, (text, [r for r in got if r.doc_id == i])
+    assert [(r.license, r.confirmed) for r in got if r.doc_id == 50 and r.license is None] or all(r.reduction > 0 and not r.confirmed for r in got if r.doc_id == 50)
+
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    words = licenses._words("permission to copy this software under the terms of some license text is hereby granted to nobody")
+    nearest = scanner.judge(words)
+    gains = scanner.gains(words)
+    assert nearest[0][0] == scanner.templates[max(range(len(gains)), key=lambda k: gains[k])][0] and nearest[0][1] == max(gains) > 0
+    both = licenses._words(" ".join([licenses.TEMPLATES["MPL-2.0"], licenses.TEMPLATES["ISC"]]))
+    order = [r[1] for r in scanner.judge(both)]
+    assert order == sorted(order, reverse=True) and len(order) == 2
+    monkeypatch.setattr(scanner, "gains", lambda words: [0.0] * len(scanner.templates))  # a compressor that sees nothing
+    assert scanner.judge(words) == [(None, 0.0, [], [], False, [])]
