@@ -250,3 +250,40 @@ def test_reductions_rank_the_templates(spark, monkeypatch):
     assert order == sorted(order, reverse=True) and len(order) == 2
     monkeypatch.setattr(scanner, "gains", lambda words: [0.0] * len(scanner.templates))  # a compressor that sees nothing
     assert scanner.judge(words) == [(None, 0.0, [], [], False, [])]
+
+
+# --- 7 mixing, through its schedule ----------------------------------------------------------------
+
+def test_every_prefix_of_the_schedule_holds_the_weights(spark):
+    from tallyspark.llm import mixing
+
+    quotas = [900, 300, 150, 40, 0, 1]
+    shares = spark.createDataFrame(list(enumerate(quotas)), "source_no long, quota long")
+    slots = sorted(mixing.schedule(spark, shares, chunk=64).collect(), key=lambda r: r.slot)
+    assert sorted((r.source_no, r.rank) for r in slots) == [(i, k) for i, q in enumerate(quotas) for k in range(q)]
+    seen, total = [0] * len(quotas), sum(quotas)
+    for n, r in enumerate(slots, 1):
+        assert r.rank == seen[r.source_no]
+        seen[r.source_no] += 1
+        assert all(abs(seen[i] - n * q / total) <= 2 + np.log2(total) / 2 for i, q in enumerate(quotas)), (n, seen)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    from tallyspark.llm import mixing
+
+    rows = [(i, " ".join(["w"] * (i % 700)), ["a", "b", None][i % 3], i, f"q{i}", 0.5, "n", "r") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, goal long, quota string, weight double, source_no string, rank string")
+    mixed, slots, pieces = mixing.mix(docs)
+    got = {r.doc_id: r for r in mixed.collect()}
+    assert all((got[i].goal, got[i].quota, got[i].weight, got[i].source_no, got[i]["rank"]) == (i, f"q{i}", 0.5, "n", "r") for i in range(120))
+    number = {(r.source_no, r.rank): r.slot for r in slots.collect()}
+    of = {}
+    for r in pieces.collect():
+        of.setdefault(r.doc_id, []).append(number[r.source_no, r.rank])
+    import hashlib
+
+    for i, r in got.items():
+        s = sorted(of.get(i, []))
+        assert (r.n_slots, r.first_slot) == (len(s), s[0] if s else None)
+        assert r.slots_md5 == (hashlib.md5(",".join(map(str, s)).encode()).hexdigest() if s else None)
+    assert set(mixing.with_texts(docs).columns) >= {"goal", "quota", "weight", "source_no", "rank", "text", "slots_md5"}
