@@ -2,9 +2,9 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame
 that is written as Parquet and read again as the next stage's ``docs``.  All but the last return the
-columns of ``documents``; the last returns the mix: those columns and, for each document in it, its
-size, its source's size and target, and the words taken of it.  ``run_texts`` ends in the texts of the
-mix instead: a row per taken stretch, in schedule order.
+columns of ``documents``; the last returns the mix itself: a row per taken stretch of a document, in
+schedule order (``slot, at``), with the stretch as ``text`` and the words ``begin`` to ``until`` it covers; a document taken
+twice is there twice, so the words of each source are its target.
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words from."""
-    return mixing.with_texts(docs).where("taken > 0").select(*COLUMNS, "size", "source_size", "target", "taken")
+    """The stretches that the mix takes, in its order; ``n_chars`` follows the stretch."""
+    mixed = mixing.mixed_texts(docs, keep=("lang",)).withColumn("n_chars", F.char_length("text").cast("long"))
+    return mixed.select(*COLUMNS, "slot", "at", "begin", "until")
 
 
 STAGES = [
@@ -55,19 +56,10 @@ STAGES = [
 ]
 
 
-def _through(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is a table in the shared folder."""
     staging = Staging(spark, "pipeline")
     docs = spark.read.parquet(table_path(sf_dir, "documents"))
-    for name, stage in stages:
+    for name, stage in STAGES:
         docs = staging.table(name, stage(spark, docs, sf_dir))
     return docs
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is a table in the shared folder."""
-    return _through(spark, sf_dir, STAGES)
-
-
-def run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of what the stages before it keep, as ``mixing.mixed_texts``."""
-    return mixing.mixed_texts(_through(spark, sf_dir, STAGES[:-1]))
