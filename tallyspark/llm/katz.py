@@ -38,8 +38,8 @@ from .tokens import SPACE_WORD, mix, slices
 
 FOLDS, HELD = 7, 2
 K = 5
-BLOCK_BYTES = 8 << 20
-PAIRS_PER_PARTITION = 1_500_000
+BLOCK_BYTES = 6 << 20
+PAIRS_PER_PARTITION = 800_000
 END = "\n"  # no word holds a line break
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -373,7 +373,16 @@ def katz_scores(docs: DataFrame, held: Column | None = None, folds: int = FOLDS,
     bounded_batches(spark)
     staging = Staging(spark, "katz")
     held = held if held is not None else fold(F.col("doc_id"), folds) == held_fold
-    blocks = staging.table("blocks", _blocks(docs, held))
+    try:
+        return _scored(docs, held, staging)
+    finally:
+        staging.forget()
+
+
+def _scored(docs: DataFrame, held: Column, staging: Staging) -> Katz:
+    spark = staging.spark
+    # by bucket, so that the blocks' tokens stay where they are and only what is asked and answered is shuffled
+    blocks = staging.bucketed("blocks", _blocks(docs, held), "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
     vocabulary, words = _number(blocks, staging)
     total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PAIRS_PER_PARTITION))
@@ -397,7 +406,7 @@ def katz_scores(docs: DataFrame, held: Column | None = None, folds: int = FOLDS,
     weights = _packed(numbers.join(contexts.withColumnRenamed("h", "number"), "number", "left").select("block", "place", "number", F.coalesce("alpha", F.lit(1.0)).alias("alpha"), F.coalesce("more", F.lit(0)).cast("double").alias("more")), ["place", "number", "alpha", "more"])
     answers = counted.where("kind = 'answers'").groupBy("block").agg(F.collect_list(F.struct("part", "r")).alias("answers"))
     wide = tokens.join(weights, "block", "left").join(answers, "block", "left")
-    scores = _score(wide, dict(docs.dtypes)["doc_id"], words, d, (first.alpha, first.more) if first else (1.0, 0), partitions, spread)
+    scores = staging.table("scores", _score(wide, dict(docs.dtypes)["doc_id"], words, d, (first.alpha, first.more) if first else (1.0, 0), partitions, spread))
     return Katz(vocabulary, pairs, contexts, words, d, scores, staging)
 
 

@@ -23,12 +23,24 @@ class Staging:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.named: list[str] = []
 
     def table(self, name: str, frame: DataFrame, *partitions: str, **options) -> DataFrame:
         """Write ``frame`` (in folders by the columns ``partitions``) and return what reads it back."""
         frame.write.mode("error").options(**options).partitionBy(*partitions).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
 
+    def bucketed(self, name: str, frame: DataFrame, column: str, buckets: int) -> DataFrame:
+        """``table``, dealt by ``column``: joins on it need no shuffle of this side.  ``forget`` drops its entry in the catalog."""
+        self.named.append(f"{name}_{uuid.uuid4().hex}")
+        frame.write.bucketBy(buckets, column).sortBy(column).option("path", f"{self.path}/{name}").saveAsTable(self.named[-1])
+        return self.spark.table(self.named[-1])
+
+    def forget(self) -> None:
+        """Drop the catalog entries of bucketed tables (their files stay until ``remove``)."""
+        while self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop()}")
+
     def settle(self) -> None:
         """Let Spark's cleaner delete the shuffle files of finished steps: it does when the driver drops their plans."""
         gc.collect()
