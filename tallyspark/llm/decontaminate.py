@@ -9,15 +9,19 @@ other are joined into the longest verbatim matches with their places in document
 A shard's suffix array leaves out suffixes that cannot start a match: those whose first word, or
 one of the following ones up to the shortest window, is in no item.
 
-The test set goes to the tasks in blocks of at most ``block_words`` words (a broadcast of known size);
-a larger one takes several passes over the documents, whose matches are then merged per document.
-Documents themselves are never shuffled.
+The items are written as a table with a block number each, by a running sum of their sizes, and a block goes to the tasks as
+its items' rows (a broadcast of at most ``block_words`` words, or one longer item).  One test set is alive at a time: each block is
+a pass over the documents whose findings (rows with hits alone) are written before the next begins, then merged
+per document.  Documents themselves are never shuffled.
+
+Occurrences are kept per distinct window; items are named once per (document, window), and matches are built only where asked for, so
+a passage that many items share costs its occurrences, not occurrences times items.
 
 Defined cases: a null or empty text has no words, no hits and is not contaminated; null or
 word-less items have no windows; a null ``item_id`` is shown as an empty string; items of equal
 text, and rows that repeat an ``item_id``, each match (ids count once); rows that repeat a ``doc_id``
 are documents of their own; an empty table on either side gives no hits; extra columns stay
-(the names ``n_words n_hit items matches contaminated`` are replaced).
+(the names ``n_words n_hit items matches hit_spans contaminated`` are replaced, names that start with ``__dc_`` are reserved).
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Staging, bounded_batches
@@ -69,7 +73,15 @@ class TestSet:
         # equal windows are searched once
         self.distinct, self.same = np.unique(self.queries, axis=0, return_inverse=True) if len(self.queries) else (self.queries, self.starts)
         self.same = np.asarray(self.same).reshape(-1)
+        self.same = np.asarray(self.same, np.int64)
         self.shortest = int(self.size.min()) if len(self.size) else width
+        # per distinct window its width, its items (each once), and all places where it stands
+        n = len(self.distinct)
+        self.width_of = (self.distinct >= 0).sum(axis=1) if n else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([self.same, self.item], axis=1), axis=0) if n else np.zeros((0, 2), np.int64)
+        self.item_bounds, self.items = np.searchsorted(pairs[:, 0], np.arange(n + 1)), pairs[:, 1]
+        self.windows = np.argsort(self.same, kind="stable") if n else np.zeros(0, np.int64)
+        self.window_bounds = np.searchsorted(self.same[self.windows], np.arange(n + 1)) if n else np.zeros(1, np.int64)
 
 
 def suffix_array(ranks: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -115,7 +127,7 @@ def search(text: np.ndarray, suffixes: np.ndarray, queries: np.ndarray) -> tuple
 
 
 def match_slice(part: Slice, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word count per text; and for every found window its first word (flat) and window number."""
+    """Word count per text; and for every occurrence of a distinct window its first word (flat) and the window's number."""
     starts, ends = part.words(ALNUM_WORD)
     words, rows = part.hashes(starts, ends, lower=True), part.row_of(starts)
     count = np.bincount(rows, minlength=part.rows)
@@ -152,132 +164,137 @@ def match_slice(part: Slice, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np
     original[place] = candidates
     suffixes = suffix_array(shard, place, width)
     lo, hi = search(shard, suffixes, tests.distinct)
-    lo, hi = lo[tests.same], hi[tests.same]
     found = hi - lo
-    window = np.repeat(np.arange(len(found)), found)
-    spot = np.repeat(lo, found) + np.arange(int(found.sum())) - np.repeat(np.cumsum(found) - found, found)
-    return count, original[suffixes[spot]], window
+    return count, original[suffixes[_ranges(lo, found)]], np.repeat(np.arange(len(found)), found)
+
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of ``size[0]`` numbers, then the same of the next."""
+    return np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
-def _document_columns(part: Slice, tests: TestSet) -> list[pa.Array]:
+
+def _longest(tests: TestSet, word: np.ndarray, window: np.ndarray, first: np.ndarray, n: int) -> pa.Array:
+    """Longest matches per text: occurrences of every item's windows that continue each other on one diagonal of (text, item)."""
+    many = tests.window_bounds[window + 1] - tests.window_bounds[window]
+    word, window = np.repeat(word, many), tests.windows[_ranges(tests.window_bounds[window], many)]
+    row, size, item = np.searchsorted(first, word, side="right") - 1, tests.size[window], tests.item[window]
+    order = np.lexsort((word, word - tests.starts[window], item))
+    word, window, item, size, row = word[order], window[order], item[order], size[order], row[order]
+    head = np.ones(len(word), bool)
+    head[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (np.diff(word) != 1) | (np.diff(window) != 1)
+    heads = np.flatnonzero(head)
+    tails = np.concatenate([heads[1:], [len(word)]])[: len(heads)] - 1
+    m_row, m_item, m_in = row[heads], item[heads], tests.item_word[window[heads]]
+    m_doc, m_words = word[heads] - first[m_row], word[tails] + size[tails] - word[heads]
+    by = np.lexsort((m_in, m_doc, m_item, m_row))
+    values = pa.StructArray.from_arrays([pa.array(tests.ids[m_item[by]], pa.string()), pa.array(m_doc[by], pa.int64()), pa.array(m_in[by], pa.int64()), pa.array(m_words[by], pa.int64())], fields=list(MATCH_ARROW))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(m_row[by], np.arange(n + 1)).astype(np.int32)), values)
+
+
+def _document_columns(part: Slice, tests: TestSet, matches: bool) -> list[pa.Array]:
     """The added columns for one slice's texts."""
     count, word, window = match_slice(part, tests)
     n = part.rows
     first = np.concatenate([[0], np.cumsum(count)])
     row = np.searchsorted(first, word, side="right") - 1
-    size = tests.size[window]
     # hit words: coverage of the flat word positions
-    cover = np.zeros(int(first[-1]) + 1, np.int64)
-    np.add.at(cover, word, 1)
-    np.add.at(cover, word + size, -1)
-    covered = np.cumsum(cover)[:-1] > 0
-    total = np.concatenate([[0], np.cumsum(covered)])
-    n_hit = total[first[1:]] - total[first[:-1]]
+    total = int(first[-1])
+    covered = np.cumsum(np.bincount(word, minlength=total + 1) - np.bincount(word + tests.width_of[window], minlength=total + 1))[:-1] > 0
+    so_far = np.concatenate([[0], np.cumsum(covered)])
+    n_hit = so_far[first[1:]] - so_far[first[:-1]]
     edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
     begins, untils = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     # a covered stretch may run over a text's end into the next text's start
-    inner = np.flatnonzero(covered[1:] & covered[:-1]) + 1
-    cuts = np.intersect1d(first[1:-1], inner)
+    cuts = np.intersect1d(first[1:-1], np.flatnonzero(covered[1:] & covered[:-1]) + 1)
     begins, untils = np.sort(np.concatenate([begins, cuts])), np.sort(np.concatenate([untils, cuts]))
     span_row = np.searchsorted(first, begins, side="right") - 1
-    # longest matches: windows that continue each other on one diagonal of (text, item)
-    item = tests.item[window]
-    order = np.lexsort((word, word - tests.starts[window], item))
-    word, window, item, size, row = word[order], window[order], item[order], size[order], row[order]
-    head = np.ones(len(word), bool)
-    head[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (np.diff(word) != 1) | (np.diff(window) != 1)
-    heads = np.flatnonzero(head)
-    tails = np.concatenate([heads[1:], [len(word)]])[: len(heads)] - 1
-    m_row, m_item = row[heads], item[heads]
-    m_doc, m_words = word[heads] - first[m_row], word[tails] + size[tails] - word[heads]
-    by = np.lexsort((tests.item_word[window[heads]], m_doc, m_item, m_row))
-    m_row, m_item, m_doc, m_words, m_in = m_row[by], m_item[by], m_doc[by], m_words[by], tests.item_word[window[heads]][by]
-    pair = np.unique(np.stack([m_row, m_item], axis=1), axis=0) if len(m_row) else np.zeros((0, 2), np.int64)
-    offsets = lambda rows: pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32))
-    ends = np.searchsorted(pair[:, 0], np.arange(n + 1))
-    names = pa.array([sorted({tests.ids[i] for i in pair[a:b, 1]}) for a, b in zip(ends[:-1], ends[1:])], pa.list_(pa.string()))
-    matches = pa.StructArray.from_arrays([pa.array(tests.ids[m_item], pa.string()), pa.array(m_doc, pa.int64()), pa.array(m_in, pa.int64()), pa.array(m_words, pa.int64())], fields=list(MATCH_ARROW))
+    # items: each distinct window of a text is named once
+    held = np.unique(np.stack([row, window], axis=1), axis=0) if len(word) else np.zeros((0, 2), np.int64)
+    many = tests.item_bounds[held[:, 1] + 1] - tests.item_bounds[held[:, 1]] if len(held) else np.zeros(0, np.int64)
+    of = tests.items[_ranges(tests.item_bounds[held[:, 1]], many)] if len(held) else np.zeros(0, np.int64)
+    ends = np.searchsorted(np.repeat(held[:, 0], many), np.arange(n + 1))
+    names = pa.array([sorted(set(tests.ids[of[a:b]])) for a, b in zip(ends[:-1], ends[1:])], pa.list_(pa.string()))
     spans = pa.StructArray.from_arrays([pa.array(begins - first[span_row], pa.int64()), pa.array(untils - first[span_row], pa.int64())], fields=list(SPAN_ARROW))
-    return [pa.array(count.astype(np.int64)), pa.array(n_hit.astype(np.int64)), names,
-            pa.ListArray.from_arrays(offsets(m_row), matches), pa.ListArray.from_arrays(offsets(span_row), spans)]
-
-
-def _test_sets(benchmark: DataFrame, width: int, block_words: int) -> Iterator[TestSet]:
-    """The items in blocks of a bounded size (at least one, so that an empty test set still passes over the documents)."""
-    ids, texts, size, made = [], [], 0, False
-    for row in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
-        ids.append(row.item_id)
-        texts.append(row.text)
-        size += len(row.text) // 2 + 1  # no text has more words
-        if size >= block_words:
-            yield TestSet(ids, texts, width)
-            ids, texts, size, made = [], [], 0, True
-    if ids or not made:
-        yield TestSet(ids, texts, width)
-
-
-def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_words: int = 2_000_000) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit`` (words inside occurrences of windows), ``items`` (sorted ids), ``matches`` and ``contaminated``."""
+    found = _longest(tests, word, window, first, n) if matches else pa.array([None] * n, pa.list_(MATCH_ARROW))
+    return [pa.array(count.astype(np.int64)), pa.array(n_hit.astype(np.int64)), names, found,
+            pa.ListArray.from_arrays(pa.array(np.searchsorted(span_row, np.arange(n + 1)).astype(np.int32)), spans)]
+
+
+def _numbered_items(benchmark: DataFrame, staging: Staging, block_words: int) -> tuple[DataFrame, int]:
+    """``(item_id, text, block)`` as a written table, and the number of blocks (of about ``block_words`` words, dealt by a hash)."""
+    sized = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    words = sized.agg(F.sum(F.floor(F.char_length("text") / 2) + 1)).first()[0] or 0  # no text has more words
+    blocks = max(1, -(-int(words) // block_words))
+    block = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(blocks)).cast("int")
+    return staging.table("items", sized.withColumn("block", block), "block"), blocks
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_words: int = 2_000_000, matches: bool = True) -> DataFrame:
+    """``docs`` with ``n_words``, ``n_hit`` (words inside occurrences of windows), ``items`` (sorted ids), ``matches`` (null if not asked for) and ``contaminated``."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.drop("n_words", "n_hit", "items", "matches", "hit_spans", "contaminated")
     place = docs.columns.index("text")
     fields = [f"`{c.replace('`', '``')}` {t}" for c, t in docs.dtypes]
+    staging = Staging(spark, "decontaminate")
+    items, blocks = _numbered_items(benchmark, staging, block_words)
 
-    def run(tests: TestSet) -> DataFrame:
-        shared = spark.sparkContext.broadcast(tests)
+    def shared_set(block: int):
+        rows = items.where(F.col("block") == block).select(F.col("item_id").cast("string"), "text").toArrow()
+        return spark.sparkContext.broadcast(TestSet(rows["item_id"].to_pylist(), rows["text"].to_pylist(), width))
 
+    def run(shared) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = shared.value
             for batch in batches:
                 for part in slices(batch.column(place), SHARD_BYTES):
                     own = batch.slice(part.first, part.rows)
-                    yield pa.RecordBatch.from_arrays([*own.columns, *_document_columns(part, block)],
+                    yield pa.RecordBatch.from_arrays([*own.columns, *_document_columns(part, shared.value, matches)],
                                                      names=[*batch.schema.names, "n_words", "n_hit", "items", "matches", "hit_spans"])
 
         return docs.mapInArrow(work, ", ".join([*fields, ADDED]))
 
-    blocks = _test_sets(benchmark, width, block_words)
-    result, further = run(next(blocks)), []
-    for tests in blocks:
-        further.append(tests)
-    if further:
-        result = _merged(spark, docs, [result, *[run(t) for t in further]])
+    # every block but the first is a pass of its own, written and done with before the next set is built
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    further = None
+    for block in range(1, blocks):
+        shared = shared_set(block)
+        some = run(shared).where("n_hit > 0").select(key.alias("__dc_found"), F.col("doc_id").alias("__dc_id"), "items", "matches", "hit_spans").dropDuplicates(["__dc_found", "__dc_id"])
+        written = staging.table(f"found-{block}", some)
+        shared.destroy()
+        further = written if further is None else further.unionByName(written)
+    result = run(shared_set(0))
+    staging.remove("items")
+    if further is not None:
+        result = _merged(result.withColumn("__dc_key", key), further)
     return (result.drop("hit_spans")
             .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))))
 
 
-def _merged(spark: SparkSession, docs: DataFrame, passes: list[DataFrame]) -> DataFrame:
-    """Several blocks' findings as one: only rows with findings are gathered, by a key of the whole row."""
-    staging = Staging(spark, "decontaminate")
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    base = passes[0].withColumn("__key", key)
-    extra = None
-    for p in passes:
-        some = p.where("n_hit > 0").select(key.alias("__key"), F.col("doc_id").alias("__id"), "items", "matches", "hit_spans").dropDuplicates(["__key", "__id"])
-        extra = some if extra is None else extra.unionByName(some)
-    joined = (staging.table("found", extra).groupBy(F.col("__key").alias("__found_key"), F.col("__id").alias("__found_id"))
-              .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"),
-                   F.array_sort(F.flatten(F.collect_list("matches"))).alias("__matches"),
-                   F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("__spans")))
+def _merged(result: DataFrame, further: DataFrame) -> DataFrame:
+    """The first block's findings with those of the others: only rows with findings are gathered, by id and text."""
+    together = further.groupBy("__dc_found", "__dc_id").agg(
+        F.flatten(F.collect_list("items")).alias("__dc_items"), F.flatten(F.collect_list("matches")).alias("__dc_matches"), F.flatten(F.collect_list("hit_spans")).alias("__dc_spans"))
     start = F.struct(F.lit(0).cast("long").alias("until"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate("__spans", start, lambda s, x: F.struct(
+    spans = F.array_sort(F.concat("hit_spans", "__dc_spans"))
+    covered = F.aggregate(spans, start, lambda s, x: F.struct(
         F.greatest(s["until"], x["until"]).alias("until"),
         (s["n"] + F.greatest(F.lit(0).cast("long"), x["until"] - F.greatest(s["until"], x["begin"]))).alias("n")))["n"]
-    wide = base.join(joined, (F.col("__key") == F.col("__found_key")) & F.col("doc_id").eqNullSafe(F.col("__found_id")), "left")
-    return (wide.withColumn("n_hit", F.when(F.col("__spans").isNull(), F.lit(0).cast("long")).otherwise(covered))
-            .withColumn("items", F.coalesce("__items", F.col("items"))).withColumn("matches", F.coalesce("__matches", F.col("matches")))
-            .drop("__key", "__found_key", "__found_id", "__items", "__matches", "__spans"))
+    wide = result.join(together, (F.col("__dc_key") == F.col("__dc_found")) & F.col("doc_id").eqNullSafe(F.col("__dc_id")), "left")
+    more = F.col("__dc_found").isNotNull()
+    return (wide.withColumn("n_hit", F.when(more, covered).otherwise(F.col("n_hit")))
+            .withColumn("items", F.when(more, F.array_sort(F.array_distinct(F.concat("items", "__dc_items")))).otherwise(F.col("items")))
+            .withColumn("matches", F.when(more & F.col("matches").isNotNull(), F.array_sort(F.concat("matches", "__dc_matches"))).otherwise(F.col("matches")))
+            .drop("__dc_key", "__dc_found", "__dc_id", "__dc_items", "__dc_matches", "__dc_spans"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return find_matches(docs, benchmark, width).where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return find_matches(docs, benchmark, width, matches=False).where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns from ``find_matches``."""
-    found = find_matches(docs.select("doc_id", "text"), benchmark)
+    found = find_matches(docs.select("doc_id", "text"), benchmark, matches=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 

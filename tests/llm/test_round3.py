@@ -287,3 +287,42 @@ def test_mix_keeps_columns_of_any_name(spark):
         assert (r.n_slots, r.first_slot) == (len(s), s[0] if s else None)
         assert r.slots_md5 == (hashlib.md5(",".join(map(str, s)).encode()).hexdigest() if s else None)
     assert set(mixing.with_texts(docs).columns) >= {"goal", "quota", "weight", "source_no", "rank", "text", "slots_md5"}
+
+
+# --- 8 decontamination of large and odd test sets --------------------------------------------------
+
+def test_items_that_share_a_passage_cost_its_occurrences(spark):
+    from tallyspark.llm import decontaminate
+    import pyarrow as pa
+
+    draw = random.Random(9)
+    preamble = " ".join(f"common{k}" for k in range(20))
+    items = [(i, (preamble + " " if i % 3 == 0 else "") + " ".join(f"w{draw.randrange(10**6)}" for _ in range(15))) for i in range(600)]
+    tests = decontaminate.TestSet([i for i, _ in items], [t for _, t in items], 13)
+    part = next(decontaminate.slices(pa.array([f"{preamble} " * 50])))
+    count, word, window = decontaminate.match_slice(part, tests)
+    assert len(word) == 50 * 8  # not times the 200 items
+    docs = spark.createDataFrame([(1, f"x {preamble} y " * 50, {"k": [1]}, (2, "s")), (1, f"x {preamble} y " * 50, {"k": [1]}, (2, "s")), (2, "nothing here", None, None), (3, items[1][1], {}, None), (None, items[3][1], {}, None)],
+                                 "doc_id long, text string, extra map<string,array<int>>, `__key` struct<a:int,b:string>")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: brute.contamination(t, items) for i, t in [(1, f"x {preamble} y " * 50), (2, "nothing here"), (3, items[1][1]), (None, items[3][1])]}
+    for block in (2_000_000, 2_000, 500):
+        got = decontaminate.find_matches(docs, bench, block_words=block)
+        rows = got.collect()
+        assert len(rows) == 5 and {r.doc_id: (r.n_words, r.n_hit, list(r.items), r.contaminated) for r in rows} == want
+        assert all(r.extra == {"k": [1]} and r["__key"].a == 2 for r in rows if r.doc_id == 1)
+        assert {len(r.matches) for r in rows if r.doc_id == 1} == {50 * 200}
+        fewer = decontaminate.find_matches(docs, bench, block_words=block, matches=False).collect()
+        assert all(r.matches is None for r in fewer) and {r.doc_id: r.n_hit for r in fewer} == {i: w[1] for i, w in want.items()}
+
+
+def test_pipeline_stage_with_a_test_set_of_two_blocks(spark, monkeypatch):
+    import corpus_pipeline
+    from tallyspark.llm import decontaminate
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect())
+    plain = decontaminate.find_matches
+    monkeypatch.setattr(decontaminate, "find_matches", lambda d, b, w=13, **k: plain(d, b, w, block_words=4_000, **k))
+    out = corpus_pipeline.drop_contaminated(spark, docs.withColumn("__key", F.lit(1)), SF)
+    assert sorted(r.doc_id for r in out.collect()) == one
