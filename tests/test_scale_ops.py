@@ -284,3 +284,60 @@ def test_specs_with_odd_filter_values(spark):
         specs = spark.createDataFrame([(i, tenant, _request(filters=f, group=()), True, past) for i, f in enumerate(ask)], "spec_id int, tenant int, request string, enabled boolean, next_run_at timestamp_ntz")
         got = {r.spec_id: json.loads(r.row)["n"] for r in run_specs(source, specs, past, tenant_col="t").collect()}
         assert got == {i: n for i, n in enumerate(want) if n}
+
+
+def test_retention_rewrites_only_the_files_around_the_bound(spark, workdir):
+    from tallyspark.plans.retention import read_retained, retain_files
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(hours=i)) for i in range(24 * 40)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
+    df.repartitionByRange(20, "ts").write.parquet(f"{workdir}/src")  # two days a file
+    spark.createDataFrame([(5000, None)], "id long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{workdir}/src")
+    src = spark.read.parquet(f"{workdir}/src")
+    home, as_of = f"{workdir}/kept", t0 + dt.timedelta(days=40)
+    got = retain_files(spark, f"{workdir}/src", "ts", 15, as_of, home)
+    want = sorted(r.id for r in retained(src, "ts", 15, as_of).collect())
+    assert sorted(r.id for r in read_retained(spark, home, src).collect()) == want and got["rows"] == len(want)
+    assert got["rewritten_files"] <= 1 and got["kept_files"] >= 6 and got["dropped_files"] >= 11
+    paths = [r.path for r in spark.read.parquet(f"{home}/manifest-0").collect()]
+    assert sum("/src/" in p for p in paths) == got["kept_files"]
+    again = retain_files(spark, home, "ts", 15, as_of + dt.timedelta(days=3), home)  # from its own manifest
+    want = sorted(r.id for r in retained(src, "ts", 15, as_of + dt.timedelta(days=3)).collect())
+    assert sorted(r.id for r in read_retained(spark, home, src).collect()) == want and again["kept_files"] >= 5
+    none = retain_files(spark, home, "ts", 15, as_of + dt.timedelta(days=300), home)
+    assert none["rows"] == 0 and read_retained(spark, home, src).count() == 0
+
+
+def test_a_keyed_stream_writes_changed_groups_only(spark, workdir):
+    from pathlib import Path
+
+    from tallyspark.streaming import keyed
+
+    spec = ReduceSpec(group_by=("k",), metrics=(Metric("count", "n"), Metric("sum", "s", "v"), Metric("max", "m", "v")))
+    src, home, ckpt = f"{workdir}/in", f"{workdir}/table", f"{workdir}/ckpt"
+    schema = "k long, v long"
+
+    def tick(compact_every=3):
+        stream = spark.readStream.schema(schema).parquet(src)
+        q = keyed.start_keyed_stream(stream, spec, home, ckpt, compact_every=compact_every)
+        q.awaitTermination()
+        assert q.exception() is None
+
+    spark.range(100_000).selectExpr("id as k", "id * 2 as v").write.parquet(src)
+    assert keyed.read_keyed(spark, home, spec) is None
+    tick()
+    first = keyed.versions(spark, home)
+    for i in range(5):
+        before = keyed.folders_of(spark, home, keyed.versions(spark, home)[-1])
+        held = keyed.read_keyed(spark, home, spec)  # a reader of the version before
+        spark.range(10).selectExpr(f"id * {i + 1} as k", f"id + {i} as v").coalesce(1).write.mode("append").parquet(src)
+        tick()
+        epoch = keyed.versions(spark, home)[-1]
+        assert spark.read.parquet(f"{home}/delta-{epoch}").count() == 10
+        assert held.count() == 100_000 and all(Path(f"{home}/{f}").exists() for f in before)
+        plain = R.reduce(spark.read.schema(schema).parquet(src), spec)
+        assert keyed.read_keyed(spark, home, spec).exceptAll(plain).count() == 0 == plain.exceptAll(keyed.read_keyed(spark, home, spec)).count()
+        assert len(keyed.folders_of(spark, home, epoch)) <= 3
+    assert first and len(list(Path(f"{home}/_versions").glob("*.json"))) <= 2
+    assert len([p for p in Path(home).iterdir() if p.name.startswith(("delta-", "base-"))]) <= 5
