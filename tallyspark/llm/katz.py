@@ -38,7 +38,7 @@ from .tokens import SPACE_WORD, mix, slices
 
 FOLDS, HELD = 7, 2
 K = 5
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 10 << 20
 PAIRS_PER_PARTITION = 800_000
 END = "\n"  # no word holds a line break
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -323,7 +323,8 @@ def _score(wide: DataFrame, kind: str, words: Words, d: np.ndarray, start: tuple
         for row in _rows(batches):
             pairs = _Pairs(row, model, partitions, spread)
             alpha, more = np.ones(len(pairs.number)), np.zeros(len(pairs.number), np.int64)
-            alpha[_list(row["place"])], more[_list(row["place"])] = _list(row["alpha"], np.float64), _list(row["more"], np.float64)
+            weight = _list(row["alpha"], np.float64)
+            alpha[_list(row["place"])], more[_list(row["place"])] = np.abs(weight), weight < 0
             alpha[-1], more[-1] = start
             # a pair's own estimate where it was seen, else its context's weight times the estimate of the word alone
             logs = np.log10(model.probs(pairs.w)) + np.log10(alpha[pairs.prior])
@@ -339,7 +340,7 @@ def _score(wide: DataFrame, kind: str, words: Words, d: np.ndarray, start: tuple
             yield pa.RecordBatch.from_arrays([row["doc_ids"].values, row["held"].values, *map(pa.array, (pairs.length, n_known, base, score))],
                                              names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    names = ["doc_ids", "held", "length", "tokens", "place", "number", "alpha", "more", "answers"]
+    names = ["doc_ids", "held", "length", "tokens", "place", "number", "alpha", "answers"]
     return wide.select(*names).mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -403,7 +404,10 @@ def _scored(docs: DataFrame, held: Column, staging: Staging) -> Katz:
     contexts = staging.table("contexts", _contexts(pairs, words, d))
     staging.settle()
     first = contexts.where(F.col("h") == words.size).first()
-    weights = _packed(numbers.join(contexts.withColumnRenamed("h", "number"), "number", "left").select("block", "place", "number", F.coalesce("alpha", F.lit(1.0)).alias("alpha"), F.coalesce("more", F.lit(0)).cast("double").alias("more")), ["place", "number", "alpha", "more"])
+    # alpha is above 0; its sign tells whether the divisor is raised
+    signed = F.coalesce(F.when(F.col("more") > 0, -F.col("alpha")).otherwise(F.col("alpha")), F.lit(1.0)).alias("alpha")
+    weighed = numbers.join(contexts.select(F.col("h").alias("number"), "alpha", "more"), "number", "left").select("block", "place", "number", signed)
+    weights = _packed(weighed, ["place", "number", "alpha"])
     answers = counted.where("kind = 'answers'").groupBy("block").agg(F.collect_list(F.struct("part", "r")).alias("answers"))
     wide = tokens.join(weights, "block", "left").join(answers, "block", "left")
     scores = staging.table("scores", _score(wide, dict(docs.dtypes)["doc_id"], words, d, (first.alpha, first.more) if first else (1.0, 0), partitions, spread))
