@@ -12,7 +12,7 @@ documents or more, each with its keeper, and every document drops the other occu
 Keys are 128-bit hashes.  Hot lines are counted by partial aggregation and their join back is a
 plain shuffle join, which adaptive execution can split.  Text is shuffled once.
 
-Defined cases: a null or empty text is one empty line; each row counts as a document, so a key
+Defined cases: ``doc_id`` is a whole number (batches are ranges of it; any other type is an error); a null or empty text is one empty line; each row counts as a document, so a key
 counts once per row and rows that repeat a ``doc_id`` are documents of their own; a null ``doc_id``
 ranks below every id; all rows that tie for the largest id keep the line; an empty table gives an
 empty result; extra columns stay (names that start with ``__ld_`` are reserved).

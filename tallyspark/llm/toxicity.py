@@ -9,7 +9,8 @@ linear classifier is fitted in numpy by gradient steps on the non-negative risk
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]),
 
 with the sigmoid loss; where the bracket falls below zero, the step goes up its gradient instead.
-The prior is the toxic share of the usable labels.  Features are collected as word hashes, never
+The prior is the toxic share of the usable labels (those outside the held-out fold).  The unlabelled sample is drawn from all documents, held-out ones
+included, as their texts without labels: no held-out label is seen.  Features are collected as word hashes, never
 texts; scoring is one pass over the documents.
 
 Defined cases: a null or empty text has no words and gets the constant's score; without confirmed
