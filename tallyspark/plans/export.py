@@ -45,7 +45,7 @@ from ..sinks.text import (
     write_lines,
 )
 from ..sinks.workbook import write_empty_workbook, write_workbooks
-from ..sources.registry import SourceRegistry, bounded, high_water_id
+from ..sources.registry import SourceChanged, SourceRegistry, bounded, file_version, high_water_id
 from ..functions.render import normalize
 from ..spec import (
     DEFAULT_CHUNKS,
@@ -184,6 +184,7 @@ def export(
                 stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
         elif not snapshot:
             stats.zip_strategy = "multipass"
+            version = file_version(plan.scoped)  # every pass reads the files listed here, and they must be the same at the end
             hwm = high_water_id(plan.scoped, plan.source)
             for i, fmt in enumerate(spec.include_formats):
                 obs = Observation(f"pass{i}") if i == 0 else None
@@ -194,6 +195,8 @@ def export(
                 paths[f"report.{fmt}"] = path
                 if obs is not None:
                     stats.rows_in = stats.rows_out = int(obs.get.get("rows", 0))
+            if file_version(plan.scoped) != version:
+                raise SourceChanged("a file of the source was replaced between two passes")
         else:
             snap_rows, snap_order = taken
             for fmt in spec.include_formats:

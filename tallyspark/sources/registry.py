@@ -118,6 +118,23 @@ def high_water_id(df: DataFrame, source: Source) -> Any:
     return df.agg(F.max(source.id_col).alias("hwm")).first()["hwm"]
 
 
+class SourceChanged(RuntimeError):
+    pass
+
+
+def file_version(df: DataFrame) -> tuple[int, int] | None:
+    """Number and fingerprint of the files behind ``df`` (path, length, modification time), from metadata alone.
+
+    A frame keeps the list of files that it was planned with, so later files are in no pass over it; the fingerprint tells
+    whether one of the listed files was replaced meanwhile.  None for a frame that reads no files; a file that is gone is an error."""
+    paths = df.inputFiles()
+    if not paths:
+        return None
+    listed = df.sparkSession.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
+    row = listed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("v")).first()
+    return int(row.n), int(row.v or 0)
+
+
 def bounded(df: DataFrame, source: Source, hwm: Any) -> DataFrame:
     """S3: re-read bounded by a high-water id fixed before the first pass.
 

@@ -299,3 +299,37 @@ def test_csv_rows_with_quoted_newlines_are_counted_whole(spark, workdir):
     df = spark.createDataFrame([(1, 'a\n"b"\nc'), (2, ""), (3, "x")], "id long, t string")
     write_lines(csv_lines(df, [F.col("id")]), f"{workdir}/q")
     assert entry_rows(spark, f"{workdir}/q", "csv").first().n_rows == 3
+
+
+def test_passes_read_one_version_of_the_source(spark, workdir, monkeypatch):
+    import os
+
+    from tallyspark.plans import export as module
+    from tallyspark.sources.registry import SourceChanged
+
+    spark.range(100, 200).selectExpr("id as k", "'t' as tenant").coalesce(1).write.parquet(f"{workdir}/src")
+    reg = SourceRegistry([Source("d", f"{workdir}/src", "k", "tenant")])
+    spec = ReportSpec(tenant="t", source="d", format="zip", include_formats=("csv", "json", "pdf"))
+    plain, done = module.write_format, []
+
+    def then(change):
+        def write(*args, **kwargs):
+            plain(*args, **kwargs)
+            if not done:
+                change()
+            done.append(1)
+        monkeypatch.setattr(module, "write_format", write)
+        done.clear()
+
+    then(lambda: spark.range(0, 50).selectExpr("id as k", "'t' as tenant").coalesce(1).write.mode("append").parquet(f"{workdir}/src"))
+    res = export(spark, spec, reg, f"{workdir}/out", multipass=True)
+    assert res.stats.rows_out == 100 and len(json.loads(read_parts(res.paths["report.json"]))) == 100
+    assert read_parts(res.paths["report.csv"]).decode().count("\n") == 101 and read_parts(res.paths["report.pdf"]).decode().count("\n") == 100
+
+    def replace():
+        part = next(p for p in Path(f"{workdir}/src").glob("*.parquet"))
+        os.utime(part, (1, 1))
+
+    then(replace)
+    with pytest.raises(SourceChanged):
+        export(spark, spec, reg, f"{workdir}/out", multipass=True)
