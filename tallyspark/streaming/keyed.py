@@ -46,7 +46,7 @@ def folders_of(spark: SparkSession, home: str, epoch: int) -> list[str]:
         stream.close()
 
 
-def _write_version(spark: SparkSession, home: str, epoch: int, folders: list[str]) -> None:
+def write_version(spark: SparkSession, home: str, epoch: int, folders: list[str]) -> None:
     path, fs = _fs(spark, f"{home}/_versions/{epoch:019d}.json")
     stream = fs.create(path, True)
     stream.write(bytearray(json.dumps(folders).encode()))
@@ -93,21 +93,21 @@ def start_keyed_stream(
         if len(folders) > compact_every:
             _latest(spark.read.parquet(*[f"{home}/{f}" for f in folders]), spec).write.mode("overwrite").parquet(f"{home}/base-{epoch}")
             folders = [f"base-{epoch}"]
-        _write_version(spark, home, epoch, folders)
+        write_version(spark, home, epoch, folders)
         point_to(spark, home, epoch)
-        _clean(spark, home, {*held, *folders, f"delta-{epoch}"}, {epoch, *before[-1:]})
+        clean(spark, home, {*held, *folders, f"delta-{epoch}"}, {epoch, *before[-1:]})
 
     writer = result.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(publish)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time or "1 minute")
     return writer.start()
 
 
-def _clean(spark: SparkSession, home: str, keep: set[str], epochs: set[int]) -> None:
+def clean(spark: SparkSession, home: str, keep: set[str], epochs: set[int]) -> None:
     """Delete folders and lists that neither the current version nor the one before needs."""
     root, fs = _fs(spark, home)
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if name.startswith(("delta-", "base-")) and name not in keep:
+        if name.startswith(("delta-", "base-", "run-")) and name not in keep:
             remove_path(spark, f"{home}/{name}")
     lists, _ = _fs(spark, f"{home}/_versions")
     for status in fs.listStatus(lists):

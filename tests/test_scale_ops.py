@@ -341,3 +341,27 @@ def test_a_keyed_stream_writes_changed_groups_only(spark, workdir):
         assert len(keyed.folders_of(spark, home, epoch)) <= 3
     assert first and len(list(Path(f"{home}/_versions").glob("*.json"))) <= 2
     assert len([p for p in Path(home).iterdir() if p.name.startswith(("delta-", "base-"))]) <= 5
+
+
+def test_stored_partials_rewrite_rows_log_times(spark, workdir):
+    from pathlib import Path
+
+    from tallyspark.operators.stored import StoredPartials
+
+    spec = ReduceSpec(group_by=("k",), metrics=(Metric("count", "n"), Metric("sum", "s", "v"), Metric("avg", "a", "v"), Metric("min", "lo", "v")))
+    store, written, plain = StoredPartials(spark, f"{workdir}/runs", spec, fanout=3), 0, None
+    assert store.read() is None
+    seen: set[str] = set()
+    for i in range(20):
+        rows = spark.range(50).selectExpr(f"(id + {i}) % 60 as k", f"cast(id * {i} as double) as v")
+        plain = rows if plain is None else plain.union(rows)
+        before = set(store.runs())
+        store.append(R.partials(rows, spec))
+        for run in set(store.runs()) - before - seen:
+            seen.add(run)
+            written += spark.read.parquet(f"{workdir}/runs/{run}").count()
+        assert all(Path(f"{workdir}/runs/{r}").exists() for r in before)  # a reader of the version before
+    assert len(store.runs()) <= 2 * 3 and written <= 20 * 50 * 3
+    got = {r.k: (r.n, r.s, round(r.a, 9), r.lo) for r in store.read().collect()}
+    assert got == {r.k: (r.n, r.s, round(r.a, 9), r.lo) for r in R.reduce(plain, spec).collect()}
+    assert len([p for p in Path(f"{workdir}/runs").iterdir() if p.name.startswith("run-")]) <= 2 * len(store.runs()) + 3
