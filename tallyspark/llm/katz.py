@@ -38,7 +38,7 @@ from .tokens import SPACE_WORD, mix, slices
 
 FOLDS, HELD = 7, 2
 K = 5
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 7 << 20
 PAIRS_PER_PARTITION = 800_000
 END = "\n"  # no word holds a line break
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -177,7 +177,7 @@ def _number(blocks: DataFrame, staging: Staging) -> tuple[DataFrame, Words]:
     seen = (blocks.select(F.explode(F.arrays_zip("words", "trained")).alias("w")).where("w.trained > 0")
             .groupBy(F.col("w.words").alias("word")).agg(F.sum("w.trained").alias("count")))
     counts = staging.table("words", seen)  # else the sort's sample would count twice
-    placed = staging.table("vocabulary", counts.orderBy(F.desc("count"), "word").withColumn("place", F.monotonically_increasing_id()))
+    placed = staging.table("vocabulary", counts.orderBy(F.desc("count"), "word").withColumn("place", F.monotonically_increasing_id()), compression="zstd")
     staging.remove("words")
     staging.settle()
     part = F.shiftright("place", 33)
@@ -383,7 +383,7 @@ def katz_scores(docs: DataFrame, held: Column | None = None, folds: int = FOLDS,
 def _scored(docs: DataFrame, held: Column, staging: Staging) -> Katz:
     spark = staging.spark
     # by bucket, so that the blocks' tokens stay where they are and only what is asked and answered is shuffled
-    blocks = staging.bucketed("blocks", _blocks(docs, held), "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = staging.bucketed("blocks", _blocks(docs, held), "block", int(spark.conf.get("spark.sql.shuffle.partitions")), compression="zstd")
     vocabulary, words = _number(blocks, staging)
     total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PAIRS_PER_PARTITION))
@@ -391,7 +391,7 @@ def _scored(docs: DataFrame, held: Column, staging: Staging) -> Katz:
     spread = int(np.append(words.first, words.size)[int(np.sum(words.count > words.tokens // (8 * partitions)))])
     code = F.xxhash64("word").alias("code")  # words meet their number by 64-bit hash, as inside a block
     numbers = staging.table("numbers", blocks.select("block", F.posexplode("words").alias("place", "word")).select("block", "place", code)
-                            .join(vocabulary.select(code, "number"), "code").select("block", "place", "number"))
+                            .join(vocabulary.select(code, "number"), "code").select("block", "place", "number"), compression="zstd")
     staging.settle()
     tokens = blocks.select("block", "doc_ids", "held", "length", "tokens")
     asking = tokens.join(_packed(numbers, ["place", "number"]), "block", "left")
@@ -401,7 +401,7 @@ def _scored(docs: DataFrame, held: Column, staging: Staging) -> Katz:
     pairs = counted.where("kind = 'pairs'").select("part", "h", "w", "r")
     of_counts = counted.where("kind = 'pairs'").agg(*[F.sum(F.get("few", F.lit(r))) for r in range(1, K + 2)]).first()
     d = discounts([int(n or 0) for n in of_counts])
-    contexts = staging.table("contexts", _contexts(pairs, words, d))
+    contexts = staging.table("contexts", _contexts(pairs, words, d), compression="zstd")
     staging.settle()
     first = contexts.where(F.col("h") == words.size).first()
     # alpha is above 0; its sign tells whether the divisor is raised

@@ -30,10 +30,10 @@ class Staging:
         frame.write.mode("error").options(**options).partitionBy(*partitions).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
 
-    def bucketed(self, name: str, frame: DataFrame, column: str, buckets: int) -> DataFrame:
+    def bucketed(self, name: str, frame: DataFrame, column: str, buckets: int, **options) -> DataFrame:
         """``table``, dealt by ``column``: joins on it need no shuffle of this side.  ``forget`` drops its entry in the catalog."""
         self.named.append(f"{name}_{uuid.uuid4().hex}")
-        frame.write.bucketBy(buckets, column).sortBy(column).option("path", f"{self.path}/{name}").saveAsTable(self.named[-1])
+        frame.write.bucketBy(buckets, column).sortBy(column).options(**options).option("path", f"{self.path}/{name}").saveAsTable(self.named[-1])
         return self.spark.table(self.named[-1])
 
     def forget(self) -> None:
