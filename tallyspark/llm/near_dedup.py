@@ -9,15 +9,17 @@
   misses every bucket with probability (1 - s^rows)^bands, below 1e-6.
 * Every member is verified on full sets against its bucket's smallest member; the links found are
   grouped.  That is linear in the bucket and settles most buckets.
-* Only members of buckets that still hold several groups go on.  They are clustered by shared
-  buckets and compared exactly across groups: a cluster is cut into blocks of about ``BLOCK``
-  members, its largest group apart from the rest (its members need no comparison among
-  themselves), and each pair of blocks is one task that counts intersections with a 0/1 matrix
-  product and emits at most one link per group.
+* Only buckets that still hold several groups go on.  A bucket is cut into blocks of about ``BLOCK`` members, its
+  largest group apart from the rest (its members need no comparison among themselves).  Each pair of blocks is a task
+  in two steps: a pair of members is wanted if its groups differ, its sizes allow a link, no earlier band has
+  it too (that band's bucket owns it) and their sketches (a byte of each slot) agree in as many slots as all but
+  ``MISS`` of the pairs at the threshold do; then the members with a wanted pair, and no others, bring their full sets, whose intersections
+  are counted with a 0/1 matrix product, at most one link per group.
 * The links of both steps give the components.
 
-No pair is dropped for size; no task holds more than two blocks; nothing grows on the driver.  A
-cluster of k members without a large group costs k^2 / BLOCK block rows.
+Nothing is dropped for size, and no pair without a common bucket is compared; no task holds more than two blocks; nothing
+grows on the driver.  A bucket of k members without a large group costs k^2 / BLOCK rows of sketches, and of sets where
+its members are near the threshold.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with
 nothing; fewer words than ``width`` are one shingle; rows that repeat a ``doc_id`` are one node of the
@@ -27,6 +29,7 @@ gives an empty result; extra columns stay in ``near_dedup`` and play no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,7 @@ SLOTS = 120
 BLOCK = 128
 COLUMNS = 1 << 14
 PART_BYTES = 1 << 20
+MISS = 1e-7
 _MAX = np.uint64(2**64 - 1)
 
 
@@ -91,13 +95,15 @@ def _profile(width: int, bands: int, rows: int):
         for batch in batches:
             for part in slices(batch.column(1), PART_BYTES):
                 hashes, owner = shingle_sets(part, width)
-                keys = band_hashes(superminhash(hashes, owner, part.rows), bands, rows).view(np.int64)
+                signatures = superminhash(hashes, owner, part.rows)
+                keys = band_hashes(signatures, bands, rows).view(np.int64)
+                sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SLOTS), part.rows, [None, pa.py_buffer(mix(signatures).astype(np.uint8).tobytes())]).cast(pa.binary())
                 c1, c2 = _class_hash(hashes, owner, part.rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.rows + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.first, part.rows), pa.array(np.bincount(owner, minlength=part.rows).astype(np.int64)),
-                     pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), lists],
-                    names=["doc_id", "n_shingles", "c1", "c2", "bands"])
+                     pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), lists, sketches],
+                    names=["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"])
     return work
 
 
@@ -151,15 +157,50 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return out
 
 
+def least_agreement(percent: int, slots: int = SLOTS, miss: float = MISS) -> int:
+    """The number of equal slots that a pair at the threshold stays below with probability under ``miss``."""
+    p, below = percent / 100, 0.0
+    for k in range(slots + 1):
+        below += math.comb(slots, k) * p**k * (1 - p) ** (slots - k)
+        if below >= miss:
+            return k
+    return slots
+
+
+def _sides(key: tuple, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a pair of blocks that meet each other; a block that meets itself is both sides."""
+    if key[1].as_py() == key[2].as_py():
+        return np.arange(rows.num_rows), np.arange(rows.num_rows)
+    side = rows.column("side").to_numpy()
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def _wanted(percent: int, agreement: int):
+    """The rows of a pair of blocks with a partner to be compared with."""
+    def work(key: tuple, rows: pa.Table) -> pa.Table:
+        left, right = _sides(key, rows)
+        label, n = rows.column("label").to_numpy(), rows.column("n").to_numpy()
+        (la, lb), (na, nb) = ((x[left][:, None], x[right][None, :]) for x in (label, n))
+        want = (la != lb) & (100 * na >= percent * nb) & (100 * nb >= percent * na)
+        if want.any():
+            bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+            own = np.flatnonzero((bands == key[0].as_py()).all(axis=0))
+            for k in range(own[0] if len(own) else 0):
+                want &= bands[left, k][:, None] != bands[right, k][None, :]
+        if want.any():
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            want &= (sketch[left][:, None, :] == sketch[right][None, :, :]).sum(axis=2) >= agreement
+        here = np.union1d(left[want.any(axis=1)], right[want.any(axis=0)])
+        return rows.select(["bucket", "i", "j", "side", "id", "cls", "label"]).take(pa.array(here, pa.int64()))
+    return work
+
+
 def _block_links(percent: int):
     def work(key: tuple, rows: pa.Table) -> pa.Table:
         label = rows.column("label").to_numpy()
-        side = rows.column("side").to_numpy(zero_copy_only=False)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("members")]
         size = np.array([len(s) for s in sets], dtype=np.float64)
-        within = key[1].as_py() == key[2].as_py()
-        left = np.arange(len(sets)) if within else np.flatnonzero(side == 0)
-        right = left if within else np.flatnonzero(side == 1)
+        left, right = _sides(key, rows)
         if not len(left) or not len(right):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         both = _intersections(sets, left, right)
@@ -178,11 +219,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = 5 if percent >= 85 else 4
     bands = SLOTS // rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = staging.table("profile", texts.mapInArrow(_profile(width, bands, rows), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"))
+    profile = staging.table("profile", texts.mapInArrow(_profile(width, bands, rows), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch binary"))
 
     # classes of equal sets; all rows of a class have the same bands
     reps = staging.table("reps", profile.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("c1", "c2")
-                         .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+                         .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     buckets = reps.select("id", F.col("c1").alias("cls"), "n", F.explode("bands").alias("bucket"))
     hubs = (buckets.groupBy("bucket").agg(F.min(F.struct("id", "cls", "n")).alias("hub"), F.count(F.lit(1)).alias("many"))
             .where("many > 1").select("bucket", F.col("hub.id").alias("hub"), F.col("hub.cls").alias("hub_cls"), F.col("hub.n").alias("hub_n")))
@@ -201,28 +242,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # what shares a bucket across groups
     labelled = members.join(groups, "id", "left").select("bucket", "id", "cls", F.coalesce("component", "id").alias("label"))
-    labelled = staging.table("labelled", labelled)
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("least")).where("lo < hi")
-    active = staging.table("active", labelled.join(mixed.select("bucket", "least"), "bucket"))
-    clusters = components(active.select(F.col("id").alias("a"), F.col("least").alias("b")), staging, "clusters")
-    nodes = (active.select("id", "cls", "label").distinct().join(clusters, "id", "left")
-             .select("id", "cls", "label", F.coalesce("component", "id").alias("cluster")))
-    nodes = staging.table("nodes", nodes)
-    by_label = nodes.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("many"))
-    shape = (by_label.groupBy("cluster").agg(F.max(F.struct("many", "label")).alias("top"), F.sum("many").alias("all"))
-             .select("cluster", F.col("top.label").alias("main"), F.ceil(F.col("top.many") / BLOCK).alias("main_blocks"),
-                     F.greatest(F.ceil((F.col("all") - F.col("top.many")) / BLOCK), F.lit(1)).alias("rest_blocks")))
+    by_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("many"))
+    shape = (by_label.groupBy("bucket").agg(F.max(F.struct("many", "label")).alias("top"), F.sum("many").alias("all"))
+             .where("all > top.many").select("bucket", F.col("top.label").alias("main"), F.ceil(F.col("top.many") / BLOCK).alias("main_blocks"),
+                                             F.ceil((F.col("all") - F.col("top.many")) / BLOCK).alias("rest_blocks")))
     spread = F.xxhash64("id")
-    dealt = nodes.join(shape, "cluster").withColumn("own", F.when(F.col("label") == F.col("main"), F.pmod(spread, "main_blocks") + F.col("rest_blocks"))
-                                                    .otherwise(F.pmod(spread, "rest_blocks")))
+    dealt = labelled.join(shape, "bucket").withColumn("own", F.when(F.col("label") == F.col("main"), F.pmod(spread, "main_blocks") + F.col("rest_blocks"))
+                                                      .otherwise(F.pmod(spread, "rest_blocks")))
     # blocks 0.. are the rest, then the largest group's; every pair of blocks meets but for two of the largest group
     meets = F.when(F.col("label") == F.col("main"), F.sequence(F.lit(0), F.col("rest_blocks") - 1)).otherwise(
         F.sequence(F.lit(0), F.col("rest_blocks") + F.col("main_blocks") - 1))
-    dealt = (dealt.select("id", "cls", "label", "cluster", "own", F.explode(meets).alias("other"))
-             .select("id", "cls", "label", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     (F.col("own") > F.col("other")).cast("int").alias("side")))
-    blocks = dealt.join(sets, ["id", "cls"])
-    further = blocks.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    dealt = staging.table("dealt", dealt.select("bucket", "id", "cls", "label", "own", meets.alias("meets")))
+    met = (dealt.join(reps.select("id", F.col("c1").alias("cls"), "n", "bands", "sketch"), ["id", "cls"])
+           .select("bucket", "id", "cls", "label", "n", "bands", "sketch", "own", F.explode("meets").alias("other"))
+           .select("bucket", "id", "cls", "label", "n", "bands", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                   (F.col("own") > F.col("other")).cast("int").alias("side")))
+    wanted = met.groupBy("bucket", "i", "j").applyInArrow(_wanted(percent, least_agreement(percent)),
+                                                          "bucket long, i long, j long, side int, id long, cls long, label long")
+    blocks = staging.table("wanted", wanted).join(sets, ["id", "cls"])
+    further = blocks.groupBy("bucket", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
     merged = components(further, staging, "merged", joined=True)
 
     # every class to the smallest id that it reaches
@@ -230,7 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
              .join(merged.withColumnRenamed("id", "label"), "label", "left")
              .select("c1", "c2", F.coalesce("component", "label").alias("component")))
     final = staging.table("final", final)
-    staging.remove("members", "sets", "labelled", "active", "nodes", "reps")
+    staging.keep("profile", "final")
     rows_ = profile.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c1")).alias("c1"), "c2")
     own = F.coalesce("component", "doc_id")
     return (rows_.join(final, ["c1", "c2"], "left")

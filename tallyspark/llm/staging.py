@@ -53,6 +53,13 @@ class Staging:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
             path.getFileSystem(hadoop).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        found = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+        if gone := {f.getPath().getName() for f in found} - set(names):
+            self.remove(*gone)
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"

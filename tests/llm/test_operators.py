@@ -134,6 +134,45 @@ def test_near_duplicates_without_the_first_member_at_the_centre(spark):
     assert got == {i: c for i, (_, c) in brute.near(rows).items()}
 
 
+def test_near_duplicates_inside_a_cloud_below_the_threshold(spark, monkeypatch):
+    """Pages of one template share buckets without being similar: the links among them stay, and only their members bring sets."""
+    draw, template, rows = random.Random(5), prose(5, 150), []
+    for i in range(300):
+        rows.append((i, " ".join(template + [f"own{draw.randrange(10**9)}" for _ in range(60)])))
+        if i % 10 == 0:
+            rows.append((1000 + i, rows[-1][1] + " one more"))
+    met = []
+    seen = near_dedup.Staging.table
+
+    def table_(self, name, frame, *a, **k):
+        out = seen(self, name, frame, *a, **k)
+        if name in ("dealt", "wanted"):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup.Staging, "table", table_)
+    got = {r.doc_id: r.component_id for r in near_rows(spark, rows, width=3, percent=85)}
+    assert got == {i: c for i, (_, c) in brute.near(rows).items()}
+    assert met[0] > 300 and met[1] < met[0] / 4  # nearly all that shares a bucket is settled by its sketch
+
+
+def test_near_duplicates_leave_two_tables(spark):
+    from pathlib import Path
+
+    from tallyspark.session import checkpoint_dir
+
+    root = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.glob("near-dedup-*"))
+    near_rows(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")], width=3, percent=85)
+    (new,) = set(root.glob("near-dedup-*")) - before
+    assert sorted(p.name for p in new.iterdir()) == ["final", "profile"]
+
+
+def test_least_agreement():
+    assert [near_dedup.least_agreement(p) for p in (100, 50)] == [near_dedup.SLOTS, 32]
+    assert 60 < near_dedup.least_agreement(80) < near_dedup.least_agreement(85) < 80
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (5, "p q r s"), (9, "p q r s"), (None, "a b c d"), (None, None), (3, "x" * 70_000)]
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_rows(spark, rows, width=3, percent=85))
