@@ -224,47 +224,40 @@ def _found(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("text").rlike(HINT))
 
 
-def rule_findings(docs: DataFrame, words: Dictionary) -> DataFrame:
-    """``(doc_id, begin, y)`` labelled by rule."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                text = text.as_py()
-                out += [(doc, a, float(y)) for a, b, known in spans(text) if (y := rule_label(text, a, b, known, words)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())],
-                                             names=["doc_id", "begin", "y"])
-
-    return _found(docs).mapInArrow(work, "doc_id long, begin long, y double")
-
-
 def _featured(docs: DataFrame, words: Dictionary) -> DataFrame:
+    """Every candidate's features, and its label by rule, from one scan of the texts."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, begins, untils, xs = [], [], [], []
+            doc_ids, begins, untils, xs, ys = [], [], [], [], []
             for doc, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py()
-                for a, b in candidates(text):
+                for a, b, known in spans(text):
                     doc_ids.append(doc)
                     begins.append(a)
                     untils.append(b)
                     xs.append([float(v) for v in features(text, a, b, source, words)])
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begins, pa.int64()), pa.array(untils, pa.int64()), pa.array(xs, pa.list_(pa.float64()))],
-                                             names=["doc_id", "begin", "until", "x"])
+                    ys.append(rule_label(text, a, b, known, words))
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begins, pa.int64()), pa.array(untils, pa.int64()), pa.array(xs, pa.list_(pa.float64())),
+                                              pa.array(ys, pa.float64())], names=["doc_id", "begin", "until", "x", "ruled"])
+
+    return _found(docs).mapInArrow(work, "doc_id long, begin long, until long, x array<double>, ruled double")
+
 
-    return _found(docs).mapInArrow(work, "doc_id long, begin long, until long, x array<double>")
+def rule_findings(found: DataFrame) -> DataFrame:
+    """``(doc_id, begin, y)`` of the candidates that have a label by rule."""
+    return found.where("ruled IS NOT NULL").select("doc_id", "begin", F.col("ruled").alias("y"))
 
 
 def secret_findings(docs: DataFrame, findings: DataFrame | None = None, fit_findings: int = FIT_FINDINGS) -> DataFrame:
     """``(doc_id, begin, until, score, secret)`` for every candidate; ``findings`` ``(doc_id, begin, y)`` are labels."""
     words, staging = fit_dictionary(docs), Staging(docs.sparkSession, "secrets")
     by_rule = findings is None
-    findings = staging.table("labels", rule_findings(docs, words)) if by_rule else findings
+    found = staging.table("found", _featured(docs, words))
+    findings = rule_findings(found) if by_rule else findings
     # half of each label, so that the rarer one is not thinned with the other
     halves = [thinned(findings.where(F.col("y") == y), F.struct("doc_id", "begin"), fit_findings // 2, "findings") for y in (0, 1)]
     known = halves[0].unionByName(halves[1])
     known = known.groupBy("doc_id", "begin").agg(F.max(F.col("y").cast("double")).alias("y"))
-    found = staging.table("found", _featured(docs, words))
     rows = found.join(F.broadcast(known), ["doc_id", "begin"]).select("doc_id", "begin", "y", "x").toArrow()  # bounded by the sample
     forest = None
     if rows.num_rows:
@@ -284,4 +277,4 @@ def secret_findings(docs: DataFrame, findings: DataFrame | None = None, fit_find
             share = np.clip(forest.sums(x), 0, 1) if forest is not None and len(x) else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(share)], names=["doc_id", "begin", "until", "score"])
 
-    return found.mapInArrow(score, "doc_id long, begin long, until long, score double").withColumn("secret", F.col("score") >= 0.5)
+    return found.drop("ruled").mapInArrow(score, "doc_id long, begin long, until long, score double").withColumn("secret", F.col("score") >= 0.5)
