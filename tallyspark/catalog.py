@@ -21,7 +21,7 @@ from .functions.render import json_value, normalize, number_text, sha256_hex, ut
 from .operators import reduce as R
 from .operators.filters import equality_filter
 from .operators.ordering import number_rows
-from .operators.ranges import chunk_of, id_ranges, range_predicate, ranges_frame, read_bounds
+from .operators.ranges import chunk_of, id_number, id_ranges, range_predicate, ranges_frame, read_bounds
 from .plans.batch import (
     all_tenant_lines,
     apply_retention,
@@ -885,8 +885,9 @@ from events, s group by 1
 """,
 )
 def chunk_ranges_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1 and A9 over ids near 10^18: exact range arithmetic."""
-    ev = table(spark, sf_dir, "events").withColumn("event_id", F.col("event_id") * 100_000_000_000_000 + 7)
+    """R1 and A9 over ids near 10^18 and beyond BIGINT: exact range arithmetic."""
+    number = F.col("event_id").cast("decimal(20,0)") * F.lit(10**14).cast("decimal(15,0)") + F.lit(7)
+    ev = table(spark, sf_dir, "events").select(id_number(number).alias("event_id"))
     ranges = id_ranges(*read_bounds(ev, "event_id"), 7)
     return ev.groupBy(chunk_of(ranges, "event_id").alias("chunk")).agg(F.count(F.lit(1)).alias("n_rows"))
 

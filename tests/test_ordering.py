@@ -95,3 +95,13 @@ def test_ranges_are_exact_for_large_ids(spark):
         both = spark.createDataFrame([(h,) for h in hexed] + [(None,)], "id string").select("id", chunk_of(hex_ranges, "id").alias("c")).collect()
         assert {r.id: r.c for r in both} == {None: None, **{int_to_objectid(r.id - lo + 5): r.c for r in rows}}
     assert spark.createDataFrame([(None,), (4,)], "id long").select(chunk_of(id_ranges(5, 9, 2), "id").alias("c")).collect() == [(None,), (None,)]
+
+
+def test_ranges_over_ids_beyond_bigint(spark, workdir):
+    """chunk_ranges_large: event ids above 92,233 times 10^14 pass 2^63."""
+    from tallyspark.catalog import QUERIES
+
+    ids = [0, 1, 92_233, 92_234, 99_999, 699_999, None]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{workdir}/events.parquet")
+    got = {r.chunk: r.n_rows for r in QUERIES["chunk_ranges_large"](spark, workdir).collect()}
+    assert got == {0: 5, 6: 1, None: 1}
