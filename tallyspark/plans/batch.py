@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.render import csv_header, csv_line, json_line, qcol
 from ..operators.reduce import reduce_frame, report_view
+from ..sinks.folders import write_text_folders
 from ..spec import ReduceSpec
 from .saved import due_specs, run_specs, run_status, write_specs  # noqa: F401
 
@@ -105,7 +106,7 @@ def all_tenant_lines(
 
 def write_all_tenants(lines: DataFrame, tenant_col: str, path: str) -> None:
     """L2 sink: ``<path>/<tenant_col>=<tenant>/part-*`` holds each tenant's report."""
-    lines.write.mode("overwrite").partitionBy(tenant_col).text(path)
+    write_text_folders(lines, tenant_col, path)
 
 
 def apply_retention(
