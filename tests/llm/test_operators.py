@@ -515,7 +515,7 @@ def test_every_license_of_a_block(spark):
 def test_queries_keep_every_row(spark):
     from tallyspark.llm import queries
 
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op2_line_dedup", "op6_repetition_rules", "op8_benchmark_decontamination"):
