@@ -35,6 +35,7 @@ from .plans.export import export
 from .plans.report import plan_report, run
 from .plans.stats import stats_frame
 from .session import checkpoint_dir
+from .sinks.folders import read_text_folders
 from .sinks.manifest import part_files
 from .sinks.readback import entry_rows, workbook_cells
 from .sinks.text import csv_frame, json_array_frame, listing_lines, ndjson_lines, snapshot_bytes
@@ -767,8 +768,8 @@ def all_tenant_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/reports/all-tenants-{uuid.uuid4().hex[:8]}"
     lines = all_tenant_lines(table(spark, sf_dir, "events"), "user_id", [F.col("event_id")], "csv")
     write_all_tenants(lines, "user_id", path)
-    back = spark.read.schema("value string, user_id long").text(path)
-    return back.groupBy("user_id").agg(
+    back = read_text_folders(spark, path, "user_id")
+    return back.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(
         (F.count(F.lit(1)) - F.lit(1)).alias("n_rows"), F.sum(F.octet_length("value") + F.lit(1)).cast("long").alias("bytes"))
 
 
